@@ -107,3 +107,56 @@ def with_avg_rank(
     """``df`` plus its average-tie rank column (equi-join back on group + value)."""
     ranks = avg_rank(df, value_col, group_cols, rank_col, n_buckets, cuts_from).drop("cnt")
     return df.join(ranks, [*group_cols, value_col])
+
+
+def ordered_positions(
+    df: DataFrame,
+    key_col: str,
+    tie_cols: Sequence[str] = (),
+    group_cols: Sequence[str] = (),
+    pos_col: str = "pos",
+    lag_cols: Sequence[str] = (),
+    n_buckets: int | None = None,
+) -> DataFrame:
+    """``row_number()`` (and ``lag`` of ``lag_cols``) within ``group_cols`` ordered by
+    (``key_col``, ``tie_cols``), without sending a whole group to one task.
+
+    ``key_col`` must be numeric.  Rows are cut into key buckets (approximate
+    quantiles of the key, a pure function of the key, so ties stay together);
+    each (group, bucket) cell is numbered by an ordinary window, bucket totals
+    give each cell its offset, and the last row of the previous non-empty
+    bucket supplies the lag of a cell's first row.  A group that holds a third
+    of all rows is spread over all buckets.
+
+    Adds ``pos_col`` (1-based) and ``prev_<c>`` for each lag column.
+    """
+    groups = list(group_cols)
+    order = [F.col(key_col).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in tie_cols]]
+    b = _bucket_count(df, n_buckets)
+    cuts = value_cut_points(df, key_col, b)
+    tagged = df.withColumn("_bucket", bucket_of(key_col, cuts))
+
+    w_cell = Window.partitionBy(*groups, "_bucket").orderBy(*order)
+    cell = tagged.withColumn("_rn", F.row_number().over(w_cell))
+    for c in lag_cols:
+        cell = cell.withColumn(f"_lag_{c}", F.lag(c).over(w_cell))
+
+    order_struct = F.struct(*[F.col(key_col), *[F.col(c) for c in tie_cols]])
+    summary_aggs = [F.count(F.lit(1)).alias("_tot")]
+    summary_aggs += [F.max_by(F.col(c), order_struct).alias(f"_last_{c}") for c in lag_cols]
+    summary = tagged.groupBy(*groups, "_bucket").agg(*summary_aggs)
+    w_b = Window.partitionBy(*groups).orderBy("_bucket")
+    offs = summary.select(
+        *groups,
+        "_bucket",
+        F.coalesce(F.sum("_tot").over(w_b.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        *[F.lag(f"_last_{c}").over(w_b).alias(f"_carry_{c}") for c in lag_cols],
+    )
+    out = cell.join(offs, [*groups, "_bucket"])
+    out = out.withColumn(pos_col, F.col("_off") + F.col("_rn"))
+    for c in lag_cols:
+        out = out.withColumn(
+            f"prev_{c}", F.when(F.col("_rn") == 1, F.col(f"_carry_{c}")).otherwise(F.col(f"_lag_{c}"))
+        )
+    drop = ["_bucket", "_rn", "_off"] + [f"_{k}_{c}" for c in lag_cols for k in ("lag", "carry")]
+    return out.drop(*drop)
