@@ -160,3 +160,10 @@ def ordered_positions(
         )
     drop = ["_bucket", "_rn", "_off"] + [f"_{k}_{c}" for c in lag_cols for k in ("lag", "carry")]
     return out.drop(*drop)
+
+
+def string_order_key(c: str) -> "F.Column":
+    """Numeric, order-preserving (non-decreasing) proxy for a string: its first 6
+    UTF-8 bytes as a number (exact in a double).  Use it as ``key_col`` of
+    ``ordered_positions`` with the string itself as the first tie column."""
+    return F.conv(F.rpad(F.substring(F.hex(F.col(c)), 1, 12), 12, "0"), 16, 10).cast("double")
