@@ -41,6 +41,7 @@ def load_all() -> dict[str, Query]:
         q_leaderboard,
         q_metrics,
         q_profile,
+        q_selection,
     )
 
     return REGISTRY
