@@ -40,6 +40,7 @@ def load_all() -> dict[str, Query]:
         q_features,
         q_leaderboard,
         q_metrics,
+        q_models,
         q_profile,
         q_selection,
     )
