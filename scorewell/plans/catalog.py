@@ -43,6 +43,7 @@ def load_all() -> dict[str, Query]:
         q_models,
         q_profile,
         q_selection,
+        q_streaming,
     )
 
     return REGISTRY

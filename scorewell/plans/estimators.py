@@ -189,22 +189,49 @@ def _feature_stages(roles: Roles) -> list:
     return [VectorAssembler(inputCols=roles.feature_cols, outputCol="_raw", handleInvalid="keep")]
 
 
-def _label_std(train: DataFrame, label: str) -> tuple[float, int]:
-    r = train.agg(F.stddev_samp(label).alias("s"), F.count(F.lit(1)).alias("n")).first()
-    s = r["s"] if r["s"] and r["s"] > 0 else 1.0
-    return float(s), int(r["n"])
+NORMAL_SOLVER_MAX_FEATURES = 4096  # Spark's normal-equation solver limit
+
+
+def vector_size(df: DataFrame, col: str) -> int:
+    """Width of a vector column from its ML attribute metadata (no job), else one row."""
+    meta = df.schema[col].metadata.get("ml_attr", {})
+    if "num_attrs" in meta:
+        return int(meta["num_attrs"])
+    return len(df.select(col).first()[0])
+
+
+def _label_stats(train: DataFrame, label: str) -> tuple[float, float, int]:
+    y = F.col(label).cast("double")
+    r = train.agg(F.stddev_pop(y).alias("p"), F.stddev_samp(y).alias("s"), F.count(F.lit(1)).alias("n")).first()
+    fix = lambda v: float(v) if v and v > 0 else 1.0
+    return fix(r["p"]), fix(r["s"]), int(r["n"])
 
 
 def _scaled_linear(train: DataFrame, pre: list, roles: Roles, make_lr, center: bool) -> PipelineModel:
-    """Fit featurizer, population scaler, and a LinearRegression on y / std(y)."""
-    s, n = _label_std(train, roles.label_col)
+    """Fit featurizer, population scaler, and a LinearRegression on y / std(y).
+
+    Up to 4,096 features the normal-equation solver needs ONE pass over the
+    data (it aggregates X'X, then solves ridge or — with an L1 part — runs
+    OWL-QN on the d x d system); it standardizes the label by the population
+    std, so y is divided by that.  Wider vocabularies use distributed L-BFGS,
+    which standardizes by the sample std.
+    """
+    pop, samp, n = _label_stats(train, roles.label_col)
     fitted, cur = fit_stages(pre, train)
-    scale = population_scale(cur, "_raw", FEATURES, center)
-    fitted += scale
-    for t in scale:
-        cur = t.transform(cur)
-    cur = cur.withColumn("_y", F.col(roles.label_col).cast("double") / F.lit(s))
-    lr = make_lr(n, s).setFeaturesCol(FEATURES).setLabelCol("_y").setPredictionCol("_pred").fit(cur)
+    # the scaler and the solver each pass over (label, features): keep just that slice
+    slim = cur.select(F.col(roles.label_col).cast("double").alias("_label"), "_raw").persist()
+    try:
+        scale = population_scale(slim, "_raw", FEATURES, center)
+        fitted += scale
+        for t in scale:
+            slim = t.transform(slim)
+        normal = vector_size(cur, "_raw") <= NORMAL_SOLVER_MAX_FEATURES
+        s = pop if normal else samp
+        slim = slim.withColumn("_y", F.col("_label") / F.lit(s))
+        lr = make_lr(n, s).setSolver("normal" if normal else "l-bfgs")
+        lr = lr.setFeaturesCol(FEATURES).setLabelCol("_y").setPredictionCol("_pred").fit(slim)
+    finally:
+        slim.unpersist()
     back = SQLTransformer(statement=f"SELECT *, _pred * {s!r} AS {PREDICTION} FROM __THIS__")
     return PipelineModel(fitted + [lr, back])
 
@@ -230,7 +257,7 @@ class KmerRidge(Spec):
         def make(n, s):
             return LinearRegression(
                 regParam=float(c["alpha"]) / n, elasticNetParam=0.0, standardization=False,
-                solver="l-bfgs", maxIter=200, tol=1e-9,
+                maxIter=200, tol=1e-9,
             )
 
         return Fitted(_scaled_linear(train, pre, roles, make, center=False), roles.id_col, self.name)
@@ -312,7 +339,7 @@ class TabularRidge(Spec):
         def make(n, s):
             return LinearRegression(
                 regParam=float(c["alpha"]) / n, elasticNetParam=0.0, standardization=False,
-                solver="l-bfgs", maxIter=200, tol=1e-9,
+                maxIter=200, tol=1e-9,
             )
 
         return Fitted(_scaled_linear(train, _feature_stages(roles), roles, make, center=True), roles.id_col, self.name)
