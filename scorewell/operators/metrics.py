@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorewell.operators.rank import avg_rank
+from scorewell.session import materialize
 
 REGRESSION_PRIMARY = "spearman"
 CLASSIFICATION_PRIMARY = "f1_macro"
@@ -36,6 +37,7 @@ def regression_metrics(
     label_col: str = "y",
     group_cols: Sequence[str] = (),
     n_buckets: int | None = None,
+    materialize_input: bool = True,
 ) -> DataFrame:
     """F1-F4 + F10: one row per group with n, spearman, pearson, mse, mae, rmse, r2.
 
@@ -44,6 +46,9 @@ def regression_metrics(
     """
     groups = list(group_cols)
     base = df.select(*groups, F.col(pred_col).cast("double").alias("_p"), F.col(label_col).cast("double").alias("_y"))
+    if materialize_input:
+        # base feeds two rank tables, their cut points and the final join
+        base = materialize(base, "aligned-predictions")
     r_y = avg_rank(base, "_y", groups, "_ry", n_buckets).drop("cnt")
     r_p = avg_rank(base, "_p", groups, "_rp", n_buckets).drop("cnt")
     ranked = base.join(r_y, [*groups, "_y"]).join(r_p, [*groups, "_p"])

@@ -82,7 +82,9 @@ def avg_rank(
     )
     running = pairs.withColumn("_run", F.sum("cnt").over(within))
 
-    totals = pairs.groupBy(*groups, "_bucket").agg(F.sum("cnt").alias("_tot"))
+    # cell totals come from the windowed frame itself: both branches then share
+    # one shuffle (ReusedExchange) instead of re-running the input + aggregate
+    totals = running.groupBy(*groups, "_bucket").agg(F.max("_run").alias("_tot"))
     across = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *groups, "_bucket", F.coalesce(F.sum("_tot").over(across), F.lit(0)).alias("_off")
