@@ -22,7 +22,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.ml import Estimator, PipelineModel
+from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
@@ -48,6 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorewell.operators.features import class_weights
+from scorewell.operators.pca import project, randomized_pca
 
 FEATURES = "_features"  # internal model input column (inputs may carry "features")
 PREDICTION = "prediction"
@@ -125,9 +126,35 @@ def population_scale(df: DataFrame, in_col: str, out_col: str, center: bool) ->
     return [ElementwiseProduct(inputCol=in_col, outputCol=out_col, scalingVec=Vectors.dense(scale))]
 
 
+WIDE_PCA_MIN_DIM = 4096  # above this, the driver-side covariance of ml.PCA is too large
+
+
+class WidePCAModel(Transformer):
+    """Projection onto randomized-PCA directions (Arrow-batched matrix product).
+
+    A Python stage: a pipeline holding it transforms normally but is not
+    saved by ``PipelineModel.write`` (narrow inputs use the JVM PCA model).
+    """
+
+    def __init__(self, in_col: str, out_col: str, components, explained_variance):
+        super().__init__()
+        self.in_col, self.out_col = in_col, out_col
+        self.components, self.explained_variance = components, explained_variance
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return project(dataset, self.in_col, self.out_col, self.components)
+
+
 def pca_stage(df: DataFrame, in_col: str, out_col: str, k: int):
-    """C11: PCA to k components (k capped by min(n, d) as the reference requires k <= both)."""
-    d = len(df.select(in_col).first()[0])
+    """C11: PCA to k components (k capped by min(n, d) as the reference requires k <= both).
+
+    Up to 4,096 columns: Spark's PCA (d x d covariance on the driver).  Wider:
+    the distributed randomized PCA of ``scorewell.operators.pca``.
+    """
+    d = vector_size(df, in_col)
+    if d > WIDE_PCA_MIN_DIM:
+        comps, var, _ = randomized_pca(df, in_col, k)
+        return WidePCAModel(in_col, out_col, comps, var)
     return PCA(k=max(1, min(k, d)), inputCol=in_col, outputCol=out_col).fit(df)
 
 

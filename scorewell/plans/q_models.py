@@ -238,6 +238,27 @@ def pca(spark, sf_dir):
     return out.select("row_id", vector_to_array("_pca").alias("components"))
 
 
+@register(
+    "pca_wide",
+    """
+select 64 as n_components, round(sum(v), 4) as total_variance from (
+  select var_samp(cast(e as double)) as v from (select unnest(embedding) as e, generate_subscripts(embedding, 1) as j
+                                                from embeddings) t group by j) s
+""",
+)
+def pca_wide(spark, sf_dir):
+    """C11 (randomized, distributed): all 64 components of the embeddings; their
+    variances must add up to the summed per-dimension sample variance."""
+    from scorewell.operators.pca import randomized_pca
+
+    v = V.vec(spark, sf_dir)
+    comps, var, _ = randomized_pca(v, "features", 64)
+    total = round(float(var.sum()), 4)
+    return v.agg(F.count(F.lit(1)).alias("_n")).select(
+        F.lit(int(comps.shape[1])).alias("n_components"), F.lit(total).alias("total_variance")
+    )
+
+
 @register("cross_validate")
 def cross_validate(spark, sf_dir):
     """Default k-mer ridge on the sequence train rows, splits from fold_id."""
