@@ -8,9 +8,11 @@ saves/loads with ``PipelineModel.write``.
 
 Objective mapping to the reference's models (see SURVEY §2 E):
 * ridge / elastic net: Spark's penalty depends on the label's std, so the label
-  is divided by its sample std s before fitting and predictions multiplied
-  back; ridge regParam = alpha / n, elastic net a1 = alpha*l1/s,
-  a2 = alpha*(1-l1), regParam = a1 + a2, elasticNetParam = a1 / (a1 + a2).
+  is divided by its std s before fitting and predictions multiplied back
+  (population std for the one-pass normal-equation solver used up to 4,096
+  features, sample std for L-BFGS above); ridge regParam = alpha / n, elastic
+  net a1 = alpha*l1/s, a2 = alpha*(1-l1), regParam = a1 + a2,
+  elasticNetParam = a1 / (a1 + a2).
 * logistic: regParam = 1 / (C * sum of weights) with 'balanced' weights.
 Documented gaps (no Spark equivalent): boosting has no L2 leaf penalty, the
 SVM uses hinge not squared hinge and no probability calibration, the MLP uses
