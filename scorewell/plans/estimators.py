@@ -265,6 +265,29 @@ def _scaled_linear(train: DataFrame, pre: list, roles: Roles, make_lr, center: b
     return PipelineModel(fitted + [lr, back])
 
 
+# Execution knobs for tree learners (results unchanged): more node statistics per
+# pass means fewer passes over the data.
+TREE_EXEC = {"maxMemoryInMB": 1024}
+FOREST_EXEC = {**TREE_EXEC, "cacheNodeIds": True}  # deep trees: node ids cached between levels
+
+
+def _fit_slim(est, cur: DataFrame, label_col: str):
+    """Fit on a persisted (features, label) slice; unpersist afterwards."""
+    slim = cur.select("_raw", F.col(label_col).cast("double").alias("_label")).persist()
+    try:
+        return est.fit(slim)
+    finally:
+        slim.unpersist()
+
+
+def _one_vs_rest(clf, n_classes: int) -> OneVsRest:
+    """Multiclass from a binary learner; the per-class fits run concurrently."""
+    return OneVsRest(
+        classifier=clf, featuresCol=FEATURES, labelCol="_label_idx", weightCol="_w",
+        predictionCol="_pred_idx", parallelism=max(1, min(n_classes, 8)),
+    )
+
+
 class KmerRidge(Spec):
     """K-mers (+GC, length) -> no-centre population scaling -> ridge."""
 
@@ -346,11 +369,11 @@ class KmerBoosting(Spec):
         pre = kmer_stages(roles.seq_col, int(c["ngram_lo"]), int(c["ngram_hi"]), True)
         fitted, cur = fit_stages(pre, train)
         gbt = GBTRegressor(
-            featuresCol="_raw", labelCol=roles.label_col, predictionCol=PREDICTION,
+            featuresCol="_raw", labelCol="_label", predictionCol=PREDICTION,
             maxIter=int(c["max_iter"]), stepSize=float(c["learning_rate"]), maxDepth=int(c["max_depth"]),
-            minInstancesPerNode=int(c["min_samples_leaf"]), seed=int(c.get("seed", 42)),
-        ).fit(cur.withColumn(roles.label_col, F.col(roles.label_col).cast("double")))
-        return Fitted(PipelineModel(fitted + [gbt]), roles.id_col, self.name)
+            minInstancesPerNode=int(c["min_samples_leaf"]), seed=int(c.get("seed", 42)), **TREE_EXEC,
+        )
+        return Fitted(PipelineModel(fitted + [_fit_slim(gbt, cur, roles.label_col)]), roles.id_col, self.name)
 
 
 class TabularRidge(Spec):
@@ -387,10 +410,11 @@ class TabularBoosting(Spec):
         c = self.config(config)
         fitted, cur = fit_stages(_feature_stages(roles), train)
         gbt = GBTRegressor(
-            featuresCol="_raw", labelCol=roles.label_col, predictionCol=PREDICTION,
+            featuresCol="_raw", labelCol="_label", predictionCol=PREDICTION,
             maxIter=int(c["max_iter"]), stepSize=float(c["learning_rate"]), maxDepth=int(c["max_depth"]), seed=42,
-        ).fit(cur.withColumn(roles.label_col, F.col(roles.label_col).cast("double")))
-        return Fitted(PipelineModel(fitted + [gbt]), roles.id_col, self.name)
+            **TREE_EXEC,
+        )
+        return Fitted(PipelineModel(fitted + [_fit_slim(gbt, cur, roles.label_col)]), roles.id_col, self.name)
 
 
 # ----------------------------- classification ------------------------------
@@ -437,11 +461,15 @@ class _Classifier(Spec):
             cur = p.transform(cur)
             fitted.append(p)
             in_col = "_pca"
-        cur = cur.withColumn(FEATURES, F.col(in_col))
-        sum_w = cur.agg(F.sum("_w")).first()[0]
-        n_features = len(cur.select(FEATURES).first()[0])
-        est = self.make(c, len(labels), n_features, float(sum_w))
-        model = est.fit(cur)
+        # iterative learners pass over (features, label, weight) many times: keep only that slice
+        slim = cur.select(F.col(in_col).alias(FEATURES), "_label_idx", "_w").persist()
+        try:
+            sum_w = slim.agg(F.sum("_w")).first()[0]
+            n_features = vector_size(slim, FEATURES)
+            est = self.make(c, len(labels), n_features, float(sum_w))
+            model = est.fit(slim)
+        finally:
+            slim.unpersist()
         return Fitted(_classifier_model(fitted + [SQLTransformer(statement=f"SELECT *, {in_col} AS {FEATURES} FROM __THIS__")], model, labels), roles.id_col, self.name)
 
 
@@ -479,11 +507,11 @@ class TabularBoostingClassifier(_Classifier):
     def make(self, c, n_classes, n_features, sum_w):
         gbt = GBTClassifier(
             featuresCol=FEATURES, labelCol="_label_idx", weightCol="_w", maxIter=int(c["max_iter"]),
-            stepSize=float(c["learning_rate"]), maxDepth=int(c["max_depth"]), seed=42,
+            stepSize=float(c["learning_rate"]), maxDepth=int(c["max_depth"]), seed=42, **TREE_EXEC,
         )
         if n_classes <= 2:
             return gbt.setPredictionCol("_pred_idx")
-        return OneVsRest(classifier=gbt, featuresCol=FEATURES, labelCol="_label_idx", weightCol="_w", predictionCol="_pred_idx")
+        return _one_vs_rest(gbt, n_classes)
 
 
 class TabularForest(_Classifier):
@@ -500,7 +528,7 @@ class TabularForest(_Classifier):
         depth = 30 if c.get("max_depth") is None else min(30, int(c["max_depth"]))
         return RandomForestClassifier(
             featuresCol=FEATURES, labelCol="_label_idx", weightCol="_w", predictionCol="_pred_idx",
-            numTrees=int(c["n_estimators"]), maxDepth=depth, seed=42,
+            numTrees=int(c["n_estimators"]), maxDepth=depth, seed=42, **FOREST_EXEC,
         )
 
 
@@ -531,8 +559,8 @@ class ExprSVM(_Classifier):
 
     def make(self, c, n_classes, n_features, sum_w):
         svc = LinearSVC(featuresCol=FEATURES, labelCol="_label_idx", weightCol="_w",
-                        regParam=1.0 / (float(c["C"]) * sum_w), maxIter=500, standardization=False)
-        return OneVsRest(classifier=svc, featuresCol=FEATURES, labelCol="_label_idx", weightCol="_w", predictionCol="_pred_idx")
+                        regParam=1.0 / (float(c["C"]) * sum_w), maxIter=100, standardization=False)
+        return _one_vs_rest(svc, n_classes)
 
 
 class ExprMLP(_Classifier):
