@@ -132,3 +132,18 @@ def test_select_best_and_vote(spark):
         [(1, "1"), (1, "2"), (2, "2"), (2, "2"), (3, "0"), (3, "0"), (3, "1")], "id long, p string"
     )
     assert {r["id"]: r["p"] for r in SE.ensemble_vote(votes).collect()} == {1: "1", 2: "2", 3: "0"}
+
+
+def test_expr_svm_calibrated_beats_majority(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(3)
+    centers = np.array([[3.0, 0, 0, 0], [0, 3.0, 0, 0], [0, 0, 3.0, 0]])
+    y = rng.integers(0, 3, size=90)
+    X = centers[y] + rng.normal(size=(90, 4))
+    df = spark.createDataFrame([(i, Vectors.dense(X[i]), int(y[i])) for i in range(90)], "cell_id long, features vector, label int")
+    spec = E.get_spec("expr_svm")
+    fitted = spec.fit(df, {"n_components": 3}, E.Roles("cell_id", "label", vector_col="features"))
+    pred = spec.predict(fitted, df).join(df, "cell_id")
+    acc = pred.select(F.avg((F.col("prediction") == F.col("label").cast("string")).cast("double"))).first()[0]
+    assert acc > 0.8
