@@ -141,7 +141,7 @@ def test_expr_svm_calibrated_beats_majority(spark):
     centers = np.array([[3.0, 0, 0, 0], [0, 3.0, 0, 0], [0, 0, 3.0, 0]])
     y = rng.integers(0, 3, size=90)
     X = centers[y] + rng.normal(size=(90, 4))
-    df = spark.createDataFrame([(i, Vectors.dense(X[i]), int(y[i])) for i in range(90)], "cell_id long, features vector, label int")
+    df = spark.createDataFrame([(i, Vectors.dense(X[i]), int(y[i])) for i in range(90)], ["cell_id", "features", "label"])
     spec = E.get_spec("expr_svm")
     fitted = spec.fit(df, {"n_components": 3}, E.Roles("cell_id", "label", vector_col="features"))
     pred = spec.predict(fitted, df).join(df, "cell_id")
