@@ -147,3 +147,18 @@ def test_expr_svm_calibrated_beats_majority(spark):
     pred = spec.predict(fitted, df).join(df, "cell_id")
     acc = pred.select(F.avg((F.col("prediction") == F.col("label").cast("string")).cast("double"))).first()[0]
     assert acc > 0.8
+
+
+def test_run_plan_fast_budget(spark):
+    rng = np.random.default_rng(4)
+    seqs = ["".join(rng.choice(list("ACGT"), size=12)) for _ in range(90)]
+    rows = [(i, s, float(s.count("G") + rng.normal() * 0.1), i % 10) for i, s in enumerate(seqs)]
+    df = spark.createDataFrame(rows, "row_id long, sequence string, labels double, fold_id int")
+    roles = E.Roles("row_id", "labels", seq_col="sequence")
+    results = CV.run_plan(df, roles, "dataframe_sequence", "regression", "fast", trials_override=1)
+    names = [r.name for r in results]
+    assert names == ["baseline_kmer_ridge", "tuned_kmer_ridge", "tuned_kmer_elasticnet"]
+    assert all(-1.0 <= r.value <= 1.0 for r in results)
+    assert results[0].value > 0.5  # planted signal
+    table = CV.experiments_frame(spark, results, "spearman")
+    assert table.count() == 3
