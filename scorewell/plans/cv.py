@@ -12,6 +12,7 @@ import json
 import math
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
@@ -34,6 +35,9 @@ from scorewell.plans.estimators import REGISTRY, Fitted, Param, Roles, Spec, get
 # --------------------------------------------------------------------------
 
 
+MAX_CONCURRENT_FITS = 3  # one per CV split
+
+
 @dataclass
 class Splits:
     """Split definition: validate where ``col`` == value, train on the rest."""
@@ -72,15 +76,22 @@ def score_splits(preds: DataFrame, task: str) -> DataFrame:
 def split_predictions(
     spec: Spec, splits: Splits, roles: Roles, config: dict | None
 ) -> DataFrame:
-    """Fit on each split's train rows, predict its validation rows; union tagged by split."""
-    parts = []
-    for i, v in enumerate(splits.values):
+    """Fit on each split's train rows, predict its validation rows; union tagged by split.
+
+    The split fits are independent Spark jobs, submitted concurrently from a
+    small thread pool (the scheduler interleaves their tasks on the executors).
+    """
+
+    def one(i: int, v) -> DataFrame:
         train = splits.frame.where(F.col(splits.col) != F.lit(v))
         val = splits.frame.where(F.col(splits.col) == F.lit(v))
         fitted = spec.fit(train, config, roles)
         p = spec.predict(fitted, val).withColumnRenamed("prediction", "p")
         y = val.select(roles.id_col, F.col(roles.label_col).alias("y"))
-        parts.append(p.join(y, roles.id_col).withColumn("split", F.lit(i)))
+        return p.join(y, roles.id_col).withColumn("split", F.lit(i))
+
+    with ThreadPoolExecutor(max_workers=max(1, min(len(splits.values), MAX_CONCURRENT_FITS))) as pool:
+        parts = list(pool.map(lambda iv: one(*iv), enumerate(splits.values)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
