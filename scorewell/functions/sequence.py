@@ -44,9 +44,13 @@ def kmers_of_size(chars: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(chars, i, n), ""))
 
 
-def char_array(seq) -> Column:
-    """Normalized text as an array of characters (empty text -> empty array)."""
-    t = normalize_text(seq)
+def char_array(seq, normalized: bool = False) -> Column:
+    """Normalized text as an array of characters (empty text -> empty array).
+
+    Pass ``normalized=True`` with a column that already holds ``normalize_text``
+    output (computed in an earlier projection) so the regex runs once per row.
+    """
+    t = _col(seq) if normalized else normalize_text(seq)
     # split('') of an empty string yields [""]; treat it as no characters
     return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.split(t, ""))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorewell.functions.sequence import char_array, kmer_array
+from scorewell.functions.sequence import char_array, kmer_array, normalize_text
 from scorewell.operators.rank import ordered_positions, string_order_key
 
 # Fixed value: total count each cell is scaled to before log1p.
@@ -34,7 +34,8 @@ def kmer_counts(df: DataFrame, id_col: str, seq_col: str, lo: int, hi: int) -> D
     ``groupBy(id, kmer)`` aggregates partially before the shuffle, so the
     shuffle carries at most one row per distinct (row, k-mer) per task.
     """
-    x = spread(df.select(id_col, seq_col), id_col).select(id_col, char_array(seq_col).alias("_chars"))
+    x = spread(df.select(id_col, seq_col), id_col).select(id_col, normalize_text(seq_col).alias("_t"))
+    x = x.select(id_col, char_array("_t", normalized=True).alias("_chars"))
     ex = x.select(id_col, F.explode(kmer_array("_chars", lo, hi)).alias("kmer"))
     return ex.groupBy(id_col, "kmer").agg(F.count(F.lit(1)).alias("n"))
 
