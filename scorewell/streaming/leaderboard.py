@@ -45,14 +45,16 @@ def best_per_user_stream(records: DataFrame) -> DataFrame:
     )
 
 
-def run_leaderboard_stream(spark: SparkSession, source: str, out_path: str, checkpoint: str | None = None) -> DataFrame:
+def run_leaderboard_stream(
+    spark: SparkSession, source: str, out_path: str, checkpoint: str | None = None, files_per_trigger: int = 16
+) -> DataFrame:
     """Process every file available now; each micro-batch rewrites the board table.
 
     Complete mode re-emits the whole (user-sized) state per batch; foreachBatch
     writes it atomically enough for a batch reader (overwrite of a folder).
     """
     checkpoint = checkpoint or out_path + "_checkpoint"
-    board = best_per_user_stream(submission_stream(spark, source, max_files_per_trigger=1))
+    board = best_per_user_stream(submission_stream(spark, source, max_files_per_trigger=files_per_trigger))
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(out_path)

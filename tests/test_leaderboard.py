@@ -89,7 +89,7 @@ def test_streaming_equals_batch(spark):
     src = os.path.join(base, "src")
     S.append_submissions(_subs(spark, ROWS[:2]), src)
     S.append_submissions(_subs(spark, ROWS[2:]), src)
-    board = run_leaderboard_stream(spark, src, os.path.join(base, "board"))
+    board = run_leaderboard_stream(spark, src, os.path.join(base, "board"), files_per_trigger=1)
     got = {r["user"]: (r["score"], r["name"]) for r in board.collect()}
     batch = {r["user"]: (r["score"], r["name"]) for r in L.best_per_user(S.load_submissions(spark, src)).collect()}
     assert got == batch == {"x": (0.7, "b"), "y": (0.6, "c")}
