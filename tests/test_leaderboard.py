@@ -93,3 +93,36 @@ def test_streaming_equals_batch(spark):
     got = {r["user"]: (r["score"], r["name"]) for r in board.collect()}
     batch = {r["user"]: (r["score"], r["name"]) for r in L.best_per_user(S.load_submissions(spark, src)).collect()}
     assert got == batch == {"x": (0.7, "b"), "y": (0.6, "c")}
+
+
+def test_history_and_board_with_hot_user(spark):
+    import numpy as np
+    import pandas as pd
+
+    from scorewell.operators import rank as R
+
+    rng = np.random.default_rng(7)
+    n = 900
+    users = np.where(np.arange(n) < n // 3, "hot", rng.choice(["a", "b", "c", "d", "e"], size=n))
+    scores = np.round(rng.integers(0, 20, size=n) / 20.0, 2)  # many exact ties
+    ts = [f"2024-01-01T00:{i // 60:02d}:{i % 60:02d}.000000" for i in range(n)]
+    rows = [(u, float(s), t, f"n{i:04d}") for i, (u, s, t) in enumerate(zip(users, scores, ts))]
+    subs = _subs(spark, rows)
+    old = R._bucket_count
+    R._bucket_count = lambda df, nb: 5  # few buckets: the hot user spans many cells
+    try:
+        hist = L.user_history(subs).toPandas()
+        board = L.leaderboard(subs).toPandas()
+    finally:
+        R._bucket_count = old
+    pdf = pd.DataFrame(rows, columns=["user", "score", "timestamp", "name"]).sort_values(["user", "timestamp", "name"])
+    pdf["idx"] = pdf.groupby("user").cumcount() + 1
+    pdf["chg"] = pdf.groupby("user")["score"].diff()
+    m = hist.merge(pdf, on=["user", "idx"], suffixes=("", "_e"))
+    assert len(m) == n and (m["score"] == m["score_e"]).all()
+    exp_chg = m["chg"].where(m["chg"] != 0)
+    assert ((m["change"].isna() & exp_chg.isna()) | (np.isclose(m["change"], exp_chg))).all()
+    best = pdf.sort_values(["score", "timestamp"], ascending=[False, True]).groupby("user").head(1)
+    first = pdf.groupby("user")["timestamp"].min()
+    best = best.assign(first=best["user"].map(first)).sort_values(["score", "first", "user"], ascending=[False, True, True])
+    assert list(board.sort_values("rank")["user"]) == list(best["user"])
