@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorewell.operators.rank import avg_rank
+from scorewell.operators.rank import _bucket_count, avg_rank, value_cut_points_many
 from scorewell.session import materialize
 
 REGRESSION_PRIMARY = "spearman"
@@ -49,8 +49,9 @@ def regression_metrics(
     if materialize_input:
         # base feeds two rank tables, their cut points and the final join
         base = materialize(base, "aligned-predictions")
-    r_y = avg_rank(base, "_y", groups, "_ry", n_buckets).drop("cnt")
-    r_p = avg_rank(base, "_p", groups, "_rp", n_buckets).drop("cnt")
+    cuts = value_cut_points_many(base, ["_y", "_p"], _bucket_count(base, n_buckets))
+    r_y = avg_rank(base, "_y", groups, "_ry", cuts=cuts["_y"]).drop("cnt")
+    r_p = avg_rank(base, "_p", groups, "_rp", cuts=cuts["_p"]).drop("cnt")
     ranked = base.join(r_y, [*groups, "_y"]).join(r_p, [*groups, "_p"])
     err = F.col("_p") - F.col("_y")
     stats = ranked.groupBy(*groups).agg(

@@ -45,6 +45,19 @@ def value_cut_points(df: DataFrame, value_col: str, n_buckets: int, accuracy: in
     return sorted({float(c) for c in cuts if c is not None})
 
 
+def value_cut_points_many(df: DataFrame, cols: Sequence[str], n_buckets: int, accuracy: int = 10000) -> dict:
+    """Cut points of several numeric columns from ONE aggregate pass."""
+    if n_buckets <= 1:
+        return {c: [] for c in cols}
+    qs = [i / n_buckets for i in range(1, n_buckets)]
+    aggs = []
+    for c in cols:
+        v = F.col(c).cast("double")
+        aggs.append(F.percentile_approx(F.when(~F.isnan(v), v), qs, accuracy).alias(c))
+    row = df.agg(*aggs).first()
+    return {c: sorted({float(x) for x in (row[c] or []) if x is not None}) for c in cols}
+
+
 def bucket_of(value: str, cuts: Sequence[float]):
     """Index of the value's bucket: number of cut points strictly below it."""
     if not cuts:
@@ -61,6 +74,7 @@ def avg_rank(
     rank_col: str = "rank",
     n_buckets: int | None = None,
     cuts_from: DataFrame | None = None,
+    cuts: list[float] | None = None,
 ) -> DataFrame:
     """Distinct (group..., value) with the 1-based average-tie rank within group.
 
@@ -69,8 +83,9 @@ def avg_rank(
     Output columns: ``*group_cols, value_col, cnt, rank_col``.
     """
     groups = list(group_cols)
-    b = _bucket_count(df, n_buckets)
-    cuts = value_cut_points(cuts_from if cuts_from is not None else df, value_col, b)
+    if cuts is None:
+        b = _bucket_count(df, n_buckets)
+        cuts = value_cut_points(cuts_from if cuts_from is not None else df, value_col, b)
 
     pairs = (
         df.groupBy(*groups, value_col)

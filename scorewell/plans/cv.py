@@ -36,6 +36,7 @@ from scorewell.plans.estimators import REGISTRY, Fitted, Param, Roles, Spec, get
 
 
 MAX_CONCURRENT_FITS = 3  # one per CV split
+MAX_CONCURRENT_TRIALS = 2  # tuning trials in flight at once
 
 
 @dataclass
@@ -141,10 +142,15 @@ def sample_trials(spec: Spec, n: int, seed: int = 42) -> list[dict]:
 
 
 def tune(spec: Spec, splits: Splits, roles: Roles, task: str, n_trials: int, seed: int = 42) -> tuple[dict, float, list]:
-    """CV every sampled config; keep the best (first wins ties)."""
-    results = []
-    for t, cfg in enumerate(sample_trials(spec, n_trials, seed)):
-        results.append((t, cfg, cross_validate(spec, splits, roles, task, cfg)))
+    """CV every sampled config; keep the best (first wins ties).
+
+    Trials are independent, so a few run concurrently (each one already fits
+    its splits concurrently); results keep trial order for the tie rule.
+    """
+    configs = sample_trials(spec, n_trials, seed)
+    with ThreadPoolExecutor(max_workers=max(1, min(len(configs), MAX_CONCURRENT_TRIALS))) as pool:
+        scores = list(pool.map(lambda cfg: cross_validate(spec, splits, roles, task, cfg), configs))
+    results = [(t, cfg, sc) for t, (cfg, sc) in enumerate(zip(configs, scores))]
     best_t, best_cfg, best_score = results[0]
     for t, cfg, sc in results[1:]:
         if sc > best_score:
