@@ -24,8 +24,12 @@ KEYS = ["dataset", "fold"]
 UNNAMED = "Unnamed"
 
 
-def _ts_micros(c: str = "timestamp") -> Column:
-    return F.unix_micros(F.col(c).cast("timestamp"))
+def _ts_key(c: str = "timestamp") -> Column:
+    """Numeric ordering key of an ISO timestamp string, independent of the session
+    time zone: its digits to the second (yyyyMMddHHmmss, exact in a double).
+    Non-decreasing in the string's order, so it can drive the bucketed row
+    number with the full string as the tie-breaker."""
+    return F.regexp_replace(F.substring(F.col(c), 1, 19), "[^0-9]", "").cast("double")
 
 
 def primary_metric_of(subs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -77,7 +81,7 @@ def leaderboard(subs: DataFrame) -> DataFrame:
     The rank is a distributed row_number (bucketed by score), so a board with
     very many users does not sit in one task.
     """
-    best = best_per_user(subs).withColumn("_neg", -F.col("score")).withColumn("_first_us", _ts_micros("first_timestamp"))
+    best = best_per_user(subs).withColumn("_neg", -F.col("score")).withColumn("_first_us", _ts_key("first_timestamp"))
     ranked = ordered_positions(best, "_neg", ["_first_us", "first_timestamp", "user"], KEYS, "rank")
     return ranked.select(
         *KEYS,
@@ -99,7 +103,7 @@ def user_history(subs: DataFrame) -> DataFrame:
     rows is spread over many tasks.
     """
     keys = [*KEYS, "user"]
-    s = scored(subs, keys).withColumn("_ts", _ts_micros())
+    s = scored(subs, keys).withColumn("_ts", _ts_key())
     pos = ordered_positions(s, "_ts", ["timestamp", "name"], keys, "idx", lag_cols=["score"])
     change = F.col("score") - F.col("prev_score")
     return pos.select(

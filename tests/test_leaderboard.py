@@ -126,3 +126,29 @@ def test_history_and_board_with_hot_user(spark):
     first = pdf.groupby("user")["timestamp"].min()
     best = best.assign(first=best["user"].map(first)).sort_values(["score", "first", "user"], ascending=[False, True, True])
     assert list(board.sort_values("rank")["user"]) == list(best["user"])
+
+
+def test_ordering_independent_of_session_time_zone(spark):
+    rows = [
+        ("u", 0.5, "2024-11-03T01:30:00.000000", "a"),  # inside a US fall-back hour
+        ("u", 0.7, "2024-11-03T01:10:00.000000", "b"),
+        ("u", 0.6, "2024-11-03T00:59:00.000000", "c"),
+        ("v", 0.7, "2024-11-03T01:20:00.000000", "d"),
+    ]
+    def run():
+        h = [(r["user"], r["idx"], r["name"]) for r in L.user_history(_subs(spark, rows)).orderBy("user", "idx").collect()]
+        b = [(r["rank"], r["user"]) for r in L.leaderboard(_subs(spark, rows)).orderBy("rank").collect()]
+        return h, b
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        utc = run()
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        la = run()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert utc == la
+    assert utc[0] == [("u", 1, "c"), ("u", 2, "b"), ("u", 3, "a"), ("v", 1, "d")]
+    # u and v tie at .7; u submitted first (00:59), so u ranks first
+    assert utc[1] == [(1, "u"), (2, "v")]
