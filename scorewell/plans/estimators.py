@@ -24,7 +24,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.ml import Estimator, PipelineModel, Transformer
+from pyspark.ml import Estimator, PipelineModel, Transformer  # noqa: F401
 from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorewell.operators.features import class_weights
-from scorewell.operators.pca import project, randomized_pca
+from scorewell.operators.pca import randomized_pca
 
 FEATURES = "_features"  # internal model input column (inputs may carry "features")
 PREDICTION = "prediction"
@@ -131,32 +131,46 @@ def population_scale(df: DataFrame, in_col: str, out_col: str, center: bool) ->
 WIDE_PCA_MIN_DIM = 4096  # above this, the driver-side covariance of ml.PCA is too large
 
 
-class WidePCAModel(Transformer):
-    """Projection onto randomized-PCA directions (Arrow-batched matrix product).
+def jvm_pca_model(spark, in_col: str, out_col: str, components, explained_variance) -> PCAModel:
+    """A JVM ``PCAModel`` carrying externally computed components (d x k).
 
-    A Python stage: a pipeline holding it transforms normally but is not
-    saved by ``PipelineModel.write`` (narrow inputs use the JVM PCA model).
+    Spark's model class has no public constructor, so a PCA with the same k and
+    column params is fitted on a tiny k-dimensional frame, saved under the
+    shared checkpoint folder, its data (pc matrix, explained variance) replaced
+    by ours, and loaded back.  Projection then runs in the JVM and the pipeline
+    saves/loads like any other.
     """
+    import uuid
 
-    def __init__(self, in_col: str, out_col: str, components, explained_variance):
-        super().__init__()
-        self.in_col, self.out_col = in_col, out_col
-        self.components, self.explained_variance = components, explained_variance
+    import numpy as np
+    from pyspark.ml.feature import PCAModel
+    from pyspark.ml.linalg import DenseMatrix
 
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        return project(dataset, self.in_col, self.out_col, self.components)
+    from scorewell.session import scratch_path
+
+    d, k = components.shape
+    rng = np.random.default_rng(0)
+    tiny = spark.createDataFrame([(Vectors.dense(rng.normal(size=k)),) for _ in range(k + 2)], [in_col])
+    path = scratch_path(spark, f"pca-model-{uuid.uuid4().hex}")
+    PCA(k=k, inputCol=in_col, outputCol=out_col).fit(tiny).write().overwrite().save(path)
+    schema = spark.read.parquet(f"{path}/data").schema
+    pc = DenseMatrix(d, k, np.asarray(components, dtype=float).flatten(order="F").tolist())
+    data = spark.createDataFrame([(pc, Vectors.dense(np.asarray(explained_variance, dtype=float)))], schema)
+    data.coalesce(1).write.mode("overwrite").parquet(f"{path}/data")
+    return PCAModel.load(path)
 
 
 def pca_stage(df: DataFrame, in_col: str, out_col: str, k: int):
     """C11: PCA to k components (k capped by min(n, d) as the reference requires k <= both).
 
     Up to 4,096 columns: Spark's PCA (d x d covariance on the driver).  Wider:
-    the distributed randomized PCA of ``scorewell.operators.pca``.
+    the distributed randomized PCA of ``scorewell.operators.pca``, packaged as a
+    JVM PCAModel.
     """
     d = vector_size(df, in_col)
     if d > WIDE_PCA_MIN_DIM:
         comps, var, _ = randomized_pca(df, in_col, k)
-        return WidePCAModel(in_col, out_col, comps, var)
+        return jvm_pca_model(df.sparkSession, in_col, out_col, comps, var)
     return PCA(k=max(1, min(k, d)), inputCol=in_col, outputCol=out_col).fit(df)
 
 

@@ -21,3 +21,19 @@ def test_randomized_pca_matches_svd(spark):
     assert np.allclose(np.abs(comps.T @ vt[:k].T), np.eye(k), atol=1e-6)  # same directions up to sign
     out = project(df, "x", "p", comps).select("p").collect()
     assert len(out) == n and len(out[0][0]) == k
+
+
+def test_randomized_components_as_jvm_model(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    from scorewell.plans.estimators import jvm_pca_model
+
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(50, 12))
+    df = spark.createDataFrame([(Vectors.dense(r),) for r in X], ["x"])
+    comps, var, _ = randomized_pca(df, "x", 4)
+    model = PipelineModel([jvm_pca_model(spark, "x", "p", comps, var)])
+    model.write().overwrite().save(str(tmp_path / "m"))
+    again = PipelineModel.load(str(tmp_path / "m"))
+    got = np.array([r["p"].toArray() for r in again.transform(df).collect()])
+    assert np.allclose(got, X @ comps, atol=1e-12)
