@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from scorewell.sources.tables import read_table
 
-ISO_FMT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
-
 
 def seq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequence-regression table: short text, float label, fold 0-9."""
@@ -125,11 +123,22 @@ def cls_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def iso_timestamp(c: str):
+    """ISO-8601 text (microseconds) of a TIMESTAMP_NTZ column, built from its fields so
+    the session time zone never enters (no DST gap or overlap shifts)."""
+    ts = F.col(c)
+    micros = (F.date_part(F.lit("SECOND"), ts) * 1000000).cast("long") % 1000000
+    return F.format_string(
+        "%04d-%02d-%02dT%02d:%02d:%02d.%06d",
+        F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.minute(ts), F.second(ts), micros,
+    )
+
+
 def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Submission records: one per event; metrics = spearman (primary) and mse."""
     ev = read_table(spark, sf_dir, "events")
     return ev.select(
-        F.date_format(F.col("ts").cast("timestamp"), ISO_FMT).alias("timestamp"),
+        iso_timestamp("ts").alias("timestamp"),
         F.col("user_id").cast("string").alias("user"),
         F.col("event_type").alias("dataset"),
         (F.col("user_id") % 3).cast("string").alias("fold"),
