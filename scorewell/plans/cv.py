@@ -320,3 +320,24 @@ def register_dataset(name: str, loader: Callable, evaluate: Callable, primary: s
 
 
 __all__ = ["Fitted", "Roles", "get_spec"]
+
+
+def save_expression_model(fitted: Fitted, genes: DataFrame, path: str) -> None:
+    """A9 for matrix data: the pipeline plus the training gene index (column order)."""
+    save_model(fitted, f"{path.rstrip('/')}/pipeline")
+    genes.write.mode("overwrite").parquet(f"{path.rstrip('/')}/genes")
+
+
+def load_expression_model(spark: SparkSession, path: str, id_col: str = "cell_id") -> tuple[Fitted, DataFrame]:
+    base = path.rstrip("/")
+    return load_model(f"{base}/pipeline", id_col), spark.read.parquet(f"{base}/genes")
+
+
+def batch_predict_expression(spark: SparkSession, fitted: Fitted, genes: DataFrame, coo: DataFrame, obs: DataFrame) -> DataFrame:
+    """A8 for matrix input: total-count normalize (fixed 1e4) + log1p the new cells'
+    COO rows, lay them out in the *training* gene order (unknown genes dropped,
+    absent genes 0), then apply the saved pipeline."""
+    from scorewell.sources.expression import read_expression
+
+    cells, _ = read_expression(spark, coo, obs, normalize=True, genes=genes)
+    return batch_predict(fitted, cells)

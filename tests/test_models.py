@@ -162,3 +162,29 @@ def test_run_plan_fast_budget(spark):
     assert results[0].value > 0.5  # planted signal
     table = CV.experiments_frame(spark, results, "spearman")
     assert table.count() == 3
+
+
+def test_expression_model_roundtrip_and_batch_predict(spark, tmp_path):
+    from scorewell.sources.expression import read_expression
+
+    rng = np.random.default_rng(9)
+    rows, obs = [], []
+    for cell in range(40):
+        lab = cell % 2
+        obs.append((cell, lab))
+        for g in range(6):
+            base = 20.0 if (g < 3) == (lab == 0) else 2.0
+            rows.append((cell, f"g{g}", float(base + rng.integers(0, 3))))
+    coo = spark.createDataFrame(rows, "cell_id long, gene string, value double")
+    obs_df = spark.createDataFrame(obs, "cell_id long, label int")
+    cells, genes = read_expression(spark, coo, obs_df)
+    spec = E.get_spec("expr_logreg")
+    fitted = spec.fit(cells, {"n_components": 3}, E.Roles("cell_id", "label", vector_col="features"))
+    CV.save_expression_model(fitted, genes, str(tmp_path / "expr"))
+    again, genes2 = CV.load_expression_model(spark, str(tmp_path / "expr"))
+    # new cells arrive with an extra unknown gene and without their labels
+    new = coo.where("cell_id < 10").unionByName(spark.createDataFrame([(0, "zz", 5.0)], "cell_id long, gene string, value double"))
+    out = CV.batch_predict_expression(spark, again, genes2, new, obs_df.where("cell_id < 10").select("cell_id"))
+    got = {r["cell_id"]: r["predictions"] for r in out.collect()}
+    assert len(got) == 10
+    assert sum(got[c] == str(c % 2) for c in got) >= 9
