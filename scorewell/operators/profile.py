@@ -245,3 +245,27 @@ __all__ = [
     "seq_len_stats",
     "task_type_stats",
 ]
+
+
+def profile_record(train: DataFrame, test: DataFrame, data_type: str | None = None, id_cols: tuple[str, ...] = ()) -> dict:
+    """B9 as the reference's profile record (JSON-ready dict).
+
+    Built from the one-row aggregate of ``profile_dataset`` and, for
+    classification, the class counts (at most 30 rows by the B5 rule).
+    """
+    row = profile_dataset(train, test, data_type, id_cols).first().asDict()
+    task, label = row["task_type"], row["label_column"]
+    rec = {k: row[k] for k in ("data_type", "task_type", "train_samples", "test_samples", "n_features", "n_classes",
+                               "label_column", "sequence_column")}
+    rec["feature_columns"] = list(row["feature_columns"] or [])
+    rec["class_distribution"] = None
+    rec["label_stats"] = None
+    if task == "classification":
+        counts = class_distribution(train, label).collect()
+        rec["class_distribution"] = {r["label"]: int(r["count"]) for r in counts}
+    else:
+        rec["label_stats"] = {k: row[f"label_{k}"] for k in ("mean", "std", "min", "max")}
+    rec["extra"] = {}
+    if row["sequence_column"]:
+        rec["extra"] = {"seq_len_min": row["seq_len_min"], "seq_len_max": row["seq_len_max"], "seq_len_mean": row["seq_len_mean"]}
+    return rec

@@ -117,3 +117,21 @@ def test_role_detection(spark):
     two = spark.createDataFrame([(i, i % 4, f"n{i}") for i in range(100)], "id long, kind int, name string")
     with pytest.raises(ValueError):
         P.detect_obs_label_col(two)
+
+
+def test_profile_record(spark):
+    import json
+
+    seq = spark.createDataFrame(
+        [(i, "ACGT" * (i % 3 + 1), float(i) + 0.5, i % 10) for i in range(60)], "row_id long, sequence string, labels double, fold_id int"
+    )
+    tr, te = seq.where("fold_id <> 0"), seq.where("fold_id = 0")
+    rec = P.profile_record(tr, te, id_cols=("row_id",))
+    assert rec["task_type"] == "regression" and rec["train_samples"] == 54 and rec["test_samples"] == 6
+    assert rec["sequence_column"] == "sequence" and rec["class_distribution"] is None
+    assert rec["label_stats"]["min"] == 1.5 and rec["extra"]["seq_len_max"] == 12
+    tab = spark.createDataFrame([(i, float(i % 7), "ab"[i % 2], i % 10) for i in range(40)], "row_id long, x double, label string, fold_id int")
+    rec2 = P.profile_record(tab, tab.limit(0), id_cols=("row_id",))
+    assert rec2["task_type"] == "classification" and rec2["class_distribution"] == {"a": 20, "b": 20}
+    assert rec2["feature_columns"] == ["x"] and rec2["n_features"] == 1
+    json.dumps(rec2)
