@@ -1,10 +1,11 @@
 """E1-E12 (+C6-C8, C11 stages, C13/C14 wiring, K2 registry).
 
-Each pipeline spec turns a training DataFrame and a config into a fitted,
-persistable ``PipelineModel`` built only from JVM stages (SQLTransformer,
-CountVectorizer, VectorAssembler, scalers, PCA, Spark ML models,
-IndexToString), so fitting and prediction run in executors and the model
-saves/loads with ``PipelineModel.write``.
+Each pipeline spec turns a training DataFrame and a config into a fitted
+``PipelineModel`` of JVM stages (SQLTransformer, CountVectorizer,
+VectorAssembler, scalers, PCA, Spark ML models, IndexToString), so fitting and
+prediction run in executors and the model saves/loads with
+``PipelineModel.write``.  The one exception is E5's calibrated fold ensemble,
+a Python stage made of Column arithmetic (transforms, but is not saved).
 
 Objective mapping to the reference's models (see SURVEY §2 E):
 * ridge / elastic net: Spark's penalty depends on the label's std, so the label
