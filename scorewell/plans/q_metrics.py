@@ -252,7 +252,9 @@ select cast(count(tid) as bigint) as n_targets, cast(coalesce(sum(np), 0) as big
        cast(count(case when np is null then 1 end) as bigint) as missing,
        cast(count(case when tid is null then 1 end) as bigint) as extra,
        cast(count(case when np > 1 then 1 end) as bigint) as duplicate,
-       cast(coalesce(sum(np - nn), 0) as bigint) as null_predictions
+       cast(coalesce(sum(np - nn), 0) as bigint) as null_predictions,
+       count(case when np is null then 1 end) = 0 and count(case when tid is null then 1 end) = 0
+         and count(case when np > 1 then 1 end) = 0 and coalesce(sum(np - nn), 0) = 0 as valid
 from j
 """,
 )
@@ -263,4 +265,4 @@ def validate_predictions(spark, sf_dir):
         read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_extendedprice"])
         .select(F.col("l_orderkey").alias("id"), F.col("l_extendedprice").alias("p"))
     )
-    return M.validate_predictions(t, p).drop("valid")
+    return M.validate_predictions(t, p)
