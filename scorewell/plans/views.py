@@ -25,16 +25,6 @@ def seq(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def seq_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long free-text sequences (whole documents) for k-mer volume."""
-    return read_table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("row_id"),
-        F.col("text").alias("sequence"),
-        F.col("n_chars").cast("double").alias("labels"),
-        (F.col("doc_id") % 10).cast("int").alias("fold_id"),
-    )
-
-
 def expr_coo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cell x gene counts in long (COO) form: supplier x brand quantity."""
     li = read_table(spark, sf_dir, "lineitem", ["l_suppkey", "l_partkey", "l_quantity"])
