@@ -76,3 +76,16 @@ def materialize(df, name: str):
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors (once per session), for functions that run in Python there."""
+    import shutil
+
+    sc = spark.sparkContext
+    if getattr(sc, "_scorewell_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="scorewell-package-"), "scorewell_package")
+    sc.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(home), os.path.basename(home)))
+    sc._scorewell_shipped = True
