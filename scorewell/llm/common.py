@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewell.session import materialize
+from scorewell.session import materialize, ship_package
 
 #: The white space of the word rules: space and U+0009 to U+000D (fixed value).
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -36,3 +36,9 @@ def private(df: DataFrame, *names: str) -> list[str]:
         taken.add(n.lower())
         out.append(n)
     return out
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` with this package at hand in the tasks."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from scorewell.llm import exact_dedup, pii, quality, sharding
+from scorewell.llm import exact_dedup, minhash, packing, pieces, pii, quality, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_packing": packing.op2_packing,
+    "op5_minhash": minhash.op5_minhash,
+    "op6_sentencepiece": pieces.op6_sentencepiece,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op9_pii": pii.op9_pii,
     "op10_quality_rules": quality.op10_quality_rules,
