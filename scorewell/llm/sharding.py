@@ -23,6 +23,7 @@ the added column takes leading underscores).
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -58,20 +59,20 @@ class Shards:
     bucket: str
     place: str
 
-    def with_slots(self, slot: str = "slot") -> DataFrame:
-        """Rows with their gapless slot in the shard: rows of earlier buckets plus the place.
+    def with_slots(self, *columns: Column | str, slot: str = "slot") -> DataFrame:
+        """``columns`` of the rows (all by default) with shard and gapless slot: the rows
+        of earlier buckets plus the place.
 
         The counts have one row per bucket; they are joined by key and Spark
-        picks the join from their size.
+        picks the join from their size.  Only ``columns`` go through the join.
         """
         counts = self.records.groupBy(self.shard, self.bucket).agg(F.count(F.lit(1)).alias("_rows"))
         before = Window.partitionBy(self.shard).orderBy(self.bucket).rowsBetween(Window.unboundedPreceding, -1)
         starts = counts.select(
             F.col(self.bucket), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start")
         )
-        return self.records.join(starts, self.bucket).withColumn(
-            slot, F.col("_start") + F.col(self.place)
-        ).drop("_start")
+        rows = self.records.select(*(columns or ["*"]), *[x for x in (self.shard, self.bucket, self.place) if columns])
+        return rows.join(starts, self.bucket).withColumn(slot, F.col("_start") + F.col(self.place)).drop("_start")
 
 
 def write_shards(
@@ -107,14 +108,16 @@ def write_shards(
 
 def op1_sharding(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    import uuid
-
     done = write_shards(docs, scratch_path(spark, f"shards-{uuid.uuid4().hex}"))
-    slots = done.with_slots()
-    return slots.select(
+    slots = done.with_slots(
         "doc_id",
         size_of("text").alias("size"),
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
+    )
+    return slots.select(
+        "doc_id",
+        "size",
+        "text_crc32",
         F.lit("key").alias("law"),
         F.col(done.shard).cast("int").alias("shard"),
         F.col("slot").cast("long").alias("slot"),
