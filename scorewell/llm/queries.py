@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from scorewell.llm import exact_dedup, minhash, packing, pieces, pii, quality, sharding
+from scorewell.llm import exact_dedup, minhash, packing, pieces, pii, quality, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_packing": packing.op2_packing,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_minhash": minhash.op5_minhash,
     "op6_sentencepiece": pieces.op6_sentencepiece,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
