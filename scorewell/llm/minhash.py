@@ -7,7 +7,7 @@ hash space is cut into ROWS buckets and each bucket stores its smallest hash in
 
 Candidates.  Documents with the same set are one class; only one representative
 of each is compared.  Two sets of similarity s meet in a band with a chance of
-s^ROWS, so they miss every band with (1 - s^ROWS)^BANDS: 1.2e-8 at 0.8.  Buckets
+s^ROWS, so they miss every band with (1 - s^ROWS)^BANDS: 1.8e-8 at 0.8.  Buckets
 are never expanded into all pairs:
 
 1. every member of a bucket is compared with the bucket's smallest member;
@@ -33,7 +33,6 @@ read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +44,7 @@ from scorewell.llm.common import map_arrow, private, stored, table
 from scorewell.llm.components import components
 from scorewell.llm.hashing import mix, segment_hashes
 
-BANDS, ROWS = 60, 6
+BANDS, ROWS = 45, 5
 SHINGLE, PERCENT = 5, 80
 CHUNK = 1 << 20
 EMPTY = np.uint16(0xFFFF)
@@ -157,15 +156,18 @@ def sketches(df: DataFrame, row: str, id_col: str, text_col: str, k: int) -> Dat
 
 
 def set_table(df: DataFrame, row: str, text_col: str, k: int) -> DataFrame:
-    """The full sets (row, set as bytes of sorted hashes)."""
+    """The full sets (row, set as an array of distinct hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _chunks(batches):
+            sets = shingle_sets(texts, k)
+            offsets = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([s.tobytes() for s in shingle_sets(texts, k)], pa.binary())], ["row", "set"]
+                [part.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["row", "set"]
             )
 
-    return map_arrow(df.select(row, text_col), run, "row bigint, set binary")
+    return map_arrow(df.select(row, text_col), run, "row bigint, set array<bigint>")
 
 
 def plausible(pairs: DataFrame, percent: int) -> DataFrame:
@@ -188,27 +190,17 @@ def plausible(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of pairs whose full sets are similar enough; in: a, b, sa, sb."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([x, y]))
-                common = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * common >= percent * (len(x) + len(y) - common))
-            ok = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
-
-    return map_arrow(pairs.select("a", "b", "sa", "sb"), run, "a bigint, b bigint")
+    """(a, b) of pairs whose full sets are similar enough; in: a, b, sa, sb (a row at a time, in the JVM)."""
+    common = F.size(F.array_intersect("sa", "sb"))
+    return pairs.select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).alias("both")).where(
+        F.col("common") * 100 >= (F.col("both") - F.col("common")) * percent
+    ).select("a", "b")
 
 
-def _linked(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
+def _linked(pairs: DataFrame, inside: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
     """The confirmed links among candidate pairs (a, b)."""
-    r = reps.select("row", "regs")
-    sized = pairs.join(r.toDF("a", "ra"), "a").join(r.toDF("b", "rb"), "b")
-    likely = plausible(sized, percent)
+    r = inside.select("row", "regs")
+    likely = plausible(pairs.join(r.toDF("a", "ra"), "a").join(r.toDF("b", "rb"), "b"), percent)
     full = likely.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     return stored(confirmed(full, percent), name)
 
@@ -235,14 +227,15 @@ def classes(
     bands = reps.select("row", "n", F.explode(keys).alias("key"))
     shared = bands.groupBy("key").agg(F.min("row").alias("hub"), F.max("row").alias("last")).where("hub < last")
     members = stored(bands.join(shared.select("key", "hub"), "key"), "band-members")
-    # sets of the documents that share a bucket with another one
-    inside = members.select(F.col("row").alias(row)).distinct()
-    sets = stored(set_table(df.select(row, text_col).join(inside, row, "left_semi"), row, text_col, k), "shingle-sets")
+    # registers and sets of the documents that share a bucket with another one
+    inside = stored(reps.join(members.select("row").distinct(), "row", "left_semi").select("row", "regs"), "band-sketches")
+    texts = df.select(row, text_col).join(inside.select(F.col("row").alias(row)), row, "left_semi")
+    sets = stored(set_table(texts, row, text_col, k), "shingle-sets")
     near = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
     n_of = reps.select("row", "n")
     star = members.where("row <> hub").select(F.col("hub").alias("a"), F.col("row").alias("b"), F.col("n").alias("nb"))
     star = star.distinct().join(n_of.toDF("a", "na"), "a").where(near(F.col("na"), F.col("nb"))).select("a", "b")
-    links = _linked(star, reps, sets, percent, "links-1")
+    links = _linked(star, inside, sets, percent, "links-1")
     # buckets that hold more than one component
     parts = components(links, "a", "b")
     labelled = members.join(parts.toDF("row", "part"), "row", "left").withColumn("part", F.coalesce("part", "row"))
@@ -256,7 +249,7 @@ def classes(
                & near(F.col("na"), F.col("nb")))
         .select("a", "b").distinct()
     )
-    more = _linked(rest, reps, sets, percent, "links-2")
+    more = _linked(rest, inside, sets, percent, "links-2")
     parts = components(links.union(more), "a", "b")
     # back to all rows
     label = reps.join(parts.toDF("row", "part"), "row", "left").select(
