@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorewell.functions.sequence import char_array, kmer_array, normalize_text
-from scorewell.operators.rank import ordered_positions, string_order_key
+from scorewell.operators.rank import ordered_positions
 
 # Fixed value: total count each cell is scaled to before log1p.
 TARGET_SUM = 1e4
@@ -42,8 +42,7 @@ def kmer_counts(df: DataFrame, id_col: str, seq_col: str, lo: int, hi: int) -> D
 
 def kmer_vocabulary(counts: DataFrame) -> DataFrame:
     """C4: distinct k-mers, index = position in sorted order (0-based), distributed."""
-    vocab = counts.select("kmer").distinct().withColumn("_key", string_order_key("kmer"))
-    pos = ordered_positions(vocab, "_key", ["kmer"], (), "_pos")
+    pos = ordered_positions(counts.select("kmer").distinct(), ["kmer"], (), "_pos")
     return pos.select("kmer", (F.col("_pos") - 1).cast("int").alias("idx"))
 
 
@@ -99,6 +98,5 @@ def with_class_weights(df: DataFrame, label_col: str = "label", weight_col: str
 def index_labels(df: DataFrame, label_col: str = "label") -> DataFrame:
     """C14: label value -> class index in sorted label order (0-based)."""
     labels = df.select(F.col(label_col).cast("string").alias("_l")).distinct()
-    keyed = labels.withColumn("_key", string_order_key("_l"))
-    pos = ordered_positions(keyed, "_key", ["_l"], (), "_pos")
+    pos = ordered_positions(labels, ["_l"], (), "_pos")
     return pos.select(F.col("_l").alias(label_col), (F.col("_pos") - 1).cast("int").alias("label_index"))

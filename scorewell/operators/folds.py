@@ -1,7 +1,7 @@
 """Fold assignment for cross-validation.
 
 Pseudo-random order is ``md5(concat_ws('|', id, seed))`` (identical in any SQL
-engine).  Positions come from the bucketed row_number in ``rank.py``, so a
+engine).  Positions come from the distributed row number in ``rank.py``, so a
 class holding a third of all rows is numbered by many tasks, not one.
 The reference's shuffles cannot be reproduced bit-for-bit; the contract is:
 disjoint folds covering every row, sizes within one of each other (per class
@@ -18,29 +18,26 @@ from scorewell.operators.rank import ordered_positions
 MAX_SPLITS = 3  # Fixed value: the reference never uses more than three CV splits
 
 
-def shuffle_key(id_col: str, seed: int) -> tuple:
-    """(numeric proxy, full hash) ordering columns for the seeded shuffle."""
-    h = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))))
-    proxy = F.conv(F.substring(h, 1, 12), 16, 10).cast("double")
-    return proxy, h
+def shuffle_key(id_col: str, seed: int):
+    """The seeded shuffle's order: a hash of id and seed, as text."""
+    return F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))))
+
+
+def _dealt(df: DataFrame, id_col: str, groups: list, k: int, seed: int, fold_col: str) -> DataFrame:
+    pos = ordered_positions(df.withColumn("_h", shuffle_key(id_col, seed)), ["_h", id_col], groups, "_pos")
+    return pos.withColumn(fold_col, ((F.col("_pos") - 1) % k).cast("int")).drop("_h", "_pos")
 
 
 def kfold(df: DataFrame, id_col: str, k: int = MAX_SPLITS, seed: int = 42, fold_col: str = "cv_fold") -> DataFrame:
     """Shuffled k-fold; fold = position in hash order mod k."""
-    proxy, h = shuffle_key(id_col, seed)
-    keyed = df.withColumn("_hk", proxy).withColumn("_h", h)
-    pos = ordered_positions(keyed, "_hk", ["_h", id_col], (), "_pos")
-    return pos.withColumn(fold_col, ((F.col("_pos") - 1) % k).cast("int")).drop("_hk", "_h", "_pos")
+    return _dealt(df, id_col, [], k, seed, fold_col)
 
 
 def stratified_kfold(
     df: DataFrame, id_col: str, label_col: str, k: int, seed: int = 42, fold_col: str = "cv_fold"
 ) -> DataFrame:
     """D3: per class, position in hash order mod k (class sizes split within one)."""
-    proxy, h = shuffle_key(id_col, seed)
-    keyed = df.withColumn("_hk", proxy).withColumn("_h", h)
-    pos = ordered_positions(keyed, "_hk", ["_h", id_col], [label_col], "_pos")
-    return pos.withColumn(fold_col, ((F.col("_pos") - 1) % k).cast("int")).drop("_hk", "_h", "_pos")
+    return _dealt(df, id_col, [label_col], k, seed, fold_col)
 
 
 def adaptive_splits_frame(df: DataFrame, label_col: str) -> DataFrame:
@@ -80,8 +77,3 @@ def split_roles(df: DataFrame, fold_col: str, val_values: list) -> DataFrame:
         F.col("_s.split").cast("int").alias("split"),
         F.when(F.col(fold_col) == F.col("_s.v"), "val").otherwise("train").alias("role"),
     )
-
-
-def assigned_splits(df: DataFrame, id_col: str, fold_col: str, n_splits: int) -> DataFrame:
-    """D2/D3 folds as (split, role) rows: validate on fold s, train on the rest."""
-    return split_roles(df, fold_col, list(range(n_splits)))

@@ -18,20 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorewell.operators.rank import ordered_positions
+from scorewell.session import materialize
 
 KEYS = ["dataset", "fold"]
 # Fixed value: shown when a record has no name.
 UNNAMED = "Unnamed"
 
 
-def _ts_key(c: str = "timestamp") -> Column:
-    """Numeric ordering key of an ISO timestamp string, independent of the session
-    time zone: its digits to the second (yyyyMMddHHmmss, exact in a double).
-    Non-decreasing in the string's order, so it can drive the bucketed row
-    number with the full string as the tie-breaker."""
-    return F.regexp_replace(F.substring(F.col(c), 1, 19), "[^0-9]", "").cast("double")
-
-
 def primary_metric_of(subs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """H3: primary metric named by the earliest record of each key group."""
     return subs.groupBy(*keys).agg(
@@ -78,11 +71,11 @@ def best_per_user(subs: DataFrame) -> DataFrame:
 def leaderboard(subs: DataFrame) -> DataFrame:
     """H2: best per user ranked by score desc; ties keep first-submission order.
 
-    The rank is a distributed row_number (bucketed by score), so a board with
-    very many users does not sit in one task.
+    The rank is a distributed row number, so neither a board with very many
+    users nor very many tied scores sit in one task.
     """
-    best = best_per_user(subs).withColumn("_neg", -F.col("score")).withColumn("_first_us", _ts_key("first_timestamp"))
-    ranked = ordered_positions(best, "_neg", ["_first_us", "first_timestamp", "user"], KEYS, "rank")
+    best = best_per_user(subs).withColumn("_neg", -F.col("score"))
+    ranked = ordered_positions(best, ["_neg", "first_timestamp", "user"], KEYS, "rank")
     return ranked.select(
         *KEYS,
         F.col("rank").cast("long").alias("rank"),
@@ -99,12 +92,14 @@ def user_history(subs: DataFrame) -> DataFrame:
 
     Change is null on the first record and when it is exactly 0.  The
     primary metric comes from the user's earliest record.  Index and previous
-    score come from the bucketed row_number/lag, so a user with a third of all
-    rows is spread over many tasks.
+    score come from the distributed row number, so a user with a third of all
+    rows is spread over many tasks.  The records are read once and written
+    slim; everything after reads that table.
     """
     keys = [*KEYS, "user"]
-    s = scored(subs, keys).withColumn("_ts", _ts_key())
-    pos = ordered_positions(s, "_ts", ["timestamp", "name"], keys, "idx", lag_cols=["score"])
+    slim = materialize(subs.select(*keys, "timestamp", "name", "primary_metric", "metrics"), "history-records")
+    s = scored(slim, keys)
+    pos = ordered_positions(s, ["timestamp", "name"], keys, "idx", lag_cols=["score"])
     change = F.col("score") - F.col("prev_score")
     return pos.select(
         *keys,

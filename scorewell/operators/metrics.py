@@ -1,9 +1,11 @@
 """F1-F11 scoring metrics and M1 prediction validation.
 
 Predictions and targets are matched by an explicit id (Spark has no row
-order): ``align`` joins them, ``validate_predictions`` reports what did not
-line up.  Every metric is an aggregate; ratios use ``try_divide`` because ANSI
-mode raises on a zero denominator even inside ``CASE``.
+order).  ``evaluate_regression`` and ``evaluate_classification`` score a
+submission: they keep every target, count what is missing, extra, repeated or
+null, and give metrics only where each target has exactly one prediction.
+Every metric is an aggregate; ratios use ``try_divide`` because ANSI mode raises
+on a zero denominator even inside ``CASE``.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorewell.operators.rank import _bucket_count, avg_rank, value_cut_points_many
+from scorewell.operators.rank import avg_rank
 from scorewell.session import materialize
 
 REGRESSION_PRIMARY = "spearman"
@@ -22,9 +24,83 @@ REGRESSION_METRICS = ["spearman", "pearson", "mse", "mae", "rmse", "r2"]
 CLASSIFICATION_METRICS = ["f1_macro", "f1_weighted", "accuracy", "precision_macro", "recall_macro"]
 
 
-def align(targets: DataFrame, preds: DataFrame, id_col: str = "id") -> DataFrame:
-    """Inner equi-join of targets and predictions on the row id."""
-    return targets.join(preds, id_col)
+PROBLEMS = ["missing", "extra", "duplicate", "null_predictions"]
+
+
+def matched(targets: DataFrame, preds: DataFrame, id_col: str = "id", pred_col: str = "p") -> DataFrame:
+    """Targets and predictions side by side, nothing dropped (full outer join on the id).
+
+    Predictions are combined by id first, so a hot id collapses map-side.  Adds
+    ``_t`` (1 for a target row), ``_np`` (predictions of the id, null if none),
+    ``_nn`` (those that aren't null) and the prediction itself, which is null
+    unless it is the id's only one.
+    """
+    per_id = preds.groupBy(id_col).agg(
+        F.count(F.lit(1)).alias("_np"), F.count(F.col(pred_col)).alias("_nn"), F.max(pred_col).alias("_p")
+    )
+    rows = targets.withColumn("_t", F.lit(1)).join(per_id, id_col, "full_outer")
+    return rows.withColumn(pred_col, F.when(F.col("_np") == 1, F.col("_p"))).drop("_p")
+
+
+def _problem_counts() -> list[Column]:
+    return [
+        F.count(F.when(F.col("_np").isNull(), 1)).alias("missing"),
+        F.count(F.when(F.col("_t").isNull(), 1)).alias("extra"),
+        F.count(F.when(F.col("_np") > 1, 1)).alias("duplicate"),
+        F.coalesce(F.sum(F.col("_np") - F.col("_nn")), F.lit(0)).cast("long").alias("null_predictions"),
+    ]
+
+
+def _none_of(columns: Sequence[str]) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        out = out & (F.col(c) == 0)
+    return out
+
+
+def _evaluated(rows: DataFrame, metrics: DataFrame, groups: list[str], names: Sequence[str]) -> DataFrame:
+    """Problem counts and ``valid`` per group, with the metrics where valid (null elsewhere).
+
+    Extra predictions belong to no target, so with groups they form a row of
+    their own whose group is null.
+    """
+    counts = rows.groupBy(*groups).agg(F.count("_t").alias("n"), *_problem_counts())
+    counts = counts.withColumn("valid", (F.col("n") > 0) & _none_of(PROBLEMS))
+    on = F.lit(True)
+    for g in groups:
+        on = on & counts[g].eqNullSafe(metrics[g])
+    if not groups:  # one row on either side
+        counts, metrics = counts.withColumn("_one", F.lit(1)), metrics.withColumn("_one", F.lit(1))
+        on = counts["_one"] == metrics["_one"]
+    joined = counts.join(metrics, on, "left")
+    return joined.select(
+        *[counts[g] for g in groups], "valid", counts["n"], *PROBLEMS,
+        *[F.when(F.col("valid"), metrics[m]).alias(m) for m in names],
+    )
+
+
+def evaluate_regression(
+    targets: DataFrame, preds: DataFrame, group_cols: Sequence[str] = (),
+    id_col: str = "id", pred_col: str = "p", label_col: str = "y",
+) -> DataFrame:
+    """F10 for a submission: M1's counts, ``valid`` and the regression metrics of each group."""
+    groups = list(group_cols)
+    keep = targets.select(id_col, label_col, *groups)
+    rows = materialize(matched(keep, preds.select(id_col, pred_col), id_col, pred_col), "matched-predictions")
+    m = regression_metrics(rows.where("_t = 1"), pred_col, label_col, groups, materialize_input=False)
+    return _evaluated(rows, m.drop("n"), groups, REGRESSION_METRICS)
+
+
+def evaluate_classification(
+    targets: DataFrame, preds: DataFrame, group_cols: Sequence[str] = (),
+    id_col: str = "id", pred_col: str = "p", label_col: str = "y",
+) -> DataFrame:
+    """F10 for a submission: M1's counts, ``valid`` and the classification metrics of each group."""
+    groups = list(group_cols)
+    keep = targets.select(id_col, label_col, *groups)
+    rows = materialize(matched(keep, preds.select(id_col, pred_col), id_col, pred_col), "matched-predictions")
+    m = classification_metrics(rows.where("_t = 1"), pred_col, label_col, groups)
+    return _evaluated(rows, m.drop("n"), groups, CLASSIFICATION_METRICS)
 
 
 def _ratio(num: Column, den: Column, default: Column) -> Column:
@@ -36,26 +112,31 @@ def regression_metrics(
     pred_col: str = "p",
     label_col: str = "y",
     group_cols: Sequence[str] = (),
-    n_buckets: int | None = None,
     materialize_input: bool = True,
 ) -> DataFrame:
-    """F1-F4 + F10: one row per group with n, spearman, pearson, mse, mae, rmse, r2.
+    """One row per group with n, spearman, pearson, mse, mae, rmse, r2.
 
     Spearman = Pearson of average-tie ranks (P1); constant input gives 0.
-    Pearson on constant input is NaN.
+    Pearson on constant input is NaN.  Every row counts in n; a group in which a
+    prediction or label is null has null metrics, as it can't be scored whole.
     """
     groups = list(group_cols)
     base = df.select(*groups, F.col(pred_col).cast("double").alias("_p"), F.col(label_col).cast("double").alias("_y"))
     if materialize_input:
-        # base feeds two rank tables, their cut points and the final join
+        # base feeds two rank tables and the final join
         base = materialize(base, "aligned-predictions")
-    cuts = value_cut_points_many(base, ["_y", "_p"], _bucket_count(base, n_buckets))
-    r_y = avg_rank(base, "_y", groups, "_ry", cuts=cuts["_y"]).drop("cnt")
-    r_p = avg_rank(base, "_p", groups, "_rp", cuts=cuts["_p"]).drop("cnt")
-    ranked = base.join(r_y, [*groups, "_y"]).join(r_p, [*groups, "_p"])
+    ranked = base
+    for c, r in (("_y", "_ry"), ("_p", "_rp")):
+        ranks = avg_rank(base, c, groups, r).drop("cnt")
+        ranks = ranks.toDF(*[f"_k_{x}" for x in (*groups, c)], r)
+        on = F.lit(True)
+        for x in (*groups, c):
+            on = on & ranked[x].eqNullSafe(ranks[f"_k_{x}"])
+        ranked = ranked.join(ranks, on).drop(*[f"_k_{x}" for x in (*groups, c)])
     err = F.col("_p") - F.col("_y")
     stats = ranked.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n"),
+        F.count(F.when(F.col("_p").isNotNull() & F.col("_y").isNotNull(), 1)).alias("_whole"),
         F.avg(err * err).alias("mse"),
         F.avg(F.abs(err)).alias("mae"),
         F.sum(err * err).alias("_ss_res"),
@@ -68,16 +149,16 @@ def regression_metrics(
         F.stddev_pop("_ry").alias("_sry"),
     )
     nan = F.lit(float("nan"))
-    return stats.select(
-        *groups,
-        "n",
-        _ratio(F.col("_rcov"), F.col("_srp") * F.col("_sry"), F.lit(0.0)).alias("spearman"),
-        _ratio(F.col("_cov"), F.col("_sp") * F.col("_sy"), nan).alias("pearson"),
-        "mse",
-        "mae",
-        F.sqrt("mse").alias("rmse"),
-        (F.lit(1.0) - _ratio(F.col("_ss_res"), F.col("_var_y") * F.col("n"), nan)).alias("r2"),
-    )
+    made = {
+        "spearman": _ratio(F.col("_rcov"), F.col("_srp") * F.col("_sry"), F.lit(0.0)),
+        "pearson": _ratio(F.col("_cov"), F.col("_sp") * F.col("_sy"), nan),
+        "mse": F.col("mse"),
+        "mae": F.col("mae"),
+        "rmse": F.sqrt("mse"),
+        "r2": F.lit(1.0) - _ratio(F.col("_ss_res"), F.col("_var_y") * F.col("n"), nan),
+    }
+    whole = F.col("_whole") == F.col("n")
+    return stats.select(*groups, "n", *[F.when(whole, v).alias(k) for k, v in made.items()])
 
 
 def confusion_counts(df: DataFrame, pred_col: str = "p", label_col: str = "y", group_cols: Sequence[str] = ()) -> DataFrame:
@@ -123,11 +204,16 @@ def per_class_prf(confusion: DataFrame, group_cols: Sequence[str] = ()) -> DataF
 def classification_metrics(
     df: DataFrame, pred_col: str = "p", label_col: str = "y", group_cols: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per group: n, f1_macro, f1_weighted, accuracy, precision_macro, recall_macro."""
+    """One row per group: n, f1_macro, f1_weighted, accuracy, precision_macro, recall_macro.
+
+    A group with a null label or prediction has null metrics.
+    """
     groups = list(group_cols)
-    per = per_class_prf(confusion_counts(df, pred_col, label_col, groups), groups)
+    confusion = confusion_counts(df, pred_col, label_col, groups)
+    per = per_class_prf(confusion, groups)
     agg = per.groupBy(*groups).agg(
         F.sum("support").alias("n"),
+        F.count(F.when(F.col("cls").isNull(), 1)).alias("_nulls"),
         F.avg("f1").alias("f1_macro"),
         F.sum(F.col("f1") * F.col("support")).alias("_f1w"),
         F.sum("tp").alias("_tp"),
@@ -135,15 +221,15 @@ def classification_metrics(
         F.avg("recall").alias("recall_macro"),
     )
     zero = F.lit(0.0)
-    return agg.select(
-        *groups,
-        "n",
-        "f1_macro",
-        _ratio(F.col("_f1w"), F.col("n"), zero).alias("f1_weighted"),
-        _ratio(F.col("_tp"), F.col("n"), zero).alias("accuracy"),
-        "precision_macro",
-        "recall_macro",
-    )
+    made = {
+        "f1_macro": F.col("f1_macro"),
+        "f1_weighted": _ratio(F.col("_f1w"), F.col("n"), zero),
+        "accuracy": _ratio(F.col("_tp"), F.col("n"), zero),
+        "precision_macro": F.col("precision_macro"),
+        "recall_macro": F.col("recall_macro"),
+    }
+    whole = F.col("_nulls") == 0
+    return agg.select(*groups, "n", *[F.when(whole, v).alias(k) for k, v in made.items()])
 
 
 def cv_scores(split_metrics: DataFrame, metric: str, group_cols: Sequence[str] = ()) -> DataFrame:
@@ -155,31 +241,14 @@ def cv_scores(split_metrics: DataFrame, metric: str, group_cols: Sequence[str] =
 
 
 def validate_predictions(targets: DataFrame, preds: DataFrame, id_col: str = "id", pred_col: str = "p") -> DataFrame:
-    """M1: one row of alignment counts; ``valid`` when every target has exactly one non-null prediction.
-
-    Predictions are pre-aggregated per id (a hot id collapses map-side) before
-    the full outer join with the target ids.
-    """
-    per_id = preds.groupBy(id_col).agg(
-        F.count(F.lit(1)).alias("_np"), F.count(F.col(pred_col)).alias("_nn")
-    )
-    t = targets.select(id_col).withColumn("_t", F.lit(1))
-    j = t.join(per_id, id_col, "full_outer")
-    out = j.agg(
-        F.count(F.col("_t")).alias("n_targets"),
+    """M1: one row of alignment counts; ``valid`` when every target has exactly one non-null prediction."""
+    rows = matched(targets.select(id_col), preds.select(id_col, pred_col), id_col, pred_col)
+    out = rows.agg(
+        F.count("_t").alias("n_targets"),
         F.coalesce(F.sum("_np"), F.lit(0)).cast("long").alias("n_predictions"),
-        F.count(F.when(F.col("_np").isNull(), 1)).alias("missing"),
-        F.count(F.when(F.col("_t").isNull(), 1)).alias("extra"),
-        F.count(F.when(F.col("_np") > 1, 1)).alias("duplicate"),
-        F.coalesce(F.sum(F.col("_np") - F.col("_nn")), F.lit(0)).cast("long").alias("null_predictions"),
-    )
-    return out.withColumn(
-        "valid",
-        (F.col("missing") == 0)
-        & (F.col("extra") == 0)
-        & (F.col("duplicate") == 0)
-        & (F.col("null_predictions") == 0),
+        *_problem_counts(),
     )
+    return out.withColumn("valid", _none_of(PROBLEMS))
 
 
 def offending_ids(targets: DataFrame, preds: DataFrame, id_col: str = "id") -> DataFrame:

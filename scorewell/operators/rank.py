@@ -1,22 +1,20 @@
-"""Average-tie rank, distributed.
-
-A window without ``partitionBy`` sends every row to one task, so the rank is
-built from pieces that all partition:
-
-1. ``groupBy(group, value).count()`` — one row per distinct value (partial +
-   final hash aggregate; a hot value collapses to a single row here).
-2. value buckets: ``percentile_approx`` over the input column gives B-1 cut
-   points (one small driver round-trip of B doubles).  The bucket of a value is
-   a pure function of it, so every occurrence of a value lands in one bucket and
-   the boundaries only steer balance, never correctness.
-3. inside a (group, bucket) cell a running ``sum(cnt)`` window; each cell holds
-   about 1/B of the distinct values.
-4. the bucket totals (#groups x B rows) get their own running sum over
-   buckets = the offset of each cell.
-5. ``rank = offset + running - (cnt - 1) / 2`` (1-based, ties averaged).
-
-The result is one row per distinct (group, value); join it back on those
-columns.  AQE's skew-join handling splits a hot value on the big side.
+"""P1 average-tie rank, and ordered row numbers, without a one-task window.
+
+Both rest on one layout (``laid_out``): rows are range-partitioned on the whole
+order key (groups, value, ties), sorted inside their partition and written once
+with that partition's number and their place in it.  Then
+
+* a running window per (partition, group) numbers the rows of each piece;
+* one row per (partition, group) holds its total, and a window over those rows
+  (as many as partitions and groups) gives the rows before it;
+* an equi-join on (group, partition) adds that offset.
+
+Range bounds only steer balance.  A row costs a binary search among the bounds
+(inside Spark's range partitioner) and two exchanges, whatever the number of
+partitions.  Ties take part in the bounds, so a million equal scores, one busy
+second or names with a long common prefix spread like any other rows.  Because
+the layout is written, both branches read the same partition numbers even if an
+executor is lost; ``drop_scratch`` or the application's end deletes it.
 """
 
 from __future__ import annotations
@@ -26,161 +24,101 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorewell.session import materialize
 
-def _bucket_count(df: DataFrame, n_buckets: int | None) -> int:
-    if n_buckets:
-        return max(1, int(n_buckets))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(8, 4 * parts)
+PART, PLACE = "_part", "_place"
 
 
-def value_cut_points(df: DataFrame, value_col: str, n_buckets: int, accuracy: int = 10000) -> list[float]:
-    """B-1 approximate quantiles of ``value_col`` (distinct, sorted, NaN/null-free)."""
-    if n_buckets <= 1:
-        return []
-    qs = [i / n_buckets for i in range(1, n_buckets)]
-    clean = df.select(F.col(value_col).cast("double").alias("v")).where(~F.isnan("v"))
-    row = clean.agg(F.percentile_approx("v", qs, accuracy).alias("q")).first()
-    cuts = row["q"] if row is not None and row["q"] is not None else []
-    return sorted({float(c) for c in cuts if c is not None})
+def laid_out(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], name: str) -> DataFrame:
+    """``df`` range-partitioned and sorted by (groups, order), written with PART and PLACE.
 
-
-def value_cut_points_many(df: DataFrame, cols: Sequence[str], n_buckets: int, accuracy: int = 10000) -> dict:
-    """Cut points of several numeric columns from ONE aggregate pass."""
-    if n_buckets <= 1:
-        return {c: [] for c in cols}
-    qs = [i / n_buckets for i in range(1, n_buckets)]
-    aggs = []
-    for c in cols:
-        v = F.col(c).cast("double")
-        aggs.append(F.percentile_approx(F.when(~F.isnan(v), v), qs, accuracy).alias(c))
-    row = df.agg(*aggs).first()
-    return {c: sorted({float(x) for x in (row[c] or []) if x is not None}) for c in cols}
+    Nulls come first.  Every partition holds one range of the order, so partition
+    numbers grow with it.
+    """
+    keys = [F.col(c).asc_nulls_first() for c in (*group_cols, *order_cols)]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    # this id is partition * 2^33 + place in the partition
+    spot = F.monotonically_increasing_id()
+    placed = ranged.withColumn(PLACE, spot)
+    return materialize(placed, name).withColumn(PART, F.shiftright(PLACE, 33))
 
 
-def bucket_of(value: str, cuts: Sequence[float]):
-    """Index of the value's bucket: number of cut points strictly below it."""
-    if not cuts:
-        return F.lit(0)
-    arr = F.array(*[F.lit(c) for c in cuts])
-    v = F.col(value).cast("double")
-    return F.size(F.filter(arr, lambda c: c < v))
+def _before(pieces: DataFrame, groups: Sequence[str], total: str, out: str) -> DataFrame:
+    """Per piece: the sum of ``total`` over the group's earlier partitions."""
+    w = Window.partitionBy(*groups).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    return pieces.withColumn(out, F.coalesce(F.sum(total).over(w), F.lit(0)))
 
 
-def avg_rank(
-    df: DataFrame,
-    value_col: str,
-    group_cols: Sequence[str] = (),
-    rank_col: str = "rank",
-    n_buckets: int | None = None,
-    cuts_from: DataFrame | None = None,
-    cuts: list[float] | None = None,
-) -> DataFrame:
+def avg_rank(df: DataFrame, value_col: str, group_cols: Sequence[str] = (), rank_col: str = "rank") -> DataFrame:
     """Distinct (group..., value) with the 1-based average-tie rank within group.
 
-    ``cuts_from`` lets the caller estimate cut points from a cheaper frame that
-    holds the same column (e.g. the source table rather than a join result).
-    Output columns: ``*group_cols, value_col, cnt, rank_col``.
+    Equal values collapse in a grouped count first (map-side for a hot value),
+    so the layout has one row per distinct value.  Output columns:
+    ``*group_cols, value_col, cnt, rank_col``; join it back on the first ones.
     """
     groups = list(group_cols)
-    if cuts is None:
-        b = _bucket_count(df, n_buckets)
-        cuts = value_cut_points(cuts_from if cuts_from is not None else df, value_col, b)
-
-    pairs = (
-        df.groupBy(*groups, value_col)
-        .agg(F.count(F.lit(1)).alias("cnt"))
-        .withColumn("_bucket", bucket_of(value_col, cuts))
-    )
-    within = Window.partitionBy(*groups, "_bucket").orderBy(value_col).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    running = pairs.withColumn("_run", F.sum("cnt").over(within))
-
-    # cell totals come from the windowed frame itself: both branches then share
-    # one shuffle (ReusedExchange) instead of re-running the input + aggregate
-    totals = running.groupBy(*groups, "_bucket").agg(F.max("_run").alias("_tot"))
-    across = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *groups, "_bucket", F.coalesce(F.sum("_tot").over(across), F.lit(0)).alias("_off")
-    )
-    ranked = running.join(offsets, [*groups, "_bucket"])
-    return ranked.select(
-        *groups,
-        value_col,
-        "cnt",
-        (F.col("_off") + F.col("_run") - (F.col("cnt") - 1) / 2.0).alias(rank_col),
+    counts = df.groupBy(*groups, value_col).agg(F.count(F.lit(1)).alias("cnt"))
+    rows = laid_out(counts, groups, [value_col], "rank-layout")
+    w = Window.partitionBy(*groups, PART).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = rows.withColumn("_run", F.sum("cnt").over(w))
+    pieces = rows.groupBy(*groups, PART).agg(F.sum("cnt").alias("_total"))
+    offsets = _before(pieces, groups, "_total", "_off").drop("_total")
+    joined = running.join(offsets, _null_safe(running, offsets, [*groups, PART]))
+    return joined.select(
+        *[running[c] for c in (*groups, value_col, "cnt")],
+        (offsets["_off"] + running["_run"] - (running["cnt"] - 1) / 2.0).alias(rank_col),
     )
 
 
+def _null_safe(a: DataFrame, b: DataFrame, cols: Sequence[str]):
+    cond = None
+    for c in cols:
+        eq = a[c].eqNullSafe(b[c])
+        cond = eq if cond is None else cond & eq
+    return cond
+
+
 def with_avg_rank(
-    df: DataFrame,
-    value_col: str,
-    group_cols: Sequence[str] = (),
-    rank_col: str = "rank",
-    n_buckets: int | None = None,
-    cuts_from: DataFrame | None = None,
+    df: DataFrame, value_col: str, group_cols: Sequence[str] = (), rank_col: str = "rank"
 ) -> DataFrame:
     """``df`` plus its average-tie rank column (equi-join back on group + value)."""
-    ranks = avg_rank(df, value_col, group_cols, rank_col, n_buckets, cuts_from).drop("cnt")
-    return df.join(ranks, [*group_cols, value_col])
+    return df.join(avg_rank(df, value_col, group_cols, rank_col).drop("cnt"), [*group_cols, value_col])
 
 
 def ordered_positions(
     df: DataFrame,
-    key_col: str,
-    tie_cols: Sequence[str] = (),
+    order_cols: Sequence[str],
     group_cols: Sequence[str] = (),
     pos_col: str = "pos",
     lag_cols: Sequence[str] = (),
-    n_buckets: int | None = None,
 ) -> DataFrame:
     """``row_number()`` (and ``lag`` of ``lag_cols``) within ``group_cols`` ordered by
-    (``key_col``, ``tie_cols``), without sending a whole group to one task.
+    ``order_cols`` (ascending, nulls first), without sending a whole group to one task.
 
-    ``key_col`` must be numeric.  Rows are cut into key buckets (approximate
-    quantiles of the key, a pure function of the key, so ties stay together);
-    each (group, bucket) cell is numbered by an ordinary window, bucket totals
-    give each cell its offset, and the last row of the previous non-empty
-    bucket supplies the lag of a cell's first row.  A group that holds a third
-    of all rows is spread over all buckets.
-
-    Adds ``pos_col`` (1-based) and ``prev_<c>`` for each lag column.
+    ``order_cols`` may be of any sortable type.  The last row of the group's
+    previous piece supplies the lag of a piece's first row.  Adds ``pos_col``
+    (1-based) and ``prev_<c>`` for each lag column.
     """
     groups = list(group_cols)
-    order = [F.col(key_col).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in tie_cols]]
-    b = _bucket_count(df, n_buckets)
-    cuts = value_cut_points(df, key_col, b)
-    tagged = df.withColumn("_bucket", bucket_of(key_col, cuts))
-
-    w_cell = Window.partitionBy(*groups, "_bucket").orderBy(*order)
-    cell = tagged.withColumn("_rn", F.row_number().over(w_cell))
+    rows = laid_out(df, groups, order_cols, "position-layout")
+    w = Window.partitionBy(*groups, PART).orderBy(PLACE)
+    numbered = rows.withColumn("_rn", F.row_number().over(w))
     for c in lag_cols:
-        cell = cell.withColumn(f"_lag_{c}", F.lag(c).over(w_cell))
-
-    order_struct = F.struct(*[F.col(key_col), *[F.col(c) for c in tie_cols]])
-    summary_aggs = [F.count(F.lit(1)).alias("_tot")]
-    summary_aggs += [F.max_by(F.col(c), order_struct).alias(f"_last_{c}") for c in lag_cols]
-    summary = tagged.groupBy(*groups, "_bucket").agg(*summary_aggs)
-    w_b = Window.partitionBy(*groups).orderBy("_bucket")
-    offs = summary.select(
-        *groups,
-        "_bucket",
-        F.coalesce(F.sum("_tot").over(w_b.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-        *[F.lag(f"_last_{c}").over(w_b).alias(f"_carry_{c}") for c in lag_cols],
-    )
-    out = cell.join(offs, [*groups, "_bucket"])
-    out = out.withColumn(pos_col, F.col("_off") + F.col("_rn"))
+        numbered = numbered.withColumn(f"_lag_{c}", F.lag(c).over(w))
+    aggs = [F.count(F.lit(1)).alias("_total"), *[F.max_by(c, PLACE).alias(f"_last_{c}") for c in lag_cols]]
+    pieces = rows.groupBy(*groups, PART).agg(*aggs)
+    offsets = _before(pieces, groups, "_total", "_off")
+    w_pieces = Window.partitionBy(*groups).orderBy(PART)
     for c in lag_cols:
-        out = out.withColumn(
-            f"prev_{c}", F.when(F.col("_rn") == 1, F.col(f"_carry_{c}")).otherwise(F.col(f"_lag_{c}"))
-        )
-    drop = ["_bucket", "_rn", "_off"] + [f"_{k}_{c}" for c in lag_cols for k in ("lag", "carry")]
-    return out.drop(*drop)
-
-
-def string_order_key(c: str) -> "F.Column":
-    """Numeric, order-preserving (non-decreasing) proxy for a string: its first 6
-    UTF-8 bytes as a number (exact in a double).  Use it as ``key_col`` of
-    ``ordered_positions`` with the string itself as the first tie column."""
-    return F.conv(F.rpad(F.substring(F.hex(F.col(c)), 1, 12), 12, "0"), 16, 10).cast("double")
+        offsets = offsets.withColumn(f"_carry_{c}", F.lag(f"_last_{c}").over(w_pieces))
+    offsets = offsets.select(*groups, PART, "_off", *[f"_carry_{c}" for c in lag_cols])
+    joined = numbered.join(offsets, _null_safe(numbered, offsets, [*groups, PART]))
+    return joined.select(
+        *[numbered[c] for c in df.columns],
+        (offsets["_off"] + numbered["_rn"]).alias(pos_col),
+        *[
+            F.when(numbered["_rn"] == 1, offsets[f"_carry_{c}"]).otherwise(numbered[f"_lag_{c}"]).alias(f"prev_{c}")
+            for c in lag_cols
+        ],
+    )

@@ -14,11 +14,11 @@ R6 = 6
 
 
 def _reg_joined(spark, sf_dir):
-    return M.align(V.reg_targets(spark, sf_dir), V.reg_predictions(spark, sf_dir))
+    return M.matched(V.reg_targets(spark, sf_dir), V.reg_predictions(spark, sf_dir)).where("_t = 1")
 
 
 def _cls_joined(spark, sf_dir):
-    return M.align(V.cls_targets(spark, sf_dir), V.cls_predictions(spark, sf_dir))
+    return M.matched(V.cls_targets(spark, sf_dir), V.cls_predictions(spark, sf_dir)).where("_t = 1")
 
 
 def _round_reg(df, keys):
@@ -58,8 +58,44 @@ from s
 
 @register("evaluate_regression", V.with_views("reg_targets", "reg_predictions").rstrip() + REG_SQL_BODY)
 def evaluate_regression(spark, sf_dir):
-    """F10 per fold: id join -> P1 ranks -> one aggregate row per fold."""
-    return _round_reg(M.regression_metrics(_reg_joined(spark, sf_dir), group_cols=["fold"]), ["fold"])
+    """F10 per fold: id join with M1's counts -> P1 ranks -> one aggregate row per fold."""
+    return _round_reg(M.evaluate_regression(V.reg_targets(spark, sf_dir), V.reg_predictions(spark, sf_dir), ["fold"]), ["fold"])
+
+
+INCOMPLETE_SQL = (
+    V.with_views("reg_targets", "reg_predictions").rstrip()
+    + """
+, cut as (select id, case when id % 1000 = 3 then null else p end as p from reg_predictions
+          where not (id % 5 = 1 and id % 7 = 0)
+          union all select id, p from reg_predictions where id % 5 = 2 and id % 11 = 0
+          union all select -id, p from reg_predictions where id % 500 = 4)
+, pc as (select id, count(*) as np, count(p) as nn from cut group by id)
+, j as (select t.id as tid, t.fold, pc.* from reg_targets t full outer join pc on t.id = pc.id)
+, c as (select fold, count(tid) as n, count(case when np is null then 1 end) as missing,
+               count(case when tid is null then 1 end) as extra, count(case when np > 1 then 1 end) as duplicate,
+               coalesce(sum(np - nn), 0) as null_predictions from j group by fold)
+, m as (select fold, round(avg(abs(p - y)), 4) as mae from reg_targets join cut using (id) group by fold)
+select c.fold, n > 0 and missing + extra + duplicate + null_predictions = 0 as valid, cast(n as bigint) as n,
+       cast(missing as bigint) as missing, cast(extra as bigint) as extra, cast(duplicate as bigint) as duplicate,
+       cast(null_predictions as bigint) as null_predictions,
+       case when n > 0 and missing + extra + duplicate + null_predictions = 0 then mae end as mae,
+       n > 0 and missing + extra + duplicate + null_predictions = 0 as has_rank
+from c left join m using (fold)
+"""
+)
+
+
+@register("evaluate_incomplete", INCOMPLETE_SQL)
+def evaluate_incomplete(spark, sf_dir):
+    """F10 on a submission with missing, null, repeated and extra predictions: only whole folds have metrics."""
+    p, k = V.reg_predictions(spark, sf_dir), F.col("id")
+    kept = p.where(~((k % 5 == 1) & (k % 7 == 0))).withColumn("p", F.when(k % 1000 != 3, F.col("p")))
+    cut = kept.union(p.where((k % 5 == 2) & (k % 11 == 0))).union(p.where(k % 500 == 4).withColumn("id", -k))
+    m = M.evaluate_regression(V.reg_targets(spark, sf_dir), cut, ["fold"])
+    return m.select(
+        "fold", "valid", *[F.col(c).cast("long").alias(c) for c in ("n", *M.PROBLEMS)],
+        F.round("mae", 4).alias("mae"), F.col("spearman").isNotNull().alias("has_rank"),
+    )
 
 
 @register(
@@ -183,7 +219,7 @@ from prf group by fold
 )
 def evaluate_classification(spark, sf_dir):
     """F7-F10 per fold on the id-joined class predictions."""
-    m = M.classification_metrics(_cls_joined(spark, sf_dir), group_cols=["fold"])
+    m = M.evaluate_classification(V.cls_targets(spark, sf_dir), V.cls_predictions(spark, sf_dir), ["fold"])
     return m.select(
         "fold",
         F.col("n").cast("long").alias("n"),

@@ -47,6 +47,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if conf and "://" not in conf and not sc.master.startswith("local"):
+        default_fs = spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+        if default_fs.startswith("file:"):
+            raise RuntimeError(f"spark.checkpoint.dir {conf!r} names no file system and the default one is local")
     if conf:
         sc.setCheckpointDir(conf)
         return sc.getCheckpointDir() or conf
@@ -63,19 +67,46 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{name}"
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def materialize(df, name: str):
     """Write ``df`` once as parquet under the shared checkpoint folder and read it back.
 
     Used where one derived frame feeds several branches of a plan (each branch
     would otherwise recompute it) and to cut lineage: a lost executor re-reads
-    the table instead of replaying the whole upstream join.
+    the table instead of replaying the whole upstream join.  The table goes when
+    the application ends, or before that with ``drop_scratch``.
     """
     import uuid
 
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    schema = df.schema
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    fs, p = _hadoop_path(spark, path)
+    fs.deleteOnExit(p)
+    _scratch(spark).append(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _scratch(spark: SparkSession) -> list[str]:
+    sc = spark.sparkContext
+    if not hasattr(sc, "_scorewell_scratch"):
+        sc._scorewell_scratch = []
+    return sc._scorewell_scratch
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables written so far; call it once results that read them are stored."""
+    paths = _scratch(spark)
+    n = len(paths)
+    while paths:
+        fs, p = _hadoop_path(spark, paths.pop())
+        fs.delete(p, True)
+    return n
 
 
 def ship_package(spark: SparkSession) -> None:

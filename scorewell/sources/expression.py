@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorewell.operators.features import TARGET_SUM, log1p_values, normalize_total
-from scorewell.operators.rank import ordered_positions, string_order_key
+from scorewell.operators.rank import ordered_positions
 
 
 def gene_index(coo: DataFrame, gene_col: str = "gene") -> DataFrame:
     """Gene -> 0-based column index in sorted gene order (distributed row number)."""
-    genes = coo.select(F.col(gene_col).cast("string").alias("_g")).distinct().withColumn("_k", string_order_key("_g"))
-    pos = ordered_positions(genes, "_k", ["_g"], (), "_pos")
+    genes = coo.select(F.col(gene_col).cast("string").alias("_g")).distinct()
+    pos = ordered_positions(genes, ["_g"], (), "_pos")
     return pos.select(F.col("_g").alias(gene_col), (F.col("_pos") - 1).cast("int").alias("gidx"))
 
 

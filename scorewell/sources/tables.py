@@ -33,10 +33,11 @@ def read_csv_table(spark: SparkSession, path: str, schema) -> DataFrame:
 def fold_split(df: DataFrame, fold: int | str, fold_col: str = "fold_id") -> tuple[DataFrame, DataFrame]:
     """A3: (train, test) where test is ``fold_col == fold`` and train the rest.
 
-    Both sides are predicates on the scan; with data written
-    ``partitionBy(fold_col)`` they become partition pruning.
+    Null-safe: a row without a fold is a training row.  Both sides are
+    predicates on the scan; with data written ``partitionBy(fold_col)`` they
+    become partition pruning.
     """
-    is_test = F.col(fold_col) == F.lit(fold)
+    is_test = F.col(fold_col).eqNullSafe(F.lit(fold))
     return df.where(~is_test), df.where(is_test)
 
 

@@ -73,3 +73,33 @@ def test_validate_predictions_fixture(spark):
     assert (r["missing"], r["extra"], r["duplicate"], r["valid"]) == (1, 1, 1, False)
     bad = {(x["id"], x["problem"]) for x in M.offending_ids(t, p).collect()}
     assert bad == {(2, "missing"), (4, "extra"), (3, "duplicate")}
+
+
+def test_incomplete_submissions_have_no_metrics(spark):
+    from scorewell.operators import metrics as M
+
+    t = spark.createDataFrame([(i, float(i)) for i in range(10)], "id int, y double")
+    three = spark.createDataFrame([(0, 0.0), (1, 1.0), (2, 2.0), (3, None)], "id int, p double")
+    r = M.evaluate_regression(t, three).first()
+    assert not r.valid and r.n == 10 and r.missing == 6 and r.null_predictions == 1 and r.spearman is None
+    whole = t.withColumnRenamed("y", "p")
+    r = M.evaluate_regression(t, whole).first()
+    assert r.valid and r.spearman == 1.0 and r.r2 == 1.0
+    r = M.evaluate_regression(t, whole.union(whole.where("id = 4"))).first()
+    assert not r.valid and r.duplicate == 1 and r.mse is None
+    r = M.evaluate_regression(t, whole.union(spark.createDataFrame([(99, 1.0)], "id int, p double"))).first()
+    assert not r.valid and r.extra == 1
+    c = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "id int, y string")
+    p = c.withColumnRenamed("y", "p")
+    assert M.evaluate_classification(c, p).first().f1_macro == 1.0
+    assert M.evaluate_classification(c, p.where("id < 3")).first().f1_macro is None
+    nothing = M.evaluate_regression(t.where("false"), whole.where("false")).first()
+    assert not nothing.valid and nothing.n == 0
+
+
+def test_rows_without_a_fold_are_training_rows(spark):
+    from scorewell.sources.tables import fold_split
+
+    df = spark.createDataFrame([(1, 0), (2, 1), (3, None)], "id int, fold_id int")
+    train, test = fold_split(df, 0)
+    assert sorted(r.id for r in train.collect()) == [2, 3] and [r.id for r in test.collect()] == [1]
