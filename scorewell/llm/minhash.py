@@ -12,9 +12,12 @@ are never expanded into all pairs:
 
 1. every member of a bucket is compared with the bucket's smallest member;
 2. the links found make components; a bucket whose members lie in one component
-   is settled.  In the others, members of different components are compared
-   again, so a link is lost only if both its ends are already connected, which
-   changes no component.
+   is settled.  In the others, members of different components are compared,
+   so a link is skipped only if both its ends are already connected, which
+   changes no component.  Buckets of up to FEW members do this as pairs.  In
+   larger ones the members outside the bucket's main component meet all members
+   in cells of bounded size, where one matrix product counts what any two sets
+   share; only links leave a cell.
 
 Confirmation.  The similarity is first estimated from all registers, corrected
 for registers that agree by accident; pairs whose estimate is six standard errors
@@ -46,6 +49,9 @@ from scorewell.llm.hashing import mix, segment_hashes
 
 BANDS, ROWS = 45, 5
 SHINGLE, PERCENT = 5, 80
+#: Members up to which an open bucket is compared as pairs; above that, shingles and sets on one side of a cell.
+FEW, CELL, CELL_SETS = 16, 400_000, 1000
+COLUMNS = 4096  # shingles of a cell multiplied at once
 CHUNK = 1 << 20
 EMPTY = np.uint16(0xFFFF)
 WIDTH = np.uint64(2**64 // ROWS)
@@ -205,6 +211,85 @@ def _linked(pairs: DataFrame, inside: DataFrame, sets: DataFrame, percent: int,
     return stored(confirmed(full, percent), name)
 
 
+def _common(q: list[np.ndarray], t: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each set of ``q`` shares with each set of ``t``."""
+    names = np.concatenate(q + t)
+    owner = np.repeat(np.arange(len(q) + len(t)), [len(x) for x in q + t])
+    _, column, n = np.unique(names, return_inverse=True, return_counts=True)
+    left = owner < len(q)
+    both = (np.bincount(column[left], minlength=len(n)) > 0) & (np.bincount(column[~left], minlength=len(n)) > 0)
+    shared = both[column]
+    column = (np.cumsum(both) - 1)[column[shared]]
+    owner, out = owner[shared], np.zeros((len(q), len(t)), np.float32)
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    cuts = np.searchsorted(column, np.arange(0, int(both.sum()) + COLUMNS, COLUMNS))
+    for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+        m = np.zeros((len(q) + len(t), COLUMNS), np.float32)
+        m[owner[a:b], column[a:b] - i * COLUMNS] = 1
+        out += m[: len(q)] @ m[len(q) :].T
+    return out.astype(np.int64)
+
+
+def _cell_links(cells: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) inside cells; in: key, qb, tb, query, row, part, set, a cell's rows one after the other."""
+
+    def links(rows: list[tuple]) -> tuple[list[int], list[int]]:
+        q, t = [r for r in rows if r[0]], [r for r in rows if not r[0]]
+        if not q or not t:
+            return [], []
+        common = _common([r[3] for r in q], [r[3] for r in t])
+        size = [np.array([len(r[3]) for r in x]) for x in (q, t)]
+        row, part = ([np.array([r[k] for r in x]) for x in (q, t)] for k in (1, 2))
+        hit = 100 * common >= percent * (size[0][:, None] + size[1] - common)
+        hit &= part[0][:, None] != part[1]
+        i, j = np.nonzero(hit)
+        x, y = row[0][i], row[1][j]
+        return np.minimum(x, y).tolist(), np.maximum(x, y).tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(3))))
+            rest = [batch.column(c).to_pylist() for c in (3, 4, 5)]
+            for i, key in enumerate(keys):
+                if key != now:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links(rows)], ["a", "b"])
+                    now, rows = key, []
+                rows.append((*(c[i] for c in rest), batch.column(6)[i].values.to_numpy().view(np.uint64)))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links(rows)], ["a", "b"])
+
+    return map_arrow(
+        cells.select("key", "qb", "tb", "query", "row", "part", "set"), run, "a bigint, b bigint"
+    ).distinct()
+
+
+def _large_buckets(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components inside the open buckets of more than FEW members."""
+    parts = left.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    main = parts.groupBy("key").agg(
+        F.max(F.struct("c", "part", "s")).alias("main"), F.sum("s").alias("all_n"), F.sum("c").alias("all_c")
+    )
+    blocks = lambda n, c: F.ceil(F.greatest(n / CELL, c / CELL_SETS)).cast("int")
+    main = main.select(
+        "key", F.col("main.part").alias("main"),
+        blocks(F.col("all_n") - F.col("main.s"), F.col("all_c") - F.col("main.c")).alias("nq"),
+        blocks(F.col("all_n"), F.col("all_c")).alias("nt"),
+    )
+    rows = left.join(main, "key")
+    block = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "row"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    query = rows.where("part <> main").select(
+        "key", block(1, "nq").alias("qb"), every("nt").alias("tb"), F.lit(True).alias("query"), "row", "part"
+    )
+    target = rows.select(
+        "key", every("nq").alias("qb"), block(2, "nt").alias("tb"), F.lit(False).alias("query"), "row", "part"
+    )
+    cell = ["key", "qb", "tb"]
+    cells = query.union(target).join(sets, "row").repartition(*cell).sortWithinPartitions(*cell)
+    return _cell_links(cells, percent)
+
+
 def classes(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT,
     row: str | None = None,
@@ -239,10 +324,15 @@ def classes(
     # buckets that hold more than one component
     parts = components(links, "a", "b")
     labelled = members.join(parts.toDF("row", "part"), "row", "left").withColumn("part", F.coalesce("part", "row"))
-    open_ = labelled.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q")
-    left = stored(labelled.join(open_.select("key"), "key", "left_semi").select("key", "row", "n", "part", "hub"), "open-buckets")
-    x = left.select("key", F.col("row").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"), "hub")
-    y = left.select("key", F.col("row").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
+    open_ = labelled.groupBy("key").agg(
+        F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("size")
+    ).where("p < q")
+    left = stored(
+        labelled.join(open_.select("key", "size"), "key").select("key", "row", "n", "part", "hub", "size"), "open-buckets"
+    )
+    few = left.where(F.col("size") <= FEW)
+    x = few.select("key", F.col("row").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"), "hub")
+    y = few.select("key", F.col("row").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
     rest = (
         x.join(y, "key")
         .where((F.col("pa") != F.col("pb")) & (F.col("a") < F.col("b")) & (F.col("a") != F.col("hub"))
@@ -250,7 +340,8 @@ def classes(
         .select("a", "b").distinct()
     )
     more = _linked(rest, inside, sets, percent, "links-2")
-    parts = components(links.union(more), "a", "b")
+    most = stored(_large_buckets(left.where(F.col("size") > FEW), sets, percent), "links-3")
+    parts = components(links.union(more).union(most), "a", "b")
     # back to all rows
     label = reps.join(parts.toDF("row", "part"), "row", "left").select(
         *same, F.coalesce("part", "row").alias("part")

@@ -146,3 +146,35 @@ def test_url_filter_equals_sql(spark):
 def test_url_filter_of_an_empty_table(spark):
     df = spark.createDataFrame(PAGES, "page_id bigint, url string, html string").where("page_id < 0")
     assert urls.judged(df).count() == 0
+
+
+def test_cells_count_what_sets_share():
+    rng = np.random.default_rng(4)
+    make = lambda: np.unique(rng.integers(0, 6000, rng.integers(1, 3000)).astype(np.uint64))
+    q, t = [make() for _ in range(7)], [make() for _ in range(9)]
+    want = [[len(np.intersect1d(a, b)) for b in t] for a in q]
+    assert minhash._common(q, t).tolist() == want
+
+
+def test_large_open_buckets_lose_no_link(spark, tmp_path, monkeypatch):
+    """A family of which many members are far from the hub: cells of several blocks must find every link."""
+    monkeypatch.setattr(minhash, "CELL", 3000)
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(4000)]
+    base = [rng.choice(words) for _ in range(100)]
+    texts = []
+    for _ in range(150):
+        new = list(base)
+        for _ in range(rng.choice([2, 4, 6, 9, 12, 15])):
+            new[rng.randrange(100)] = rng.choice(words)
+        texts.append(new)
+        if rng.random() < 0.3:
+            again = list(new)
+            again[rng.randrange(100)] = "twin"
+            texts.append(again)
+    texts = [" ".join(t) for t in texts]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(path)
+    got = {r.id: r.component for r in minhash.classes(spark.read.parquet(path), k=2).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_components([plain_set(t, 2) for t in texts], 80)
+    assert len(set(got.values())) > 3
