@@ -17,27 +17,25 @@ from scorewell.operators.rank import ordered_positions
 TARGET_SUM = 1e4
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a frame that arrived in fewer partitions than the cluster has
-    cores (small single-file inputs); large inputs are left as scanned."""
-    spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want, key)
-    return df
-
-
 def kmer_counts(df: DataFrame, id_col: str, seq_col: str, lo: int, hi: int) -> DataFrame:
-    """(id, kmer, n) for every k-mer of length lo..hi of each whole text.
+    """(id, kmer, n) for every k-mer of length lo..hi of each whole text (ids unique per row).
 
-    The per-row k-mer array is built and exploded inside one codegen stage;
-    ``groupBy(id, kmer)`` aggregates partially before the shuffle, so the
-    shuffle carries at most one row per distinct (row, k-mer) per task.
+    Counting happens inside the row: the k-mers are sorted and each run of equal
+    ones becomes an entry, so nothing is shuffled here and a later aggregate by
+    k-mer combines map-side.
     """
-    x = spread(df.select(id_col, seq_col), id_col).select(id_col, normalize_text(seq_col).alias("_t"))
+    x = df.select(id_col, normalize_text(seq_col).alias("_t"))
     x = x.select(id_col, char_array("_t", normalized=True).alias("_chars"))
-    ex = x.select(id_col, F.explode(kmer_array("_chars", lo, hi)).alias("kmer"))
-    return ex.groupBy(id_col, "kmer").agg(F.count(F.lit(1)).alias("n"))
+    x = x.select(id_col, F.sort_array(kmer_array("_chars", lo, hi)).alias("_k"))
+    k = F.col("_k")
+    first = lambda v, i: F.coalesce(v != F.get(k, i - 1), F.lit(True))
+    at = F.filter(F.transform(k, lambda v, i: F.when(first(v, i), i)), lambda i: i.isNotNull())
+    x = x.select(id_col, "_k", at.alias("_at"), F.size(k).alias("_n"))
+    each = F.transform(
+        F.col("_at"),
+        lambda i, j: F.struct(F.get(k, i).alias("kmer"), (F.coalesce(F.get(F.col("_at"), j + 1), F.col("_n")) - i).cast("long").alias("n")),
+    )
+    return x.select(id_col, F.explode(each).alias("_e")).select(id_col, "_e.kmer", "_e.n")
 
 
 def kmer_vocabulary(counts: DataFrame) -> DataFrame:
@@ -89,12 +87,6 @@ def class_weights(df: DataFrame, label_col: str = "label") -> DataFrame:
     return counts.select(label_col, "count", (n / (k * F.col("count"))).alias("weight"))
 
 
-def with_class_weights(df: DataFrame, label_col: str = "label", weight_col: str = "weight") -> DataFrame:
-    """Per-row weight column via a join on the (class-sized) weight table."""
-    w = class_weights(df, label_col).select(label_col, F.col("weight").alias(weight_col))
-    return df.join(w, label_col)
-
-
 def index_labels(df: DataFrame, label_col: str = "label") -> DataFrame:
     """C14: label value -> class index in sorted label order (0-based)."""
     labels = df.select(F.col(label_col).cast("string").alias("_l")).distinct()

@@ -8,6 +8,7 @@ from scorewell.functions.sequence import gc_content, seq_length
 from scorewell.operators import features as FT
 from scorewell.plans import views as V
 from scorewell.plans.catalog import register
+from scorewell.session import materialize
 from scorewell.sources.tables import fold_split, read_table
 
 SEQ = V.with_views("seq")
@@ -59,50 +60,64 @@ def kmer_counts_query(spark, sf_dir):
 
 @register(
     "kmer_counts_documents",
-    "with " + _kmer_sql("documents", "doc_id", "text", 3, 4)
+    "with " + _kmer_sql("documents", "doc_id", "text", 3, 6)
     + """
 , per as (select id, kmer, count(*) as n from km group by id, kmer)
 select kmer, cast(count(*) as bigint) as n_docs, cast(sum(n) as bigint) as total from per group by kmer
 """,
 )
 def kmer_counts_documents_query(spark, sf_dir):
-    """C3 at volume: k = 3..4 over every whole document, summarised per k-mer."""
-    c = FT.kmer_counts(_docs(spark, sf_dir), "doc_id", "text", 3, 4)
+    """C3 at volume: k = 3..6 over every whole document, summarised per k-mer."""
+    c = FT.kmer_counts(_docs(spark, sf_dir), "doc_id", "text", 3, 6)
     return c.groupBy("kmer").agg(
         F.count(F.lit(1)).cast("long").alias("n_docs"), F.sum("n").cast("long").alias("total")
     )
 
 
+DOC_SEQ = "select doc_id as row_id, text as sequence, cast(doc_id % 10 as integer) as fold_id from documents"
+
+
+def _doc_seq(spark, sf_dir):
+    """Whole documents as the sequence table (row_id, sequence, fold_id)."""
+    return _docs(spark, sf_dir).select(
+        F.col("doc_id").alias("row_id"), F.col("text").alias("sequence"), (F.col("doc_id") % 10).cast("int").alias("fold_id")
+    )
+
+
 @register(
     "kmer_vocabulary",
-    SEQ.rstrip() + ",\n" + _kmer_sql("(select * from seq where fold_id <> 0)", "row_id", "sequence", 2, 3)
+    f"with seq as ({DOC_SEQ}),\n" + _kmer_sql("(select * from seq where fold_id <> 0)", "row_id", "sequence", 3, 6)
     + "select kmer, cast(row_number() over (order by kmer) - 1 as integer) as idx from (select distinct kmer from km) v",
 )
 def kmer_vocabulary_query(spark, sf_dir):
-    """C4: sorted vocabulary of the training rows (k = 2..3)."""
-    train, _ = fold_split(V.seq(spark, sf_dir), 0)
-    return FT.kmer_vocabulary(FT.kmer_counts(train, "row_id", "sequence", 2, 3))
+    """C4: sorted vocabulary of the training documents (k = 3..6, whole texts)."""
+    train, _ = fold_split(_doc_seq(spark, sf_dir), 0)
+    return FT.kmer_vocabulary(FT.kmer_counts(train, "row_id", "sequence", 3, 6))
 
 
 @register(
     "kmer_vectorize",
-    SEQ.rstrip() + ",\n" + _kmer_sql("seq", "row_id", "sequence", 2, 3)
+    f"with seq as ({DOC_SEQ}),\n" + _kmer_sql("seq", "row_id", "sequence", 3, 6)
     + """
 , vocab as (select distinct kmer from km join seq on km.id = seq.row_id where seq.fold_id <> 0)
 , vocab_i as (select kmer, row_number() over (order by kmer) - 1 as idx from vocab)
 , per as (select id, kmer, count(*) as n from km group by id, kmer)
 , known as (select id, count(*) as nnz, sum(n) as total, sum(idx) as idx_sum from per join vocab_i using (kmer) group by id)
-select row_id, cast(coalesce(nnz, 0) as integer) as nnz, coalesce(total, 0) as total,
+select row_id, cast(coalesce(nnz, 0) as integer) as nnz, cast(coalesce(total, 0) as double) as total,
        cast(coalesce(idx_sum, 0) as bigint) as idx_sum
 from seq left join known on seq.row_id = known.id
 """,
 )
 def kmer_vectorize_query(spark, sf_dir):
-    """Vocabulary fitted on train rows, every row vectorized (unseen k-mers ignored)."""
-    s = V.seq(spark, sf_dir)
-    train, _ = fold_split(s, 0)
-    vocab = FT.kmer_vocabulary(FT.kmer_counts(train, "row_id", "sequence", 2, 3))
-    vec = FT.kmer_vectorize(FT.kmer_counts(s, "row_id", "sequence", 2, 3), vocab, s, "row_id")
+    """Vocabulary fitted on train rows, every row vectorized (unseen k-mers ignored).
+
+    The k-mers of all rows are extracted and counted once; the vocabulary is a
+    filter of that table.
+    """
+    s = _doc_seq(spark, sf_dir)
+    counts = materialize(FT.kmer_counts(s, "row_id", "sequence", 3, 6), "kmer-counts")
+    train, _ = fold_split(counts.withColumn("fold_id", (F.col("row_id") % 10).cast("int")), 0)
+    vec = FT.kmer_vectorize(counts, FT.kmer_vocabulary(train), s, "row_id")
     return vec.select(
         "row_id",
         F.size("indices").cast("int").alias("nnz"),
