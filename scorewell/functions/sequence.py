@@ -67,3 +67,28 @@ def kmer_array(chars, lo: int, hi: int) -> Column:
     chars = _col(chars)
     parts = [kmers_of_size(chars, n) for n in range(lo, hi + 1)]
     return parts[0] if len(parts) == 1 else F.concat(*parts)
+
+
+def sequence_sql(seq_col: str, lo: int, hi: int) -> dict[str, str]:
+    """C1-C3 as SQL text, for pipeline stages that are saved (the same rules as the columns above).
+
+    ``kmers`` reads a column ``_chars`` made from ``chars`` in an earlier projection.
+    """
+    if lo < 1 or hi < lo:
+        raise ValueError(f"bad k-mer range {lo}..{hi}")
+    run = WHITESPACE_RUN.replace("\\", "\\\\")
+    text = f"regexp_replace(lower({seq_col}), '{run}', ' ')"
+    none = "CAST(array() AS array<string>)"
+    parts = [
+        f"CASE WHEN size(_chars) >= {n} THEN transform(sequence(1, size(_chars) - {n - 1}), "
+        f"i -> array_join(slice(_chars, i, {n}), '')) ELSE {none} END"
+        for n in range(lo, hi + 1)
+    ]
+    up = f"upper({seq_col})"
+    return {
+        "chars": f"CASE WHEN length({text}) = 0 THEN {none} ELSE split({text}, '') END",
+        "kmers": parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})",
+        "gc": f"CAST((2 * length({up}) - length(replace({up}, 'G', '')) - length(replace({up}, 'C', ''))) "
+              f"/ greatest(length({up}), 1) AS DOUBLE)",
+        "length": f"CAST(length({seq_col}) AS DOUBLE)",
+    }

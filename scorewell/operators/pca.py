@@ -1,108 +1,137 @@
-"""C11 for wide matrices: randomized PCA as distributed passes over row blocks.
-
-``ml.feature.PCA`` forms the d x d covariance on the driver (19,264 genes ->
-~1.5 GB).  This range finder never builds it:
-
-1. mean vector mu (Summarizer, one pass);
-2. Y = (X - mu) Omega for a seeded Gaussian Omega (d x l, l = k + oversample),
-   G = Y'Y summed per partition -> Q = Y R^-1 with G = R'R (Cholesky-QR);
-3. q power iterations: Z = (X - mu)' Q (d x l), summed per partition, then
-   Y = (X - mu) Z and re-orthonormalize;
-4. B = Q'(X - mu) (l x d); SVD of the small B on the driver gives the top-k
-   directions V (d x k) and variances sigma^2 / (n - 1).
-
-Every pass is ``mapInPandas`` over row blocks emitting one partial matrix per
-task, flattened and summed by position with ``groupBy`` (a distributed reduce);
-the driver only ever holds d x l and l x l matrices.  Signs of components are
-arbitrary, as with any PCA.
+"""C11: principal components of a vector column, one method for every width.
+
+``ml.feature.PCA`` forms the d x d covariance on the driver (19,264 genes -> about
+3 GB).  This block Krylov method never does: with the centred rows C'C = (X -
+mu)'(X - mu), each pass multiplies one block of l = min(n, d, 2k + 10) directions
+by C'C, adds the result to an orthonormal basis, and solves the small projected
+eigenproblem (Rayleigh-Ritz).  It ends when the residual |C'C v - lambda v| of all
+k vectors is below TOLERANCE of the largest lambda, so the result is the same
+(to that tolerance) whatever the width, and a pass more costs one scan.
+
+A pass is one Arrow batch function: every task emits one d x l partial sum, these
+are added in groups of about the square root of their number, and the driver adds
+the groups' sums.  The driver holds d x (BLOCKS * l) numbers, the broadcast is d x
+l.  The input is written once before the passes.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import pyarrow as pa
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _as_matrix(pdf: pd.DataFrame) -> np.ndarray:
-    return np.stack(pdf["_x"].to_numpy()) if len(pdf) else np.zeros((0, 0))
-
-
-def _sum_partials(df: DataFrame, fn, shape: tuple[int, int]) -> np.ndarray:
-    """Run ``fn(block) -> partial matrix`` per task and sum the partials by position."""
-    size = shape[0] * shape[1]
-
-    def per_task(it):
-        acc = None
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            part = fn(_as_matrix(pdf))
-            acc = part if acc is None else acc + part
-        if acc is not None:
-            flat = acc.reshape(-1)
-            # emit in chunks so no single row is huge
-            step = 65536
-            for start in range(0, size, step):
-                yield pd.DataFrame({"pos": [start], "vals": [flat[start : start + step].tolist()]})
-
-    parts = df.mapInPandas(per_task, "pos long, vals array<double>")
-    exploded = parts.select(F.posexplode("vals").alias("off", "v"), "pos").select(
-        (F.col("pos") + F.col("off")).alias("i"), "v"
-    )
-    summed = exploded.groupBy("i").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(size)
-    for r in summed:
-        out[r["i"]] = r["v"]
+from scorewell.session import materialize
+
+TOLERANCE = 1e-10
+BLOCKS = 8  # blocks in the basis before it is restarted from its best vectors
+MAX_PASSES = 500
+
+
+def _rows(batch: pa.RecordBatch) -> np.ndarray:
+    flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(batch.num_rows, -1)
+
+
+def _tree_sum(x: DataFrame, partial, shape: tuple[int, int]) -> np.ndarray:
+    """The sum over all row blocks of ``partial(block)``, added in two levels."""
+
+    def per_task(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                part = partial(_rows(batch))
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f8").tobytes()], pa.binary())], ["m"])
+
+    def add(batches):
+        total = None
+        for batch in batches:
+            for m in batch.column(0):
+                part = np.frombuffer(m.as_buffer(), "<f8")
+                total = part.copy() if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["m"])
+
+    groups = math.isqrt(int(x.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))) + 1
+    # keyed by the task, so a task that runs again sends its sum to the same group
+    parts = x.mapInArrow(per_task, "m binary").withColumn("_t", F.spark_partition_id())
+    sums = parts.repartition(groups, "_t").sortWithinPartitions("_t").select("m").mapInArrow(add, "m binary")
+    out = np.zeros(shape[0] * shape[1])
+    for r in sums.collect():  # at most ``groups`` rows
+        out += np.frombuffer(r["m"], "<f8")
     return out.reshape(shape)
 
 
-def randomized_pca(
-    df: DataFrame, in_col: str, k: int, oversample: int = 10, power_iters: int = 2, seed: int = 42
+def _orthonormal(block: np.ndarray, basis: np.ndarray | None) -> np.ndarray:
+    """Orthonormal columns that span what ``block`` adds to ``basis``."""
+    start = np.linalg.norm(block, axis=0).max()
+    for _ in range(2):
+        if basis is not None:
+            block = block - basis @ (basis.T @ block)
+    u, s, _ = np.linalg.svd(block, full_matrices=False)
+    q = u[:, s > 1e-12 * max(start, 1e-300)]
+    if basis is not None:
+        q = q - basis @ (basis.T @ q)
+    return np.linalg.qr(q)[0] if q.shape[1] else q
+
+
+def principal_components(
+    df: DataFrame, in_col: str, k: int, seed: int = 42
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(components d x k, explained variance k, mean d) of the vector column."""
+    """(components d x k, explained variance k, mean d) of the vector column.
+
+    ``k`` is at most the number of rows and of columns.  Components are unit
+    vectors whose largest entry is positive.
+    """
     spark = df.sparkSession
-    x = df.select(vector_to_array(in_col).alias("_x"))
-    stats = x.select(F.count(F.lit(1)).alias("n"), F.size(F.first("_x")).alias("d")).first()
-    n, d = int(stats["n"]), int(stats["d"])
+    x = materialize(df.select(vector_to_array(in_col).alias("_x")), "pca-rows")
+    head = x.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_x")).alias("d")).first()
+    n, d = int(head["n"]), int(head["d"] or 0)
+    if not n or not d:
+        raise ValueError("PCA needs at least one row and one column")
     k = max(1, min(k, n, d))
-    ell = min(k + oversample, n, d)
-    mean = _sum_partials(x, lambda m: m.sum(axis=0, keepdims=True), (1, d))[0] / max(n, 1)
-    omega = np.random.default_rng(seed).standard_normal((d, ell))
-    b_mu = spark.sparkContext.broadcast(mean)
-
-    def orthonormal_basis(mat: np.ndarray) -> np.ndarray:
-        b_m = spark.sparkContext.broadcast(mat)
-        g = _sum_partials(x, lambda m: ((m - b_mu.value) @ b_m.value).T @ ((m - b_mu.value) @ b_m.value), (ell, ell))
-        # Cholesky-QR; a tiny ridge keeps it defined if Y is rank deficient
-        r = np.linalg.cholesky(g + 1e-12 * np.trace(g) * np.eye(ell)).T
-        return mat @ np.linalg.inv(r)  # Q = (X - mu) mat R^-1, represented through mat
-
-    w = orthonormal_basis(omega)  # Q = (X - mu) w
-    for _ in range(power_iters):
-        b_w = spark.sparkContext.broadcast(w)
-        z = _sum_partials(x, lambda m: (m - b_mu.value).T @ ((m - b_mu.value) @ b_w.value), (d, ell))
-        w = orthonormal_basis(z)
-    b_w = spark.sparkContext.broadcast(w)
-    bt = _sum_partials(x, lambda m: (m - b_mu.value).T @ ((m - b_mu.value) @ b_w.value), (d, ell))  # = B'
-    _, s, vt = np.linalg.svd(bt.T, full_matrices=False)
-    comps = vt[:k].T
-    var = (s[:k] ** 2) / max(n - 1, 1)
-    return comps, var, mean
-
-
-def project(df: DataFrame, in_col: str, out_col: str, components: np.ndarray) -> DataFrame:
-    """x -> x V (no centring, like ``PCAModel.transform``), batch-wise in Arrow."""
-    spark = df.sparkSession
-    b_v = spark.sparkContext.broadcast(components)
-
-    @F.pandas_udf("array<double>")
-    def proj(col: pd.Series) -> pd.Series:
-        if len(col) == 0:
-            return pd.Series([], dtype=object)
-        m = np.stack(col.to_numpy())
-        return pd.Series(list(m @ b_v.value))
-
-    return df.withColumn(out_col, array_to_vector(proj(vector_to_array(in_col))))
+    width = min(n, d, 2 * k + 10)
+    mean = _tree_sum(x, lambda m: m.sum(axis=0, keepdims=True), (1, d))[0] / n
+    shared = spark.sparkContext.broadcast(mean)
+
+    def times(block: np.ndarray) -> np.ndarray:
+        """(X - mu)'(X - mu) block: one pass over the rows."""
+        sent = spark.sparkContext.broadcast(block)
+
+        def partial(m):
+            c = m - shared.value
+            return c.T @ (c @ sent.value)
+
+        out = _tree_sum(x, partial, block.shape)
+        sent.destroy()
+        return out
+
+    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, width)))[0]
+    image = times(basis)
+    for _ in range(MAX_PASSES):
+        t = basis.T @ image
+        values, vectors = np.linalg.eigh((t + t.T) / 2)
+        best = np.argsort(-values)
+        values, vectors = values[best], vectors[:, best]
+        ritz, moved = basis @ vectors, image @ vectors
+        residual = np.linalg.norm(moved[:, :k] - ritz[:, :k] * values[:k], axis=0)
+        if residual.max() <= TOLERANCE * max(values[0], 1e-300):
+            break
+        if basis.shape[1] + width > BLOCKS * width:
+            basis, image = ritz[:, :width], moved[:, :width]
+        # the residuals of the leading vectors point out of the basis
+        more = _orthonormal((moved - ritz * values)[:, :width], basis)
+        if not more.shape[1]:
+            break
+        basis, image = np.hstack([basis, more]), np.hstack([image, times(more)])
+    else:
+        raise RuntimeError(f"PCA did not converge in {MAX_PASSES} passes")
+    shared.destroy()
+    comps = ritz[:, :k]
+    comps = comps * np.sign(comps[np.abs(comps).argmax(axis=0), np.arange(k)])
+    return comps, np.maximum(values[:k], 0) / max(n - 1, 1), mean

@@ -1,8 +1,9 @@
-"""D5 cross_validate, G4 tune, G9 ensemble_cv, G1-G3 planning, A8/A9 model I/O, K1.
+"""D5 cross_validate, G3 search, G4 tune, G9 ensemble_cv, A8/A9 model I/O.
 
-The driver holds only the loop over splits / trials / experiments; every fit
-and every score is a Spark job.  Per-split predictions are unioned and scored
-in ONE grouped aggregate (metrics grouped by ``split``), not one job per split.
+The driver holds only the loop over splits and trials; every fit and every score
+is a Spark job.  The predictions of all splits are written once as one narrow
+table (split, id, p, y), which the metrics of all splits read in ONE grouped
+aggregate and an ensemble reads again.
 """
 
 from __future__ import annotations
@@ -10,10 +11,9 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-import time
-from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -28,12 +28,9 @@ from scorewell.operators.folds import (
     kfold,
     stratified_kfold,
 )
-from scorewell.plans.estimators import REGISTRY, Fitted, Param, Roles, Spec, get_spec
-
-# --------------------------------------------------------------------------
-# splits (D1-D4 wired together, as the reference's splitter chooses)
-# --------------------------------------------------------------------------
-
+from scorewell.plans.estimators import Fitted, Param, Roles, Spec, get_spec
+from scorewell.session import materialize
+from scorewell.sources.tables import fold_split
 
 MAX_CONCURRENT_FITS = 3  # one per CV split
 MAX_CONCURRENT_TRIALS = 2  # tuning trials in flight at once
@@ -41,7 +38,7 @@ MAX_CONCURRENT_TRIALS = 2  # tuning trials in flight at once
 
 @dataclass
 class Splits:
-    """Split definition: validate where ``col`` == value, train on the rest."""
+    """Split definition: validate where ``col`` == value, train on the rest (null-safe)."""
 
     frame: DataFrame  # input rows with the split column attached
     col: str
@@ -66,46 +63,47 @@ def primary_metric(task: str) -> str:
 
 
 def score_splits(preds: DataFrame, task: str) -> DataFrame:
-    """Per-split primary metric from a union of (split, p, y) rows — one job."""
+    """Per-split primary metric from (split, p, y) rows; null where a row has no prediction."""
     if task == "regression":
         m = M.regression_metrics(preds, "p", "y", ["split"])
     else:
-        m = M.classification_metrics(preds, "p", "y", ["split"])
+        text = preds.withColumn("y", F.col("y").cast("string")).withColumn("p", F.col("p").cast("string"))
+        m = M.classification_metrics(text, "p", "y", ["split"])
     return m.select("split", F.col(primary_metric(task)).alias("score"))
 
 
-def split_predictions(
-    spec: Spec, splits: Splits, roles: Roles, config: dict | None
-) -> DataFrame:
-    """Fit on each split's train rows, predict its validation rows; union tagged by split.
+def split_predictions(spec: Spec, splits: Splits, roles: Roles, config: dict | None) -> DataFrame:
+    """Fit on each split's train rows, predict its validation rows: (split, id, p, y), written once.
 
-    The split fits are independent Spark jobs, submitted concurrently from a
-    small thread pool (the scheduler interleaves their tasks on the executors).
+    What a row contributes whatever the split (k-mers of a text) is computed once
+    for all splits.  The fits are independent Spark jobs, submitted concurrently
+    from a small thread pool.
     """
+    whole, ready = spec.prepare(splits.frame, config, roles)
+    whole = whole.persist()
 
     def one(i: int, v) -> DataFrame:
-        train = splits.frame.where(F.col(splits.col) != F.lit(v))
-        val = splits.frame.where(F.col(splits.col) == F.lit(v))
-        fitted = spec.fit(train, config, roles)
-        p = spec.predict(fitted, val).withColumnRenamed("prediction", "p")
+        train, val = fold_split(whole, v, splits.col)
+        p = ready.predict(ready.fit(train, config, roles), val).withColumnRenamed("prediction", "p")
         y = val.select(roles.id_col, F.col(roles.label_col).alias("y"))
-        return p.join(y, roles.id_col).withColumn("split", F.lit(i))
+        return y.join(p, roles.id_col, "left").select(F.lit(i).alias("split"), roles.id_col, "p", "y")
 
-    with ThreadPoolExecutor(max_workers=max(1, min(len(splits.values), MAX_CONCURRENT_FITS))) as pool:
-        parts = list(pool.map(lambda iv: one(*iv), enumerate(splits.values)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, min(len(splits.values), MAX_CONCURRENT_FITS))) as pool:
+            parts = list(pool.map(lambda iv: one(*iv), enumerate(splits.values)))
+        return materialize(reduce(DataFrame.unionByName, parts), "split-predictions")
+    finally:
+        whole.unpersist()
+
+
+def mean_score(preds: DataFrame, task: str) -> float:
+    """F11 on split predictions: mean primary metric over splits (NaN or not scorable -> 0)."""
+    return float(M.cv_scores(score_splits(preds, task), "score").first()["cv_score"])
 
 
 def cross_validate(spec: Spec, splits: Splits, roles: Roles, task: str, config: dict | None = None) -> float:
-    """Mean primary metric over splits (NaN -> 0)."""
-    preds = split_predictions(spec, splits, roles, config)
-    if task == "classification":
-        preds = preds.withColumn("y", F.col("y").cast("string")).withColumn("p", F.col("p").cast("string"))
-    scores = M.cv_scores(score_splits(preds, task), "score")
-    return float(scores.first()["cv_score"])
+    """D5."""
+    return mean_score(split_predictions(spec, splits, roles, config), task)
 
 
 # --------------------------------------------------------------------------
@@ -141,145 +139,60 @@ def sample_trials(spec: Spec, n: int, seed: int = 42) -> list[dict]:
     return [spec.config(sample_config(spec.space, t, seed)) for t in range(n)]
 
 
-def tune(spec: Spec, splits: Splits, roles: Roles, task: str, n_trials: int, seed: int = 42) -> tuple[dict, float, list]:
-    """CV every sampled config; keep the best (first wins ties).
+def trial_scores(spec: Spec, splits: Splits, roles: Roles, task: str, n_trials: int, seed: int = 42) -> DataFrame:
+    """G4 as a table: (trial, config, score), the score from the trials' split predictions.
 
-    Trials are independent, so a few run concurrently (each one already fits
-    its splits concurrently); results keep trial order for the tie rule.
+    The trials' predictions are written as they are made; all are scored together
+    in one grouped aggregate.
     """
     configs = sample_trials(spec, n_trials, seed)
-    with ThreadPoolExecutor(max_workers=max(1, min(len(configs), MAX_CONCURRENT_TRIALS))) as pool:
-        scores = list(pool.map(lambda cfg: cross_validate(spec, splits, roles, task, cfg), configs))
-    results = [(t, cfg, sc) for t, (cfg, sc) in enumerate(zip(configs, scores))]
-    best_t, best_cfg, best_score = results[0]
-    for t, cfg, sc in results[1:]:
-        if sc > best_score:
-            best_t, best_cfg, best_score = t, cfg, sc
-    return best_cfg, best_score, results
-
 
-# --------------------------------------------------------------------------
-# G1 / G2 planning
-# --------------------------------------------------------------------------
-
-# Budget tiers (max models, trials per model, ensemble).
-BUDGETS = {"fast": (2, 10, False), "standard": (3, 30, True), "thorough": (5, 60, True)}
+    def one(t: int) -> DataFrame:
+        return split_predictions(spec, splits, roles, configs[t]).withColumn("trial", F.lit(t))
 
+    with ThreadPoolExecutor(max_workers=max(1, min(n_trials, MAX_CONCURRENT_TRIALS))) as pool:
+        preds = reduce(DataFrame.unionByName, list(pool.map(one, range(n_trials))))
+    # a split of a trial is a group of its own
+    k = len(splits.values)
+    scored = score_splits(preds.withColumn("split", F.col("trial") * k + F.col("split")), task)
+    scores = M.cv_scores(scored.withColumn("trial", F.expr(f"split div {k}").cast("int")), "score", ["trial"])
+    spark = preds.sparkSession
+    named = spark.createDataFrame([(t, json.dumps(c, sort_keys=True)) for t, c in enumerate(configs)], "trial int, config string")
+    return scores.select("trial", F.col("cv_score").alias("score")).join(named, "trial")
 
-def candidate_pipelines(data_type: str, task: str, registry: list[Spec] | None = None) -> list[Spec]:
-    """G1: registered pipelines for (data type, task) in registration order,
-    else the tabular ones of the same task, else an error."""
-    reg = REGISTRY if registry is None else registry
-    c = [s for s in reg if data_type in s.data_types and task in s.task_types]
-    if not c:
-        c = [s for s in reg if "dataframe_tabular" in s.data_types and task in s.task_types]
-    if not c:
-        raise ValueError(f"No pipelines available for data_type={data_type}, task_type={task}")
-    if data_type == "dataframe_sequence" and "dataframe_sequence" not in c[0].data_types:
-        raise ValueError("sequence classification has no pipeline: tabular pipelines cannot read text columns")
-    return c
 
-
-@dataclass
-class Planned:
-    name: str
-    spec: Spec
-    tune: bool
-    trials: int
-    ordinal: int
-
-
-@dataclass
-class Plan:
-    experiments: list[Planned] = field(default_factory=list)
-    do_ensemble: bool = False
-
-
-def experiment_plan(data_type: str, task: str, budget: str = "fast") -> Plan:
-    """Baseline (first candidate, defaults) + one tuned run per candidate up to max models."""
-    max_models, trials, ensemble = BUDGETS[budget]
-    cands = candidate_pipelines(data_type, task)
-    exps = [Planned(f"baseline_{cands[0].name}", cands[0], False, 0, 0)]
-    for i, s in enumerate(cands[:max_models]):
-        exps.append(Planned(f"tuned_{s.name}", s, True, trials, i + 1))
-    return Plan(exps, ensemble)
+def tune(spec: Spec, splits: Splits, roles: Roles, task: str, n_trials: int, seed: int = 42) -> tuple[dict, float]:
+    """G4 + G5: the config with the highest score (the first wins ties) and that score."""
+    trials = trial_scores(spec, splits, roles, task, n_trials, seed)
+    best = SE.select_best(trials.select(F.col("trial").alias("ordinal"), F.col("score").alias("value"), "config")).first()
+    return json.loads(best["config"]), float(best["value"])
 
 
 # --------------------------------------------------------------------------
-# G9 ensemble CV and the experiment table
+# G9 ensemble
 # --------------------------------------------------------------------------
 
 
-def ensemble_cv(
-    members: list[tuple[Spec, dict]], splits: Splits, roles: Roles, task: str
-) -> float:
-    """Refit every member per split, combine (mean / vote), score, average."""
-    preds = []
-    for m, (spec, cfg) in enumerate(members):
-        p = split_predictions(spec, splits, roles, cfg).withColumn("member", F.lit(m))
-        preds.append(p)
-    allp = preds[0]
-    for p in preds[1:]:
-        allp = allp.unionByName(p)
-    key = F.concat_ws("|", F.col("split").cast("string"), F.col(roles.id_col).cast("string"))
-    allp = allp.withColumn("_key", key)
+def combined(preds: DataFrame, keys: list[str], task: str) -> DataFrame:
+    """G7 / G8 on rows (keys, p[, y]) of several members: mean or majority, one row per key."""
+    carry = [F.max("y").alias("y")] if "y" in preds.columns else []
     if task == "regression":
-        comb = SE.ensemble_mean(allp, "_key", "p")
-    else:
-        comb = SE.ensemble_vote(allp.withColumn("p", F.col("p").cast("string")), "_key", "p")
-    truth = allp.select("_key", "split", "y").dropDuplicates(["_key"])
-    joined = comb.join(truth, "_key")
-    if task == "classification":
-        joined = joined.withColumn("y", F.col("y").cast("string"))
-    return float(M.cv_scores(score_splits(joined, task), "score").first()["cv_score"])
+        # a member without a prediction leaves the row without one
+        p = F.when(F.count("p") == F.count(F.lit(1)), F.avg("p"))
+        return preds.groupBy(*keys).agg(p.alias("p"), *carry)
+    votes = preds.groupBy(*keys, F.col("p").cast("string").alias("p")).agg(F.count(F.lit(1)).alias("_n"), *carry)
+    first = F.struct((-F.col("_n")).alias("neg"), F.col("p"))
+    return votes.groupBy(*keys).agg(F.min_by("p", first).alias("p"), *carry)
 
 
-@dataclass
-class Result:
-    name: str
-    pipeline: str
-    config: dict
-    value: float
-    ordinal: int
-    duration: float
-
-
-def experiments_frame(spark: SparkSession, results: list[Result], metric: str) -> DataFrame:
-    """G10 table (one row per experiment) from the driver-held run summaries."""
-    rows = [
-        (r.name, r.pipeline, json.dumps(r.config, sort_keys=True, default=str), metric, float(r.value), r.ordinal, float(r.duration))
-        for r in results
-    ]
-    schema = "experiment string, pipeline string, config string, metric string, value double, ordinal int, duration double"
-    return spark.createDataFrame(rows, schema)
-
-
-def run_plan(df: DataFrame, roles: Roles, data_type: str, task: str, budget: str = "fast", seed: int = 42,
-             trials_override: int | None = None, log: Callable[[str], None] | None = None) -> list[Result]:
-    """Execute a plan: CV / tune each experiment, then the top-2 ensemble."""
-    plan = experiment_plan(data_type, task, budget)
-    splits = make_splits(df, roles, task, seed)
-    splits.frame.cache()
-    results: list[Result] = []
-    try:
-        for e in plan.experiments:
-            t0 = time.time()
-            if e.tune and e.trials:
-                cfg, score, _ = tune(e.spec, splits, roles, task, trials_override or e.trials, seed)
-            else:
-                cfg = e.spec.config()
-                score = cross_validate(e.spec, splits, roles, task, cfg)
-            results.append(Result(e.name, e.spec.name, cfg, score, len(results), time.time() - t0))
-            if log:
-                log(f"{e.name}: {score:.4f}")
-        if plan.do_ensemble and len(results) >= 2:
-            top = sorted(results, key=lambda r: (-r.value, r.ordinal))[:2]
-            t0 = time.time()
-            score = ensemble_cv([(get_spec(r.pipeline), r.config) for r in top], splits, roles, task)
-            results.append(Result("ensemble", "ensemble", {"components": [r.name for r in top]}, score, len(results), time.time() - t0))
-    finally:
-        splits.frame.unpersist()
-    return results
+def ensemble_predictions(members: list[tuple[Spec, dict | None]], splits: Splits, roles: Roles, task: str) -> DataFrame:
+    """Refit every member per split and combine: (split, id, p, y)."""
+    parts = [split_predictions(spec, splits, roles, cfg) for spec, cfg in members]
+    return combined(reduce(DataFrame.unionByName, parts), ["split", roles.id_col], task)
+
+
+def ensemble_cv(members: list[tuple[Spec, dict | None]], splits: Splits, roles: Roles, task: str) -> float:
+    return mean_score(ensemble_predictions(members, splits, roles, task), task)
 
 
 # --------------------------------------------------------------------------
@@ -288,7 +201,7 @@ def run_plan(df: DataFrame, roles: Roles, data_type: str, task: str, budget: str
 
 
 def save_model(fitted: Fitted, path: str) -> None:
-    """Persist the fitted pipeline (JVM stages only)."""
+    """Persist the fitted pipeline."""
     fitted.model.write().overwrite().save(path)
 
 
@@ -296,30 +209,10 @@ def load_model(path: str, id_col: str, spec: str = "") -> Fitted:
     return Fitted(PipelineModel.load(path), id_col, spec)
 
 
-# Fixed value: columns the batch predictor never treats as features.
-NON_FEATURE = {"labels", "label", "fold_id"}
-
-
 def batch_predict(fitted: Fitted, df: DataFrame) -> DataFrame:
     """Apply a saved model to new rows; input keeps its columns plus ``predictions``."""
     out = fitted.model.transform(df)
-    keep = [c for c in df.columns] + [F.col("prediction").alias("predictions")]
-    return out.select(*keep)
-
-
-# --------------------------------------------------------------------------
-# K1 dataset registry
-# --------------------------------------------------------------------------
-
-DATASETS: dict[str, dict] = {}
-
-
-def register_dataset(name: str, loader: Callable, evaluate: Callable, primary: str, data_type: str) -> None:
-    """K1: ``loader(spark, fold) -> (train, test)``, ``evaluate(preds, targets) -> metrics frame``."""
-    DATASETS[name.replace("-", "_")] = {"load": loader, "evaluate": evaluate, "primary_metric": primary, "data_type": data_type}
-
-
-__all__ = ["Fitted", "Roles", "get_spec"]
+    return out.select(*df.columns, F.col("prediction").alias("predictions"))
 
 
 def save_expression_model(fitted: Fitted, genes: DataFrame, path: str) -> None:
@@ -341,3 +234,6 @@ def batch_predict_expression(spark: SparkSession, fitted: Fitted, genes: DataFra
 
     cells, _ = read_expression(spark, coo, obs, normalize=True, genes=genes)
     return batch_predict(fitted, cells)
+
+
+__all__ = ["Fitted", "Roles", "get_spec"]

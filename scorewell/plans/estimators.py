@@ -1,31 +1,34 @@
 """E1-E12 (+C6-C8, C11 stages, C13/C14 wiring, K2 registry).
 
 Each pipeline spec turns a training DataFrame and a config into a fitted
-``PipelineModel`` of JVM stages (SQLTransformer, CountVectorizer,
-VectorAssembler, scalers, PCA, Spark ML models, IndexToString), so fitting and
-prediction run in executors and the model saves/loads with
-``PipelineModel.write``.  The one exception is E5's calibrated fold ensemble,
-a Python stage made of Column arithmetic (transforms, but is not saved).
+``PipelineModel``, so fitting and prediction run in executors and every model
+saves and loads with ``PipelineModel.write``.  All stages are JVM stages but E5's
+calibrated margins (Column arithmetic with its weights as a saved parameter).
 
 Objective mapping to the reference's models (see SURVEY §2 E):
 * ridge / elastic net: Spark's penalty depends on the label's std, so the label
-  is divided by its std s before fitting and predictions multiplied back
-  (population std for the one-pass normal-equation solver used up to 4,096
-  features, sample std for L-BFGS above); ridge regParam = alpha / n, elastic
-  net a1 = alpha*l1/s, a2 = alpha*(1-l1), regParam = a1 + a2,
-  elasticNetParam = a1 / (a1 + a2).
+  is divided by its sample std s before fitting and predictions multiplied back;
+  ridge regParam = alpha / n, elastic net a1 = alpha*l1/s, a2 = alpha*(1-l1),
+  regParam = a1 + a2, elasticNetParam = a1 / (a1 + a2).  One solver (L-BFGS, or
+  OWL-QN with an L1 part, run to a relative change of 1e-14) for every width.
 * logistic: regParam = 1 / (C * sum of weights) with 'balanced' weights.
 Documented gaps (no Spark equivalent): boosting has no L2 leaf penalty, the
 SVM uses hinge not squared hinge (its sigmoid calibration is rebuilt), the MLP
-uses sigmoid units without L2 / early stopping.
+uses sigmoid units without L2, step size or early stopping.  Settings that so have
+no effect are not in the search spaces; a config that names one gets a warning.
 """
 
 from __future__ import annotations
 
+import copy
+import json
 import math
+import uuid
+import warnings
 from dataclasses import dataclass, field
 
-from pyspark.ml import Estimator, PipelineModel, Transformer  # noqa: F401
+from pyspark.ml import Estimator, PipelineModel, Transformer
+from pyspark.ml.common import _py2java
 from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
@@ -35,68 +38,63 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import (
-    PCA,
     CountVectorizer,
     ElementwiseProduct,
     IndexToString,
+    PCAModel,
     SQLTransformer,
-    StandardScaler,
+    StandardScalerModel,
     StringIndexer,
     VectorAssembler,
 )
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import DenseMatrix, Vectors
+from pyspark.ml.param import Param as MLParam
+from pyspark.ml.param import Params, TypeConverters
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.stat import Summarizer
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorewell.functions.sequence import sequence_sql
 from scorewell.operators.features import class_weights
-from scorewell.operators.pca import randomized_pca
+from scorewell.operators.pca import principal_components
 
 FEATURES = "_features"  # internal model input column (inputs may carry "features")
 PREDICTION = "prediction"
-MAX_VOCAB = 1 << 30  # no practical cap: the vocabulary is every training k-mer
+#: Most training k-mers a linear model may have as columns.  The vocabulary and the
+#: coefficients live on the driver and in every task, so more raises an error.
+MAX_VOCAB = 1 << 23
 
 
 # --------------------------------------------------------------------------
 # featurization stages
 # --------------------------------------------------------------------------
 
-# Fixed value: whitespace runs collapsed by the character n-gram analyzer.
-_WS = r"(?U)[\\s\\x1c-\\x1f]{2,}"
-
-
 def kmer_stages(seq_col: str, lo: int, hi: int, engineered: bool) -> list:
-    """C3 (per-row k-mer array, SQL), C4/C5 (CountVectorizer), C1/C2, C6 (assembler)."""
-    chars = SQLTransformer(
-        statement=(
-            "SELECT *, CASE WHEN length(_t) = 0 THEN CAST(array() AS array<string>) ELSE split(_t, '') END AS _chars "
-            f"FROM (SELECT *, regexp_replace(lower({seq_col}), '{_WS}', ' ') AS _t FROM __THIS__)"
-        )
-    )
-    parts = [
-        f"CASE WHEN size(_chars) >= {n} THEN transform(sequence(1, size(_chars) - {n - 1}), "
-        f"i -> array_join(slice(_chars, i, {n}), '')) ELSE CAST(array() AS array<string>) END"
-        for n in range(lo, hi + 1)
-    ]
-    kmers_sql = parts[0] if len(parts) == 1 else "concat(" + ", ".join(parts) + ")"
-    up = f"upper({seq_col})"
-    gc = (
-        f"(2 * length({up}) - length(replace({up}, 'G', '')) - length(replace({up}, 'C', ''))) "
-        f"/ greatest(length({up}), 1)"
-    )
+    """C3 (per-row k-mer array), C4/C5 (CountVectorizer), C1/C2, C6 (assembler)."""
+    sql = sequence_sql(seq_col, lo, hi)
+    chars = SQLTransformer(statement=f"SELECT *, {sql['chars']} AS _chars FROM __THIS__")
     kmers = SQLTransformer(
-        statement=(
-            f"SELECT *, {kmers_sql} AS _kmers, CAST({gc} AS DOUBLE) AS _gc, "
-            f"CAST(length({seq_col}) AS DOUBLE) AS _len FROM __THIS__"
-        )
+        statement=f"SELECT *, {sql['kmers']} AS _kmers, {sql['gc']} AS _gc, {sql['length']} AS _len FROM __THIS__"
     )
-    cv = CountVectorizer(inputCol="_kmers", outputCol="_kvec", minDF=1.0, vocabSize=MAX_VOCAB)
+    cv = _Vocabulary(inputCol="_kmers", outputCol="_kvec", minDF=1.0, vocabSize=MAX_VOCAB)
     cols = ["_kvec", "_gc", "_len"] if engineered else ["_kvec"]
     assemble = VectorAssembler(inputCols=cols, outputCol="_raw", handleInvalid="keep")
     return [chars, kmers, cv, assemble]
 
 
+class _Vocabulary(CountVectorizer):
+    """CountVectorizer that never drops a term: a vocabulary at the limit is an error."""
+
+    def fit(self, dataset, params=None):
+        model = super().fit(dataset, params)
+        if len(model.vocabulary) >= self.getVocabSize():
+            raise ValueError(f"more than {self.getVocabSize()} different k-mers; take a shorter k range")
+        return model
+
+
 def fit_stages(stages: list, df: DataFrame) -> tuple[list, DataFrame]:
     """Fit stages in order on ``df``; return fitted transformers and the transformed frame."""
     fitted = []
@@ -108,71 +106,49 @@ def fit_stages(stages: list, df: DataFrame) -> tuple[list, DataFrame]:
     return fitted, cur
 
 
+def _jvm(spark, name: str, *args):
+    cls = spark._jvm
+    for part in f"org.apache.spark.ml.feature.{name}".split("."):
+        cls = getattr(cls, part)
+    uid = f"{name}_{uuid.uuid4().hex[:12]}"
+    return cls(uid, *[_py2java(spark.sparkContext, a) for a in args])
+
+
 def population_scale(df: DataFrame, in_col: str, out_col: str, center: bool) -> list:
     """C7 (center=False) / C8 (center=True): divide by the *population* std.
 
-    C7: ElementwiseProduct with 1/std, zero-variance columns scale 1 (sparsity kept).
-    C8: StandardScaler(withMean) then x sqrt(n/(n-1)) — Spark's scaler uses the
-    sample std and maps zero variance to 0, which equals the reference's
-    (x - mean) / 1 = 0 for a constant column.
+    Mean and variance come from one pass.  C7: ElementwiseProduct with 1/std,
+    zero-variance columns scale 1 (sparsity kept).  C8: a scaler model with that
+    mean and std; a column without variance becomes 0, as (x - mean) / 1 is.
     Returns fitted transformers.
     """
-    stats = df.select(Summarizer.metrics("variance", "count").summary(F.col(in_col)).alias("s")).first()["s"]
+    stats = df.select(Summarizer.metrics("mean", "variance", "count").summary(F.col(in_col)).alias("s")).first()["s"]
     var, n = stats["variance"].toArray(), int(stats["count"])
+    std = [math.sqrt(v * (n - 1) / n) if n > 0 else 0.0 for v in var]
     if center:
-        scaler = StandardScaler(inputCol=in_col, outputCol="_centered", withMean=True, withStd=True).fit(df)
-        factor = math.sqrt(n / (n - 1)) if n > 1 else 1.0
-        fix = ElementwiseProduct(inputCol="_centered", outputCol=out_col, scalingVec=Vectors.dense([factor] * len(var)))
-        return [scaler, fix]
-    pop_std = [math.sqrt(v * (n - 1) / n) if n > 0 else 0.0 for v in var]
-    scale = [1.0 / s if s > 0 else 1.0 for s in pop_std]
+        model = StandardScalerModel(
+            _jvm(df.sparkSession, "StandardScalerModel", Vectors.dense(std), Vectors.dense(stats["mean"].toArray()))
+        )
+        return [model._set(inputCol=in_col, outputCol=out_col, withMean=True, withStd=True)]
+    scale = [1.0 / s if s > 0 else 1.0 for s in std]
     return [ElementwiseProduct(inputCol=in_col, outputCol=out_col, scalingVec=Vectors.dense(scale))]
 
 
-WIDE_PCA_MIN_DIM = 4096  # above this, the driver-side covariance of ml.PCA is too large
-
-
-def jvm_pca_model(spark, in_col: str, out_col: str, components, explained_variance) -> PCAModel:
-    """A JVM ``PCAModel`` carrying externally computed components (d x k).
-
-    Spark's model class has no public constructor, so a PCA with the same k and
-    column params is fitted on a tiny k-dimensional frame, saved under the
-    shared checkpoint folder, its data (pc matrix, explained variance) replaced
-    by ours, and loaded back.  Projection then runs in the JVM and the pipeline
-    saves/loads like any other.
-    """
-    import uuid
+def pca_model(spark, in_col: str, out_col: str, components, explained_variance) -> PCAModel:
+    """A JVM ``PCAModel`` (transforms, saves, loads) with these components (d x k)."""
+    d, k = components.shape
+    pc = DenseMatrix(d, k, components.flatten(order="F").tolist())
+    model = PCAModel(_jvm(spark, "PCAModel", pc, Vectors.dense(explained_variance)))
+    return model._set(inputCol=in_col, outputCol=out_col, k=k)
 
-    import numpy as np
-    from pyspark.ml.feature import PCAModel
-    from pyspark.ml.linalg import DenseMatrix
 
-    from scorewell.session import scratch_path
+def pca_stage(df: DataFrame, in_col: str, out_col: str, k: int) -> PCAModel:
+    """C11: projection on the first k principal components, k at most the rows and columns.
 
-    d, k = components.shape
-    rng = np.random.default_rng(0)
-    tiny = spark.createDataFrame([(Vectors.dense(rng.normal(size=k)),) for _ in range(k + 2)], [in_col])
-    path = scratch_path(spark, f"pca-model-{uuid.uuid4().hex}")
-    PCA(k=k, inputCol=in_col, outputCol=out_col).fit(tiny).write().overwrite().save(path)
-    schema = spark.read.parquet(f"{path}/data").schema
-    pc = DenseMatrix(d, k, np.asarray(components, dtype=float).flatten(order="F").tolist())
-    data = spark.createDataFrame([(pc, Vectors.dense(np.asarray(explained_variance, dtype=float)))], schema)
-    data.coalesce(1).write.mode("overwrite").parquet(f"{path}/data")
-    return PCAModel.load(path)
-
-
-def pca_stage(df: DataFrame, in_col: str, out_col: str, k: int):
-    """C11: PCA to k components (k capped by min(n, d) as the reference requires k <= both).
-
-    Up to 4,096 columns: Spark's PCA (d x d covariance on the driver).  Wider:
-    the distributed randomized PCA of ``scorewell.operators.pca``, packaged as a
-    JVM PCAModel.
+    The same method for every width (``scorewell.operators.pca``).
     """
-    d = vector_size(df, in_col)
-    if d > WIDE_PCA_MIN_DIM:
-        comps, var, _ = randomized_pca(df, in_col, k)
-        return jvm_pca_model(df.sparkSession, in_col, out_col, comps, var)
-    return PCA(k=max(1, min(k, d)), inputCol=in_col, outputCol=out_col).fit(df)
+    comps, var, _ = principal_components(df, in_col, k)
+    return pca_model(df.sparkSession, in_col, out_col, comps, var)
 
 
 # --------------------------------------------------------------------------
@@ -205,12 +181,21 @@ class Spec:
     defaults: dict = {}
     space: list = []
 
+    ignored: tuple = ()  # settings of the reference that have no effect here
+
     def config(self, overrides: dict | None = None) -> dict:
+        unused = [k for k in overrides or {} if k in self.ignored]
+        if unused:
+            warnings.warn(f"{self.name}: {', '.join(unused)} has no effect in Spark's learner", stacklevel=2)
         return {**self.defaults, **(overrides or {})}
 
     def fit(self, train: DataFrame, config: dict | None, roles: "Roles") -> Fitted:
         raise NotImplementedError
 
+    def prepare(self, df: DataFrame, config: dict | None, roles: "Roles") -> tuple[DataFrame, "Spec"]:
+        """(``df`` with what a row gives whatever is learned, a pipeline that starts from there)."""
+        return df, self
+
     def predict(self, fitted: Fitted, df: DataFrame) -> DataFrame:
         out = fitted.model.transform(df)
         return out.select(fitted.id_col, F.col(PREDICTION).alias(PREDICTION))
@@ -233,9 +218,6 @@ def _feature_stages(roles: Roles) -> list:
     return [VectorAssembler(inputCols=roles.feature_cols, outputCol="_raw", handleInvalid="keep")]
 
 
-NORMAL_SOLVER_MAX_FEATURES = 4096  # Spark's normal-equation solver limit
-
-
 def vector_size(df: DataFrame, col: str) -> int:
     """Width of a vector column from its ML attribute metadata (no job), else one row."""
     meta = df.schema[col].metadata.get("ml_attr", {})
@@ -244,45 +226,43 @@ def vector_size(df: DataFrame, col: str) -> int:
     return len(df.select(col).first()[0])
 
 
-def _label_stats(train: DataFrame, label: str) -> tuple[float, float, int]:
-    y = F.col(label).cast("double")
-    r = train.agg(F.stddev_pop(y).alias("p"), F.stddev_samp(y).alias("s"), F.count(F.lit(1)).alias("n")).first()
-    fix = lambda v: float(v) if v and v > 0 else 1.0
-    return fix(r["p"]), fix(r["s"]), int(r["n"])
-
-
-def _scaled_linear(train: DataFrame, pre: list, roles: Roles, make_lr, center: bool) -> PipelineModel:
+def _scaled_linear(train: DataFrame, pre: list, roles: Roles, penalty, center: bool) -> PipelineModel:
     """Fit featurizer, population scaler, and a LinearRegression on y / std(y).
 
-    Up to 4,096 features the normal-equation solver needs ONE pass over the
-    data (it aggregates X'X, then solves ridge or — with an L1 part — runs
-    OWL-QN on the d x d system); it standardizes the label by the population
-    std, so y is divided by that.  Wider vocabularies use distributed L-BFGS,
-    which standardizes by the sample std.
+    ``penalty(n, s)`` gives (regParam, elasticNetParam).  L-BFGS standardizes the
+    label by its sample std, so y is divided by that.
     """
-    pop, samp, n = _label_stats(train, roles.label_col)
+    y = F.col(roles.label_col).cast("double")
     fitted, cur = fit_stages(pre, train)
     # the scaler and the solver each pass over (label, features): keep just that slice
-    slim = cur.select(F.col(roles.label_col).cast("double").alias("_label"), "_raw").persist()
+    slim = cached = cur.select(y.alias("_label"), "_raw").persist()
     try:
+        r = slim.agg(F.stddev_samp("_label").alias("s"), F.count(F.lit(1)).alias("n")).first()
+        s = float(r["s"]) if r["s"] and r["s"] > 0 else 1.0
         scale = population_scale(slim, "_raw", FEATURES, center)
         fitted += scale
         for t in scale:
             slim = t.transform(slim)
-        normal = vector_size(cur, "_raw") <= NORMAL_SOLVER_MAX_FEATURES
-        s = pop if normal else samp
-        slim = slim.withColumn("_y", F.col("_label") / F.lit(s))
-        lr = make_lr(n, s).setSolver("normal" if normal else "l-bfgs")
-        lr = lr.setFeaturesCol(FEATURES).setLabelCol("_y").setPredictionCol("_pred").fit(slim)
+        reg, l1 = penalty(int(r["n"]), s)
+        lr = LinearRegression(
+            featuresCol=FEATURES, labelCol="_y", predictionCol="_pred", solver="l-bfgs",
+            regParam=reg, elasticNetParam=l1, standardization=False, maxIter=LINEAR_ITERATIONS, tol=1e-14,
+        ).fit(slim.withColumn("_y", F.col("_label") / F.lit(s)))
     finally:
-        slim.unpersist()
+        cached.unpersist()
     back = SQLTransformer(statement=f"SELECT *, _pred * {s!r} AS {PREDICTION} FROM __THIS__")
     return PipelineModel(fitted + [lr, back])
 
 
+# Fixed value: iterations the reference allows its linear solvers.
+LINEAR_ITERATIONS = 5000
+
 # Execution knobs for tree learners (results unchanged): more node statistics per
 # pass means fewer passes over the data.
 TREE_EXEC = {"maxMemoryInMB": 1024}
+# Bins and smallest leaf of the reference's boosting library.
+BOOSTING = {"maxBins": 255, **TREE_EXEC}
+MIN_LEAF = 20
 FOREST_EXEC = {**TREE_EXEC, "cacheNodeIds": True}  # deep trees: node ids cached between levels
 
 
@@ -303,12 +283,30 @@ def _one_vs_rest(clf, n_classes: int) -> OneVsRest:
     )
 
 
-class KmerRidge(Spec):
-    """K-mers (+GC, length) -> no-centre population scaling -> ridge."""
+class _Kmers(Spec):
+    """Pipelines on a text's k-mers; ``prepared`` ones find them extracted already."""
 
-    name = "kmer_ridge"
     data_types = ("dataframe_sequence",)
     task_types = ("regression",)
+    prepared = False
+
+    def stages(self, c: dict, roles: Roles) -> list:
+        every = kmer_stages(roles.seq_col, int(c["ngram_lo"]), int(c["ngram_hi"]), bool(c.get("use_engineered", True)))
+        return every[2:] if self.prepared else every
+
+    def prepare(self, df, config, roles):
+        c = self.config(config)
+        for stage in kmer_stages(roles.seq_col, int(c["ngram_lo"]), int(c["ngram_hi"]), True)[:2]:
+            df = stage.transform(df)
+        ready = copy.copy(self)
+        ready.prepared = True
+        return df.drop("_chars"), ready
+
+
+class KmerRidge(_Kmers):
+    """K-mers (+GC, length) -> no-centre population scaling -> ridge."""
+
+    name = "kmer_ridge"
     defaults = {"ngram_lo": 3, "ngram_hi": 6, "alpha": 1.0, "use_engineered": True}
     space = [
         Param("ngram_lo", "int", 2, 4),
@@ -319,23 +317,15 @@ class KmerRidge(Spec):
 
     def fit(self, train, config, roles):
         c = self.config(config)
-        pre = kmer_stages(roles.seq_col, int(c["ngram_lo"]), int(c["ngram_hi"]), bool(c["use_engineered"]))
-
-        def make(n, s):
-            return LinearRegression(
-                regParam=float(c["alpha"]) / n, elasticNetParam=0.0, standardization=False,
-                maxIter=200, tol=1e-9,
-            )
-
-        return Fitted(_scaled_linear(train, pre, roles, make, center=False), roles.id_col, self.name)
+        pre = self.stages(c, roles)
+        ridge = lambda n, s: (float(c["alpha"]) / n, 0.0)
+        return Fitted(_scaled_linear(train, pre, roles, ridge, center=False), roles.id_col, self.name)
 
 
-class KmerElasticNet(Spec):
+class KmerElasticNet(_Kmers):
     """K-mers + GC + length -> no-centre scaling -> elastic net."""
 
     name = "kmer_elasticnet"
-    data_types = ("dataframe_sequence",)
-    task_types = ("regression",)
     defaults = {"ngram_lo": 3, "ngram_hi": 6, "alpha": 0.1, "l1_ratio": 0.5}
     space = [
         Param("ngram_lo", "int", 2, 4),
@@ -346,28 +336,24 @@ class KmerElasticNet(Spec):
 
     def fit(self, train, config, roles):
         c = self.config(config)
-        pre = kmer_stages(roles.seq_col, int(c["ngram_lo"]), int(c["ngram_hi"]), True)
+        pre = self.stages(c, roles)
         alpha, l1 = float(c["alpha"]), float(c["l1_ratio"])
 
-        def make(n, s):
+        def penalty(n, s):
             a1, a2 = alpha * l1 / s, alpha * (1 - l1)
-            return LinearRegression(
-                regParam=a1 + a2, elasticNetParam=a1 / (a1 + a2) if a1 + a2 > 0 else 0.0,
-                standardization=False, maxIter=500, tol=1e-9,
-            )
+            return a1 + a2, a1 / (a1 + a2) if a1 + a2 > 0 else 0.0
 
-        return Fitted(_scaled_linear(train, pre, roles, make, center=False), roles.id_col, self.name)
+        return Fitted(_scaled_linear(train, pre, roles, penalty, center=False), roles.id_col, self.name)
 
 
-class KmerBoosting(Spec):
+class KmerBoosting(_Kmers):
     """K-mers + GC + length -> gradient-boosted trees (no L2 leaf penalty in Spark)."""
 
     name = "kmer_hgbr"
-    data_types = ("dataframe_sequence",)
-    task_types = ("regression",)
+    ignored = ("l2_regularization",)
     defaults = {
         "ngram_lo": 3, "ngram_hi": 6, "max_iter": 200, "learning_rate": 0.1,
-        "max_depth": 6, "min_samples_leaf": 10, "l2_regularization": 0.1, "seed": 42,
+        "max_depth": 6, "min_samples_leaf": 10, "seed": 42,
     }
     space = [
         Param("ngram_lo", "int", 2, 4),
@@ -376,17 +362,16 @@ class KmerBoosting(Spec):
         Param("learning_rate", "log", 0.01, 0.3),
         Param("max_depth", "int", 3, 10),
         Param("min_samples_leaf", "int", 5, 50),
-        Param("l2_regularization", "log", 1e-4, 10.0),
     ]
 
     def fit(self, train, config, roles):
         c = self.config(config)
-        pre = kmer_stages(roles.seq_col, int(c["ngram_lo"]), int(c["ngram_hi"]), True)
+        pre = self.stages(c, roles)
         fitted, cur = fit_stages(pre, train)
         gbt = GBTRegressor(
             featuresCol="_raw", labelCol="_label", predictionCol=PREDICTION,
             maxIter=int(c["max_iter"]), stepSize=float(c["learning_rate"]), maxDepth=int(c["max_depth"]),
-            minInstancesPerNode=int(c["min_samples_leaf"]), seed=int(c.get("seed", 42)), **TREE_EXEC,
+            minInstancesPerNode=int(c["min_samples_leaf"]), seed=int(c["seed"]), **BOOSTING,
         )
         return Fitted(PipelineModel(fitted + [_fit_slim(gbt, cur, roles.label_col)]), roles.id_col, self.name)
 
@@ -402,14 +387,8 @@ class TabularRidge(Spec):
 
     def fit(self, train, config, roles):
         c = self.config(config)
-
-        def make(n, s):
-            return LinearRegression(
-                regParam=float(c["alpha"]) / n, elasticNetParam=0.0, standardization=False,
-                maxIter=200, tol=1e-9,
-            )
-
-        return Fitted(_scaled_linear(train, _feature_stages(roles), roles, make, center=True), roles.id_col, self.name)
+        ridge = lambda n, s: (float(c["alpha"]) / n, 0.0)
+        return Fitted(_scaled_linear(train, _feature_stages(roles), roles, ridge, center=True), roles.id_col, self.name)
 
 
 class TabularBoosting(Spec):
@@ -427,7 +406,7 @@ class TabularBoosting(Spec):
         gbt = GBTRegressor(
             featuresCol="_raw", labelCol="_label", predictionCol=PREDICTION,
             maxIter=int(c["max_iter"]), stepSize=float(c["learning_rate"]), maxDepth=int(c["max_depth"]), seed=42,
-            **TREE_EXEC,
+            minInstancesPerNode=MIN_LEAF, **BOOSTING,
         )
         return Fitted(PipelineModel(fitted + [_fit_slim(gbt, cur, roles.label_col)]), roles.id_col, self.name)
 
@@ -435,14 +414,18 @@ class TabularBoosting(Spec):
 # ----------------------------- classification ------------------------------
 
 
+def with_weights(df: DataFrame, label: str, out: str) -> DataFrame:
+    """C13 balanced weights per row: the class table (one row per class) as a literal map, so no row moves."""
+    rows = class_weights(df, label).collect()
+    table = F.create_map(*[F.lit(x) for r in rows for x in (r[label], float(r["weight"]))]) if rows else None
+    return df.withColumn(out, F.element_at(table, F.col(label)) if rows else F.lit(1.0))
+
+
 def _indexed_weighted(train: DataFrame, label: str):
-    """C14 label index (sorted labels) + C13 balanced weights joined per row."""
-    indexer = StringIndexer(inputCol=label, outputCol="_label_idx", stringOrderType="alphabetAsc").fit(
-        train.withColumn(label, F.col(label).cast("string"))
-    )
-    t = indexer.transform(train.withColumn(label, F.col(label).cast("string")))
-    w = class_weights(t, "_label_idx").select("_label_idx", F.col("weight").alias("_w"))
-    return indexer.labels, t.join(w, "_label_idx")
+    """C14 label index (sorted labels) + C13 balanced weights per row."""
+    named = train.withColumn(label, F.col(label).cast("string"))
+    indexer = StringIndexer(inputCol=label, outputCol="_label_idx", stringOrderType="alphabetAsc").fit(named)
+    return indexer.labels, with_weights(indexer.transform(named), "_label_idx", "_w")
 
 
 def _classifier_model(fitted: list, model, labels: list) -> PipelineModel:
@@ -525,7 +508,8 @@ class TabularBoostingClassifier(_Classifier):
     def make(self, c, n_classes, n_features, sum_w):
         gbt = GBTClassifier(
             featuresCol=FEATURES, labelCol="_label_idx", weightCol="_w", maxIter=int(c["max_iter"]),
-            stepSize=float(c["learning_rate"]), maxDepth=int(c["max_depth"]), seed=42, **TREE_EXEC,
+            stepSize=float(c["learning_rate"]), maxDepth=int(c["max_depth"]), seed=42,
+            minInstancesPerNode=MIN_LEAF, **BOOSTING,
         )
         if n_classes <= 2:
             return gbt.setPredictionCol("_pred_idx")
@@ -565,38 +549,45 @@ class ExprLogReg(_Classifier):
         return _logreg(c, sum_w)
 
 
-class CalibratedOneVsRest(Transformer):
+class CalibratedOneVsRest(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     """Cross-fitted sigmoid-calibrated one-vs-rest margins (E5's probability model).
 
-    Each calibration fold holds a one-vs-rest model and per-class sigmoid
-    parameters (a, b).  For a row: p_c = 1 / (1 + exp(-(a_c * m_c + b_c))) from
-    the fold model's margin m_c, normalized over classes (uniform when all are
-    0), averaged over folds; the prediction is the arg-max class index.  All of
-    it is Column arithmetic on the fold models' rawPrediction vectors.
+    Each calibration fold has a linear margin per class (weights and intercept)
+    and its sigmoid parameters (a, b).  For a row: p_c = 1 / (1 + exp(-(a_c * m_c
+    + b_c))), normalized over classes (uniform when all are 0), averaged over
+    folds; the prediction is the arg-max class index.  All of it is Column
+    arithmetic; the numbers are one JSON parameter, so the stage saves and loads.
     """
 
-    def __init__(self, folds: list, n_classes: int):
+    folds = MLParam(Params._dummy(), "folds", "JSON of the folds' margins and sigmoids", TypeConverters.toString)
+
+    def __init__(self, folds: list | None = None):
         super().__init__()
-        self.folds, self.n_classes = folds, n_classes
+        if folds is not None:
+            self._set(folds=json.dumps(folds))
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        from pyspark.ml.functions import vector_to_array
-
-        k = self.n_classes
-        cur, probs = dataset, []
-        for i, (ovr, ab) in enumerate(self.folds):
-            raw = f"_raw_{i}"
-            cur = _ovr_margins(ovr, cur, raw)
-            m = vector_to_array(raw)
-            p = [F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(a) * m[c] + F.lit(b)))) for c, (a, b) in enumerate(ab)]
-            total = sum(p[1:], p[0])
-            probs.append([F.when(total > 0, pc / total).otherwise(F.lit(1.0 / k)) for pc in p])
-            cur = cur.drop(f"_p_{i}")
-        avg = [sum(ps[c] for ps in probs) / len(probs) for c in range(k)]
-        arr = F.array(*avg)
-        cur = cur.withColumn("_cal_prob", arr)
-        pred = (F.array_position(F.col("_cal_prob"), F.array_max(F.col("_cal_prob"))) - 1).cast("double")
-        return cur.withColumn("_pred_idx", pred).drop(*[f"_raw_{i}" for i in range(len(self.folds))])
+        folds = json.loads(self.getOrDefault(self.folds))
+        k = len(folds[0])
+        cur = dataset.withColumn("_x", vector_to_array(FEATURES))
+        probs = []
+        for f in folds:
+            p = []
+            for c in f:
+                weights = F.split(F.lit(",".join(map(repr, c["w"]))), ",").cast("array<double>")  # one literal
+                m = F.aggregate(F.zip_with("_x", weights, lambda x, w: x * w), F.lit(c["m"]), lambda s, v: s + v)
+                p.append(F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(c["a"]) * m + F.lit(c["b"])))))
+            name = f"_cal_{len(probs)}"
+            cur = cur.withColumn(name, F.array(*p))
+            total = F.aggregate(name, F.lit(0.0), lambda s, v: s + v)
+            probs.append((name, total))
+        avg = [
+            sum(F.when(total > 0, F.get(F.col(n), c) / total).otherwise(1.0 / k) for n, total in probs) / len(probs)
+            for c in range(k)
+        ]
+        cur = cur.withColumn("_cal_prob", F.array(*avg))
+        pred = (F.array_position("_cal_prob", F.array_max("_cal_prob")) - 1).cast("double")
+        return cur.withColumn("_pred_idx", pred).drop("_x", *[n for n, _ in probs])
 
 
 def _ovr_margins(ovr, df: DataFrame, raw_col: str) -> DataFrame:
@@ -615,8 +606,6 @@ def platt_sigmoid(margins: DataFrame, cls: int, raw_col: str) -> tuple[float, fl
     Targets t+ = (N+ + 1) / (N+ + 2) and t- = 1 / (N- + 2) become two weighted
     rows per sample for an unregularized logistic regression on the margin.
     """
-    from pyspark.ml.functions import vector_to_array
-
     m = margins.select(vector_to_array(raw_col)[cls].alias("_m"), (F.col("_label_idx") == cls).alias("_pos"))
     counts = m.agg(F.sum(F.col("_pos").cast("long")).alias("np"), F.count(F.lit(1)).alias("n")).first()
     n_pos, n_neg = int(counts["np"] or 0), int(counts["n"]) - int(counts["np"] or 0)
@@ -644,7 +633,7 @@ class ExprSVM(_Classifier):
 
     def make(self, c, n_classes, n_features, sum_w):
         svc = LinearSVC(featuresCol=FEATURES, labelCol="_label_idx", weightCol="_w",
-                        regParam=1.0 / (float(c["C"]) * sum_w), maxIter=100, standardization=False)
+                        regParam=1.0 / (float(c["C"]) * sum_w), maxIter=LINEAR_ITERATIONS, tol=1e-4, standardization=False)
         return _one_vs_rest(svc, n_classes)
 
     def fit_model(self, slim, c, labels, roles):
@@ -655,33 +644,33 @@ class ExprSVM(_Classifier):
         tagged = stratified_kfold(slim, roles.id_col, "_label_idx", n_splits, 42, "_cal_fold")
         folds = []
         for f in range(n_splits):
-            train = tagged.where(F.col("_cal_fold") != f).drop("_w")
-            held = tagged.where(F.col("_cal_fold") == f)
             # balanced weights of this fold's training part
-            w = class_weights(train, "_label_idx").select("_label_idx", F.col("weight").alias("_w"))
-            train = train.join(w, "_label_idx")
+            train = with_weights(tagged.where(F.col("_cal_fold") != f).drop("_w"), "_label_idx", "_w")
+            held = tagged.where(F.col("_cal_fold") == f)
             sum_w = train.agg(F.sum("_w")).first()[0]
-            est = self.make(c, k, 0, float(sum_w)).setPredictionCol(f"_p_{f}")
-            ovr = est.fit(train)
+            ovr = self.make(c, k, 0, float(sum_w)).setPredictionCol(f"_p_{f}").fit(train)
             margins = _ovr_margins(ovr, held, f"_raw_{f}")
-            folds.append((ovr, [platt_sigmoid(margins, cls, f"_raw_{f}") for cls in range(k)]))
-        return CalibratedOneVsRest(folds, k)
+            fold = []
+            for cls, m in enumerate(ovr.models):
+                a, b = platt_sigmoid(margins, cls, f"_raw_{f}")
+                fold.append({"w": [float(w) for w in m.coefficients.toArray()], "m": float(m.intercept), "a": a, "b": b})
+            folds.append(fold)
+        return CalibratedOneVsRest(folds)
 
 
 class ExprMLP(_Classifier):
-    """Same preparation -> multilayer perceptron (h1, h2); alpha is accepted and unused."""
+    """Same preparation -> multilayer perceptron (h1, h2)."""
 
     name = "expr_mlp"
     data_types = ("anndata",)
     task_types = ("classification",)
     pca = True
-    defaults = {"n_components": 50, "hidden1": 256, "hidden2": 128, "alpha": 1e-3, "lr": 1e-3, "max_iter": 500, "target_sum": 1e4}
+    ignored = ("alpha", "lr")
+    defaults = {"n_components": 50, "hidden1": 256, "hidden2": 128, "max_iter": 500, "target_sum": 1e4}
     space = [
         Param("n_components", "int", 20, 200),
         Param("hidden1", "choice", choices=[128, 256, 512]),
         Param("hidden2", "choice", choices=[64, 128, 256]),
-        Param("alpha", "log", 1e-5, 1e-1),
-        Param("lr", "log", 1e-4, 1e-2),
         Param("max_iter", "fixed", choices=[500]),
         Param("target_sum", "fixed", choices=[1e4]),
     ]
@@ -690,7 +679,7 @@ class ExprMLP(_Classifier):
         return MultilayerPerceptronClassifier(
             featuresCol=FEATURES, labelCol="_label_idx", predictionCol="_pred_idx",
             layers=[n_features, int(c["hidden1"]), int(c["hidden2"]), n_classes],
-            maxIter=int(c["max_iter"]), stepSize=float(c["lr"]), seed=42,
+            maxIter=int(c["max_iter"]), seed=42,
         )
 
 
@@ -734,4 +723,4 @@ def get_spec(name: str) -> Spec:
     for s in REGISTRY + EXTRA:
         if s.name == name:
             return s
-    raise KeyError(f"Pipeline {name} not found")
+    raise KeyError(f"no pipeline is registered as {name!r}")

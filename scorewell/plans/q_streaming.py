@@ -8,7 +8,7 @@ from scorewell.plans import estimators as E
 from scorewell.plans import views as V
 from scorewell.plans.catalog import register
 from scorewell.plans.q_leaderboard import SUBS
-from scorewell.plans.q_models import TAB_REG_ROLES
+from scorewell.plans.q_models import ONE_P, ONE_ROLES, ONE_SQL, _one
 from scorewell.sources.submissions import append_submissions
 from scorewell.sources.tables import fold_split
 from scorewell.streaming.leaderboard import fresh_dir, run_leaderboard_stream, run_predict_stream
@@ -33,14 +33,13 @@ def streaming_leaderboard(spark, sf_dir):
     return board.withColumn("score", F.round("score", 6)).withColumn("n_submissions", F.col("n_submissions").cast("long"))
 
 
-@register("streaming_predict")
+@register("streaming_predict", ONE_SQL + f"\nselect row_id, round({ONE_P.format(alpha=1)}, 2) as predictions from tab, a_fit where fold_id = 0")
 def streaming_predict(spark, sf_dir):
-    """A fitted tabular ridge applied to test rows arriving as parquet files."""
-    t = V.tab(spark, sf_dir).drop("label")
-    train, test = fold_split(t, 0)
-    fitted = E.get_spec("tabular_ridge").fit(train, None, TAB_REG_ROLES)
+    """A fitted ridge on one feature applied to test rows arriving as parquet files."""
+    train, test = fold_split(_one(spark, sf_dir), 0)
+    fitted = E.get_spec("tabular_ridge").fit(train, None, ONE_ROLES)
     src = fresh_dir(spark, "stream-rows")
     rows = test.drop("target")
     rows.repartition(4).write.parquet(src)
-    out = run_predict_stream(spark, fitted.model, src, rows.schema, fresh_dir(spark, "stream-preds"))
-    return out.select("row_id", F.round("predictions", 4).alias("predictions"))
+    out = run_predict_stream(spark, fitted.model, src, rows.schema, fresh_dir(spark, "stream-preds"), files_per_trigger=2)
+    return out.select("row_id", F.round("predictions", 2).alias("predictions"))

@@ -70,10 +70,19 @@ def run_leaderboard_stream(
     return spark.read.parquet(out_path)
 
 
-def run_predict_stream(spark: SparkSession, model, source: str, schema, out_path: str, checkpoint: str | None = None) -> DataFrame:
-    """Apply a fitted PipelineModel to every new parquet file; append the predictions."""
+def run_predict_stream(
+    spark: SparkSession, model, source: str, schema, out_path: str, checkpoint: str | None = None,
+    files_per_trigger: int | None = None,
+) -> DataFrame:
+    """Apply a fitted PipelineModel to every new parquet file; append the predictions.
+
+    ``files_per_trigger`` bounds a micro-batch; without it a batch takes all that is there.
+    """
     checkpoint = checkpoint or out_path + "_checkpoint"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(source)
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(files_per_trigger))
+    stream = reader.parquet(source)
     scored = model.transform(stream)
     cols = [c for c in stream.columns] + [F.col("prediction").alias("predictions")]
     q = (

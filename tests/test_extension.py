@@ -1,11 +1,13 @@
 """K1-K3 extension hooks."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from scorewell.functions.row_features import FEATURES, register_feature
 from scorewell.functions.sequence import gc_content
-from scorewell.plans import cv as CV
 from scorewell.plans import estimators as E
+from scorewell.plans import experiment as X
+from scorewell.plans import planning as PL
 
 
 def test_lifted_row_function_equals_native(spark):
@@ -23,8 +25,11 @@ def test_register_pipeline_and_dataset(spark):
 
     E.register_pipeline(Constant())
     try:
-        assert [s.name for s in CV.candidate_pipelines("custom", "regression")] == ["constant_test"]
+        assert [r.pipeline for r in PL.candidates(spark, "custom", "regression").collect()] == ["constant_test"]
     finally:
         E.REGISTRY.pop()
-    CV.register_dataset("my-set", lambda spark, fold: (None, None), lambda p, t: None, "spearman", "dataframe_sequence")
-    assert "my_set" in CV.DATASETS
+    frames = (spark.range(3), spark.range(2))
+    X.register_dataset(X.Dataset("my-set", lambda spark, fold: frames, X.default_evaluate("regression"), E.Roles("id", "y"), "custom", "regression"))
+    assert X.dataset_named("my-set").load(spark, "0") == frames and X.dataset_named("my_set").primary == "spearman"
+    with pytest.raises(KeyError, match="other"):
+        X.dataset_named("other")

@@ -1,4 +1,4 @@
-"""E1/E7 against closed forms, E9 against a planted signal, A9 round trip, G1-G3, G5, G8, D2-D4."""
+"""E1/E7 against closed forms, the others by thresholds, A9 round trips, the whole run, G1-G3, G5, G8, D2-D4."""
 
 import re
 from collections import Counter
@@ -8,9 +8,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from scorewell.operators import folds as FO
+from scorewell.operators import leaderboard as L
 from scorewell.operators import selection as SE
 from scorewell.plans import cv as CV
 from scorewell.plans import estimators as E
+from scorewell.plans import experiment as X
+from scorewell.plans import planning as PL
+from scorewell.sources import submissions as S
+from scorewell.sources.tables import fold_split
 
 
 def _char_ngrams(text, lo, hi):
@@ -89,22 +94,26 @@ def test_mean_predictor(spark):
     assert {r["prediction"] for r in spec.predict(f, df).collect()} == {2.0}
 
 
-def test_search_and_plan():
+def test_seeded_search():
     assert CV.uniform(7, "alpha", 42) == pytest.approx(0.07094025798141956)
     spec = E.get_spec("kmer_ridge")
     a, b = CV.sample_trials(spec, 5, 42), CV.sample_trials(spec, 5, 42)
     assert a == b
     for c in a:
         assert 2 <= c["ngram_lo"] <= 4 and 5 <= c["ngram_hi"] <= 8 and 1e-3 <= c["alpha"] <= 1e3
-    assert [s.name for s in CV.candidate_pipelines("dataframe_sequence", "regression")] == ["kmer_ridge", "kmer_elasticnet", "kmer_hgbr"]
-    assert [s.name for s in CV.candidate_pipelines("anndata", "regression")] == ["tabular_ridge", "tabular_hgbr"]
-    with pytest.raises(ValueError):
-        CV.candidate_pipelines("dataframe_sequence", "classification")
-    fast = CV.experiment_plan("dataframe_sequence", "regression", "fast")
-    assert [e.name for e in fast.experiments] == ["baseline_kmer_ridge", "tuned_kmer_ridge", "tuned_kmer_elasticnet"]
-    assert not fast.do_ensemble
-    thorough = CV.experiment_plan("dataframe_tabular", "classification", "thorough")
-    assert len(thorough.experiments) == 4 and thorough.do_ensemble
+
+
+def test_candidates_and_plan_rows(spark):
+    names = lambda d, t: [r.pipeline for r in PL.candidates(spark, d, t).orderBy("place").collect()]
+    assert names("dataframe_sequence", "regression") == ["kmer_ridge", "kmer_elasticnet", "kmer_hgbr"]
+    assert names("anndata", "regression") == ["tabular_ridge", "tabular_hgbr"]
+    assert names("dataframe_sequence", "classification") == []
+    fast = PL.plan_steps(spark, "dataframe_sequence", "regression", "fast").collect()
+    assert [(r.step, r.experiment, r.trials) for r in fast] == [
+        (0, "baseline_kmer_ridge", 0), (1, "tuned_kmer_ridge", 10), (2, "tuned_kmer_elasticnet", 10)
+    ]
+    thorough = PL.plan_steps(spark, "dataframe_tabular", "classification", "thorough").collect()
+    assert len(thorough) == 5 and thorough[-1].experiment == "ensemble" and thorough[-1].pipeline is None
 
 
 @pytest.mark.parametrize("smallest,expected", [(1, 2), (2, 2), (7, 3)])
@@ -149,19 +158,149 @@ def test_expr_svm_calibrated_beats_majority(spark):
     assert acc > 0.8
 
 
-def test_run_plan_fast_budget(spark):
-    rng = np.random.default_rng(4)
-    seqs = ["".join(rng.choice(list("ACGT"), size=12)) for _ in range(90)]
+def _seq_frame(spark, n=90, seed=4):
+    rng = np.random.default_rng(seed)
+    seqs = ["".join(rng.choice(list("ACGT"), size=12)) for _ in range(n)]
     rows = [(i, s, float(s.count("G") + rng.normal() * 0.1), i % 10) for i, s in enumerate(seqs)]
-    df = spark.createDataFrame(rows, "row_id long, sequence string, labels double, fold_id int")
+    return spark.createDataFrame(rows, "row_id long, sequence string, labels double, fold_id int")
+
+
+def test_run_with_an_ensemble_end_to_end(spark, tmp_path):
+    """Every step of a standard run but the slow boosting: the two linear pipelines, their ensemble, the board row."""
+    df = _seq_frame(spark)
+    roles = E.Roles("row_id", "labels", seq_col="sequence")
+    X.register_dataset(X.Dataset(
+        "toy-seq", lambda s, fold: fold_split(df, int(fold)), X.default_evaluate("regression"), roles, "dataframe_sequence", "regression"
+    ))
+    linear = [E.get_spec("kmer_ridge"), E.get_spec("kmer_elasticnet")]
+    results, preds = X.run_experiments(
+        spark, "toy-seq", "0", "me", str(tmp_path / "store"), str(tmp_path / "models"), "2024-01-01T00:00:00",
+        "standard", trials=1, registry=linear,
+    )
+    rows = results.orderBy("step").collect()
+    assert [r.experiment for r in rows] == ["baseline_kmer_ridge", "tuned_kmer_ridge", "tuned_kmer_elasticnet", "ensemble"]
+    assert rows[0].value > 0.5 and all(-1 <= r.value <= 1 for r in rows)
+    assert preds.count() == df.where("fold_id = 0").count()
+    board = L.leaderboard(S.load_submissions(spark, str(tmp_path / "store"), "toy_seq", "0")).collect()
+    assert [(r.user, r["rank"]) for r in board] == [("me", 1)] and board[0].score > 0.3
+    # the ensemble's members are saved and predict what they predicted when fitted
+    import json
+
+    config = json.loads(rows[-1].config)
+    assert len(config["members"]) == 2
+    again = X.refit({"config": rows[-1].config, "pipeline": None}, df, roles, "regression", str(tmp_path / "ens"))(df)
+    parts = [E.get_spec(m["pipeline"]) for m in config["members"]]
+    loaded = [CV.load_model(str(tmp_path / f"ens/member-{i}"), "row_id") for i in range(2)]
+    mean = np.mean([[r.prediction for r in s.predict(f, df).orderBy("row_id").collect()] for s, f in zip(parts, loaded)], axis=0)
+    assert np.allclose([r.p for r in again.orderBy("row_id").collect()], mean)
+
+
+def test_an_incomplete_submission_is_refused(spark):
+    df = _seq_frame(spark, 20)
+    data = X.Dataset("x", None, X.default_evaluate("regression"), E.Roles("row_id", "labels"), "dataframe_sequence", "regression")
+    preds = df.select("row_id", F.col("labels").alias("p"))
+    assert X.evaluate_submission(data, preds, df)["spearman"] == 1.0
+    with pytest.raises(ValueError, match="missing"):
+        X.evaluate_submission(data, preds.limit(5), df)
+
+
+def test_ridge_wider_than_four_thousand_columns(spark):
+    rng = np.random.default_rng(6)
+    seqs = ["".join(rng.choice(list("ACGT"), size=60)) for _ in range(100)]
+    y = np.array([s.count("G") + rng.normal() for s in seqs])
+    df = spark.createDataFrame([(i, s, float(v)) for i, (s, v) in enumerate(zip(seqs, y))], "row_id long, sequence string, labels double")
     roles = E.Roles("row_id", "labels", seq_col="sequence")
-    results = CV.run_plan(df, roles, "dataframe_sequence", "regression", "fast", trials_override=1)
-    names = [r.name for r in results]
-    assert names == ["baseline_kmer_ridge", "tuned_kmer_ridge", "tuned_kmer_elasticnet"]
-    assert all(-1.0 <= r.value <= 1.0 for r in results)
-    assert results[0].value > 0.5  # planted signal
-    table = CV.experiments_frame(spark, results, "spearman")
-    assert table.count() == 3
+    spec = E.get_spec("kmer_ridge")
+    fitted = spec.fit(df, {"ngram_lo": 3, "ngram_hi": 8, "use_engineered": False}, roles)
+    got = {r["row_id"]: r["prediction"] for r in spec.predict(fitted, df).collect()}
+    counts = [Counter(_char_ngrams(s, 3, 8)) for s in seqs]
+    vocab = sorted(set().union(*counts))
+    assert len(vocab) > 4096
+    X_ = np.array([[c[k] for k in vocab] for c in counts], dtype=float)
+    sd = X_.std(axis=0)
+    Z = X_ / np.where(sd > 0, sd, 1.0)
+    Zc, yc = Z - Z.mean(0), y - y.mean()
+    exp = Zc @ (Zc.T @ np.linalg.solve(Zc @ Zc.T + np.eye(len(y)), yc)) + y.mean()
+    assert np.allclose([got[i] for i in range(len(seqs))], exp, atol=1e-6)
+
+
+def test_extracting_once_changes_nothing(spark):
+    df, roles, spec = _seq_frame(spark, 40), E.Roles("row_id", "labels", seq_col="sequence"), E.get_spec("kmer_ridge")
+    ready_df, ready = spec.prepare(df, None, roles)
+    a = sorted(spec.predict(spec.fit(df, None, roles), df).collect())
+    b = sorted(ready.predict(ready.fit(ready_df, None, roles), ready_df).collect())
+    assert np.allclose([r.prediction for r in a], [r.prediction for r in b], atol=1e-9)
+
+
+def _blobs(spark, n=150, seed=3):
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(seed)
+    centers = np.array([[3.0, 0, 0, 0], [0, 3.0, 0, 0], [0, 0, 3.0, 0]])
+    y = rng.integers(0, 3, size=n)
+    X_ = centers[y] + rng.normal(size=(n, 4))
+    rows = [(i, Vectors.dense(X_[i]), *map(float, X_[i]), int(y[i])) for i in range(n)]
+    return spark.createDataFrame(rows, ["cell_id", "features", "a", "b", "c", "d", "label"])
+
+
+@pytest.mark.parametrize("name,config", [
+    ("expr_mlp", {"n_components": 3, "hidden1": 8, "hidden2": 6, "max_iter": 80}),
+    ("tabular_hgbc", {"max_iter": 8}),
+    ("tabular_rf", {"n_estimators": 20, "max_depth": 6}),
+])
+def test_classifiers_beat_the_majority(spark, name, config):
+    df = _blobs(spark)
+    vector = name.startswith("expr")
+    roles = E.Roles("cell_id", "label", feature_cols=[] if vector else ["a", "b", "c", "d"], vector_col="features" if vector else None)
+    spec = E.get_spec(name)
+    pred = spec.predict(spec.fit(df.where("cell_id < 100"), config, roles), df.where("cell_id >= 100")).join(df, "cell_id")
+    assert pred.select(F.avg((F.col("prediction") == F.col("label").cast("string")).cast("double"))).first()[0] > 0.75
+
+
+def test_boosted_regressions_learn(spark):
+    rng = np.random.default_rng(8)
+    x = rng.uniform(-2, 2, size=(300, 2))
+    y = np.sin(x[:, 0]) * 3 + (x[:, 1] > 0)
+    df = spark.createDataFrame([(i, *map(float, x[i]), float(y[i])) for i in range(300)], "row_id long, a double, b double, target double")
+    roles, spec = E.Roles("row_id", "target", feature_cols=["a", "b"]), E.get_spec("tabular_hgbr")
+    pred = spec.predict(spec.fit(df.where("row_id < 220"), {"max_iter": 25}, roles), df.where("row_id >= 220")).join(df, "row_id")
+    err = pred.select(F.avg((F.col("prediction") - F.col("target")) ** 2)).first()[0]
+    assert err < 0.35 * np.var(y)
+    seq = _seq_frame(spark, 160, 5)
+    roles, spec = E.Roles("row_id", "labels", seq_col="sequence"), E.get_spec("kmer_hgbr")
+    cfg = {"ngram_lo": 1, "ngram_hi": 2, "max_iter": 15, "max_depth": 4}
+    pred = spec.predict(spec.fit(seq.where("row_id < 120"), cfg, roles), seq.where("row_id >= 120")).join(seq, "row_id")
+    assert pred.corr("prediction", "labels") > 0.6
+
+
+def test_calibrated_svm_saves_and_loads(spark, tmp_path):
+    df = _blobs(spark, 60)
+    spec, roles = E.get_spec("expr_svm"), E.Roles("cell_id", "label", vector_col="features")
+    fitted = spec.fit(df, {"n_components": 3}, roles)
+    CV.save_model(fitted, str(tmp_path / "svm"))
+    again = CV.load_model(str(tmp_path / "svm"), "cell_id")
+    assert sorted(spec.predict(fitted, df).collect()) == sorted(spec.predict(again, df).collect())
+
+
+def test_settings_without_effect_warn():
+    with pytest.warns(UserWarning, match="alpha"):
+        E.get_spec("expr_mlp").config({"alpha": 0.1})
+
+
+def test_a_wide_matrix_is_laid_out_in_seconds(spark):
+    import time
+
+    from scorewell.sources.expression import assemble_cells
+
+    genes = spark.range(19_264).selectExpr("concat('g', id) as gene", "cast(id as int) as gidx")
+    coo = spark.range(40).withColumnRenamed("id", "cell_id").crossJoin(genes.select("gene", "gidx")).selectExpr(
+        "cell_id", "gene", "cast((cell_id * 7 + gidx) % 5 as double) as value"
+    )
+    began = time.time()
+    rows = assemble_cells(coo, genes, 19_264).collect()
+    assert time.time() - began < 40 and len(rows) == 40
+    for r in rows[:3]:
+        assert np.allclose(r.features.toArray(), (r.cell_id * 7 + np.arange(19_264)) % 5)
 
 
 def test_expression_model_roundtrip_and_batch_predict(spark, tmp_path):
