@@ -9,8 +9,8 @@ Objective mapping to the reference's models (see SURVEY §2 E):
 * ridge / elastic net: Spark's penalty depends on the label's std, so the label
   is divided by its sample std s before fitting and predictions multiplied back;
   ridge regParam = alpha / n, elastic net a1 = alpha*l1/s, a2 = alpha*(1-l1),
-  regParam = a1 + a2, elasticNetParam = a1 / (a1 + a2).  One solver (L-BFGS, or
-  OWL-QN with an L1 part, run to a relative change of 1e-14) for every width.
+  regParam = a1 + a2, elasticNetParam = a1 / (a1 + a2).  One solver for every width:
+  L-BFGS to a relative change of 1e-14, or with an L1 part OWL-QN to 1e-9.
 * logistic: regParam = 1 / (C * sum of weights) with 'balanced' weights.
 Documented gaps (no Spark equivalent): boosting has no L2 leaf penalty, the
 SVM uses hinge not squared hinge (its sigmoid calibration is rebuilt), the MLP
@@ -246,7 +246,8 @@ def _scaled_linear(train: DataFrame, pre: list, roles: Roles, penalty, center: b
         reg, l1 = penalty(int(r["n"]), s)
         lr = LinearRegression(
             featuresCol=FEATURES, labelCol="_y", predictionCol="_pred", solver="l-bfgs",
-            regParam=reg, elasticNetParam=l1, standardization=False, maxIter=LINEAR_ITERATIONS, tol=1e-14,
+            regParam=reg, elasticNetParam=l1, standardization=False, maxIter=LINEAR_ITERATIONS,
+            tol=1e-9 if l1 else 1e-14,
         ).fit(slim.withColumn("_y", F.col("_label") / F.lit(s)))
     finally:
         cached.unpersist()

@@ -143,7 +143,7 @@ def test_select_best_and_vote(spark):
     assert {r["id"]: r["p"] for r in SE.ensemble_vote(votes).collect()} == {1: "1", 2: "2", 3: "0"}
 
 
-def test_expr_svm_calibrated_beats_majority(spark):
+def test_expr_svm_calibrated_beats_majority_and_saves(spark, tmp_path):
     from pyspark.ml.linalg import Vectors
 
     rng = np.random.default_rng(3)
@@ -156,6 +156,9 @@ def test_expr_svm_calibrated_beats_majority(spark):
     pred = spec.predict(fitted, df).join(df, "cell_id")
     acc = pred.select(F.avg((F.col("prediction") == F.col("label").cast("string")).cast("double"))).first()[0]
     assert acc > 0.8
+    CV.save_model(fitted, str(tmp_path / "svm"))
+    again = CV.load_model(str(tmp_path / "svm"), "cell_id")
+    assert sorted(spec.predict(fitted, df).collect()) == sorted(spec.predict(again, df).collect())
 
 
 def _seq_frame(spark, n=90, seed=4):
@@ -166,32 +169,34 @@ def _seq_frame(spark, n=90, seed=4):
 
 
 def test_run_with_an_ensemble_end_to_end(spark, tmp_path):
-    """Every step of a standard run but the slow boosting: the two linear pipelines, their ensemble, the board row."""
-    df = _seq_frame(spark)
-    roles = E.Roles("row_id", "labels", seq_col="sequence")
+    """Every step of a standard run on quick pipelines: plan, trials, ensemble, refit, board row."""
+    import json
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(90, 2))
+    rows = [(i, *map(float, x[i]), float(x[i, 0] * 2 + rng.normal() * 0.2), i % 10) for i in range(90)]
+    df = spark.createDataFrame(rows, "row_id long, a double, b double, target double, fold_id int")
+    roles = E.Roles("row_id", "target", feature_cols=["a", "b"])
     X.register_dataset(X.Dataset(
-        "toy-seq", lambda s, fold: fold_split(df, int(fold)), X.default_evaluate("regression"), roles, "dataframe_sequence", "regression"
+        "toy-tab", lambda s, fold: fold_split(df, int(fold)), X.default_evaluate("regression"), roles, "dataframe_tabular", "regression"
     ))
-    linear = [E.get_spec("kmer_ridge"), E.get_spec("kmer_elasticnet")]
     results, preds = X.run_experiments(
-        spark, "toy-seq", "0", "me", str(tmp_path / "store"), str(tmp_path / "models"), "2024-01-01T00:00:00",
-        "standard", trials=1, registry=linear,
+        spark, "toy-tab", "0", "me", str(tmp_path / "store"), str(tmp_path / "models"), "2024-01-01T00:00:00",
+        "standard", trials=1, registry=[E.get_spec("tabular_ridge"), E.get_spec("mean_predictor")],
     )
     rows = results.orderBy("step").collect()
-    assert [r.experiment for r in rows] == ["baseline_kmer_ridge", "tuned_kmer_ridge", "tuned_kmer_elasticnet", "ensemble"]
-    assert rows[0].value > 0.5 and all(-1 <= r.value <= 1 for r in rows)
-    assert preds.count() == df.where("fold_id = 0").count()
-    board = L.leaderboard(S.load_submissions(spark, str(tmp_path / "store"), "toy_seq", "0")).collect()
-    assert [(r.user, r["rank"]) for r in board] == [("me", 1)] and board[0].score > 0.3
-    # the ensemble's members are saved and predict what they predicted when fitted
-    import json
-
-    config = json.loads(rows[-1].config)
-    assert len(config["members"]) == 2
-    again = X.refit({"config": rows[-1].config, "pipeline": None}, df, roles, "regression", str(tmp_path / "ens"))(df)
-    parts = [E.get_spec(m["pipeline"]) for m in config["members"]]
+    assert [r.experiment for r in rows] == ["baseline_tabular_ridge", "tuned_tabular_ridge", "tuned_mean_predictor", "ensemble"]
+    assert rows[0].value > 0.9 and rows[2].value == 0 and rows[3].value > 0.9
+    assert preds.count() == 9
+    board = L.leaderboard(S.load_submissions(spark, str(tmp_path / "store"), "toy_tab", "0")).collect()
+    assert [(r.user, r["rank"]) for r in board] == [("me", 1)] and board[0].score > 0.8
+    # the ensemble refits and saves both members, and predicts their mean
+    best = {"config": rows[-1].config, "pipeline": None}
+    assert len(json.loads(best["config"])["members"]) == 2
+    again = X.refit(best, df, roles, "regression", str(tmp_path / "ens"))(df)
     loaded = [CV.load_model(str(tmp_path / f"ens/member-{i}"), "row_id") for i in range(2)]
-    mean = np.mean([[r.prediction for r in s.predict(f, df).orderBy("row_id").collect()] for s, f in zip(parts, loaded)], axis=0)
+    ridge = E.get_spec("tabular_ridge")
+    mean = np.mean([[r.prediction for r in ridge.predict(f, df).orderBy("row_id").collect()] for f in loaded], axis=0)
     assert np.allclose([r.p for r in again.orderBy("row_id").collect()], mean)
 
 
@@ -199,7 +204,7 @@ def test_an_incomplete_submission_is_refused(spark):
     df = _seq_frame(spark, 20)
     data = X.Dataset("x", None, X.default_evaluate("regression"), E.Roles("row_id", "labels"), "dataframe_sequence", "regression")
     preds = df.select("row_id", F.col("labels").alias("p"))
-    assert X.evaluate_submission(data, preds, df)["spearman"] == 1.0
+    assert X.evaluate_submission(data, preds, df)["spearman"] == pytest.approx(1.0)
     with pytest.raises(ValueError, match="missing"):
         X.evaluate_submission(data, preds.limit(5), df)
 
@@ -273,15 +278,6 @@ def test_boosted_regressions_learn(spark):
     assert pred.corr("prediction", "labels") > 0.6
 
 
-def test_calibrated_svm_saves_and_loads(spark, tmp_path):
-    df = _blobs(spark, 60)
-    spec, roles = E.get_spec("expr_svm"), E.Roles("cell_id", "label", vector_col="features")
-    fitted = spec.fit(df, {"n_components": 3}, roles)
-    CV.save_model(fitted, str(tmp_path / "svm"))
-    again = CV.load_model(str(tmp_path / "svm"), "cell_id")
-    assert sorted(spec.predict(fitted, df).collect()) == sorted(spec.predict(again, df).collect())
-
-
 def test_settings_without_effect_warn():
     with pytest.warns(UserWarning, match="alpha"):
         E.get_spec("expr_mlp").config({"alpha": 0.1})
