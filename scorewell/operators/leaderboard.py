@@ -32,9 +32,22 @@ def primary_metric_of(subs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     )
 
 
+#: Most groups whose metric name is sent to every task; beyond that the join moves rows.
+METRIC_NAMES = 10_000
+
+
 def scored(subs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Records with ``score`` = value of the group's primary metric; records lacking it are dropped."""
+    """Records with ``score`` = value of the group's primary metric; records lacking it are dropped.
+
+    The table of metric names has a row per group.  For boards it is written, and
+    broadcast if it is within METRIC_NAMES rows, so a few large boards don't pull
+    all records into a few tasks.
+    """
     pm = primary_metric_of(subs, keys)
+    if keys == KEYS:
+        pm = materialize(pm, "board-metrics")
+        if pm.limit(METRIC_NAMES + 1).count() <= METRIC_NAMES:
+            pm = F.broadcast(pm)
     j = subs.join(pm, keys)
     return j.withColumn("score", F.try_element_at(F.col("metrics"), F.col("board_metric"))).where(
         F.col("score").isNotNull()

@@ -24,25 +24,39 @@ CLASSIFICATION_MAX_DISTINCT = 30  # otherwise at most this many distinct values
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType, T.BooleanType)
 
 
+def _first_hit(rules, facts, what: str):
+    """The first column that any rule names, rules in order; each rule maps column facts to a list of names."""
+    for rule in rules:
+        named = rule(facts)
+        if named:
+            return named[0]
+    raise ValueError(f"no {what} column can be told from {[f.name for f in facts]}; name it explicitly")
+
+
+def _named(names):
+    """Rule: columns with one of these names, in the names' order."""
+    return lambda facts: [n for n in names if any(f.name == n for f in facts)]
+
+
+def _sole(keep):
+    """Rule: the column that ``keep`` accepts, if it is the only one."""
+
+    def rule(facts):
+        left = [f.name for f in facts if keep(f)]
+        return left if len(left) == 1 else []
+
+    return rule
+
+
 def detect_label_col(schema: T.StructType) -> str:
-    """B1: first candidate name, else the only non-excluded column."""
-    names = schema.fieldNames()
-    for c in LABEL_CANDIDATES:
-        if c in names:
-            return c
-    rest = [c for c in names if c not in EXCLUDE_COLS]
-    if len(rest) == 1:
-        return rest[0]
-    raise ValueError(f"Cannot auto-detect label column. Columns: {names}. Expected one of {LABEL_CANDIDATES}.")
+    """B1: a candidate name, else the only column that isn't a split or an index."""
+    return _first_hit([_named(LABEL_CANDIDATES), _sole(lambda f: f.name not in EXCLUDE_COLS)], schema.fields, "label")
 
 
 def detect_sequence_col(schema: T.StructType) -> str | None:
-    """First candidate name that holds text."""
-    by_name = {f.name: f for f in schema.fields}
-    for c in SEQUENCE_CANDIDATES:
-        if c in by_name and isinstance(by_name[c].dataType, T.StringType):
-            return c
-    return None
+    """The first candidate name that holds text."""
+    text = [f for f in schema.fields if isinstance(f.dataType, T.StringType)]
+    return next(iter(_named(SEQUENCE_CANDIDATES)(text)), None)
 
 
 def feature_cols(schema: T.StructType, label_col: str) -> list[str]:
@@ -76,19 +90,17 @@ def obs_distinct_flags(obs: DataFrame) -> DataFrame:
 
 
 def detect_obs_label_col(obs: DataFrame) -> str:
-    """B2: candidate names, then any name containing 'label', then the only
-    categorical-or-low-cardinality column."""
-    names = obs.columns
-    for c in OBS_LABEL_CANDIDATES:
-        if c in names:
-            return c
-    labelish = [c for c in names if "label" in c.lower()]
-    if labelish:
-        return labelish[0]
-    flags = obs_distinct_flags(obs).where("categorical or below_limit").collect()
-    if len(flags) == 1:
-        return flags[0]["column_name"]
-    raise ValueError(f"Cannot auto-detect label column in obs. Columns: {names}.")
+    """B2: a candidate name, a name with "label" in it, else the only column with few values.
+
+    The data is read only if the names don't tell.
+    """
+
+    def few_values(facts):
+        flags = obs_distinct_flags(obs).where("categorical or below_limit").collect()
+        return [r["column_name"] for r in flags] if len(flags) == 1 else []
+
+    spelled = lambda facts: [f.name for f in facts if "label" in f.name.lower()]
+    return _first_hit([_named(OBS_LABEL_CANDIDATES), spelled, few_values], obs.schema.fields, "label")
 
 
 def _is_float(df: DataFrame, label_col: str) -> bool:
@@ -224,15 +236,30 @@ def profile_dataset(
     )
 
 
-def class_distribution_map(df: DataFrame, label_col: str) -> DataFrame:
-    """B6 as the profile's map column (one row); for classification labels only."""
-    d = class_distribution(df, label_col)
-    return d.agg(F.map_from_entries(F.collect_list(F.struct("label", "count"))).alias("class_distribution"))
+def profile_matrix(train: DataFrame, test: DataFrame, genes: DataFrame, label_col: str | None = None) -> DataFrame:
+    """B9 for cell-by-gene data: one row from the observations of both sides and the gene index.
+
+    The task is always classification; classes are a label -> count map (as many
+    entries as classes).
+    """
+    label = label_col or detect_obs_label_col(train)
+    classes = class_distribution(train, label)
+    side = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    found = classes.agg(
+        F.count("label").alias("n_classes"), F.coalesce(F.sum("count"), F.lit(0)).alias("train_samples"),
+        F.map_from_entries(F.collect_list(F.struct("label", "count"))).alias("class_distribution"),
+    )
+    one = F.lit(1).alias("_one")
+    joined = found.select("*", one).join(side(test, "test_samples").select("*", one), "_one")
+    joined = joined.join(side(genes, "n_genes").select("*", one), "_one")
+    return joined.select(
+        F.lit("anndata").alias("data_type"), F.lit("classification").alias("task_type"), "train_samples", "test_samples",
+        F.col("n_genes").alias("n_features"), "n_classes", F.lit(label).alias("label_column"), "class_distribution", "n_genes",
+    )
 
 
 __all__ = [
     "class_distribution",
-    "class_distribution_map",
     "detect_label_col",
     "detect_obs_label_col",
     "detect_sequence_col",
@@ -242,6 +269,7 @@ __all__ = [
     "label_stats",
     "obs_distinct_flags",
     "profile_dataset",
+    "profile_matrix",
     "seq_len_stats",
     "task_type_stats",
 ]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scorewell.operators import leaderboard as L
@@ -177,3 +178,30 @@ def submission_roundtrip(spark, sf_dir):
     path = scratch_path(spark, f"submissions-{uuid.uuid4().hex}")
     S.append_submissions(V.submissions(spark, sf_dir), path)
     return S.flatten_submissions(S.load_submissions(spark, path))
+
+
+@register(
+    "export_submissions_csv",
+    SUBS
+    + """
+select dataset, fold, "user", timestamp, name, description, primary_metric as metric_primary_metric,
+       round(m_mse, 6) as metric_mse, round(m_spearman, 6) as metric_spearman,
+       cast(row_number() over (order by timestamp, name) as bigint) as place from submissions
+""",
+)
+def export_submissions_csv(spark, sf_dir):
+    """Write the sorted CSV, read it back, and number its rows in file order."""
+    path = S.export_submissions(V.submissions(spark, sf_dir), scratch_path(spark, f"export-{uuid.uuid4().hex}"))
+    back = spark.read.option("header", "true").csv(path).withColumn("_file", F.input_file_name())
+    # rows keep their order inside a file; files are numbered in sort order
+    placed = back.withColumn("_at", F.monotonically_increasing_id())
+    start = placed.groupBy("_file").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    start = start.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    out = placed.join(start, "_file")
+    return out.select(
+        "dataset", "fold", "user", "timestamp", "name", "description", "metric_primary_metric",
+        F.round(F.col("metric_mse").cast("double"), 6).alias("metric_mse"),
+        F.round(F.col("metric_spearman").cast("double"), 6).alias("metric_spearman"),
+        (F.col("_before") + F.col("_at") - F.col("_first") + 1).cast("long").alias("place"),
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from scorewell.operators import profile as P
 from scorewell.plans import views as V
 from scorewell.plans.catalog import register
-from scorewell.sources.tables import drop_label_export, fold_split, read_table
+from scorewell.sources.tables import drop_label_export, fold_split, matrix_features, read_table
 
 SEQ = V.with_views("seq")
 TAB = V.with_views("tab")
@@ -213,3 +213,41 @@ def label_histogram_query(spark, sf_dir):
     """Ten equal-width label bins of the sequence table."""
     h = P.label_histogram(V.seq(spark, sf_dir), "labels", 10)
     return h.select("bin", F.round("bin_start", 6).alias("bin_start"), F.col("count").cast("long").alias("count"))
+
+
+MATRIX_VIEWS = V.with_views("expr_coo", "cells")
+
+
+@register(
+    "profile_matrix",
+    MATRIX_VIEWS
+    + """
+, tr as (select * from cells where cell_id % 10 <> 0)
+, d as (select cast(label as varchar) as label, count(*) as n from tr group by 1)
+select 'anndata' as data_type, 'classification' as task_type, (select cast(count(*) as bigint) from tr) as train_samples,
+       (select cast(count(*) as bigint) from cells where cell_id % 10 = 0) as test_samples,
+       (select cast(count(distinct gene) as bigint) from expr_coo) as n_features, cast(count(*) as bigint) as n_classes,
+       'label' as label_column, string_agg(label || '=' || n, ',' order by label) as classes from d
+""",
+)
+def profile_matrix_query(spark, sf_dir):
+    """B9 for cell-by-gene data; the class map as text."""
+    cells = V.cells(spark, sf_dir)
+    train, test = cells.where(F.col("cell_id") % 10 != 0), cells.where(F.col("cell_id") % 10 == 0)
+    row = P.profile_matrix(train, test, V.expr_coo(spark, sf_dir).select("gene").distinct())
+    entries = F.sort_array(F.map_entries("class_distribution"))
+    text = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return row.select(
+        "data_type", "task_type", *[F.col(c).cast("long").alias(c) for c in ("train_samples", "test_samples", "n_features", "n_classes")],
+        "label_column", text.alias("classes"),
+    )
+
+
+@register(
+    "drop_label_matrix",
+    MATRIX_VIEWS + "select cell_id, gene, round(value, 4) as value from expr_coo join cells using (cell_id) where cell_id % 10 = 0",
+)
+def drop_label_matrix(spark, sf_dir):
+    """A7 for cell-by-gene data: the test cells' counts without any observation column."""
+    labelled = V.expr_coo(spark, sf_dir).join(V.cells(spark, sf_dir), "cell_id").where(F.col("cell_id") % 10 == 0)
+    return matrix_features(labelled).withColumn("value", F.round("value", 4))

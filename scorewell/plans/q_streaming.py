@@ -33,6 +33,31 @@ def streaming_leaderboard(spark, sf_dir):
     return board.withColumn("score", F.round("score", 6)).withColumn("n_submissions", F.col("n_submissions").cast("long"))
 
 
+TWO_METRICS_SQL = (
+    SUBS.rstrip()
+    + """
+, named as (select *, case when cast(name as bigint) % 3 = 0 then 'mse' else 'spearman' end as named from submissions)
+, pm as (select dataset, fold, first(named order by timestamp, name) as board_metric from named group by dataset, fold)
+, s as (select named.*, board_metric, case board_metric when 'spearman' then m_spearman else m_mse end as score
+        from named join pm using (dataset, fold))
+select dataset, fold, "user", timestamp, name, round(score, 6) as score, board_metric as primary_metric,
+       cast(n as bigint) as n_submissions
+from (select *, row_number() over (partition by dataset, fold, "user" order by score desc, timestamp, name) as rn,
+             count(*) over (partition by dataset, fold, "user") as n from s where score is not null) t where rn = 1
+"""
+)
+
+
+@register("streaming_leaderboard_two_metrics", TWO_METRICS_SQL)
+def streaming_leaderboard_two_metrics(spark, sf_dir):
+    """J1 = H1 where records of one board name different primary metrics: the earliest record's counts."""
+    src = fresh_dir(spark, "stream-submissions")
+    named = F.when(F.col("name").cast("long") % 3 == 0, "mse").otherwise("spearman")
+    append_submissions(V.submissions(spark, sf_dir).withColumn("primary_metric", named), src)
+    board = run_leaderboard_stream(spark, src, fresh_dir(spark, "stream-board"), files_per_trigger=4)
+    return board.withColumn("score", F.round("score", 6)).withColumn("n_submissions", F.col("n_submissions").cast("long"))
+
+
 @register("streaming_predict", ONE_SQL + f"\nselect row_id, round({ONE_P.format(alpha=1)}, 2) as predictions from tab, a_fit where fold_id = 0")
 def streaming_predict(spark, sf_dir):
     """A fitted ridge on one feature applied to test rows arriving as parquet files."""

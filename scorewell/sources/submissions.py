@@ -4,7 +4,8 @@ Submissions are stored as JSON lines partitioned by ``dataset`` and ``fold``
 (partition pruning replaces the directory walk).  The reader also accepts the
 one-indented-file-per-submission layout ``<base>/<dataset>/<fold>/<user>/*.json``
 whose ``metrics`` object mixes the primary-metric name (a string) with float
-values: it is read as ``map<string,string>`` and split.
+values: it is read as ``map<string,string>`` and split; a value that is no number
+becomes null and the record stays.
 """
 
 from __future__ import annotations
@@ -76,7 +77,7 @@ def _split_metrics(df: DataFrame) -> DataFrame:
         normalize_dataset_name(F.col("dataset")).alias("dataset"),
         "fold",
         F.coalesce(F.col("primary_metric"), m.getItem(PRIMARY_KEY)).alias("primary_metric"),
-        F.transform_values(F.map_filter(m, lambda k, v: k != F.lit(PRIMARY_KEY)), lambda k, v: v.cast("double")).alias(
+        F.transform_values(F.map_filter(m, lambda k, v: k != F.lit(PRIMARY_KEY)), lambda k, v: v.try_cast("double")).alias(
             "metrics"
         ),
         "name",
@@ -84,6 +85,11 @@ def _split_metrics(df: DataFrame) -> DataFrame:
     )
 
 
+def _folder(dataset: str) -> str:
+    """A glob for the folder of a dataset, whose name may have been stored with '-' or '_'."""
+    return re.sub("[-_]", "[-_]", dataset)
+
+
 def load_submissions(
     spark: SparkSession,
     path: str,
@@ -99,7 +105,10 @@ def load_submissions(
     reader = spark.read.schema(FILE_SCHEMA)
     try:
         if layout == "reference":
-            raw = reader.option("multiLine", "true").json(f"{path.rstrip('/')}/*/*/*/*.json")
+            # the folders carry the filters, so only the asked-for files are listed and read
+            part = lambda v: "*" if v is None else str(v)
+            at = f"{path.rstrip('/')}/{part(dataset and _folder(dataset))}/{part(fold)}/{part(user)}/*.json"
+            raw = reader.option("multiLine", "true").json(at)
         else:
             raw = reader.json(path)
     except Exception as e:  # absent folder = no submissions
@@ -116,9 +125,6 @@ def load_submissions(
     return df.orderBy("timestamp", "name")
 
 
-_SAFE = re.compile(r"[^0-9A-Za-z_]")
-
-
 def metric_keys(df: DataFrame) -> list[str]:
     """Distinct metric names over all records (a tiny collect: key names only)."""
     keys = df.select(F.explode(F.map_keys("metrics")).alias("k")).distinct().collect()
@@ -137,7 +143,7 @@ def flatten_submissions(df: DataFrame, keys: list[str] | None = None) -> DataFra
         F.coalesce(F.col("description"), F.lit("")).alias("description"),
         F.col("primary_metric").alias(f"metric_{PRIMARY_KEY}"),
     ]
-    cols += [F.col("metrics").getItem(k).alias(f"metric_{_SAFE.sub('_', k)}") for k in keys]
+    cols += [F.col("metrics").getItem(k).alias(f"metric_{k}") for k in keys]
     return df.select(*cols)
 
 
@@ -145,6 +151,6 @@ def export_submissions(df: DataFrame, out_path: str) -> str:
     """Flatten, sort by timestamp (range-partitioned sort), write CSV with header."""
     flat = flatten_submissions(df)
     if flat.isEmpty():
-        raise ValueError("No submissions found to export")
+        raise ValueError(f"nothing to export to {out_path}: there are no submissions")
     flat.orderBy("timestamp", "name").write.mode("overwrite").option("header", "true").csv(out_path)
     return out_path

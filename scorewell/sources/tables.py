@@ -44,3 +44,8 @@ def fold_split(df: DataFrame, fold: int | str, fold_col: str = "fold_id") -> tup
 def drop_label_export(df: DataFrame, label_col: str) -> DataFrame:
     """Features without the label (leakage guard)."""
     return df.drop(label_col)
+
+
+def matrix_features(coo: DataFrame, cell_col: str = "cell_id", gene_col: str = "gene", value_col: str = "value") -> DataFrame:
+    """A7 for cell-by-gene data: the counts alone; no observation column goes along (leakage guard)."""
+    return coo.select(cell_col, gene_col, value_col)

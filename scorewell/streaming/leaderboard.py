@@ -1,11 +1,11 @@
 """J1 streaming_leaderboard and J2 streaming_predict (Structured Streaming).
 
-Submissions land as JSON files; the best record per (dataset, fold, user) is a
-stateful streaming aggregate (``min_by`` over (−score, timestamp, name): the
-same tie rule as batch H1).  State and progress live in a checkpoint under
-the shared checkpoint folder, so a restarted query resumes where it stopped.
-Scoring a stream (J2) is ``PipelineModel.transform`` on the streaming frame,
-appended to a parquet sink.
+Submissions land as JSON files; the best record per (dataset, fold, user, metric)
+is a stateful streaming aggregate (``min_by`` over (−score, timestamp, name): the
+same tie rule as batch H1), from which each epoch's board is derived.  State and
+progress live in a checkpoint under the shared checkpoint folder, so a restarted
+query resumes where it stopped.  Scoring a stream (J2) is
+``PipelineModel.transform`` on the streaming frame, appended to a parquet sink.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewell.session import scratch_path
+from scorewell.session import _hadoop_path, scratch_path
 from scorewell.sources.submissions import FILE_SCHEMA, _split_metrics
 
 
@@ -25,49 +25,73 @@ def submission_stream(spark: SparkSession, path: str, max_files_per_trigger: int
     return _split_metrics(r.json(path))
 
 
-def best_per_user_stream(records: DataFrame) -> DataFrame:
-    """Stateful H1 over a stream: score = the record's own primary metric."""
-    s = records.withColumn("score", F.try_element_at(F.col("metrics"), F.col("primary_metric"))).where(
-        F.col("score").isNotNull()
+def user_metrics_stream(records: DataFrame) -> DataFrame:
+    """State of the board over a stream: per (dataset, fold, user, metric) the best record, plus the user's first one.
+
+    One row per metric a user ever reported, so whichever metric the board turns
+    out to use (H3: the one its earliest record names, which may still arrive),
+    the best record by it is at hand.
+    """
+    each = records.select(
+        "dataset", "fold", "user", "timestamp", "name", "primary_metric",
+        F.explode_outer(F.map_filter("metrics", lambda k, v: v.isNotNull())).alias("metric", "score"),
     )
-    rec = F.struct("timestamp", "name", "score", "primary_metric")
+    rec = F.struct("timestamp", "name", "score")
     key = F.struct((-F.col("score")).alias("neg"), F.col("timestamp"), F.col("name"))
-    agg = s.groupBy("dataset", "fold", "user").agg(F.min_by(rec, key).alias("best"), F.count(F.lit(1)).alias("n_submissions"))
-    return agg.select(
-        "dataset",
-        "fold",
-        "user",
-        F.col("best.timestamp").alias("timestamp"),
-        F.col("best.name").alias("name"),
-        F.col("best.score").alias("score"),
-        F.col("best.primary_metric").alias("primary_metric"),
-        "n_submissions",
+    return each.groupBy("dataset", "fold", "user", "metric").agg(
+        F.min_by(rec, key).alias("best"), F.count("score").alias("n_submissions"),
+        F.min(F.struct("timestamp", "name", "primary_metric")).alias("first"),
+    )
+
+
+def board_of(state: DataFrame) -> DataFrame:
+    """H1 from the state: rows of the metric that the board's earliest record names (H3)."""
+    names = state.groupBy("dataset", "fold").agg(F.min("first").getField("primary_metric").alias("board_metric"))
+    rows = state.join(names, ["dataset", "fold"]).where((F.col("metric") == F.col("board_metric")) & (F.col("n_submissions") > 0))
+    return rows.select(
+        "dataset", "fold", "user", F.col("best.timestamp").alias("timestamp"), F.col("best.name").alias("name"),
+        F.col("best.score").alias("score"), F.col("board_metric").alias("primary_metric"), "n_submissions",
     )
 
 
 def run_leaderboard_stream(
     spark: SparkSession, source: str, out_path: str, checkpoint: str | None = None, files_per_trigger: int = 16
 ) -> DataFrame:
-    """Process every file available now; each micro-batch rewrites the board table.
+    """Process every file available now; each micro-batch writes the board of its epoch.
 
-    Complete mode re-emits the whole (user-sized) state per batch; foreachBatch
-    writes it atomically enough for a batch reader (overwrite of a folder).
+    A board is written to its own folder and never changed; readers take the last
+    epoch that is complete (``read_board``), so no reader sees half a board.
     """
     checkpoint = checkpoint or out_path + "_checkpoint"
-    board = best_per_user_stream(submission_stream(spark, source, max_files_per_trigger=files_per_trigger))
+    state = user_metrics_stream(submission_stream(spark, source, max_files_per_trigger=files_per_trigger))
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+        board_of(batch).write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
+        if epoch > 1:  # a reader may still hold the one before
+            fs, old = _hadoop_path(spark, f"{out_path}/epoch={epoch - 2}")
+            fs.delete(old, True)
 
     q = (
-        board.writeStream.outputMode("complete")
+        state.writeStream.outputMode("complete")
         .option("checkpointLocation", checkpoint)
         .foreachBatch(write)
         .trigger(availableNow=True)
         .start()
     )
     q.awaitTermination()
-    return spark.read.parquet(out_path)
+    return read_board(spark, out_path)
+
+
+def read_board(spark: SparkSession, out_path: str) -> DataFrame:
+    """The board of the last complete epoch."""
+    fs, root = _hadoop_path(spark, out_path)
+    done = [
+        int(name.split("=")[1])
+        for f in fs.listStatus(root)
+        if (name := f.getPath().getName()).startswith("epoch=")
+        and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))
+    ]
+    return spark.read.parquet(f"{out_path}/epoch={max(done)}")
 
 
 def run_predict_stream(
