@@ -10,32 +10,70 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorewell.functions.sequence import char_array, kmer_array, normalize_text
+from scorewell.functions.sequence import normalize_text
 from scorewell.operators.rank import ordered_positions
 
 # Fixed value: total count each cell is scaled to before log1p.
 TARGET_SUM = 1e4
 
 
+#: Rows of (id, kmer, n) a task hands over at once.
+COUNTS_AT_ONCE = 200_000
+
+
 def kmer_counts(df: DataFrame, id_col: str, seq_col: str, lo: int, hi: int) -> DataFrame:
     """(id, kmer, n) for every k-mer of length lo..hi of each whole text (ids unique per row).
 
-    Counting happens inside the row: the k-mers are sorted and each run of equal
-    ones becomes an entry, so nothing is shuffled here and a later aggregate by
-    k-mer combines map-side.
+    A row's k-mers are counted where the row is: windows of the text get a
+    64-bit hash, equal ones are counted together, and a window's text is cut once.
+    Nothing is shuffled here, and a later aggregate by k-mer combines map-side.
     """
-    x = df.select(id_col, normalize_text(seq_col).alias("_t"))
-    x = x.select(id_col, char_array("_t", normalized=True).alias("_chars"))
-    x = x.select(id_col, F.sort_array(kmer_array("_chars", lo, hi)).alias("_k"))
-    k = F.col("_k")
-    first = lambda v, i: F.coalesce(v != F.get(k, i - 1), F.lit(True))
-    at = F.filter(F.transform(k, lambda v, i: F.when(first(v, i), i)), lambda i: i.isNotNull())
-    x = x.select(id_col, "_k", at.alias("_at"), F.size(k).alias("_n"))
-    each = F.transform(
-        F.col("_at"),
-        lambda i, j: F.struct(F.get(k, i).alias("kmer"), (F.coalesce(F.get(F.col("_at"), j + 1), F.col("_n")) - i).cast("long").alias("n")),
-    )
-    return x.select(id_col, F.explode(each).alias("_e")).select(id_col, "_e.kmer", "_e.n")
+    if lo < 1 or hi < lo:
+        raise ValueError(f"bad k-mer range {lo}..{hi}")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        step, odd = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+        def counted(text):
+            points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+            points = (points + np.uint64(1)) * odd
+            points ^= points >> np.uint64(29)
+            h = np.zeros(len(points), np.uint64)
+            for k in range(1, min(hi, len(points)) + 1):
+                h = h[: len(points) - k + 1] * step + points[k - 1 :]
+                if k >= lo:
+                    _, first, n = np.unique(h ^ (h >> np.uint64(32)), return_index=True, return_counts=True)
+                    yield [text[i : i + k] for i in first.tolist()], n
+
+        def frame(ids, kmers, counts):
+            lengths = [len(c) for c in counts]
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids).take(pa.array(np.repeat(np.arange(len(ids)), lengths))),
+                    pa.array(kmers, pa.string()),
+                    pa.array(np.concatenate(counts).astype(np.int64)),
+                ],
+                [id_col, "kmer", "n"],
+            )
+
+        for batch in batches:
+            ids, kmers, counts = [], [], []
+            for row, text in zip(batch.column(0), batch.column(1)):
+                for names, n in counted(text.as_py() or ""):
+                    ids.append(row)
+                    kmers += names
+                    counts.append(n)
+                if len(kmers) >= COUNTS_AT_ONCE:
+                    yield frame(ids, kmers, counts)
+                    ids, kmers, counts = [], [], []
+            if kmers:
+                yield frame(ids, kmers, counts)
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, normalize_text(seq_col).alias("_t")).mapInArrow(run, f"`{id_col}` {kind}, kmer string, n bigint")
 
 
 def kmer_vocabulary(counts: DataFrame) -> DataFrame:

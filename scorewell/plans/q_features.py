@@ -68,7 +68,8 @@ select kmer, cast(count(*) as bigint) as n_docs, cast(sum(n) as bigint) as total
 )
 def kmer_counts_documents_query(spark, sf_dir):
     """C3 at volume: k = 3..6 over every whole document, summarised per k-mer."""
-    c = FT.kmer_counts(_docs(spark, sf_dir), "doc_id", "text", 3, 6)
+    # the given file is one row group, so its rows are dealt out before the work on each text
+    c = FT.kmer_counts(_docs(spark, sf_dir).repartition("doc_id"), "doc_id", "text", 3, 6)
     return c.groupBy("kmer").agg(
         F.count(F.lit(1)).cast("long").alias("n_docs"), F.sum("n").cast("long").alias("total")
     )
@@ -79,7 +80,7 @@ DOC_SEQ = "select doc_id as row_id, text as sequence, cast(doc_id % 10 as intege
 
 def _doc_seq(spark, sf_dir):
     """Whole documents as the sequence table (row_id, sequence, fold_id)."""
-    return _docs(spark, sf_dir).select(
+    return _docs(spark, sf_dir).repartition("doc_id").select(
         F.col("doc_id").alias("row_id"), F.col("text").alias("sequence"), (F.col("doc_id") % 10).cast("int").alias("fold_id")
     )
 
