@@ -131,6 +131,12 @@ def task_type_stats(df: DataFrame, label_col: str) -> DataFrame:
 
 
 def infer_task_type(df: DataFrame, label_col: str) -> str:
+    """One approximate count decides far from the limits; near them the exact counts do."""
+    about = df.agg(F.approx_count_distinct(F.col(label_col), 0.02).alias("n")).first()["n"]
+    if about > 2 * CLASSIFICATION_MAX_DISTINCT:
+        return "regression"
+    if about < REGRESSION_MIN_FLOAT_DISTINCT // 2:
+        return "classification"
     return task_type_stats(df, label_col).first()["task_type"]
 
 
