@@ -3,9 +3,10 @@
 Fit (on the driver, on a bounded sample of labelled rows):
 
 1. Two thirds of the sample train the dictionaries.  The ordinary one is trained on
-   windows of ordinary texts.  The toxic one is trained on the passages that set
-   toxic texts apart: spans of byte 5-grams that occur in many more toxic than
-   ordinary texts.
+   windows of ordinary texts.  The toxic one holds the passages that set
+   toxic texts apart: the words around byte grams (of 5, 7 and 9 bytes) that occur
+   in many more toxic than ordinary texts, near copies counted once.  The long grams
+   find words whose syllables are common in ordinary text.
 2. A window is compressed twice, with the ordinary dictionary alone and with the
    toxic one before it.  What ordinary text needs is found at the same distance
    in both, so the lengths differ where the toxic dictionary helps: the bytes it
@@ -31,6 +32,7 @@ read.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,10 +48,15 @@ from scorewell.llm.common import map_arrow, private, table
 TOXIC_ROWS, ORDINARY_ROWS = 1500, 3000
 HELD_OUT = 5
 WINDOW, LEVEL = 96, 9
-ORDINARY_BYTES, TOXIC_BYTES = 200_000, 3072
-GRAM, GRAM_BITS = 5, 22
+SEARCH_LOG = 9  # deep enough to reach the toxic dictionary behind the ordinary one's equal syllables
+ORDINARY_BYTES, TOXIC_BYTES = 200_000, 8192
+GRAMS, COPY_GRAM = (5, 7, 9), 24
+#: ASCII other than letters and digits is a space in grams and passages.
+SPACED = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
+REACH = 16  # bytes that a passage takes of a word on either side of its grams
+SEVERAL = 3  # a passage in so many toxic texts is kept beside others with the same grams
 #: A gram is toxic if one in RARE toxic texts has it, and at ODDS times the rate of ordinary ones.
-RARE, ODDS = 60, 60.0
+RARE, ODDS = 200, 60.0
 MOST = 10  # larger distances count as this one
 MISS_COST = 3.0  # ordinary texts that may be taken for toxic to catch one more toxic text
 SHARE = 0.6  # of a toxic text's windows, in the mixture
@@ -66,35 +73,96 @@ def windows(text: bytes) -> list[bytes]:
     return out or [b""]
 
 
-def _grams(text: bytes) -> np.ndarray:
-    a = np.frombuffer(b" " + text, np.uint8).astype(np.uint64)
-    if len(a) < GRAM:
-        return np.zeros(0, np.int64)
-    h = np.zeros(len(a) - GRAM + 1, np.uint64)
-    for j in range(GRAM):
-        h = h * np.uint64(257) + a[j : len(a) - GRAM + 1 + j]
-    return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - GRAM_BITS)).astype(np.int64)
+def _grams(text: bytes, size: int) -> np.ndarray:
+    """Hashes of the text's grams of ``size`` bytes, one for each place."""
+    a = np.frombuffer(b" " + text.translate(SPACED), np.uint8).astype(np.uint64)
+    n = max(0, len(a) - size + 1)
+    h = np.zeros(n, np.uint64)
+    for j in range(size if n else 0):
+        h = (h + a[j : n + j]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
 
 
-def _texts_with(texts: list[bytes]) -> np.ndarray:
-    n = np.zeros(1 << GRAM_BITS, np.int32)
-    for t in texts:
-        n[np.unique(_grams(t))] += 1
-    return n
+def _place(grams: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """For each gram its place in the sorted ``known``, or -1."""
+    if not len(known):
+        return np.full(len(grams), -1)
+    at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+    return np.where(known[at] == grams, at, -1)
 
 
-def _passages(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """The spans of toxic texts whose grams set them apart, with a byte on either side."""
-    bad, good = _texts_with(toxic), _texts_with(ordinary)
-    odds = (bad + 0.5) / (len(toxic) + 1) / ((good + 0.5) / (len(ordinary) + 1))
-    marked = (bad >= max(4, len(toxic) // RARE)) & (odds > min(ODDS, len(ordinary) / 2))
+def _distinct(texts: list[bytes]) -> list[bytes]:
+    """Without near copies of earlier texts (half their sketch is known): those are no further evidence."""
+    seen: set[int] = set()
     out = []
+    for t in texts:
+        sketch = np.unique(_grams(t, COPY_GRAM))[:8].tolist()
+        if not sketch or 2 * sum(h in seen for h in sketch) < len(sketch):
+            out.append(t)
+        seen.update(sketch)
+    return out
+
+
+def _telling(toxic: list[bytes], ordinary: list[bytes], size: int, shorter: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """The grams (sorted hashes) in many more toxic than ordinary texts that have no shorter such gram inside."""
+    found = []
+    for t in toxic:
+        g = _grams(t, size)
+        # a gram longer than the shortest lies within a word, with or without the spaces around it
+        gaps = np.cumsum(np.r_[0, np.frombuffer(b" " + t.translate(SPACED), np.uint8) == 32])
+        free = gaps[size - 1 : size - 1 + len(g)] == gaps[1 : 1 + len(g)] if shorter else np.ones(len(g), bool)
+        for n, known in shorter:
+            begun = np.zeros(len(t) + 2, np.int64)  # shorter grams that begin before each place
+            hit = _place(_grams(t, n), known) >= 0
+            begun[1 : len(hit) + 1] = np.cumsum(hit)
+            free &= begun[size - n + 1 : size - n + 1 + len(g)] == begun[: len(g)]
+        found.append(np.unique(g[free]))
+    seen, bad = np.unique(np.concatenate(found), return_counts=True)
+    often = bad >= max(4, len(toxic) // RARE)
+    seen, bad = seen[often], bad[often]
+    good = np.zeros(len(seen) + 1, np.int64)  # the last place takes all other grams
+    for t in ordinary:
+        good[np.unique(_place(_grams(t, size), seen))] += 1
+    odds = (bad + 0.5) / (len(toxic) + 1) / ((good[:-1] + 0.5) / (len(ordinary) + 1))
+    return seen[odds > min(ODDS, len(ordinary) / 2)]
+
+
+def _runs(inside: np.ndarray) -> list[tuple[int, int]]:
+    turns = np.flatnonzero(np.diff(np.r_[False, inside, False])).tolist()
+    return list(zip(turns[::2], turns[1::2]))
+
+
+def _passages(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
+    """Words with grams that set toxic texts apart, and spans of such grams across words, those of most texts last."""
+    toxic = _distinct(toxic)
+    telling: list[tuple[int, np.ndarray]] = []
+    for size in GRAMS:
+        telling.append((size, _telling(toxic, ordinary, size, telling)))
+    texts: Counter[bytes] = Counter()
     for t in toxic:
-        at = np.flatnonzero(marked[_grams(t)])
-        if len(at):
-            t = b" " + t
-            for run in np.split(at, np.flatnonzero(np.diff(at) > GRAM) + 1):
-                out.append(t[max(0, run[0] - 1) : run[-1] + GRAM + 1])
+        t = b" " + t.translate(SPACED) + b" "
+        gaps = np.cumsum(np.r_[0, np.frombuffer(t, np.uint8) == 32])
+        spaces = np.flatnonzero(np.diff(gaps))
+        edge = np.zeros((2, len(t) + 1), np.int64)  # grams within a word, grams across words
+        for size, known in telling:
+            at = np.flatnonzero(_place(_grams(t[1:], size), known) >= 0)
+            across = (gaps[at + size - 1] > gaps[at + 1]).astype(int)
+            edge[across, at] += 1
+            edge[across, at + size] -= 1
+        inside = np.cumsum(edge, axis=1)[:, :-1] > 0
+        found = set()
+        for i, j in _runs(inside[0]):
+            left = int(spaces[np.searchsorted(spaces, i, "right") - 1])
+            right = int(spaces[np.searchsorted(spaces, j - 1)]) + 1
+            found.add(t[max(left, i - REACH) : min(right, j + REACH)])
+        found.update(t[i:j] for i, j in _runs(inside[1]) if not inside[0, i:j].any())
+        texts.update(found)
+    out, held = b"", set()
+    for p, n in sorted(texts.items(), key=lambda x: (-x[1], x[0])):
+        new = {(size, g) for size, known in telling for g in _place(_grams(p, size), known).tolist() if g >= 0} - held
+        if p not in out and (new or n >= SEVERAL) and len(out) + len(p) <= TOXIC_BYTES:
+            out, held = p + out, held | new
     return out
 
 
@@ -112,7 +180,7 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(
         dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
         compression_params=zstandard.ZstdCompressionParameters.from_level(
-            LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False,
+            LEVEL, search_log=SEARCH_LOG, write_checksum=False, write_content_size=False, write_dict_id=False,
             format=zstandard.FORMAT_ZSTD1_MAGICLESS,
         ),
     )
@@ -160,8 +228,7 @@ def train(toxic: list[bytes], ordinary: list[bytes], shares: tuple[int, int]) ->
         return None
     toxic, ordinary = [t.lower() for t in toxic], [t.lower() for t in ordinary]
     learn = lambda part: [t for i, t in enumerate(part) if i % 3 < 2]
-    spans = _passages(learn(toxic), learn(ordinary))
-    bad = _dictionary([b"".join(spans[i : i + 6]) for i in range(0, len(spans), 6)], TOXIC_BYTES, 16, 6)
+    bad = _passages(learn(toxic), learn(ordinary))
     pool = [w for t in learn(ordinary) for w in windows(t)]
     pick = np.random.default_rng(1).permutation(len(pool))[: ORDINARY_BYTES // 10]
     good = _dictionary([pool[i] for i in pick], ORDINARY_BYTES, 64, 8)

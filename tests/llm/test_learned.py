@@ -118,6 +118,36 @@ def test_toxicity_on_held_out_texts(words):
     assert (z[y == 0] >= 0).mean() < 0.05
 
 
+def test_toxicity_of_words_made_of_common_syllables():
+    rng = random.Random(11)
+    tongues = [["an", "er", "on", "th", "sti", "ou", "be", "ng"], ["ach", "lich", "keit", "sch", "ver", "ung", "heit", "zu", "ge", "be", "tz", "pf", "ein", "en", "ie", "er"]]
+    bad = [["idiot", "scumbag", "moron"], ["achlichkeit", "achlichver", "achlichung", "achlichheit", "achlichsch"]]
+
+    def text(k, toxic):  # no ordinary word begins with the syllables of a toxic one
+        w = ["".join(rng.choices(tongues[k], k=rng.randint(1, 5))) for _ in range(rng.randint(60, 150))]
+        w = [x if not x.startswith("achlich") else "ver" + x for x in w]
+        for _ in range(rng.randint(4, 7) if toxic else 0):
+            w.insert(rng.randrange(len(w)), rng.choice(bad[k]))
+        return " ".join(w).encode()
+
+    # one toxic text in ten is of the second language
+    toxic = [text(int(i % 10 == 0), True) for i in range(450)]
+    m = toxicity.train(toxic, [text(int(i % 3 == 0), False) for i in range(1800)], (450, 1800))
+    far, gains = toxicity.Distance(m.ordinary, m.toxic), np.array(m.gains)
+    found = lambda k, y: np.mean([m.slope * gains[far(text(k, y))].sum() + m.shift >= 0 for _ in range(150)])
+    assert found(0, True) > 0.9 and found(1, True) > 0.4  # none of the second before long grams
+    assert found(0, False) < 0.05 and found(1, False) < 0.05
+
+
+def test_near_copies_of_a_toxic_text_are_one_evidence():
+    rng = random.Random(12)
+    text = lambda: "".join(rng.choices(string.ascii_lowercase + "  ", k=900)).encode()
+    one = text()
+    copies = [one[:i] + b" x " + one[i:] for i in range(100, 800, 35)]
+    assert len(toxicity._distinct(copies)) == 1
+    assert len(toxicity._distinct(others := [text() for _ in range(20)])) == len(others)
+
+
 def test_windows_cover_the_text_once(words):
     rng = random.Random(3)
     for n in (0, 1, 5, 95, 96, 97, 400, 3000):
@@ -148,3 +178,10 @@ def test_toxicity_on_the_given_labels(spark):
     english = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang = 'en'").select("doc_id")
     hit = got.join(labels, "doc_id").join(english, "doc_id").where("held_out and toxic = 1").agg(F.avg("predicted")).first()[0]
     assert hit > 0.7
+
+
+def test_toxicity_finds_held_out_rows_of_every_language(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = QUERIES["op4_toxicity"](spark, "/root/testdata/sf0.1").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    hit = {r.lang: r.hit for r in got.where("held_out and toxic = 1").groupBy("lang").agg(F.avg("predicted").alias("hit")).collect()}
+    assert min(hit.values()) > 0.3 and len(hit) == 4, hit
