@@ -11,6 +11,8 @@ from scorewell.session import materialize, ship_package
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 SPACE_PATTERN = "[\\x20\\x09-\\x0D]+"
+#: Most bytes of one text that the driver learns from; scores read whole texts.
+SAMPLE_BYTES = 1 << 15
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +40,21 @@ def private(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def sample(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """To learn from: one row for each id of ``chosen`` (few unique ones) that ``docs`` has.
+
+    Columns: i (the id), t (the first SAMPLE_BYTES bytes of its text; of several texts
+    the one with the smallest hash) and the other columns of ``chosen``.
+    """
+    others = [c for c in chosen.columns if c != id_col]
+    whole = text_or_empty(text_col).cast("binary")
+    return (
+        docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
+        .select(F.col(id_col).alias("i"), *others, F.xxhash64(whole).alias("k"), F.substring(whole, 1, SAMPLE_BYTES).alias("t"))
+        .groupBy("i", *others).agg(F.min_by("t", "k").alias("t"))
+    )
+
+
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """``mapInArrow`` with this package at hand in the tasks."""
     ship_package(df.sparkSession)

@@ -23,7 +23,8 @@ Ids whose crc32 (of their decimal text) is divisible by HELD_OUT are never
 learned from.  Labels, languages, sources and ids are no inputs of a score.
 
 Defined results: null and empty texts are one empty window; texts of any length
-are scored whole; repeated rows are scored each for itself; several labels of one
+are scored whole (SAMPLE_BYTES bytes of one are learned from); repeated rows are scored
+each for itself, and one row of an id is learned from; several labels of one
 id count as toxic if one does; with fewer than three toxic or
 ordinary labelled rows every score is 0; an empty table gives an empty result; other columns are not
 read.
@@ -42,9 +43,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorewell.llm.common import map_arrow, private, table
+from scorewell.llm.common import map_arrow, private, sample, table
 
-#: Most labelled rows learned from, those with the smallest hash of their id.
+#: Most labelled ids learned from, those with the smallest hash.
 TOXIC_ROWS, ORDINARY_ROWS = 1500, 3000
 HELD_OUT = 5
 WINDOW, LEVEL = 96, 9
@@ -257,12 +258,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     shares = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     pick = lambda t, n: known.where(F.col("toxic") == t).orderBy(F.xxhash64(id_col), id_col).limit(n)
     chosen = pick(1, TOXIC_ROWS).union(pick(0, ORDINARY_ROWS))  # bounded, so it may be broadcast and collected
-    rows = (
-        docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
-        .select("toxic", F.xxhash64(id_col).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).collect()
-    )
+    rows = sample(docs, chosen, id_col, text_col).select("toxic", F.xxhash64("i").alias("h"), "t").collect()
     rows.sort(key=lambda r: (r["h"], r["t"]))
-    of = lambda t: [r["t"].encode() for r in rows if r["toxic"] == t]
+    of = lambda t: [bytes(r["t"]) for r in rows if r["toxic"] == t]
     return train(of(1), of(0), (shares.get(1, 0), shares.get(0, 0)))
 
 

@@ -170,6 +170,33 @@ def test_toxicity_never_learns_from_held_out_rows(spark, awkward, empty, words):
     assert toxicity.scored(empty, one).count() == 0
 
 
+def test_copies_of_one_id_do_not_reach_the_driver(spark, words, monkeypatch):
+    corpus = _corpus(words, 200, 4)
+    rows = [(i, t) for i, _, t in corpus]
+    labels = spark.createDataFrame([(i, y) for i, y, _ in corpus], "doc_id bigint, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    # a third of all rows has one id: copies of its text and texts with a larger hash
+    _, mine, least = docs.where("doc_id = 4").select("doc_id", "text", F.xxhash64("text")).first()
+    many = spark.createDataFrame([(4, mine)] * 50 + [(4, f"{mine} {i}") for i in range(50)], docs.schema)
+    more = docs.union(many.where(F.xxhash64("text") >= least)).repartition(5)
+    seen = []
+    monkeypatch.setattr(secrets, "train", lambda texts: seen.append(texts))
+    monkeypatch.setattr(toxicity, "train", lambda *parts: seen.append(parts))
+    for frame in (docs, more):
+        secrets.fit(frame)
+        toxicity.fit(frame, labels)
+    assert more.count() > 240 and len(seen[0]) == 200
+    assert seen[2] == seen[0] and seen[3] == seen[1]
+
+
+def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "é" * 100_000), (2, None), (3, "short")], "doc_id bigint, text string")
+    seen = []
+    monkeypatch.setattr(secrets, "train", lambda texts: seen.append(texts))
+    secrets.fit(docs)
+    assert sorted(len(t.encode()) for t in seen[0]) == [0, 5, 1 << 15]
+
+
 def test_toxicity_on_the_given_labels(spark):
     got = QUERIES["op4_toxicity"](spark, "/root/testdata/sf0.1")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
