@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from scorewell.llm import exact_dedup, minhash, packing, pieces, pii, quality, secrets, sharding, toxicity, urls
+from scorewell.llm import (
+    best_fit,
+    exact_dedup,
+    filter_audit,
+    minhash,
+    packing,
+    pieces,
+    pii,
+    quality,
+    resampling,
+    secrets,
+    sharding,
+    toxicity,
+    urls,
+)
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,9 +29,13 @@ QUERIES = {
     "op8_url_filter": urls.op8_url_filter,
     "op9_pii": pii.op9_pii,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_best_fit": best_fit.op11_best_fit,
+    "op12_resampling": resampling.op12_resampling,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
 SQL = {
     "op7_exact_dedup": exact_dedup.SQL.strip(),
     "op8_url_filter": urls.SQL.strip(),
+    "op13_filter_audit": filter_audit.SQL.strip(),
 }
