@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-_STEP = np.uint64(0xD1342543DE82EF95)  # odd, so it has an inverse modulo 2^64
-_BACK = np.uint64(pow(int(_STEP), -1, 2**64))
+_SEED = np.uint64(0xD1342543DE82EF95)
+_KEPT = 1 << 16
 _cache: dict[str, np.ndarray] = {}
 
 
@@ -16,20 +16,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the multiplier and of its inverse."""
-    if len(_cache.get("step", ())) < n:
-        size = 1 << max(20, int(n).bit_length())
-        if size > 1 << 23:  # a very long text: not kept
-            return np.cumprod(np.full(n, _STEP), dtype=np.uint64), np.cumprod(np.full(n, _BACK), dtype=np.uint64)
-        _cache["step"] = np.cumprod(np.full(size, _STEP), dtype=np.uint64)
-        _cache["back"] = np.cumprod(np.full(size, _BACK), dtype=np.uint64)
-    return _cache["step"][:n], _cache["back"][:n]
+def _made(n: int) -> np.ndarray:
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * _SEED)
+
+
+def place_keys(places: np.ndarray) -> np.ndarray:
+    """A fixed random key for each place in a segment."""
+    if "keys" not in _cache:
+        _cache["keys"] = _made(_KEPT)
+    if places.max(initial=0) < _KEPT:
+        return _cache["keys"][places]
+    return mix((places.astype(np.uint64) + np.uint64(1)) * _SEED)
 
 
 def segment_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A polynomial hash of ``values[start:end]`` for each segment, wherever it stands."""
-    step, back = powers(len(values))
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * step, out=sums[1:])
-    return (sums[ends] - sums[starts]) * back[np.minimum(starts, max(len(values) - 1, 0))]
+    """A hash of ``values[start:end]`` (uint64) for each non-empty segment, wherever it stands.
+
+    Each value is mixed with its place's key before the sum, so no power of one number
+    is behind it: words that any polynomial modulo 2^64 confuses differ here.  Two
+    different segments agree by chance once in 2^64.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    sizes = ends - starts
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+    inside = values[place + np.repeat(starts, sizes)]
+    return mix(np.add.reduceat(mix(inside ^ place_keys(place)), first) + sizes.astype(np.uint64))

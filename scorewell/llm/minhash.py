@@ -72,7 +72,7 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     inside = _WORD[raw]
     edge = np.diff(np.r_[False, inside, False].astype(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    words = mix(segment_hashes(_BYTE[raw], starts, ends))
+    words = segment_hashes(_BYTE[raw], starts, ends)
     begins = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
     cut = np.r_[np.searchsorted(starts, begins), len(words)]
     if len(words) >= k:

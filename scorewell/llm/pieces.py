@@ -254,6 +254,12 @@ class PieceModel:
         # each different segment once
         name = segment_hashes(mix(cps.astype(np.uint64) + np.uint64(1)), starts, ends)
         _, first, which = np.unique(name, return_index=True, return_inverse=True)
+        # equal hashes share a result only where the segments are equal, too
+        shift = np.repeat(starts[first][which] - starts, size)
+        like = np.minimum(np.arange(len(cps)) + shift, len(cps) - 1)
+        other = np.flatnonzero((size[first][which] != size) | np.logical_or.reduceat(cps != cps[like], starts))
+        which[other] = len(first) + np.arange(len(other))
+        first = np.r_[first, other]
         n = len(first)
         u_size = size[first]
         total = int(u_size.sum())

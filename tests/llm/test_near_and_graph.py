@@ -50,6 +50,26 @@ def family(rng, words, size, changes):
     return [" ".join(x) for x in out]
 
 
+def test_words_that_polynomial_hashes_confuse(spark, tmp_path):
+    """Thue-Morse words and their swaps: equal under any polynomial hash modulo 2^64."""
+    rows = []
+    for n in (1024, 2048, 4096, 8192):
+        for letters in ("ab", "ba"):
+            word = "".join(letters[i.bit_count() & 1] for i in range(n))
+            rows += [word, f"{word} and more", f"{word} {word}"]
+    sets = minhash.shingle_sets([r.encode() for r in rows], 2)
+    plain = [plain_set(r, 2) for r in rows]
+    assert [len(s) for s in sets] == [len(s) for s in plain]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert len(np.intersect1d(a, b)) == len(plain[i] & plain[j])
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").write.parquet(path)
+    df = spark.read.parquet(path)
+    assert all(r.id == r.component for r in minhash.classes(df, k=2).collect())
+    assert minhash.drop_near_duplicates(df).count() == len(rows)
+
+
 @pytest.mark.parametrize("k", [2, 5])
 def test_classes_equal_all_pairs(spark, awkward, tmp_path, k):
     rng = random.Random(9)

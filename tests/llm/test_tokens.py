@@ -37,6 +37,21 @@ def test_pieces_on_joined_vocabulary_and_long_runs():
     check_texts(texts + ["a" * 30_000, " " * 5000, "ab" * 9000, "\n" * 400, "x" * (pieces.CHUNK + 10), "", "é" * 3000])
 
 
+def thue_morse(n, letters="ab"):
+    return "".join(letters[i.bit_count() & 1] for i in range(n))
+
+
+def test_pieces_of_words_that_polynomial_hashes_confuse():
+    for n in (1024, 2048, 4096, 8192):
+        check_texts([thue_morse(n), thue_morse(n, "ba"), thue_morse(n) + " " + thue_morse(n, "ba"), thue_morse(n, "xy")])
+
+
+def test_pieces_with_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(pieces, "segment_hashes", lambda values, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(2))
+    rng = random.Random(5)
+    check_texts(["".join(rng.choice("abc de.") for _ in range(200)) for _ in range(20)] + ["", "a", "b", "ab", "ba"])
+
+
 def test_pieces_of_awkward_rows(awkward, empty):
     df, rows = awkward
     got = {}
