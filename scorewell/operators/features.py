@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from scorewell.functions.sequence import normalize_text
 from scorewell.operators.rank import ordered_positions
+from scorewell.session import map_arrow, materialize
 
 # Fixed value: total count each cell is scaled to before log1p.
 TARGET_SUM = 1e4
@@ -21,6 +22,22 @@ TARGET_SUM = 1e4
 COUNTS_AT_ONCE = 200_000
 
 
+def kmers_of(text: str, lo: int, hi: int):
+    """(k-mers, counts) of a normalized text for each k: windows get a 64-bit hash, and equal ones are counted together."""
+    import numpy as np
+
+    step, odd = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    points = (points + np.uint64(1)) * odd
+    points ^= points >> np.uint64(29)
+    h = np.zeros(len(points), np.uint64)
+    for k in range(1, min(hi, len(points)) + 1):
+        h = h[: len(points) - k + 1] * step + points[k - 1 :]
+        if k >= lo:
+            _, first, n = np.unique(h ^ (h >> np.uint64(32)), return_index=True, return_counts=True)
+            yield [text[i : i + k] for i in first.tolist()], n
+
+
 def kmer_counts(df: DataFrame, id_col: str, seq_col: str, lo: int, hi: int) -> DataFrame:
     """(id, kmer, n) for every k-mer of length lo..hi of each whole text (ids unique per row).
 
@@ -35,19 +52,6 @@ def kmer_counts(df: DataFrame, id_col: str, seq_col: str, lo: int, hi: int) -> D
         import numpy as np
         import pyarrow as pa
 
-        step, odd = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-
-        def counted(text):
-            points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-            points = (points + np.uint64(1)) * odd
-            points ^= points >> np.uint64(29)
-            h = np.zeros(len(points), np.uint64)
-            for k in range(1, min(hi, len(points)) + 1):
-                h = h[: len(points) - k + 1] * step + points[k - 1 :]
-                if k >= lo:
-                    _, first, n = np.unique(h ^ (h >> np.uint64(32)), return_index=True, return_counts=True)
-                    yield [text[i : i + k] for i in first.tolist()], n
-
         def frame(ids, kmers, counts):
             lengths = [len(c) for c in counts]
             return pa.RecordBatch.from_arrays(
@@ -62,7 +66,7 @@ def kmer_counts(df: DataFrame, id_col: str, seq_col: str, lo: int, hi: int) -> D
         for batch in batches:
             ids, kmers, counts = [], [], []
             for row, text in zip(batch.column(0), batch.column(1)):
-                for names, n in counted(text.as_py() or ""):
+                for names, n in kmers_of(text.as_py() or "", lo, hi):
                     ids.append(row)
                     kmers += names
                     counts.append(n)
@@ -73,7 +77,7 @@ def kmer_counts(df: DataFrame, id_col: str, seq_col: str, lo: int, hi: int) -> D
                 yield frame(ids, kmers, counts)
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, normalize_text(seq_col).alias("_t")).mapInArrow(run, f"`{id_col}` {kind}, kmer string, n bigint")
+    return map_arrow(df.select(id_col, normalize_text(seq_col).alias("_t")), run, f"`{id_col}` {kind}, kmer string, n bigint")
 
 
 def kmer_vocabulary(counts: DataFrame) -> DataFrame:
@@ -82,13 +86,33 @@ def kmer_vocabulary(counts: DataFrame) -> DataFrame:
     return pos.select("kmer", (F.col("_pos") - 1).cast("int").alias("idx"))
 
 
+#: A key with more than one in this many rows is joined by broadcast.
+HOT_SHARE = 4096
+
+
+def spread_join(facts: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``facts.join(table, key)`` where frequent keys don't gather in one task.
+
+    Keys with more than 1/HOT_SHARE of the rows are fewer than HOT_SHARE, so their part
+    of ``table`` (unique keys) is broadcast; the others move as in any join.  ``facts``
+    is read twice: give a stored table.
+    """
+    n = facts.count()
+    often = materialize(
+        facts.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * HOT_SHARE > n).select(key), "hot-keys"
+    )
+    hot = table.join(F.broadcast(often), key)
+    cold = facts.join(F.broadcast(often), key, "left_anti").join(table, key)
+    return facts.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def kmer_vectorize(counts: DataFrame, vocab: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """Per row a sparse (indices, values) pair over the vocabulary.
 
     Unseen k-mers drop out in the inner join; rows with no known k-mer are
-    kept (left join from ``ids``) with empty arrays.
+    kept (left join from ``ids``) with empty arrays.  ``counts`` must be stored.
     """
-    known = counts.join(vocab, "kmer")
+    known = spread_join(counts, vocab, "kmer")
     rows = known.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("idx", "n"))).alias("_e"))
     out = ids.select(id_col).join(rows, id_col, "left")
     e = F.coalesce(F.col("_e"), F.array().cast("array<struct<idx:int,n:bigint>>"))

@@ -54,33 +54,53 @@ def scored(subs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     )
 
 
-def best_per_user(subs: DataFrame) -> DataFrame:
-    """H1: one row per (dataset, fold, user): highest score, earliest on ties.
-
-    ``min_by`` over (−score, timestamp, name) is a plain hash aggregate with
-    map-side partials, so a user with a third of all rows costs one partial
-    row per task.
+def user_metrics(records: DataFrame) -> DataFrame:
+    """Per (dataset, fold, user, metric) the best record, its count and first, and the user's first record at all.
+
+    A row per metric a user ever reported, so whichever metric the board turns out to
+    use (H3: the one its earliest record names), the best record by it is at hand.
+    ``min_by`` over (-score, timestamp, name) is a hash aggregate with map-side
+    partials, so a user with a third of all rows costs one partial row per task.
+    Works on a stream as well (its state is this table).
     """
-    s = scored(subs)
-    rec = F.struct("timestamp", "name", "score", "board_metric", "description")
+    each = records.select(
+        *KEYS, "user", "timestamp", "name", "primary_metric", "description",
+        F.explode_outer(F.map_filter("metrics", lambda k, v: v.isNotNull())).alias("metric", "score"),
+    )
+    rec = F.struct("timestamp", "name", "score", "description")
     key = F.struct((-F.col("score")).alias("neg"), F.col("timestamp"), F.col("name"))
-    agg = s.groupBy(*KEYS, "user").agg(
+    return each.groupBy(*KEYS, "user", "metric").agg(
         F.min_by(rec, key).alias("best"),
-        F.min(F.struct("timestamp", "name")).getField("timestamp").alias("first_timestamp"),
-        F.count(F.lit(1)).alias("n_submissions"),
+        F.count("score").alias("n_submissions"),
+        F.min(F.when(F.col("score").isNotNull(), F.struct("timestamp", "name"))).getField("timestamp").alias("first_timestamp"),
+        F.min(F.struct("timestamp", "name", "primary_metric")).alias("first"),
     )
-    return agg.select(
+
+
+def board_of(state: DataFrame) -> DataFrame:
+    """H1 from ``user_metrics`` (stored, as it is read twice): rows of the metric that the board's earliest record names."""
+    names = state.groupBy(*KEYS).agg(F.min("first").getField("primary_metric").alias("board_metric"))
+    rows = state.join(names, KEYS).where((F.col("metric") == F.col("board_metric")) & (F.col("n_submissions") > 0))
+    return rows.select(
         *KEYS,
         "user",
         F.col("best.timestamp").alias("timestamp"),
         F.col("best.name").alias("name"),
         F.col("best.score").alias("score"),
-        F.col("best.board_metric").alias("primary_metric"),
+        F.col("board_metric").alias("primary_metric"),
         "first_timestamp",
         "n_submissions",
     )
 
 
+def best_per_user(subs: DataFrame) -> DataFrame:
+    """H1: one row per (dataset, fold, user): highest score, earliest on ties.
+
+    The records are read once; the table per user and metric is written.
+    """
+    return board_of(materialize(user_metrics(subs), "user-metrics"))
+
+
 def leaderboard(subs: DataFrame) -> DataFrame:
     """H2: best per user ranked by score desc; ties keep first-submission order.
 

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorewell.operators.rank import avg_rank
+from scorewell.operators.rank import doubled_ranks
 from scorewell.session import materialize
 
 REGRESSION_PRIMARY = "spearman"
@@ -58,49 +58,44 @@ def _none_of(columns: Sequence[str]) -> Column:
     return out
 
 
-def _evaluated(rows: DataFrame, metrics: DataFrame, groups: list[str], names: Sequence[str]) -> DataFrame:
-    """Problem counts and ``valid`` per group, with the metrics where valid (null elsewhere).
-
-    Extra predictions belong to no target, so with groups they form a row of
-    their own whose group is null.
-    """
-    counts = rows.groupBy(*groups).agg(F.count("_t").alias("n"), *_problem_counts())
-    counts = counts.withColumn("valid", (F.col("n") > 0) & _none_of(PROBLEMS))
-    on = F.lit(True)
-    for g in groups:
-        on = on & counts[g].eqNullSafe(metrics[g])
-    if not groups:  # one row on either side
-        counts, metrics = counts.withColumn("_one", F.lit(1)), metrics.withColumn("_one", F.lit(1))
-        on = counts["_one"] == metrics["_one"]
-    joined = counts.join(metrics, on, "left")
-    return joined.select(
-        *[counts[g] for g in groups], "valid", counts["n"], *PROBLEMS,
-        *[F.when(F.col("valid"), metrics[m]).alias(m) for m in names],
-    )
-
-
 def evaluate_regression(
     targets: DataFrame, preds: DataFrame, group_cols: Sequence[str] = (),
     id_col: str = "id", pred_col: str = "p", label_col: str = "y",
 ) -> DataFrame:
-    """F10 for a submission: M1's counts, ``valid`` and the regression metrics of each group."""
+    """F10 for a submission: M1's counts, ``valid`` and the regression metrics of each group.
+
+    Extra predictions belong to no target, so with groups they form a row of their
+    own whose group is null.  The matched rows are written once; counts and metrics
+    come from one aggregate.
+    """
     groups = list(group_cols)
     keep = targets.select(id_col, label_col, *groups)
     rows = materialize(matched(keep, preds.select(id_col, pred_col), id_col, pred_col), "matched-predictions")
-    m = regression_metrics(rows.where("_t = 1"), pred_col, label_col, groups, materialize_input=False)
-    return _evaluated(rows, m.drop("n"), groups, REGRESSION_METRICS)
+    made = _regression_stats(rows, rows.where("_t = 1"), pred_col, label_col, groups, _problem_counts(), F.count("_t"))
+    return _where_valid(made, groups, REGRESSION_METRICS)
 
 
 def evaluate_classification(
     targets: DataFrame, preds: DataFrame, group_cols: Sequence[str] = (),
     id_col: str = "id", pred_col: str = "p", label_col: str = "y",
 ) -> DataFrame:
-    """F10 for a submission: M1's counts, ``valid`` and the classification metrics of each group."""
+    """F10 for a submission: M1's counts, ``valid`` and the classification metrics of each group.
+
+    One pass: the counts of problems travel with the confusion counts.
+    """
     groups = list(group_cols)
     keep = targets.select(id_col, label_col, *groups)
-    rows = materialize(matched(keep, preds.select(id_col, pred_col), id_col, pred_col), "matched-predictions")
-    m = classification_metrics(rows.where("_t = 1"), pred_col, label_col, groups)
-    return _evaluated(rows, m.drop("n"), groups, CLASSIFICATION_METRICS)
+    rows = matched(keep, preds.select(id_col, pred_col), id_col, pred_col)
+    confusion = rows.groupBy(*groups, F.col(label_col).alias("y"), F.col(pred_col).alias("p")).agg(
+        F.count("_t").alias("n"), *_problem_counts()
+    )
+    return _where_valid(_classification_stats(confusion, groups, PROBLEMS), groups, CLASSIFICATION_METRICS)
+
+
+def _where_valid(made: DataFrame, groups: list[str], names: Sequence[str]) -> DataFrame:
+    """``valid`` per group, with the metrics where valid (null elsewhere)."""
+    made = made.withColumn("valid", (F.col("n") > 0) & _none_of(PROBLEMS))
+    return made.select(*groups, "valid", "n", *PROBLEMS, *[F.when(F.col("valid"), F.col(m)).alias(m) for m in names])
 
 
 def _ratio(num: Column, den: Column, default: Column) -> Column:
@@ -116,26 +111,40 @@ def regression_metrics(
 ) -> DataFrame:
     """One row per group with n, spearman, pearson, mse, mae, rmse, r2.
 
-    Spearman = Pearson of average-tie ranks (P1); constant input gives 0.
+    Spearman = Pearson of average-tie ranks (P1); constant input gives 0.  It comes
+    from whole-number sums of doubled ranks, so equal rankings have equal scores to
+    the last bit, whatever the order of the rows or the number of partitions.
     Pearson on constant input is NaN.  Every row counts in n; a group in which a
     prediction or label is null has null metrics, as it can't be scored whole.
     """
     groups = list(group_cols)
-    base = df.select(*groups, F.col(pred_col).cast("double").alias("_p"), F.col(label_col).cast("double").alias("_y"))
+    base = df.select(*groups, F.col(pred_col).cast("double").alias(pred_col), F.col(label_col).cast("double").alias(label_col))
     if materialize_input:
-        # base feeds two rank tables and the final join
+        # base feeds the rank table and the final join
         base = materialize(base, "aligned-predictions")
-    ranked = base
-    for c, r in (("_y", "_ry"), ("_p", "_rp")):
-        ranks = avg_rank(base, c, groups, r).drop("cnt")
-        ranks = ranks.toDF(*[f"_k_{x}" for x in (*groups, c)], r)
+    made = _regression_stats(base, base, pred_col, label_col, groups, [], F.count(F.lit(1)))
+    return made.select(*groups, "n", *REGRESSION_METRICS)
+
+
+def _regression_stats(
+    rows: DataFrame, ranked_rows: DataFrame, pred_col: str, label_col: str, groups: list[str], more: list[Column], n: Column
+) -> DataFrame:
+    """n, ``more`` and the regression metrics per group of ``rows``; ranks are those among ``ranked_rows``."""
+    as_double = lambda d: d.withColumn("_p", F.col(pred_col).cast("double")).withColumn("_y", F.col(label_col).cast("double"))
+    cur = as_double(rows)
+    ranks = doubled_ranks(as_double(ranked_rows), ["_y", "_p"], groups)
+    for column, (c, r) in enumerate((("_y", "_ry"), ("_p", "_rp"))):
+        one = ranks.where(F.col("column") == column).select(
+            *[F.col(g).alias(f"_k_{g}") for g in groups], F.col("value").alias(f"_k_{c}"), F.col("rank2").cast("decimal(19,0)").alias(r)
+        )
         on = F.lit(True)
         for x in (*groups, c):
-            on = on & ranked[x].eqNullSafe(ranks[f"_k_{x}"])
-        ranked = ranked.join(ranks, on).drop(*[f"_k_{x}" for x in (*groups, c)])
+            on = on & cur[x].eqNullSafe(one[f"_k_{x}"])
+        cur = cur.join(one, on, "left").drop(*[f"_k_{x}" for x in (*groups, c)])
     err = F.col("_p") - F.col("_y")
-    stats = ranked.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("n"),
+    stats = cur.groupBy(*groups).agg(
+        n.alias("n"),
+        *more,
         F.count(F.when(F.col("_p").isNotNull() & F.col("_y").isNotNull(), 1)).alias("_whole"),
         F.avg(err * err).alias("mse"),
         F.avg(F.abs(err)).alias("mae"),
@@ -144,21 +153,26 @@ def regression_metrics(
         F.covar_pop("_p", "_y").alias("_cov"),
         F.stddev_pop("_p").alias("_sp"),
         F.stddev_pop("_y").alias("_sy"),
-        F.covar_pop("_rp", "_ry").alias("_rcov"),
-        F.stddev_pop("_rp").alias("_srp"),
-        F.stddev_pop("_ry").alias("_sry"),
+        F.sum(F.col("_rp") * F.col("_ry")).alias("_r_py"),
+        F.sum(F.col("_rp") * F.col("_rp")).alias("_r_pp"),
+        F.sum(F.col("_ry") * F.col("_ry")).alias("_r_yy"),
     )
+    # doubled ranks have the mean n + 1; whole numbers below 10^38 up to 10^12 rows a group
+    whole_n, next_n = F.col("n").cast("decimal(12,0)"), (F.col("n") + 1).cast("decimal(13,0)")
+    centre = whole_n * next_n * next_n
+    about = lambda c: (F.col(c) - centre).cast("double")
     nan = F.lit(float("nan"))
     made = {
-        "spearman": _ratio(F.col("_rcov"), F.col("_srp") * F.col("_sry"), F.lit(0.0)),
+        "spearman": _ratio(about("_r_py"), F.sqrt(about("_r_pp") * about("_r_yy")), F.lit(0.0)),
         "pearson": _ratio(F.col("_cov"), F.col("_sp") * F.col("_sy"), nan),
         "mse": F.col("mse"),
         "mae": F.col("mae"),
         "rmse": F.sqrt("mse"),
         "r2": F.lit(1.0) - _ratio(F.col("_ss_res"), F.col("_var_y") * F.col("n"), nan),
     }
-    whole = F.col("_whole") == F.col("n")
-    return stats.select(*groups, "n", *[F.when(whole, v).alias(k) for k, v in made.items()])
+    whole = (F.col("_whole") == F.col("n")) & (F.col("n") > 0)
+    kept = [c for c in stats.columns if not c.startswith("_") and c not in made]
+    return stats.select(*kept, *[F.when(whole, v).alias(k) for k, v in made.items()])
 
 
 def confusion_counts(df: DataFrame, pred_col: str = "p", label_col: str = "y", group_cols: Sequence[str] = ()) -> DataFrame:
@@ -168,26 +182,27 @@ def confusion_counts(df: DataFrame, pred_col: str = "p", label_col: str = "y", g
     )
 
 
-def per_class_prf(confusion: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
-    """per class in the union of true and predicted labels: support, predicted, tp, P, R, F1."""
-    groups = list(group_cols)
-    as_truth = confusion.select(
-        *groups,
-        F.col("y").alias("cls"),
-        F.col("n").alias("support"),
-        F.lit(0).cast("long").alias("predicted"),
-        F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(F.lit(0)).cast("long").alias("tp"),
+def _per_class(confusion: DataFrame, groups: list[str], carry: Sequence[str]) -> DataFrame:
+    """Support, predicted and tp of each class in one pass; ``carry`` columns are added up too."""
+    zero = F.lit(0).cast("long")
+    as_truth = F.struct(
+        F.col("y").alias("cls"), F.col("n").alias("support"), zero.alias("predicted"),
+        F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(zero).alias("tp"), *[F.col(c).alias(c) for c in carry],
     )
-    as_pred = confusion.select(
-        *groups,
-        F.col("p").alias("cls"),
-        F.lit(0).cast("long").alias("support"),
-        F.col("n").alias("predicted"),
-        F.lit(0).cast("long").alias("tp"),
+    as_pred = F.struct(
+        F.col("p").alias("cls"), zero.alias("support"), F.col("n").alias("predicted"), zero.alias("tp"),
+        *[zero.alias(c) for c in carry],
     )
-    per = as_truth.unionByName(as_pred).groupBy(*groups, "cls").agg(
-        F.sum("support").alias("support"), F.sum("predicted").alias("predicted"), F.sum("tp").alias("tp")
+    names = ["support", "predicted", "tp", *carry]
+    return confusion.select(*groups, F.inline(F.array(as_truth, as_pred))).groupBy(*groups, "cls").agg(
+        *[F.sum(c).alias(c) for c in names]
     )
+
+
+def per_class_prf(confusion: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
+    """per class in the union of true and predicted labels: support, predicted, tp, P, R, F1."""
+    groups = list(group_cols)
+    per = _per_class(confusion, groups, [])
     zero = F.lit(0.0)
     return per.select(
         *groups,
@@ -209,18 +224,24 @@ def classification_metrics(
     A group with a null label or prediction has null metrics.
     """
     groups = list(group_cols)
-    confusion = confusion_counts(df, pred_col, label_col, groups)
-    per = per_class_prf(confusion, groups)
-    agg = per.groupBy(*groups).agg(
+    made = _classification_stats(confusion_counts(df, pred_col, label_col, groups), groups, [])
+    return made.select(*groups, "n", *CLASSIFICATION_METRICS)
+
+
+def _classification_stats(confusion: DataFrame, groups: list[str], carry: Sequence[str]) -> DataFrame:
+    zero = F.lit(0.0)
+    tp, predicted, support = F.col("tp"), F.col("predicted"), F.col("support")
+    f1 = _ratio(2 * tp, support + predicted, zero)
+    agg = _per_class(confusion, groups, carry).groupBy(*groups).agg(
         F.sum("support").alias("n"),
+        *[F.sum(c).alias(c) for c in carry],
         F.count(F.when(F.col("cls").isNull(), 1)).alias("_nulls"),
-        F.avg("f1").alias("f1_macro"),
-        F.sum(F.col("f1") * F.col("support")).alias("_f1w"),
+        F.avg(f1).alias("f1_macro"),
+        F.sum(f1 * support).alias("_f1w"),
         F.sum("tp").alias("_tp"),
-        F.avg("precision").alias("precision_macro"),
-        F.avg("recall").alias("recall_macro"),
+        F.avg(_ratio(tp, predicted, zero)).alias("precision_macro"),
+        F.avg(_ratio(tp, support, zero)).alias("recall_macro"),
     )
-    zero = F.lit(0.0)
     made = {
         "f1_macro": F.col("f1_macro"),
         "f1_weighted": _ratio(F.col("_f1w"), F.col("n"), zero),
@@ -229,7 +250,7 @@ def classification_metrics(
         "recall_macro": F.col("recall_macro"),
     }
     whole = F.col("_nulls") == 0
-    return agg.select(*groups, "n", *[F.when(whole, v).alias(k) for k, v in made.items()])
+    return agg.select(*groups, "n", *carry, *[F.when(whole, v).alias(k) for k, v in made.items()])
 
 
 def cv_scores(split_metrics: DataFrame, metric: str, group_cols: Sequence[str] = ()) -> DataFrame:

@@ -16,14 +16,13 @@ l.  The input is written once before the passes.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorewell.operators.summed import tree_sum
 from scorewell.session import materialize
 
 TOLERANCE = 1e-10
@@ -38,33 +37,7 @@ def _rows(batch: pa.RecordBatch) -> np.ndarray:
 
 def _tree_sum(x: DataFrame, partial, shape: tuple[int, int]) -> np.ndarray:
     """The sum over all row blocks of ``partial(block)``, added in two levels."""
-
-    def per_task(batches):
-        total = None
-        for batch in batches:
-            if batch.num_rows:
-                part = partial(_rows(batch))
-                total = part if total is None else total + part
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f8").tobytes()], pa.binary())], ["m"])
-
-    def add(batches):
-        total = None
-        for batch in batches:
-            for m in batch.column(0):
-                part = np.frombuffer(m.as_buffer(), "<f8")
-                total = part.copy() if total is None else total + part
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["m"])
-
-    groups = math.isqrt(int(x.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))) + 1
-    # keyed by the task, so a task that runs again sends its sum to the same group
-    parts = x.mapInArrow(per_task, "m binary").withColumn("_t", F.spark_partition_id())
-    sums = parts.repartition(groups, "_t").sortWithinPartitions("_t").select("m").mapInArrow(add, "m binary")
-    out = np.zeros(shape[0] * shape[1])
-    for r in sums.collect():  # at most ``groups`` rows
-        out += np.frombuffer(r["m"], "<f8")
-    return out.reshape(shape)
+    return tree_sum(x, lambda batch: partial(_rows(batch)).ravel(), shape[0] * shape[1]).reshape(shape)
 
 
 def _orthonormal(block: np.ndarray, basis: np.ndarray | None) -> np.ndarray:

@@ -71,6 +71,27 @@ def avg_rank(df: DataFrame, value_col: str, group_cols: Sequence[str] = (), rank
     )
 
 
+def doubled_ranks(df: DataFrame, value_cols: Sequence[str], group_cols: Sequence[str] = ()) -> DataFrame:
+    """Twice the average-tie rank, a whole number, of each distinct (group..., column, value).
+
+    Columns: the groups, ``column`` (position in ``value_cols``), ``value``, ``rank2``.
+    All value columns share one layout (the column is part of the order key), so
+    ranking two costs one sample and one write.
+    """
+    groups = [*group_cols, "column"]
+    each = F.array(*[F.struct(F.lit(i).alias("column"), F.col(c).alias("value")) for i, c in enumerate(value_cols)])
+    long = df.select(*group_cols, F.inline(each))
+    rows = laid_out(long.groupBy(*groups, "value").agg(F.count(F.lit(1)).alias("cnt")), groups, ["value"], "rank-layout")
+    w = Window.partitionBy(*groups, PART).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = rows.withColumn("_run", F.sum("cnt").over(w))
+    offsets = _before(rows.groupBy(*groups, PART).agg(F.sum("cnt").alias("_total")), groups, "_total", "_off").drop("_total")
+    joined = running.join(offsets, _null_safe(running, offsets, [*groups, PART]))
+    return joined.select(
+        *[running[c] for c in (*groups, "value")],
+        (2 * (offsets["_off"] + running["_run"]) - running["cnt"] + 1).alias("rank2"),
+    )
+
+
 def _null_safe(a: DataFrame, b: DataFrame, cols: Sequence[str]):
     cond = None
     for c in cols:

@@ -28,7 +28,8 @@ from scorewell.operators.folds import (
     kfold,
     stratified_kfold,
 )
-from scorewell.plans.estimators import Fitted, Param, Roles, Spec, get_spec
+from scorewell.plans.estimators import Fitted, Param, Roles, Spec
+from scorewell.plans.linear_models import fold_codes
 from scorewell.session import materialize
 from scorewell.sources.tables import fold_split
 
@@ -72,28 +73,44 @@ def score_splits(preds: DataFrame, task: str) -> DataFrame:
     return m.select("split", F.col(primary_metric(task)).alias("score"))
 
 
-def split_predictions(spec: Spec, splits: Splits, roles: Roles, config: dict | None) -> DataFrame:
-    """Fit on each split's train rows, predict its validation rows: (split, id, p, y), written once.
+def trial_predictions(spec: Spec, splits: Splits, roles: Roles, configs: list[dict | None]) -> DataFrame:
+    """(trial, split, id, p, y) of every config: fitted on each split's train rows, written once.
 
-    What a row contributes whatever the split (k-mers of a text) is computed once
-    for all splits.  The fits are independent Spark jobs, submitted concurrently
-    from a small thread pool.
+    Pipelines that can solve all splits and configs from shared passes do so
+    (``Spec.cv_predictions``).  Others are fitted one by one: what a row contributes
+    whatever the split (k-mers of a text) is written once for all splits of a trial, and
+    the fits are independent Spark jobs, submitted from small thread pools.  No cache
+    is shared between them.
     """
-    whole, ready = spec.prepare(splits.frame, config, roles)
-    whole = whole.persist()
-
-    def one(i: int, v) -> DataFrame:
-        train, val = fold_split(whole, v, splits.col)
-        p = ready.predict(ready.fit(train, config, roles), val).withColumnRenamed("prediction", "p")
+    out = ["trial", "split", roles.id_col, "p", "y"]
+    k = len(splits.values)
+    frame = materialize(splits.frame, "split-rows") if len(configs) * k > 1 else splits.frame
+    shared = spec.cv_predictions(frame, roles, fold_codes(splits.col, splits.values), k, configs)
+    if shared is not None:
+        return materialize(shared.select(*out), "split-predictions")
+
+    def one(trial: int, whole: DataFrame, ready: Spec, i: int) -> DataFrame:
+        train, val = fold_split(whole, splits.values[i], splits.col)
+        p = ready.predict(ready.fit(train, configs[trial], roles), val).withColumnRenamed("prediction", "p")
         y = val.select(roles.id_col, F.col(roles.label_col).alias("y"))
-        return y.join(p, roles.id_col, "left").select(F.lit(i).alias("split"), roles.id_col, "p", "y")
-
-    try:
-        with ThreadPoolExecutor(max_workers=max(1, min(len(splits.values), MAX_CONCURRENT_FITS))) as pool:
-            parts = list(pool.map(lambda iv: one(*iv), enumerate(splits.values)))
+        named = y.join(p, roles.id_col, "left").withColumn("trial", F.lit(trial)).withColumn("split", F.lit(i))
+        return named.select(*out)
+
+    def of_trial(trial: int) -> DataFrame:
+        whole, ready = spec.prepare(frame, configs[trial], roles)
+        if whole is not frame:
+            whole = materialize(whole, "prepared-rows")
+        with ThreadPoolExecutor(max_workers=max(1, min(k, MAX_CONCURRENT_FITS))) as pool:
+            parts = list(pool.map(lambda i: one(trial, whole, ready, i), range(k)))
         return materialize(reduce(DataFrame.unionByName, parts), "split-predictions")
-    finally:
-        whole.unpersist()
+
+    with ThreadPoolExecutor(max_workers=max(1, min(len(configs), MAX_CONCURRENT_TRIALS))) as pool:
+        return reduce(DataFrame.unionByName, list(pool.map(of_trial, range(len(configs)))))
+
+
+def split_predictions(spec: Spec, splits: Splits, roles: Roles, config: dict | None) -> DataFrame:
+    """(split, id, p, y) of one config, written once."""
+    return trial_predictions(spec, splits, roles, [config]).drop("trial")
 
 
 def mean_score(preds: DataFrame, task: str) -> float:
@@ -142,16 +159,10 @@ def sample_trials(spec: Spec, n: int, seed: int = 42) -> list[dict]:
 def trial_scores(spec: Spec, splits: Splits, roles: Roles, task: str, n_trials: int, seed: int = 42) -> DataFrame:
     """G4 as a table: (trial, config, score), the score from the trials' split predictions.
 
-    The trials' predictions are written as they are made; all are scored together
-    in one grouped aggregate.
+    All trials are scored together in one grouped aggregate.
     """
     configs = sample_trials(spec, n_trials, seed)
-
-    def one(t: int) -> DataFrame:
-        return split_predictions(spec, splits, roles, configs[t]).withColumn("trial", F.lit(t))
-
-    with ThreadPoolExecutor(max_workers=max(1, min(n_trials, MAX_CONCURRENT_TRIALS))) as pool:
-        preds = reduce(DataFrame.unionByName, list(pool.map(one, range(n_trials))))
+    preds = trial_predictions(spec, splits, roles, configs)
     # a split of a trial is a group of its own
     k = len(splits.values)
     scored = score_splits(preds.withColumn("split", F.col("trial") * k + F.col("split")), task)
@@ -235,5 +246,3 @@ def batch_predict_expression(spark: SparkSession, fitted: Fitted, genes: DataFra
     cells, _ = read_expression(spark, coo, obs, normalize=True, genes=genes)
     return batch_predict(fitted, cells)
 
-
-__all__ = ["Fitted", "Roles", "get_spec"]

@@ -6,11 +6,12 @@ saves and loads with ``PipelineModel.write``.  All stages are JVM stages but E5'
 calibrated margins (Column arithmetic with its weights as a saved parameter).
 
 Objective mapping to the reference's models (see SURVEY §2 E):
-* ridge / elastic net: Spark's penalty depends on the label's std, so the label
-  is divided by its sample std s before fitting and predictions multiplied back;
-  ridge regParam = alpha / n, elastic net a1 = alpha*l1/s, a2 = alpha*(1-l1),
-  regParam = a1 + a2, elasticNetParam = a1 / (a1 + a2).  One solver for every width:
-  L-BFGS to a relative change of 1e-14, or with an L1 part OWL-QN to 1e-9.
+* ridge / elastic net: solved from moments or on column blocks
+  (``scorewell.plans.linear_models``).  Beyond the sizes of both, by L-BFGS / OWL-QN
+  passes to a relative change of 1e-9: Spark's penalty depends on the label's std, so
+  the label is divided by its sample std s and predictions multiplied back; ridge
+  regParam = alpha / n, elastic net a1 = alpha*l1/s, a2 = alpha*(1-l1),
+  regParam = a1 + a2, elasticNetParam = a1 / (a1 + a2).
 * logistic: regParam = 1 / (C * sum of weights) with 'balanced' weights.
 Documented gaps (no Spark equivalent): boosting has no L2 leaf penalty, the
 SVM uses hinge not squared hinge (its sigmoid calibration is rebuilt), the MLP
@@ -27,6 +28,7 @@ import uuid
 import warnings
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.common import _py2java
 from pyspark.ml.classification import (
@@ -39,6 +41,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import (
     CountVectorizer,
+    CountVectorizerModel,
     ElementwiseProduct,
     IndexToString,
     PCAModel,
@@ -51,7 +54,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseMatrix, Vectors
 from pyspark.ml.param import Param as MLParam
 from pyspark.ml.param import Params, TypeConverters
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
@@ -59,7 +62,11 @@ from pyspark.sql import functions as F
 
 from scorewell.functions.sequence import sequence_sql
 from scorewell.operators.features import class_weights
+from scorewell.operators.linear import GRAM_COLUMNS, Linear, elastic_net, ridge
 from scorewell.operators.pca import principal_components
+from scorewell.operators.wide import System, TooLarge
+from scorewell.plans import linear_models as LM
+from scorewell.session import materialize
 
 FEATURES = "_features"  # internal model input column (inputs may carry "features")
 PREDICTION = "prediction"
@@ -196,6 +203,13 @@ class Spec:
         """(``df`` with what a row gives whatever is learned, a pipeline that starts from there)."""
         return df, self
 
+    def cv_predictions(self, df: DataFrame, roles: "Roles", fold, folds: int, configs: list) -> DataFrame | None:
+        """(split, id, y, trial, p) of all configs at once, where the pipeline has a way; else None.
+
+        ``fold`` is a column: the split a row validates, or null.
+        """
+        return None
+
     def predict(self, fitted: Fitted, df: DataFrame) -> DataFrame:
         out = fitted.model.transform(df)
         return out.select(fitted.id_col, F.col(PREDICTION).alias(PREDICTION))
@@ -226,35 +240,46 @@ def vector_size(df: DataFrame, col: str) -> int:
     return len(df.select(col).first()[0])
 
 
-def _scaled_linear(train: DataFrame, pre: list, roles: Roles, penalty, center: bool) -> PipelineModel:
-    """Fit featurizer, population scaler, and a LinearRegression on y / std(y).
+def _iterated_linear(train: DataFrame, pre: list, roles: Roles, penalty, center: bool) -> PipelineModel:
+    """Featurizer, population scaler and a LinearRegression on y / std(y), by passes over the rows.
 
-    ``penalty(n, s)`` gives (regParam, elasticNetParam).  L-BFGS standardizes the
-    label by its sample std, so y is divided by that.
+    For data too large for products of columns or rows.  ``penalty(n, s)`` gives
+    (regParam, elasticNetParam).
     """
     y = F.col(roles.label_col).cast("double")
     fitted, cur = fit_stages(pre, train)
-    # the scaler and the solver each pass over (label, features): keep just that slice
-    slim = cached = cur.select(y.alias("_label"), "_raw").persist()
-    try:
-        r = slim.agg(F.stddev_samp("_label").alias("s"), F.count(F.lit(1)).alias("n")).first()
-        s = float(r["s"]) if r["s"] and r["s"] > 0 else 1.0
-        scale = population_scale(slim, "_raw", FEATURES, center)
-        fitted += scale
-        for t in scale:
-            slim = t.transform(slim)
-        reg, l1 = penalty(int(r["n"]), s)
-        lr = LinearRegression(
-            featuresCol=FEATURES, labelCol="_y", predictionCol="_pred", solver="l-bfgs",
-            regParam=reg, elasticNetParam=l1, standardization=False, maxIter=LINEAR_ITERATIONS,
-            tol=1e-9 if l1 else 1e-14,
-        ).fit(slim.withColumn("_y", F.col("_label") / F.lit(s)))
-    finally:
-        cached.unpersist()
+    slim = materialize(cur.select(y.alias("_label"), "_raw"), "linear-rows")
+    r = slim.agg(F.stddev_samp("_label").alias("s"), F.count(F.lit(1)).alias("n")).first()
+    s = float(r["s"]) if r["s"] and r["s"] > 0 else 1.0
+    scale = population_scale(slim, "_raw", FEATURES, center)
+    fitted += scale
+    for t in scale:
+        slim = t.transform(slim)
+    reg, l1 = penalty(int(r["n"]), s)
+    lr = LinearRegression(
+        featuresCol=FEATURES, labelCol="_y", predictionCol="_pred", solver="l-bfgs",
+        regParam=reg, elasticNetParam=l1, standardization=False, maxIter=LINEAR_ITERATIONS, tol=1e-9,
+    ).fit(slim.withColumn("_y", F.col("_label") / F.lit(s)))
     back = SQLTransformer(statement=f"SELECT *, _pred * {s!r} AS {PREDICTION} FROM __THIS__")
     return PipelineModel(fitted + [lr, back])
 
 
+def _linear_stages(spark, model: Linear, center: bool) -> list:
+    """A scaler and a linear model as JVM stages, from solved numbers."""
+    if center:
+        scaler = StandardScalerModel(_jvm(spark, "StandardScalerModel", Vectors.dense(model.std), Vectors.dense(model.mean)))
+        scaler = scaler._set(inputCol="_raw", outputCol=FEATURES, withMean=True, withStd=True)
+        intercept = model.y_mean
+    else:
+        scaler = ElementwiseProduct(inputCol="_raw", outputCol=FEATURES, scalingVec=Vectors.dense(1.0 / model.std))
+        intercept = model.intercept
+    uid = f"LinearRegressionModel_{uuid.uuid4().hex[:12]}"
+    java = spark._jvm.org.apache.spark.ml.regression.LinearRegressionModel(
+        uid, _py2java(spark.sparkContext, Vectors.dense(model.weights)), float(intercept)
+    )
+    return [scaler, LinearRegressionModel(java)._set(featuresCol=FEATURES, predictionCol=PREDICTION)]
+
+
 # Fixed value: iterations the reference allows its linear solvers.
 LINEAR_ITERATIONS = 5000
 
@@ -268,12 +293,8 @@ FOREST_EXEC = {**TREE_EXEC, "cacheNodeIds": True}  # deep trees: node ids cached
 
 
 def _fit_slim(est, cur: DataFrame, label_col: str):
-    """Fit on a persisted (features, label) slice; unpersist afterwards."""
-    slim = cur.select("_raw", F.col(label_col).cast("double").alias("_label")).persist()
-    try:
-        return est.fit(slim)
-    finally:
-        slim.unpersist()
+    """Fit on a written (features, label) slice, so fits that run side by side share no cache."""
+    return est.fit(materialize(cur.select("_raw", F.col(label_col).cast("double").alias("_label")), "training-rows"))
 
 
 def _one_vs_rest(clf, n_classes: int) -> OneVsRest:
@@ -304,7 +325,95 @@ class _Kmers(Spec):
         return df.drop("_chars"), ready
 
 
-class KmerRidge(_Kmers):
+class _KmerLinear(_Kmers):
+    """Linear models on k-mers: moments up to GRAM_COLUMNS features, column blocks beyond."""
+
+    def prepare(self, df, config, roles):
+        return df, self
+
+    def solve(self, m, configs: list[dict]) -> list[Linear]:
+        """The models of these configs from moments."""
+        raise NotImplementedError
+
+    def wide(self, columns, configs: list[dict], splits: int) -> list[tuple[int, int, "np.ndarray"]]:
+        """(config, split, all rows' predictions) of these configs for each split."""
+        raise NotImplementedError
+
+    def wide_table(self, columns, config: dict) -> tuple[DataFrame, float]:
+        raise NotImplementedError
+
+    def penalty(self, c: dict):
+        raise NotImplementedError
+
+    def keep(self, names: list[str], c: dict) -> "np.ndarray":
+        """The columns of a design that a config uses."""
+        lo, hi = int(c["ngram_lo"]), int(c["ngram_hi"])
+        own = bool(c.get("use_engineered", True))
+        return np.array([i for i, n in enumerate(names) if (own if n in (LM.GC, LM.LENGTH) else lo <= len(n) <= hi)], int)
+
+    def fit(self, train, config, roles):
+        c = self.config(config)
+        lo, hi, own = int(c["ngram_lo"]), int(c["ngram_hi"]), bool(c.get("use_engineered", True))
+        vocabulary = LM.small_vocabulary(train, roles.seq_col, lo, hi)
+        if vocabulary is not None:
+            design = LM.kmer_design(roles.seq_col, vocabulary, lo, hi)
+            (m,) = LM.all_moments(train, design, roles.label_col, F.lit(None), 0)
+            (model,) = self.solve(m.columns(self.keep(design.names, c)), [c])
+            stages = kmer_stages(roles.seq_col, lo, hi, own)
+            if vocabulary:
+                stages[2] = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="_kmers", outputCol="_kvec", minTF=1.0)
+            else:  # no k-mer at all
+                stages[2] = SQLTransformer(statement="SELECT * FROM __THIS__")
+                stages[3].setInputCols(stages[3].getInputCols()[1:])
+            return Fitted(PipelineModel(stages + _linear_stages(train.sparkSession, model, False)), roles.id_col, self.name)
+        try:
+            columns = LM.wide_columns(train, roles.seq_col, roles.label_col, F.lit(None), 0, lo, hi, own)
+            table, y_mean = self.wide_table(columns, c)
+            return Fitted(PipelineModel([LM.weights_model(table, y_mean, roles.seq_col, lo, hi)]), roles.id_col, self.name)
+        except TooLarge:
+            return Fitted(_iterated_linear(train, self.stages(c, roles), roles, self.penalty(c), center=False), roles.id_col, self.name)
+
+    def cv_predictions(self, df, roles, fold, folds, configs):
+        every = [self.config(c) for c in configs]
+        lo, hi = min(int(c["ngram_lo"]) for c in every), max(int(c["ngram_hi"]) for c in every)
+        vocabulary = LM.small_vocabulary(df, roles.seq_col, lo, hi)
+        if vocabulary is not None:
+            design = LM.kmer_design(roles.seq_col, vocabulary, lo, hi)
+            keeps = [self.keep(design.names, c) for c in every]
+
+            def solve(m):
+                out = [None] * len(every)
+                for same in _alike(every, ("ngram_lo", "ngram_hi", "use_engineered")):
+                    keep = keeps[same[0]]
+                    for k, model in zip(same, self.solve(m.columns(keep), [every[k] for k in same])):
+                        out[k] = LM.on_all_columns(model, keep, len(design.names))
+                return out
+
+            return LM.narrow_cv(df, design, roles.id_col, roles.label_col, fold, folds, solve)
+        parts = []
+        try:
+            for same in _alike(every, ("ngram_lo", "ngram_hi", "use_engineered")):
+                c = every[same[0]]
+                columns = LM.wide_columns(
+                    df, roles.seq_col, roles.label_col, fold, folds, int(c["ngram_lo"]), int(c["ngram_hi"]),
+                    bool(c.get("use_engineered", True)), roles.id_col,
+                )
+                made = self.wide(columns, [every[k] for k in same], folds)
+                parts.append(LM.wide_predictions(columns, [(same[t], s, p) for t, s, p in made], roles.id_col))
+        except TooLarge:
+            return None
+        return LM.union_all(parts)
+
+
+def _alike(configs: list[dict], names: tuple) -> list[list[int]]:
+    """Positions of configs that agree in these settings."""
+    groups: dict[tuple, list[int]] = {}
+    for k, c in enumerate(configs):
+        groups.setdefault(tuple(c.get(n) for n in names), []).append(k)
+    return list(groups.values())
+
+
+class KmerRidge(_KmerLinear):
     """K-mers (+GC, length) -> no-centre population scaling -> ridge."""
 
     name = "kmer_ridge"
@@ -316,14 +425,22 @@ class KmerRidge(_Kmers):
         Param("use_engineered", "choice", choices=[True, False]),
     ]
 
-    def fit(self, train, config, roles):
-        c = self.config(config)
-        pre = self.stages(c, roles)
-        ridge = lambda n, s: (float(c["alpha"]) / n, 0.0)
-        return Fitted(_scaled_linear(train, pre, roles, ridge, center=False), roles.id_col, self.name)
+    def penalty(self, c):
+        return lambda n, s: (float(c["alpha"]) / n, 0.0)
+
+    def solve(self, m, configs):
+        return ridge(m, [float(c["alpha"]) for c in configs])
+
+    def wide(self, columns, configs, splits):
+        systems = [System(s, float(c["alpha"])) for c in configs for s in range(splits)]
+        p = columns.predictions(columns.ridge(systems), systems)
+        return [(k // splits, x.split, p[:, k]) for k, x in enumerate(systems)]
+
+    def wide_table(self, columns, config):
+        return columns.ridge_weights(columns.ridge([System(0, float(config["alpha"]))])[:, 0])
 
 
-class KmerElasticNet(_Kmers):
+class KmerElasticNet(_KmerLinear):
     """K-mers + GC + length -> no-centre scaling -> elastic net."""
 
     name = "kmer_elasticnet"
@@ -335,16 +452,27 @@ class KmerElasticNet(_Kmers):
         Param("l1_ratio", "float", 0.01, 0.99),
     ]
 
-    def fit(self, train, config, roles):
-        c = self.config(config)
-        pre = self.stages(c, roles)
+    def penalty(self, c):
         alpha, l1 = float(c["alpha"]), float(c["l1_ratio"])
 
-        def penalty(n, s):
+        def of(n, s):
             a1, a2 = alpha * l1 / s, alpha * (1 - l1)
             return a1 + a2, a1 / (a1 + a2) if a1 + a2 > 0 else 0.0
 
-        return Fitted(_scaled_linear(train, pre, roles, penalty, center=False), roles.id_col, self.name)
+        return of
+
+    def solve(self, m, configs):
+        return [elastic_net(m, float(c["alpha"]), float(c["l1_ratio"]), LINEAR_ITERATIONS) for c in configs]
+
+    def wide(self, columns, configs, splits):
+        return [
+            (k, s, columns.elastic_net(float(c["alpha"]), float(c["l1_ratio"]), s)[1])
+            for k, c in enumerate(configs) for s in range(splits)
+        ]
+
+    def wide_table(self, columns, config):
+        kept, _, y_mean = columns.elastic_net(float(config["alpha"]), float(config["l1_ratio"]))
+        return columns.spark.createDataFrame(kept, "name string, weight double, mean double"), y_mean
 
 
 class KmerBoosting(_Kmers):
@@ -386,10 +514,27 @@ class TabularRidge(Spec):
     defaults = {"alpha": 1.0}
     space = [Param("alpha", "log", 1e-3, 1e3)]
 
+    def design(self, df, roles):
+        width = vector_size(df, roles.vector_col) if roles.vector_col else len(roles.feature_cols)
+        return LM.dense_design(roles.feature_cols, roles.vector_col, width)
+
     def fit(self, train, config, roles):
         c = self.config(config)
-        ridge = lambda n, s: (float(c["alpha"]) / n, 0.0)
-        return Fitted(_scaled_linear(train, _feature_stages(roles), roles, ridge, center=True), roles.id_col, self.name)
+        design = self.design(train, roles)
+        if len(design.names) > GRAM_COLUMNS:
+            penalty = lambda n, s: (float(c["alpha"]) / n, 0.0)
+            return Fitted(_iterated_linear(train, _feature_stages(roles), roles, penalty, center=True), roles.id_col, self.name)
+        (m,) = LM.all_moments(train, design, roles.label_col, F.lit(None), 0)
+        (model,) = ridge(m, [float(c["alpha"])])
+        return Fitted(PipelineModel(_feature_stages(roles) + _linear_stages(train.sparkSession, model, True)), roles.id_col, self.name)
+
+    def cv_predictions(self, df, roles, fold, folds, configs):
+        design = self.design(df, roles)
+        if len(design.names) > GRAM_COLUMNS:
+            return None
+        alphas = [float(self.config(c)["alpha"]) for c in configs]
+        solve = lambda m: [(x.raw, x.intercept) for x in ridge(m, alphas)]
+        return LM.narrow_cv(df, design, roles.id_col, roles.label_col, fold, folds, solve)
 
 
 class TabularBoosting(Spec):
@@ -467,11 +612,8 @@ class _Classifier(Spec):
             fitted.append(p)
             in_col = "_pca"
         # iterative learners pass over (features, label, weight) many times: keep only that slice
-        slim = cur.select(roles.id_col, F.col(in_col).alias(FEATURES), "_label_idx", "_w").persist()
-        try:
-            model = self.fit_model(slim, c, labels, roles)
-        finally:
-            slim.unpersist()
+        slim = materialize(cur.select(roles.id_col, F.col(in_col).alias(FEATURES), "_label_idx", "_w"), "training-rows")
+        model = self.fit_model(slim, c, labels, roles)
         return Fitted(_classifier_model(fitted + [SQLTransformer(statement=f"SELECT *, {in_col} AS {FEATURES} FROM __THIS__")], model, labels), roles.id_col, self.name)
 
 
@@ -696,6 +838,18 @@ class MeanPredictor(Spec):
         stage = SQLTransformer(statement=f"SELECT *, CAST({mean!r} AS DOUBLE) AS {PREDICTION} FROM __THIS__")
         return Fitted(PipelineModel([stage]), roles.id_col, self.name)
 
+    def cv_predictions(self, df, roles, fold, folds, configs):
+        rows = df.select(fold.cast("int").alias("split"), roles.id_col, F.col(roles.label_col).cast("double").alias("y"))
+        sums = {r["split"]: (r["s"] or 0.0, r["n"]) for r in rows.groupBy("split").agg(F.sum("y").alias("s"), F.count("y").alias("n")).collect()}
+        s, n = (sum(v[k] for v in sums.values()) for k in (0, 1))
+        mean = F.lit(None).cast("double")
+        for f in range(folds):  # the training rows of a split: all less its fold
+            sf, nf = sums.get(f, (0.0, 0))
+            if n > nf:
+                mean = F.when(F.col("split") == f, F.lit((s - sf) / (n - nf))).otherwise(mean)
+        trials = F.explode(F.array(*[F.lit(t) for t in range(len(configs))]))
+        return rows.where("split is not null").select("split", roles.id_col, "y", trials.alias("trial"), mean.alias("p"))
+
 
 # K2 registry, in registration order (the planner keeps this order).
 REGISTRY: list[Spec] = [

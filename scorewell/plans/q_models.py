@@ -17,15 +17,16 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from scorewell.operators import leaderboard as L
+from scorewell.operators.features import kmer_counts
 from scorewell.plans import cv as CV
 from scorewell.plans import estimators as E
 from scorewell.plans import experiment as X
 from scorewell.plans import views as V
 from scorewell.plans.catalog import register
-from scorewell.session import scratch_path
+from scorewell.session import materialize, scratch_path
 from scorewell.sources import submissions as S
 from scorewell.sources.expression import read_expression
-from scorewell.sources.tables import fold_split
+from scorewell.sources.tables import fold_split, read_table
 
 SEQ_ROLES = E.Roles("row_id", "labels", seq_col="sequence")
 TAB_REG_ROLES = E.Roles("row_id", "target", feature_cols=V.TAB_FEATURES)
@@ -242,14 +243,17 @@ def _weighted_sum(df, weight):
     return part(1) - part(-1)
 
 
-def _linear_residuals(spark, sf_dir, spec_name):
-    """(summed x * residual, coefficients, rows, scaled frame's label std) of a fitted k-mer model."""
+def _gradients(spark, sf_dir, spec_name):
+    """One row per feature of a fitted k-mer model: g (sum of x * residual), w, n rows."""
     train, _ = fold_split(V.seq(spark, sf_dir), 0)
     fitted = E.get_spec(spec_name).fit(train, None, SEQ_ROLES)
     lr = next(s for s in fitted.model.stages if hasattr(s, "coefficients"))
     out = fitted.model.transform(train).withColumn("_r", F.col("labels") - F.col("prediction"))
-    scale = out.agg(F.stddev_samp("labels").alias("s"), F.count(F.lit(1)).alias("n")).first()
-    return _weighted_sum(out, "_r"), lr.coefficients.toArray() * scale["s"], scale["n"], out
+    per = out.select("_r", F.posexplode(vector_to_array(E.FEATURES)).alias("j", "x")).groupBy("j").agg(
+        F.sum(F.col("x") * F.col("_r")).alias("g"), F.count(F.lit(1)).alias("n_rows")
+    )
+    weights = spark.createDataFrame([(j, float(w)) for j, w in enumerate(lr.coefficients.toArray())], "j int, w double")
+    return per.join(weights, "j")
 
 
 KMER_WIDTH_SQL = (
@@ -259,34 +263,121 @@ KMER_WIDTH_SQL = (
 , km as (select distinct substr(t, s, n) as kmer
          from (select t, n, unnest(range(1, length(t) - n + 2)) as s
                from kx, (select unnest(range(3, 7)) as n) ns where length(t) >= n) x)
-select cast(count(*) + 2 as bigint) as n_features, true as optimal,
+select cast(count(*) + 2 as bigint) as n_features, cast(count(*) + 2 as bigint) as n_optimal,
        (select cast(count(*) as bigint) from kx) as n_rows from km
 """
 )
 
 
-def _optimality(out, width, ok):
-    return out.agg(F.count(F.lit(1)).cast("long").alias("n_rows")).select(
-        F.lit(width).cast("long").alias("n_features"), F.lit(bool(ok)).alias("optimal"), "n_rows"
+def _ridge_optimal(g, w, largest, alpha):
+    return F.abs(g - alpha * w) <= 1e-3 * F.greatest(largest, F.lit(1e-9))
+
+
+def _net_optimal(g, w, n, alpha, l1):
+    rest = g / n - alpha * (1 - l1) * w
+    return F.when(w != 0, F.abs(rest - alpha * l1 * F.signum(w))).otherwise(F.abs(rest) - alpha * l1) <= 1e-4
+
+
+def _count_optimal(per, ok):
+    return per.agg(
+        F.count(F.lit(1)).alias("n_features"), F.count(F.when(ok, 1)).alias("n_optimal"), F.max("n_rows").alias("n_rows")
     )
 
 
 @register("kmer_ridge_optimal", KMER_WIDTH_SQL)
 def kmer_ridge_optimal(spark, sf_dir):
-    """At the ridge solution X'(y - p) = alpha * w (alpha 1), to 1e-3 of the largest coefficient."""
-    g, w, _, out = _linear_residuals(spark, sf_dir, "kmer_ridge")
-    return _optimality(out, len(w), abs(g - w).max() <= 1e-3 * max(abs(w).max(), 1e-9))
+    """At the ridge solution X'(y - p) = alpha * w (alpha 1) in every feature, to 1e-3 of the largest weight."""
+    per = _gradients(spark, sf_dir, "kmer_ridge")
+    largest = per.agg(F.max(F.abs("w")).alias("largest"))
+    return _count_optimal(per.join(F.broadcast(largest)), _ridge_optimal(F.col("g"), F.col("w"), F.col("largest"), 1.0))
 
 
 @register("kmer_elasticnet_optimal", KMER_WIDTH_SQL)
 def kmer_elasticnet_optimal(spark, sf_dir):
-    """The elastic net's subgradient contains 0 (alpha 0.1, l1_ratio 0.5), to 1e-4."""
-    import numpy as np
+    """The elastic net's subgradient contains 0 in every feature (alpha 0.1, l1_ratio 0.5), to 1e-4."""
+    per = _gradients(spark, sf_dir, "kmer_elasticnet")
+    return _count_optimal(per, _net_optimal(F.col("g"), F.col("w"), F.col("n_rows"), 0.1, 0.5))
+
+
+# --- the same over whole documents: a vocabulary of hundreds of thousands of k-mers ----
+
+DOC_ROLES = E.Roles("row_id", "labels", seq_col="sequence")
+
+
+def doc_seq(spark, sf_dir):
+    """Whole documents as a sequence table; the label is the mean number of characters between spaces."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    spaces = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
+    return read_table(spark, sf_dir, "documents", ["doc_id", "text"]).select(
+        F.col("doc_id").alias("row_id"), text.alias("sequence"),
+        ((F.length(text) - spaces) / (spaces + 1)).alias("labels"), (F.col("doc_id") % 10).cast("int").alias("fold_id"),
+    )
 
-    g, w, n, out = _linear_residuals(spark, sf_dir, "kmer_elasticnet")
-    rest = g / n - 0.05 * w
-    off = np.where(w != 0, abs(rest - 0.05 * np.sign(w)), np.maximum(abs(rest) - 0.05, 0))
-    return _optimality(out, len(w), off.max() <= 1e-4)
+
+DOC_WIDTH_SQL = """
+with kx as (select regexp_replace(lower(coalesce(text, '')), '\\s\\s+', ' ', 'g') as t from documents where doc_id % 10 <> 0)
+, km as (select distinct substr(t, s, n) as kmer
+         from (select t, n, unnest(range(1, length(t) - n + 2)) as s
+               from kx, (select unnest(range(3, 7)) as n) ns where length(t) >= n) x)
+select cast(count(*) as bigint) as n_features, cast(count(*) as bigint) as n_optimal,
+       (select cast(count(*) as bigint) from kx) as n_rows from km
+"""
+
+
+def _document_gradients(spark, sf_dir, spec_name):
+    """One row per k-mer of the training documents: g and w on the scaled column, n_rows.
+
+    Independent of the solver: predictions come from the saved form of the model, and
+    each k-mer's mean, deviation and gradient from grouped sums.
+    """
+    train, _ = fold_split(doc_seq(spark, sf_dir), 0)
+    train = materialize(train, "document-rows")
+    fitted = E.get_spec(spec_name).fit(train, None, DOC_ROLES)
+    path = scratch_path(spark, f"model-{uuid.uuid4().hex}")
+    CV.save_model(fitted, path)
+    out = CV.load_model(path, "row_id", spec_name).model.transform(train)
+    rest = materialize(out.select("row_id", (F.col("labels") - F.col("prediction")).alias("_r")), "document-residuals")
+    n, total = rest.agg(F.count(F.lit(1)), F.sum("_r")).first()
+    counts = kmer_counts(train, "row_id", "sequence", 3, 6).join(rest, "row_id")
+    x = F.col("n").cast("double")
+    per = counts.groupBy("kmer").agg(F.sum(x * F.col("_r")).alias("xr"), F.sum(x).alias("s1"), F.sum(x * x).alias("s2"))
+    mean, var = F.col("s1") / n, F.col("s2") / n - (F.col("s1") / n) * (F.col("s1") / n)
+    std = F.when(var > 1e-12 * F.col("s2") / n, F.sqrt(var)).otherwise(1.0)
+    weights = fitted.model.stages[0].table.select(F.col("name").alias("kmer"), "weight")
+    return per.join(weights, "kmer", "left").select(
+        "kmer", ((F.col("xr") - mean * total) / std).alias("g"), (F.coalesce("weight", F.lit(0.0)) * std).alias("w"),
+        F.lit(n).alias("n_rows"),
+    )
+
+
+@register("kmer_ridge_documents", DOC_WIDTH_SQL)
+def kmer_ridge_documents(spark, sf_dir):
+    """E1 + A9 + A8 over whole documents: every k-mer's optimality condition, to 1e-3 of the largest weight."""
+    per = materialize(_document_gradients(spark, sf_dir, "kmer_ridge"), "document-gradients")
+    largest = per.agg(F.max(F.abs("w")).alias("largest"))
+    return _count_optimal(per.join(F.broadcast(largest)), _ridge_optimal(F.col("g"), F.col("w"), F.col("largest"), 1.0))
+
+
+@register("kmer_elasticnet_documents", DOC_WIDTH_SQL)
+def kmer_elasticnet_documents(spark, sf_dir):
+    """E2 over whole documents: the subgradient contains 0 for every k-mer, to 1e-4."""
+    per = _document_gradients(spark, sf_dir, "kmer_elasticnet")
+    return _count_optimal(per, _net_optimal(F.col("g"), F.col("w"), F.col("n_rows"), 0.1, 0.5))
+
+
+@register("cross_validate_documents")
+def cross_validate_documents(spark, sf_dir):
+    """D5 over whole documents: k-mer ridge, all splits solved together on the column blocks."""
+    train, _ = fold_split(doc_seq(spark, sf_dir), 0)
+    splits = CV.make_splits(train, DOC_ROLES, "regression")
+    preds = CV.split_predictions(E.get_spec("kmer_ridge"), splits, DOC_ROLES, None)
+    return CV.score_splits(preds, "regression").select("split", F.round("score", 6).alias("spearman"))
+
+
+def _optimality(out, width, ok):
+    return out.agg(F.count(F.lit(1)).cast("long").alias("n_rows")).select(
+        F.lit(width).cast("long").alias("n_features"), F.lit(bool(ok)).alias("optimal"), "n_rows"
+    )
 
 
 @register(
@@ -454,24 +545,141 @@ def cross_validate(spark, sf_dir):
     return CV.score_splits(preds, "regression").select("split", F.round("score", 6).alias("spearman"))
 
 
-@register(
-    "tune",
-    ONE_CV.format(p=ONE_P.format(alpha=1))
-    + """
+TRIALS_SQL = """
 , u as (select cast(t as integer) as trial, cast(('0x' || substr(md5(t || '|alpha|42'), 1, 8)) as bigint) / 4294967296.0 as u
         from range(10) r(t))
-select trial, round(exp(ln(0.001) + u * (ln(1000.0) - ln(0.001))), 6) as alpha,
-       (select round(avg(score), 6) from sc) as score from u
-""",
-)
-def tune(spark, sf_dir):
-    """G3 + G4: the ten seeded trials of the smallest budget; with one feature every penalty ranks alike."""
-    t = CV.trial_scores(E.get_spec("tabular_ridge"), _one_splits(spark, sf_dir), ONE_ROLES, "regression", 10, 42)
+, tr_alpha as (select trial, exp(ln(0.001) + u * (ln(1000.0) - ln(0.001))) as alpha from u)
+"""
+
+
+def _trials(spark, sf_dir, splits, roles):
+    t = CV.trial_scores(E.get_spec("tabular_ridge"), splits, roles, "regression", 10, 42)
     return t.select(
         "trial", F.round(F.get_json_object("config", "$.alpha").cast("double"), 6).alias("alpha"), F.round("score", 6).alias("score")
     )
 
 
+@register(
+    "tune_one",
+    ONE_CV.format(p=ONE_P.format(alpha=1)) + TRIALS_SQL
+    + "select trial, round(alpha, 6) as alpha, (select round(avg(score), 6) from sc) as score from tr_alpha",
+)
+def tune_one(spark, sf_dir):
+    """G3 + G4 on one feature: every penalty ranks alike, so all trials tie exactly."""
+    return _trials(spark, sf_dir, _one_splits(spark, sf_dir), ONE_ROLES)
+
+
+TWO_ROLES = E.Roles("row_id", "target", feature_cols=["n_lines", "sum_qty"])
+
+#: Ridge on two scaled features in closed form: the products are n * [[1, r], [r, 1]].
+TWO_P = (
+    "my + n * ((n + {alpha}) * c1 - n * r * c2) / ((n + {alpha}) * (n + {alpha}) - n * r * n * r) * (n_lines - m1) / s1"
+    " + n * ((n + {alpha}) * c2 - n * r * c1) / ((n + {alpha}) * (n + {alpha}) - n * r * n * r) * (sum_qty - m2) / s2"
+)
+TWO_FIT = (
+    "count(*) as n, avg(n_lines) as m1, avg(sum_qty) as m2, stddev_pop(n_lines) as s1, stddev_pop(sum_qty) as s2, avg(target) as my, "
+    "corr(n_lines, sum_qty) as r, covar_pop(n_lines, target) / stddev_pop(n_lines) as c1, "
+    "covar_pop(sum_qty, target) / stddev_pop(sum_qty) as c2"
+)
+#: Validation predictions p of each split (and of each row of {trials}), then scores.
+TWO_CV = (
+    V.with_views("tab").rstrip()
+    + """
+, tr as (select * from tab where fold_id <> 0)
+, sp as (select cast(row_number() over (order by fold_id) - 1 as integer) as split, fold_id as v
+         from (select distinct fold_id from tr) d order by fold_id limit 3)
+, fit as (select split, v, """ + TWO_FIT + """ from tr, sp where fold_id <> v group by split, v)
+"""
+)
+TWO_RANKS = """
+, rk as (select trial, split, y, p, rank() over (partition by trial, split order by y) + (count(*) over (partition by trial, split, y) - 1) / 2.0 as ry,
+                rank() over (partition by trial, split order by p) + (count(*) over (partition by trial, split, p) - 1) / 2.0 as rp from val)
+, sc as (select trial, split, count(*) as n, avg(abs(p - y)) as mae,
+                case when stddev_pop(rp) * stddev_pop(ry) = 0 then 0.0 else corr(rp, ry) end as score from rk group by trial, split)
+"""
+
+
+def _two(spark, sf_dir):
+    return V.tab(spark, sf_dir).select("row_id", "n_lines", "sum_qty", "target", "fold_id")
+
+
+def _two_splits(spark, sf_dir):
+    train, _ = fold_split(_two(spark, sf_dir), 0)
+    return CV.make_splits(train, TWO_ROLES, "regression")
+
+
+@register(
+    "tune",
+    TWO_CV + TRIALS_SQL
+    + ", val as (select trial, split, target as y, round(" + TWO_P.format(alpha="alpha") + ", 7) as p from tr join fit on fold_id = v, tr_alpha)"
+    + TWO_RANKS + "select trial, round(max(alpha), 6) as alpha, round(avg(score), 6) as score from sc join tr_alpha using (trial) group by trial",
+)
+def tune(spark, sf_dir):
+    """G3 + G4: the ten seeded trials of the smallest budget on two features, whose trials rank differently."""
+    return _trials(spark, sf_dir, _two_splits(spark, sf_dir), TWO_ROLES)
+
+
+@register("tune_kmers")
+def tune_kmers(spark, sf_dir):
+    """G3 + G4: ten trials of k-mer ridge; k-mer range, penalty and engineered features vary."""
+    train, _ = fold_split(V.seq(spark, sf_dir), 0)
+    t = CV.trial_scores(E.get_spec("kmer_ridge"), CV.make_splits(train, SEQ_ROLES, "regression"), SEQ_ROLES, "regression", 10, 42)
+    return t.select("trial", "config", F.round("score", 6).alias("score"))
+
+
+@register(
+    "ensemble_cv_two",
+    TWO_CV
+    + ", val as (select 0 as trial, split, target as y, round(((" + TWO_P.format(alpha=1) + ") + (" + TWO_P.format(alpha=5000)
+    + ")) / 2, 7) as p from tr join fit on fold_id = v)" + TWO_RANKS
+    + "select split, round(score, 6) as spearman, cast(n as bigint) as n, round(mae, 2) as mae from sc",
+)
+def ensemble_cv_two(spark, sf_dir):
+    """Two ridge members on two features, whose rankings differ, refitted per split."""
+    ridge = E.get_spec("tabular_ridge")
+    return _ensemble(spark, [(ridge, {"alpha": 1.0}), (ridge, {"alpha": 5000.0})], _two_splits(spark, sf_dir), TWO_ROLES)
+
+
+@register("ensemble_cv_kmers")
+def ensemble_cv_kmers(spark, sf_dir):
+    """K-mer ridge and elastic net, mean of their predictions."""
+    train, _ = fold_split(V.seq(spark, sf_dir), 0)
+    members = [(E.get_spec("kmer_ridge"), None), (E.get_spec("kmer_elasticnet"), None)]
+    return _ensemble(spark, members, CV.make_splits(train, SEQ_ROLES, "regression"), SEQ_ROLES)
+
+
+def _ensemble(spark, members, splits, roles):
+    preds = CV.ensemble_predictions(members, splits, roles, "regression")
+    exact = preds.withColumn("p", F.round("p", 7))
+    err = preds.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(F.col("p") - F.col("y"))), 2).alias("mae"))
+    return CV.score_splits(exact, "regression").join(err, "split").select("split", F.round("score", 6).alias("spearman"), "n", "mae")
+
+
+TWO_SQL = V.with_views("tab").rstrip() + "\n, fit as (select " + TWO_FIT + " from tab where fold_id <> 0)\n"
+
+
+@register("batch_predict_two", TWO_SQL + f"select row_id, round({TWO_P.format(alpha=1)}, 2) as predictions from tab, fit where fold_id = 0")
+def batch_predict_two(spark, sf_dir):
+    """A9 + A8 on two features: fit, save, load, predict the test rows from the saved model."""
+    train, test = fold_split(_two(spark, sf_dir), 0)
+    return _saved_predictions(spark, train, test, TWO_ROLES)
+
+
+@register("batch_predict_all")
+def batch_predict_all(spark, sf_dir):
+    """A9 + A8 with every feature of the table."""
+    train, test = fold_split(V.tab(spark, sf_dir).drop("label"), 0)
+    return _saved_predictions(spark, train, test, TAB_REG_ROLES)
+
+
+def _saved_predictions(spark, train, test, roles):
+    fitted = E.get_spec("tabular_ridge").fit(train, None, roles)
+    path = scratch_path(spark, f"model-{uuid.uuid4().hex}")
+    CV.save_model(fitted, path)
+    out = CV.batch_predict(CV.load_model(path, "row_id", "tabular_ridge"), test.drop("target"))
+    return out.select("row_id", F.round("predictions", 2).alias("predictions"))
+
+
 @register(
     "ensemble_cv",
     ONE_CV.format(p=f"({ONE_P.format(alpha=1)} + {ONE_P.format(alpha=5000)}) / 2")
@@ -520,3 +728,18 @@ def experiment_run(spark, sf_dir):
     return board.join(mae, "user").select(
         "dataset", "fold", "rank", "user", "name", F.round("score", 6).alias("score"), "primary_metric", F.round("mae", 2).alias("mae")
     )
+
+
+@register("experiment_run_standard")
+def experiment_run_standard(spark, sf_dir):
+    """The standard tier on all features with two candidates, 30 trials each, and the ensemble of the best two."""
+    X.register_dataset(X.Dataset(
+        "order-totals-all", lambda s, fold: fold_split(V.tab(s, sf_dir).drop("label"), int(fold)), X.default_evaluate("regression"),
+        TAB_REG_ROLES, "dataframe_tabular", "regression",
+    ))
+    results, _ = X.run_experiments(
+        spark, "order-totals-all", "0", "runner", scratch_path(spark, f"submissions-{uuid.uuid4().hex}"),
+        scratch_path(spark, f"models-{uuid.uuid4().hex}"), "2024-01-01T00:00:00", "standard",
+        registry=[E.get_spec("tabular_ridge"), E.get_spec("mean_predictor")],
+    )
+    return results.select("step", "experiment", "pipeline", "metric", F.round("value", 6).alias("value"))

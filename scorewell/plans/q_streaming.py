@@ -8,7 +8,7 @@ from scorewell.plans import estimators as E
 from scorewell.plans import views as V
 from scorewell.plans.catalog import register
 from scorewell.plans.q_leaderboard import SUBS
-from scorewell.plans.q_models import ONE_P, ONE_ROLES, ONE_SQL, _one
+from scorewell.plans.q_models import ONE_P, ONE_ROLES, ONE_SQL, TAB_REG_ROLES, TWO_P, TWO_ROLES, TWO_SQL, _one, _two
 from scorewell.sources.submissions import append_submissions
 from scorewell.sources.tables import fold_split
 from scorewell.streaming.leaderboard import fresh_dir, run_leaderboard_stream, run_predict_stream
@@ -29,8 +29,14 @@ def streaming_leaderboard(spark, sf_dir):
     """Submissions land as files (one folder per dataset+fold); the stream keeps the best per user."""
     src = fresh_dir(spark, "stream-submissions")
     append_submissions(V.submissions(spark, sf_dir), src)
-    board = run_leaderboard_stream(spark, src, fresh_dir(spark, "stream-board"))
-    return board.withColumn("score", F.round("score", 6)).withColumn("n_submissions", F.col("n_submissions").cast("long"))
+    return _board(run_leaderboard_stream(spark, src, fresh_dir(spark, "stream-board")))
+
+
+def _board(board):
+    return board.select(
+        "dataset", "fold", "user", "timestamp", "name", F.round("score", 6).alias("score"), "primary_metric",
+        F.col("n_submissions").cast("long").alias("n_submissions"),
+    )
 
 
 TWO_METRICS_SQL = (
@@ -54,17 +60,33 @@ def streaming_leaderboard_two_metrics(spark, sf_dir):
     src = fresh_dir(spark, "stream-submissions")
     named = F.when(F.col("name").cast("long") % 3 == 0, "mse").otherwise("spearman")
     append_submissions(V.submissions(spark, sf_dir).withColumn("primary_metric", named), src)
-    board = run_leaderboard_stream(spark, src, fresh_dir(spark, "stream-board"), files_per_trigger=4)
-    return board.withColumn("score", F.round("score", 6)).withColumn("n_submissions", F.col("n_submissions").cast("long"))
+    return _board(run_leaderboard_stream(spark, src, fresh_dir(spark, "stream-board"), files_per_trigger=4))
 
 
 @register("streaming_predict", ONE_SQL + f"\nselect row_id, round({ONE_P.format(alpha=1)}, 2) as predictions from tab, a_fit where fold_id = 0")
 def streaming_predict(spark, sf_dir):
     """A fitted ridge on one feature applied to test rows arriving as parquet files."""
     train, test = fold_split(_one(spark, sf_dir), 0)
-    fitted = E.get_spec("tabular_ridge").fit(train, None, ONE_ROLES)
+    return _streamed(spark, E.get_spec("tabular_ridge").fit(train, None, ONE_ROLES), test)
+
+
+def _streamed(spark, fitted, test):
     src = fresh_dir(spark, "stream-rows")
     rows = test.drop("target")
     rows.repartition(4).write.parquet(src)
     out = run_predict_stream(spark, fitted.model, src, rows.schema, fresh_dir(spark, "stream-preds"), files_per_trigger=2)
     return out.select("row_id", F.round("predictions", 2).alias("predictions"))
+
+
+@register("streaming_predict_two", TWO_SQL + f"select row_id, round({TWO_P.format(alpha=1)}, 2) as predictions from tab, fit where fold_id = 0")
+def streaming_predict_two(spark, sf_dir):
+    """J2 on two features."""
+    train, test = fold_split(_two(spark, sf_dir), 0)
+    return _streamed(spark, E.get_spec("tabular_ridge").fit(train, None, TWO_ROLES), test)
+
+
+@register("streaming_predict_all")
+def streaming_predict_all(spark, sf_dir):
+    """J2 with every feature of the table."""
+    train, test = fold_split(V.tab(spark, sf_dir).drop("label"), 0)
+    return _streamed(spark, E.get_spec("tabular_ridge").fit(train, None, TAB_REG_ROLES), test)

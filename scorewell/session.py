@@ -120,3 +120,9 @@ def ship_package(spark: SparkSession) -> None:
     base = os.path.join(tempfile.mkdtemp(prefix="scorewell-package-"), "scorewell_package")
     sc.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(home), os.path.basename(home)))
     sc._scorewell_shipped = True
+
+
+def map_arrow(df, run, schema: str):
+    """``mapInArrow`` with this package at hand in the tasks."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)
