@@ -293,7 +293,7 @@ class Columns:
         w, gram, xy = np.zeros(0), np.zeros((0, 0)), np.zeros(0)
         fitted = np.zeros(size)
         while True:
-            found = self._violators(np.where(train, y - fitted, 0.0), a1 + 1e-9 * scale, n, split, set(names))
+            found = self._violators(np.where(train, y - fitted, 0.0), a1 + 1e-7 * scale, n, split, set(names))
             if not found:
                 break
             if size * (len(names) + len(found)) > ACTIVE_NUMBERS:
@@ -310,7 +310,7 @@ class Columns:
             cross = inside.T @ dense[train]
             gram = np.block([[gram, cross[: len(w)]], [cross[: len(w)].T, cross[len(w) :]]])
             xy = np.concatenate([xy, dense[train].T @ y[train]])
-            w = descend(gram, xy, n, a1, a2, np.concatenate([w, np.zeros(len(found))]), 1e-10 * scale, 5000)
+            w = descend(gram, xy, n, a1, a2, np.concatenate([w, np.zeros(len(found))]), scale, 5000)
             fitted = z @ w
         kept = [(names[k], float(w[k] / stds[k]), means[k]) for k in np.flatnonzero(w)]
         return kept, fitted + y_mean, y_mean

@@ -305,12 +305,12 @@ DOC_ROLES = E.Roles("row_id", "labels", seq_col="sequence")
 
 
 def doc_seq(spark, sf_dir):
-    """Whole documents as a sequence table; the label is the mean number of characters between spaces."""
+    """Whole documents as a sequence table; the label is the logarithm of the mean number of characters between spaces."""
     text = F.coalesce(F.col("text"), F.lit(""))
     spaces = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
     return read_table(spark, sf_dir, "documents", ["doc_id", "text"]).select(
         F.col("doc_id").alias("row_id"), text.alias("sequence"),
-        ((F.length(text) - spaces) / (spaces + 1)).alias("labels"), (F.col("doc_id") % 10).cast("int").alias("fold_id"),
+        F.log1p((F.length(text) - spaces) / (spaces + 1)).alias("labels"), (F.col("doc_id") % 10).cast("int").alias("fold_id"),
     )
 
 
