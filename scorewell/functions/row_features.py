@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 FEATURES: dict[str, Callable[..., Column]] = {}
@@ -27,7 +27,16 @@ def lift(fn: Callable, return_type: str = "double", vectorized: bool = False) ->
     return F.pandas_udf(batch, return_type)
 
 
-def register_feature(name: str, fn: Callable, return_type: str = "double", vectorized: bool = False) -> Callable[..., Column]:
-    """Add a named feature function usable as ``FEATURES[name](col)``."""
+def register_feature(
+    name: str, fn: Callable, return_type: str = "double", vectorized: bool = False, spark: SparkSession | None = None
+) -> Callable[..., Column]:
+    """Add a named feature function usable as ``FEATURES[name](col)``; with a session, also in its SQL as ``name(col)``."""
     FEATURES[name] = lift(fn, return_type, vectorized)
+    if spark is not None:
+        spark.udf.register(name, FEATURES[name])
     return FEATURES[name]
+
+
+def register_native(spark: SparkSession, name: str, parameter: str, body: str, return_type: str = "double", kind: str = "string") -> None:
+    """A feature written in SQL as a session function: Catalyst inlines its body, so its type is known and no Python runs."""
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameter} {kind}) RETURNS {return_type} RETURN {body}")

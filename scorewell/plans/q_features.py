@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scorewell.functions.row_features import register_feature, register_native
 from scorewell.functions.sequence import gc_content, seq_length
 from scorewell.operators import features as FT
 from scorewell.plans import views as V
@@ -69,18 +70,23 @@ select kmer, cast(count(*) as bigint) as n_docs, cast(sum(n) as bigint) as total
 def kmer_counts_documents_query(spark, sf_dir):
     """C3 at volume: k = 3..6 over every whole document, summarised per k-mer."""
     # the given file is one row group, so its rows are dealt out before the work on each text
-    c = FT.kmer_counts(_docs(spark, sf_dir).repartition("doc_id"), "doc_id", "text", 3, 6)
+    c = FT.kmer_counts(_dealt(_docs(spark, sf_dir)), "doc_id", "text", 3, 6)
     return c.groupBy("kmer").agg(
         F.count(F.lit(1)).cast("long").alias("n_docs"), F.sum("n").cast("long").alias("total")
     )
 
 
+def _dealt(df):
+    """Rows dealt out evenly, whatever their ids."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
 DOC_SEQ = "select doc_id as row_id, text as sequence, cast(doc_id % 10 as integer) as fold_id from documents"
 
 
 def _doc_seq(spark, sf_dir):
     """Whole documents as the sequence table (row_id, sequence, fold_id)."""
-    return _docs(spark, sf_dir).repartition("doc_id").select(
+    return _dealt(_docs(spark, sf_dir)).select(
         F.col("doc_id").alias("row_id"), F.col("text").alias("sequence"), (F.col("doc_id") % 10).cast("int").alias("fold_id")
     )
 
@@ -172,3 +178,23 @@ def class_weights_query(spark, sf_dir):
 def index_labels_query(spark, sf_dir):
     """C14: class index of the tabular label, sorted order."""
     return FT.index_labels(V.tab(spark, sf_dir), "label")
+
+
+@register(
+    "row_features_sql",
+    V.with_views("seq")
+    + """
+select row_id, length(sequence) - length(replace(lower(sequence), 'e', '')) as n_e,
+       cast(length(regexp_replace(lower(sequence), '[^aeiou]', '', 'g')) as double) / greatest(length(sequence), 1) as vowel_share
+from seq
+""",
+)
+def row_features_sql(spark, sf_dir):
+    """K3 through ``spark.sql``: one feature as a Python row function, one in SQL that Catalyst inlines."""
+    register_feature("feature_n_e", lambda s: s.lower().count("e"), "int", spark=spark)
+    vowels = "length(regexp_replace(lower(t), '[^aeiou]', '')) / greatest(length(t), 1)"
+    register_native(spark, "feature_vowel_share", "t", vowels)
+    V.seq(spark, sf_dir).createOrReplaceTempView("feature_input")
+    return spark.sql(
+        "select row_id, cast(feature_n_e(sequence) as bigint) as n_e, feature_vowel_share(sequence) as vowel_share from feature_input"
+    )

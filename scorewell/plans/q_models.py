@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from scorewell.operators import leaderboard as L
 from scorewell.operators.features import kmer_counts
+from scorewell.operators.margins import Problem, squared_hinge
 from scorewell.plans import cv as CV
 from scorewell.plans import estimators as E
 from scorewell.plans import experiment as X
@@ -401,6 +402,37 @@ def tabular_logreg_optimal(spark, sf_dir):
     return _optimality(out, model.numFeatures, worst <= 1e-3 * n)
 
 
+@register(
+    "squared_hinge_optimal",
+    "select cast(label as integer) as label, cast(65 as bigint) as n_weights, cast(65 as bigint) as n_optimal, "
+    "(select cast(count(*) as bigint) from embeddings) as n_rows from (select distinct label from embeddings) t",
+)
+def squared_hinge_optimal(spark, sf_dir):
+    """E5's learner on the embeddings, each label against the rest (C = 1): the gradient is 0 in every weight.
+
+    w_j = 2 * sum of y * max(0, 1 - y w.x) * x_j, from grouped sums over the rows.
+    """
+    v = V.vec(spark, sf_dir)
+    labels = sorted(r.label for r in v.select("label").distinct().collect())
+    rows = materialize(v.select(F.lit(-1).alias("fold"), F.col("label").alias("cls"), vector_to_array("features").alias("x")), "margin-rows")
+    width = E.vector_size(v, "features")
+    w = squared_hinge(rows, width, [Problem(-2, c, 1.0, 1.0) for c in labels])
+    models = spark.createDataFrame([(int(c), [float(z) for z in x]) for c, x in zip(labels, w)], "label int, w array<double>")
+    x1 = F.concat("x", F.array(F.lit(1.0)))
+    m = F.aggregate(F.zip_with("w", "x1", lambda a, b: a * b), F.lit(0.0), lambda s, z: s + z)
+    y = F.when(F.col("cls") == F.col("label"), 1.0).otherwise(-1.0)
+    # a row per label is sent to the rows
+    each = rows.select("cls", x1.alias("x1")).join(F.broadcast(models)).withColumn("e", 2 * y * F.greatest(1 - y * m, F.lit(0.0)))
+    per = each.select("label", "e", F.posexplode("x1").alias("j", "z")).groupBy("label", "j").agg(
+        F.sum(F.col("e") * F.col("z")).alias("g"), F.count(F.lit(1)).alias("n_rows")
+    )
+    weights = models.select("label", F.posexplode("w").alias("j", "w"))
+    return per.join(weights, ["label", "j"]).groupBy("label").agg(
+        F.count(F.lit(1)).alias("n_weights"), F.count(F.when(F.abs(F.col("g") - F.col("w")) <= 1e-5, 1)).alias("n_optimal"),
+        F.max("n_rows").alias("n_rows"),
+    )
+
+
 # --- principal components ---------------------------------------------------
 
 
