@@ -2,8 +2,7 @@ r"""Quality rules: a hashed n-gram log-likelihood ratio beside plain text statis
 
 Words and neighbouring word pairs of every document are hashed into BUCKETS
 features.  Two multinomials over the features are counted, one over trusted
-documents (a bounded sample of rows labelled good) and one over the whole raw
-corpus.  A document's score is the mean, over its features, of the logarithm of
+documents (all rows labelled good) and one over the whole raw corpus.  A document's score is the mean, over its features, of the logarithm of
 trusted over raw probability: positive if it reads like the trusted ones.  It is
 kept unless a base rule fails or its score is below the threshold, which is the
 KEEP_SHARE quantile of the trusted documents' own scores, less MARGIN.  Weights
@@ -11,7 +10,8 @@ are whole millionths, so sums don't depend on their order and every document
 gets the same verdict on every run.
 
 Only column functions are used.  What reaches the driver is BUCKETS weights and
-one threshold; the trusted ids (at most TRUSTED_ROWS, documented) are broadcast.
+one threshold, which is an exact quantile of all trusted rows' scores; trusted ids
+meet the texts in a keyed join.
 
 Defined results: null text counts as empty; a text without words has no
 features, score 0, and fails the base rule; repeated rows are judged alike; an
@@ -26,12 +26,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorewell.llm.common import SPACE_PATTERN, WORD_PATTERN, private, table, text_or_empty
+from scorewell.llm.common import SPACE_PATTERN, WORD_PATTERN, private, stored, table, text_or_empty
 from scorewell.llm.exact_dedup import normalised
+from scorewell.operators.rank import ordered_positions
 
 BUCKETS = 8192
-#: Most labelled rows the trusted sample takes (those with the smallest hash of their id).
-TRUSTED_ROWS = 20_000
 KEEP_SHARE = 0.002
 MARGIN = 0.05
 SMOOTH = 0.5
@@ -106,20 +105,14 @@ def statistics(df: DataFrame, text_col: str = "text", words: str = "words") -> D
     )
 
 
-def trusted_ids(labels: DataFrame, id_col: str = "doc_id", rows: int = TRUSTED_ROWS) -> DataFrame:
-    """At most ``rows`` ids labelled good, by the smallest hash (a top-k, not a sort of all)."""
-    return (
-        labels.where((F.col("quality") == 1) & F.col(id_col).isNotNull())
-        .select(F.col(id_col)).distinct()
-        .orderBy(F.xxhash64(id_col), id_col).limit(rows)
-    )
+def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """All ids labelled good, each once."""
+    return labels.where((F.col("quality") == 1) & F.col(id_col).isNotNull()).select(F.col(id_col)).distinct()
 
 
 def weights(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> list[int]:
     """Log-likelihood ratio of each feature in millionths: one pass over the whole corpus."""
-    marked = docs.select(id_col, text_col).join(
-        F.broadcast(trusted.withColumn("_trusted", F.lit(1))), id_col, "left"
-    )
+    marked = docs.select(id_col, text_col).join(trusted.withColumn("_trusted", F.lit(1)), id_col, "left")
     seen = with_words(marked, text_col, "_words").select(
         F.explode(features("_words")).alias("f"), F.coalesce("_trusted", F.lit(0)).alias("t")
     ).groupBy("f").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("good"))
@@ -146,12 +139,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """(feature weights, score threshold)."""
     trusted = trusted_ids(labels, id_col)
     model = weights(docs, trusted, id_col, text_col)
-    sample = docs.select(id_col, text_col).join(F.broadcast(trusted), id_col, "left_semi")
-    scored = with_score(with_words(sample, text_col, "_words"), model, "_words", "_score")
-    at = scored.where(F.size("_words") > 0).agg(F.percentile("_score", KEEP_SHARE)).first()[0]
+    good = docs.select(id_col, text_col).join(trusted, id_col, "left_semi")
+    scored = with_score(with_words(good, text_col, "_words"), model, "_words", "_score")
+    at = quantile(stored(scored.where(F.size("_words") > 0).select("_score"), "trusted-scores"), "_score", KEEP_SHARE)
     return model, -math.inf if at is None else at - MARGIN
 
 
+def quantile(rows: DataFrame, col: str, share: float) -> float | None:
+    """The exact quantile (between neighbours linear) of a stored column; two numbers reach the driver."""
+    n = rows.count()
+    if not n:
+        return None
+    spot = share * (n - 1)
+    low = int(spot)
+    near = ordered_positions(rows, [col], (), "_pos").where(F.col("_pos").isin(low + 1, low + 2))
+    value = {r["_pos"]: r[col] for r in near.collect()}
+    return value[low + 1] + (spot - low) * (value.get(low + 2, value[low + 1]) - value[low + 1])
+
+
 def judged(df: DataFrame, model: list[int], threshold: float, text_col: str = "text") -> DataFrame:
     """``df`` with the statistics, ``score`` and ``kept``."""
     (words,) = private(df, "q_words")

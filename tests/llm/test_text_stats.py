@@ -4,6 +4,8 @@ import collections
 import hashlib
 import re
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from scorewell.llm import exact_dedup, pii, quality, sharding
@@ -186,3 +188,13 @@ def test_quality_score_is_the_mean_log_ratio(spark, tmp_path):
     scored = quality.with_score(quality.with_words(docs, "text", "w"), model, "w", "s").collect()
     for r, x in zip(feats, scored):
         assert abs(x.s - sum(model[f - 1] for f in r.f) / len(r.f) / 1e6) < 1e-12
+
+
+def test_quantile_covers_every_row(spark, tmp_path):
+    values = [float(v) for v in np.random.default_rng(5).normal(size=701)]
+    path = str(tmp_path / "v.parquet")
+    spark.createDataFrame([(v,) for v in values], "v double").repartition(5).write.parquet(path)
+    df = spark.read.parquet(path)
+    for share in (0.0, 0.002, 0.37, 1.0):
+        assert quality.quantile(df, "v", share) == pytest.approx(float(np.quantile(values, share)), abs=1e-12)
+    assert quality.quantile(df.where("v > 100"), "v", 0.5) is None
