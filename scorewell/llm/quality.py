@@ -11,7 +11,7 @@ gets the same verdict on every run.
 
 Only column functions are used.  What reaches the driver is BUCKETS weights and
 one threshold, which is an exact quantile of all trusted rows' scores; trusted ids
-meet the texts in a keyed join.
+are broadcast up to SENT_IDS of them and meet the texts in a shuffled join beyond.
 
 Defined results: null text counts as empty; a text without words has no
 features, score 0, and fails the base rule; repeated rows are judged alike; an
@@ -31,6 +31,8 @@ from scorewell.llm.exact_dedup import normalised
 from scorewell.operators.rank import ordered_positions
 
 BUCKETS = 8192
+#: Most trusted ids that are sent to the texts' tasks; beyond that, texts and ids meet in a shuffled join.
+SENT_IDS = 1 << 20
 KEEP_SHARE = 0.002
 MARGIN = 0.05
 SMOOTH = 0.5
@@ -112,7 +114,7 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def weights(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> list[int]:
     """Log-likelihood ratio of each feature in millionths: one pass over the whole corpus."""
-    marked = docs.select(id_col, text_col).join(trusted.withColumn("_trusted", F.lit(1)), id_col, "left")
+    marked = docs.select(id_col, text_col).join(trusted.select(id_col, F.lit(1).alias("_trusted")), id_col, "left")
     seen = with_words(marked, text_col, "_words").select(
         F.explode(features("_words")).alias("f"), F.coalesce("_trusted", F.lit(0)).alias("t")
     ).groupBy("f").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("good"))
@@ -137,7 +139,9 @@ def with_score(df: DataFrame, model: list[int], words: str, score: str) -> DataF
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[int], float]:
     """(feature weights, score threshold)."""
-    trusted = trusted_ids(labels, id_col)
+    trusted = stored(trusted_ids(labels, id_col), "trusted-ids")
+    if trusted.count() <= SENT_IDS:
+        trusted = F.broadcast(trusted)
     model = weights(docs, trusted, id_col, text_col)
     good = docs.select(id_col, text_col).join(trusted, id_col, "left_semi")
     scored = with_score(with_words(good, text_col, "_words"), model, "_words", "_score")
