@@ -27,6 +27,8 @@ from scorewell.session import map_arrow
 GRAM_COLUMNS = 2048
 #: Rows of a dense block.
 BLOCK_ROWS = 1024
+#: Penalties up to which each is solved by itself.
+FEW_PENALTIES = 3
 #: A variance below this share of the mean square is rounding: the column is constant.
 CONSTANT = 1e-13
 
@@ -102,8 +104,11 @@ def _model(s: Standardized, w: np.ndarray) -> Linear:
 
 
 def ridge(m: Moments, alphas: list[float]) -> list[Linear]:
-    """The ridge solution (intercept not penalized) of each penalty, from one eigendecomposition."""
+    """The ridge solution (intercept not penalized) of each penalty; many come from one eigendecomposition."""
     s = standardized(m)
+    if len(alphas) <= FEW_PENALTIES and min(alphas, default=0) > 0:
+        one = np.eye(len(s.xy))
+        return [_model(s, np.linalg.solve(s.gram + a * one, s.xy)) for a in alphas]
     values, vectors = np.linalg.eigh(s.gram)
     along = vectors.T @ s.xy
     values = np.maximum(values, 0.0)

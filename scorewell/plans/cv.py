@@ -84,7 +84,11 @@ def trial_predictions(spec: Spec, splits: Splits, roles: Roles, configs: list[di
     """
     out = ["trial", "split", roles.id_col, "p", "y"]
     k = len(splits.values)
-    frame = materialize(splits.frame, "split-rows") if len(configs) * k > 1 else splits.frame
+    frame = splits.frame
+    if len(configs) * k > 1:
+        cores = frame.sparkSession.sparkContext.defaultParallelism
+        # a small file is one task's work otherwise
+        frame = materialize(frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame, "split-rows")
     shared = spec.cv_predictions(frame, roles, fold_codes(splits.col, splits.values), k, configs)
     if shared is not None:
         return materialize(shared.select(*out), "split-predictions")
