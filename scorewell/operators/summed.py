@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 from scorewell.session import map_arrow
 
 
-def tree_sum(df: DataFrame, partial: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
-    """The sum of ``partial(batch)`` (float64 arrays of ``size`` numbers) over all batches."""
+def tree_sum(df: DataFrame, partial: Callable[[pa.RecordBatch], np.ndarray], size: int, direct: bool = False) -> np.ndarray:
+    """The sum of ``partial(batch)`` (float64 arrays of ``size`` numbers) over all batches.
+
+    ``direct`` leaves the second level out, where the caller knows that tasks are few.
+    """
 
     def per_task(batches):
         total = None
@@ -41,8 +44,10 @@ def tree_sum(df: DataFrame, partial: Callable[[pa.RecordBatch], np.ndarray], siz
     groups = math.isqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))) + 1
     # keyed by the task, so a task that runs again sends its sum to the same group
     parts = map_arrow(df, per_task, "m binary").withColumn("_t", F.spark_partition_id())
-    sums = map_arrow(parts.repartition(groups, "_t").sortWithinPartitions("_t").select("m"), add, "m binary")
+    sums = parts.select("m") if direct else map_arrow(
+        parts.repartition(groups, "_t").sortWithinPartitions("_t").select("m"), add, "m binary"
+    )
     out = np.zeros(size)
-    for r in sums.collect():  # at most ``groups`` rows
+    for r in sums.collect():  # at most ``groups`` rows, or the few tasks'
         out += np.frombuffer(r["m"], "<f8")
     return out

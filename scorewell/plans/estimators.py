@@ -14,8 +14,9 @@ Objective mapping to the reference's models (see SURVEY §2 E):
   regParam = a1 + a2, elasticNetParam = a1 / (a1 + a2).
 * logistic: regParam = 1 / (C * sum of weights) with 'balanced' weights.
 * SVM: squared hinge and sigmoids by Newton steps (``scorewell.operators.margins``).
-Documented gaps (no Spark equivalent): boosting has no L2 leaf penalty, the MLP
-uses sigmoid units without L2, step size or early stopping.  Settings that so have
+* boosting: histograms with an L2 leaf penalty (``scorewell.operators.boosting``).
+Documented gap (no Spark equivalent): the MLP uses sigmoid units without L2, step size
+or early stopping.  Settings that so have
 no effect are not in the search spaces; a config that names one gets a warning.
 """
 
@@ -60,6 +61,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorewell.functions.sequence import sequence_sql
+from scorewell.operators import boosting
+from scorewell.operators.boosting import Settings
 from scorewell.operators.features import class_weights
 from scorewell.operators.linear import GRAM_COLUMNS, Linear, elastic_net, ridge
 from scorewell.operators.margins import Problem, sigmoids, squared_hinge
@@ -297,6 +300,28 @@ def _fit_slim(est, cur: DataFrame, label_col: str):
     return est.fit(materialize(cur.select("_raw", F.col(label_col).cast("double").alias("_label")), "training-rows"))
 
 
+def _boosting_settings(c: dict) -> Settings:
+    return Settings(
+        steps=int(c["max_iter"]), rate=float(c["learning_rate"]), depth=int(c["max_depth"]) if c["max_depth"] else None,
+        min_leaf=int(c.get("min_samples_leaf", MIN_LEAF)), l2=float(c.get("l2_regularization", 0.0)),
+    )
+
+
+def _boosted_regression(cur: DataFrame, c: dict, roles: "Roles"):
+    """Trees on ``_raw``: by histograms, or Spark's learner (without an L2 leaf penalty) beyond their width."""
+    width = vector_size(cur, "_raw")
+    if not boosting.fits(width, 1):
+        gbt = GBTRegressor(
+            featuresCol="_raw", labelCol="_label", predictionCol=PREDICTION, seed=42,
+            maxIter=int(c["max_iter"]), stepSize=float(c["learning_rate"]), maxDepth=int(c["max_depth"]),
+            minInstancesPerNode=int(c.get("min_samples_leaf", MIN_LEAF)), **BOOSTING,
+        )
+        return _fit_slim(gbt, cur, roles.label_col)
+    rows = boosting.training_rows(cur, "_raw", F.col(roles.label_col), F.lit(1.0), roles.id_col)
+    trees = boosting.fit(rows, width, "squared", 1, _boosting_settings(c))
+    return boosting.BoostedTrees(trees, "squared", "_raw", PREDICTION)
+
+
 def _one_vs_rest(clf, n_classes: int) -> OneVsRest:
     """Multiclass from a binary learner; the per-class fits run concurrently."""
     return OneVsRest(
@@ -476,13 +501,12 @@ class KmerElasticNet(_KmerLinear):
 
 
 class KmerBoosting(_Kmers):
-    """K-mers + GC + length -> gradient-boosted trees (no L2 leaf penalty in Spark)."""
+    """K-mers + GC + length -> histogram gradient boosting with an L2 leaf penalty."""
 
     name = "kmer_hgbr"
-    ignored = ("l2_regularization",)
     defaults = {
         "ngram_lo": 3, "ngram_hi": 6, "max_iter": 200, "learning_rate": 0.1,
-        "max_depth": 6, "min_samples_leaf": 10, "seed": 42,
+        "max_depth": 6, "min_samples_leaf": 10, "l2_regularization": 0.1, "seed": 42,
     }
     space = [
         Param("ngram_lo", "int", 2, 4),
@@ -495,14 +519,8 @@ class KmerBoosting(_Kmers):
 
     def fit(self, train, config, roles):
         c = self.config(config)
-        pre = self.stages(c, roles)
-        fitted, cur = fit_stages(pre, train)
-        gbt = GBTRegressor(
-            featuresCol="_raw", labelCol="_label", predictionCol=PREDICTION,
-            maxIter=int(c["max_iter"]), stepSize=float(c["learning_rate"]), maxDepth=int(c["max_depth"]),
-            minInstancesPerNode=int(c["min_samples_leaf"]), seed=int(c["seed"]), **BOOSTING,
-        )
-        return Fitted(PipelineModel(fitted + [_fit_slim(gbt, cur, roles.label_col)]), roles.id_col, self.name)
+        fitted, cur = fit_stages(self.stages(c, roles), train)
+        return Fitted(PipelineModel(fitted + [_boosted_regression(cur, c, roles)]), roles.id_col, self.name)
 
 
 class TabularRidge(Spec):
@@ -538,7 +556,7 @@ class TabularRidge(Spec):
 
 
 class TabularBoosting(Spec):
-    """Gradient-boosted regression trees, no scaling."""
+    """Histogram gradient boosting, no scaling."""
 
     name = "tabular_hgbr"
     data_types = ("dataframe_tabular",)
@@ -549,12 +567,7 @@ class TabularBoosting(Spec):
     def fit(self, train, config, roles):
         c = self.config(config)
         fitted, cur = fit_stages(_feature_stages(roles), train)
-        gbt = GBTRegressor(
-            featuresCol="_raw", labelCol="_label", predictionCol=PREDICTION,
-            maxIter=int(c["max_iter"]), stepSize=float(c["learning_rate"]), maxDepth=int(c["max_depth"]), seed=42,
-            minInstancesPerNode=MIN_LEAF, **BOOSTING,
-        )
-        return Fitted(PipelineModel(fitted + [_fit_slim(gbt, cur, roles.label_col)]), roles.id_col, self.name)
+        return Fitted(PipelineModel(fitted + [_boosted_regression(cur, c, roles)]), roles.id_col, self.name)
 
 
 # ----------------------------- classification ------------------------------
@@ -639,7 +652,7 @@ class TabularLogReg(_Classifier):
 
 
 class TabularBoostingClassifier(_Classifier):
-    """Balanced boosting; Spark's GBT is binary, so multiclass is one-vs-rest."""
+    """Balanced histogram boosting on the log loss, one tree a class and step (one for two classes)."""
 
     name = "tabular_hgbc"
     data_types = ("dataframe_tabular",)
@@ -648,6 +661,14 @@ class TabularBoostingClassifier(_Classifier):
     defaults = {"max_iter": 200, "learning_rate": 0.1, "max_depth": 6}
     space = [Param("max_iter", "int", 100, 500), Param("learning_rate", "log", 0.01, 0.3), Param("max_depth", "int", 3, 10)]
 
+    def fit_model(self, slim, c, labels, roles):
+        width = vector_size(slim, FEATURES)
+        if not boosting.fits(width, len(labels)):
+            return super().fit_model(slim, c, labels, roles)
+        rows = boosting.training_rows(slim, FEATURES, F.col("_label_idx"), F.col("_w"), roles.id_col)
+        trees = boosting.fit(rows, width, "log", len(labels), _boosting_settings(c))
+        return boosting.BoostedTrees(trees, "log", FEATURES, "_pred_idx")
+
     def make(self, c, n_classes, n_features, sum_w):
         gbt = GBTClassifier(
             featuresCol=FEATURES, labelCol="_label_idx", weightCol="_w", maxIter=int(c["max_iter"]),

@@ -80,6 +80,11 @@ def materialize(df, name: str):
     the table instead of replaying the whole upstream join.  The table goes when
     the application ends, or before that with ``drop_scratch``.
     """
+    return written(df, name)[1]
+
+
+def written(df, name: str) -> tuple[str, object]:
+    """``materialize`` with the table's path, for ``drop_table``."""
     import uuid
 
     spark = df.sparkSession
@@ -89,7 +94,15 @@ def materialize(df, name: str):
     fs, p = _hadoop_path(spark, path)
     fs.deleteOnExit(p)
     _scratch(spark).append(path)
-    return spark.read.schema(schema).parquet(path)
+    return path, spark.read.schema(schema).parquet(path)
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete one intermediate table that nothing reads any more."""
+    fs, p = _hadoop_path(spark, path)
+    fs.delete(p, True)
+    if path in _scratch(spark):
+        _scratch(spark).remove(path)
 
 
 def _scratch(spark: SparkSession) -> list[str]:
