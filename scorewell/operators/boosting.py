@@ -49,6 +49,8 @@ BLOCK_BYTES = 1 << 22
 REWRITE = 16
 #: Tasks up to which their sums go to the driver without a second level.
 DIRECT = 64
+#: Values a task should have before its rows are dealt to idle cores.
+CELLS = 1 << 18
 GAIN_TIE = 1e-9
 SCHEMA = "n int, x binary, y binary, w binary, held binary, raw binary"
 
@@ -251,6 +253,14 @@ def _block_table(rows: DataFrame, b: Binning, baseline: np.ndarray) -> DataFrame
     return map_arrow(rows.select("x", "y", "w", "held"), block, SCHEMA)
 
 
+def _dealt(rows: DataFrame, width: int) -> DataFrame:
+    """``rows``, moved only where fewer tasks than cores hold more than CELLS values each."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().orderBy(F.desc("count")).limit(cores).collect()]
+    want = min(cores, sum(sizes) * width // CELLS + 1)
+    return rows.repartition(want) if len(sizes) < want else rows
+
+
 def best_split(sums: np.ndarray, total: np.ndarray, b: Binning, s: Settings) -> Split | None:
     """The best split of a node with (bins, 3) ``sums``, or None where none is allowed or gains."""
     start = b.start[:-1]
@@ -314,6 +324,7 @@ class Boosting:
         self.baseline = self._baseline(rows, classes)
         self.binning = binning(rows, width)
         self.model = Trees(self.baseline)
+        rows = _dealt(rows, width)
         self.path, self.blocks = written(_block_table(rows, self.binning, self.baseline), "boosting-blocks")
         self.written_steps = 0
         self.tasks = self.blocks.select(F.spark_partition_id().alias("t")).distinct().count()
@@ -349,26 +360,30 @@ class Boosting:
             slots.append(slot)
 
         def partial(batch):
-            out = np.zeros(n_slots * size * 3 + 2)
+            sums, totals, held_out = np.zeros((3, n_slots * size)), np.zeros((3, n_slots)), np.zeros(2)
             for x, y, w, held, raw in _blocks(batch, width, k_):
                 raw = done.add(raw.copy(), x, done_edge, is_gone, since)
                 g, h, lost = gradients(loss, raw, y, w)
                 if with_loss:
-                    out[-2] += lost[held].sum()
-                    out[-1] += w[held].sum()
-                cells = x + start
+                    held_out += lost[held].sum(), w[held].sum()
+                row, column = np.nonzero(x)  # a column's first bin is what the others leave
+                cell = start[column] + x[row, column]
                 for k in range(k_):
                     slot = slots[k][routes[k].reach(x, 0, routes[k].bin, is_gone)]
-                    on = np.flatnonzero((slot >= 0) & ~held)
-                    if not len(on):
-                        continue
-                    cell = (cells[on] + (slot[on] * size)[:, None]).ravel()
-                    for j, v in enumerate((np.ones(len(on)), g[on, k], h[on, k])):
-                        out[j:-2:3] += np.bincount(cell, np.repeat(v, width), n_slots * size)
-            return out
-
-        flat = tree_sum(self.blocks, partial, n_slots * size * 3 + 2, direct=self.tasks <= DIRECT)
-        return flat[:-2].reshape(n_slots, size, 3), flat[-2:]
+                    slot[held] = -1
+                    rows_on = np.flatnonzero(slot >= 0)
+                    on = slot[row] >= 0
+                    at, place = row[on], slot[row[on]] * size + cell[on]
+                    for j, v in enumerate((np.ones(len(y)), g[:, k], h[:, k])):
+                        totals[j] += np.bincount(slot[rows_on], v[rows_on], n_slots)
+                        sums[j] += np.bincount(place, v[at], n_slots * size)
+            return np.concatenate([sums.ravel(), totals.ravel(), held_out])
+
+        a, c = n_slots * size * 3, n_slots * 3
+        flat = tree_sum(self.blocks, partial, a + c + 2, direct=self.tasks <= DIRECT)
+        sums = flat[:a].reshape(3, n_slots, size)
+        sums[:, :, start] = flat[a : a + c].reshape(3, n_slots, 1) - np.add.reduceat(sums, start, axis=2)
+        return np.ascontiguousarray(np.moveaxis(sums, 0, 2)), flat[-2:]
 
     def step(self) -> float | None:
         """Grow one tree a class; the held-back loss before it (None without held-back rows)."""
