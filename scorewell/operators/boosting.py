@@ -517,7 +517,8 @@ def fits(width: int, classes: int) -> bool:
 class BoostedTrees(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     """Scores of boosted trees on a vector column, in Arrow batches.
 
-    ``outputCol`` is the value (loss 'squared') or the class index with the largest score.
+    ``outputCol`` is the value (loss 'squared'), the class index with the largest score
+    ('log') or every tree's score ('scores').
     """
 
     trees = MLParam(Params._dummy(), "trees", "JSON of the trees", TypeConverters.toString)
@@ -539,15 +540,17 @@ class BoostedTrees(Transformer, DefaultParamsReadable, DefaultParamsWritable):
 
         def score(x: pd.Series) -> pd.Series:
             if not len(x):
-                return pd.Series([], dtype="float64")
+                return pd.Series([], dtype="object" if loss == "scores" else "float64")
             x = np.stack(x.to_numpy())
             raw = np.tile(baseline, (len(x), 1))
             raw = flat.add(raw, x, flat.threshold, lambda v, c: np.isnan(v))
+            if loss == "scores":
+                return pd.Series(list(raw))
             if loss == "squared":
                 return pd.Series(raw[:, 0])
             return pd.Series((raw[:, 0] > 0 if raw.shape[1] == 1 else raw.argmax(axis=1)).astype(float))
 
-        result = F.pandas_udf(score, "double")(vector_to_array(self.getOrDefault(self.inputCol)))
+        result = F.pandas_udf(score, "array<double>" if loss == "scores" else "double")(vector_to_array(self.getOrDefault(self.inputCol)))
         return dataset.withColumn(self.getOrDefault(self.outputCol), result)
 
 

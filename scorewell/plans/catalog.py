@@ -37,6 +37,7 @@ def register(name: str, sql: str | None = None):
 def load_all() -> dict[str, Query]:
     # importing the modules fills REGISTRY
     from scorewell.plans import (  # noqa: F401
+        q_boosting,
         q_features,
         q_leaderboard,
         q_metrics,
