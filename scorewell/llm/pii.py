@@ -16,8 +16,9 @@ letters, two check digits, 11 to 30 letters or digits, mod-97 remainder 1) and
 ssn (3-2-4 digits), which has no checksum and so needs a context word nearby to
 reach the threshold.
 
-Defined results: null text counts as empty (no spans); the result has one row
-per input row, repeated rows too; columns besides id and text are not read.
+Defined results: null text counts as empty (no spans); an empty table gives an empty
+one; the result has one row per input row, repeated rows too; columns besides id and
+text are not read.  n matches in one text cost n^1.5 small steps, not n^2 copies.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from scorewell.llm.common import private, table, text_or_empty
 THRESHOLD = 0.5
 #: Code points on either side in which a context word counts.
 CONTEXT = 48
+#: Code points a block of a text to be marked holds.
+BLOCK = 1024
 
 
 @dataclass
@@ -85,19 +88,46 @@ def _hinted(k: Kind, text: Column) -> Column:
     return text.contains(k.hint) if len(k.hint) == 1 else text.rlike(k.hint)
 
 
-def _spans(text: str, matches: str, gaps: str) -> Column:
-    """Array of (start, end, match) from one kind's matches and gaps."""
-    step = lambda acc, i: F.struct(
-        (acc["at"] + F.char_length(F.get(F.col(gaps), i)) + F.char_length(F.get(F.col(matches), i))).alias("at"),
-        F.concat(acc["out"], F.array(F.struct(
-            (acc["at"] + F.char_length(F.get(F.col(gaps), i))).alias("start"),
-            (acc["at"] + F.char_length(F.get(F.col(gaps), i)) + F.char_length(F.get(F.col(matches), i))).alias("end"),
-            F.get(F.col(matches), i).alias("match"),
-        ))).alias("out"),
-    )
-    empty = F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,match:string>>))")
-    each = F.when(F.size(matches) > 0, F.sequence(F.lit(0), F.size(matches) - 1)).otherwise(F.expr("array()").cast("array<int>"))
-    return F.aggregate(each, empty, step, lambda acc: acc["out"])
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with the value worked out once for a row however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(values: Column, op) -> Column:
+    """Running results of ``op`` (adding or the larger of two) over an array of counts.
+
+    Runs of about the square root of its length are done apart, so n values cost n^1.5
+    small steps: growing one array value by value would copy it n times.
+    """
+    start = F.expr("named_struct('at', 0, 'out', cast(array() as array<int>))")
+
+    def inside(v):
+        run = F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1))
+        first = F.when(F.size(v) > 0, F.sequence(F.lit(0), F.size(v) - 1, run)).otherwise(F.expr("cast(array() as array<int>)"))
+        return F.transform(first, lambda i: F.aggregate(
+            F.slice(v, i + 1, run), start,
+            lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(op(acc["at"], x))).alias("out")),
+        ))
+
+    def joined(runs):
+        before = F.aggregate(
+            runs, start,
+            lambda acc, p: F.struct(op(acc["at"], p["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+            lambda acc: acc["out"],
+        )
+        return F.flatten(F.zip_with(runs, before, lambda p, at: F.transform(p["out"], lambda x: op(x, at))))
+
+    return _let(_let(values, inside), joined)
+
+
+def _short(piece: Column) -> Column:
+    """What a context can show of a piece of text: all of it, or its two ends."""
+    long = F.char_length(piece) > 2 * CONTEXT
+    return F.when(long, F.concat(F.substr(piece, F.lit(1), F.lit(CONTEXT)), F.right(piece, F.lit(CONTEXT)))).otherwise(piece)
+
+
+#: Pieces (gaps and matches of two code points or more) that surely fill a context.
+AROUND = CONTEXT + 2
 
 
 def scored_spans(df: DataFrame, text_col: str = "text", out: str = "pii", threshold: float = THRESHOLD) -> DataFrame:
@@ -107,8 +137,9 @@ def scored_spans(df: DataFrame, text_col: str = "text", out: str = "pii", thresh
     ``threshold``.  Score: the kind's, plus 0.3 with a context word within CONTEXT
     code points, at most 1.
     """
-    txt, *names = private(df, "pii_text", *[f"pii_{a}_{k.name}" for k in KINDS for a in ("m", "g")])
-    m, g = dict(zip([k.name for k in KINDS], names[::2])), dict(zip([k.name for k in KINDS], names[1::2]))
+    kinds = [k.name for k in KINDS]
+    txt, *names = private(df, "pii_text", *[f"pii_{a}_{k}" for a in ("m", "g") for k in kinds])
+    m, g = dict(zip(kinds, names)), dict(zip(kinds, names[len(kinds):]))
     none = F.expr("array()").cast("array<string>")
     work = df.withColumn(txt, text_or_empty(text_col))
     work = work.withColumns({
@@ -119,17 +150,32 @@ def scored_spans(df: DataFrame, text_col: str = "text", out: str = "pii", thresh
         g[k.name]: F.when(F.size(m[k.name]) > 0, F.split(txt, k.pattern, -1)).otherwise(none) for k in KINDS
     })
 
+
     def of(rank: int, k: Kind) -> Column:
+        mk, gk = F.col(m[k.name]), F.col(g[k.name])
+        lengths = F.zip_with(F.slice(gk, F.lit(1), F.size(mk)), mk, lambda a, b: F.char_length(a) + F.char_length(b))
+        # gap, match, gap, match, ...: a kind's i-th match is piece 2 i + 1
+        pieces = F.flatten(F.zip_with(gk, mk, lambda a, b: F.array(_short(a), _short(F.coalesce(b, F.lit(""))))))
+        matched = F.transform(
+            F.zip_with(mk, _running(lengths, lambda a, b: a + b), lambda t, end: F.struct(t.alias("match"), end.alias("end"))),
+            lambda s, i: F.struct(
+                i.alias("i"), (s["end"] - F.char_length(s["match"])).alias("start"), s["end"].alias("end"), s["match"].alias("match")
+            ),
+        )
+        return _let(pieces, lambda around: scored(rank, k, matched, around))
+
+    def scored(rank: int, k: Kind, matched: Column, pieces: Column) -> Column:
         def near(s: Column) -> Column:
-            first = F.greatest(s["start"] - CONTEXT, F.lit(0))
+            at = s["i"] * 2 + 1
+            join = lambda first, n: F.array_join(F.slice(pieces, first, n), "")
             around = F.concat(
-                F.substr(F.col(txt), first + 1, s["start"] - first), F.lit(" "),
-                F.substr(F.col(txt), s["end"] + 1, F.lit(CONTEXT)),
+                F.right(join(F.greatest(at - AROUND, F.lit(0)) + 1, F.least(at, F.lit(AROUND))), F.lit(CONTEXT)), F.lit(" "),
+                F.substr(join(at + 2, F.lit(AROUND)), F.lit(1), F.lit(CONTEXT)),
             )
             return around.rlike(f"(?i)(?<![a-z])(?:{k.words})")
 
         made = F.transform(
-            F.filter(_spans(txt, m[k.name], g[k.name]), lambda s: k.valid(s["match"])),
+            F.filter(matched, lambda s: k.valid(s["match"])),
             lambda s: F.struct(
                 s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"),
                 F.lit(k.name).alias("kind"), F.lit(k.base).alias("base"),
@@ -152,20 +198,28 @@ def redacted(df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD
     (pii,) = private(df, "pii")
     found = scored_spans(df, text_col, pii, threshold)
     text = F.col(text_col)
-    step = lambda acc, s: F.struct(
-        F.greatest(acc["at"], s["end"]).alias("at"),
-        F.when(s["start"] < acc["at"], acc["out"]).otherwise(
-            F.concat(acc["out"], F.array(
-                F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("<"), s["kind"], F.lit(">"))
-            ))
-        ).alias("out"),
-    )
-    empty = F.expr("named_struct('at', 0, 'out', cast(array() as array<string>))")
-    masked = F.aggregate(
-        F.col(pii), empty, step,
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1)),
-    )
-    return found.withColumn(text_col, F.when(F.size(pii) > 0, masked).otherwise(text)).drop(pii)
+
+    def masked(spans: Column, until: Column, blocks: Column) -> Column:
+        def cut(a: Column, b: Column) -> Column:
+            first = F.floor(a / BLOCK).cast("int")
+            whole = F.array_join(F.slice(blocks, first + 1, F.floor(b / BLOCK).cast("int") - first + 1), "")
+            return F.substr(whole, a - first * BLOCK + 1, b - a)
+
+        marked = F.zip_with(
+            spans, F.concat(F.array(F.lit(0)), F.slice(until, F.lit(1), F.greatest(F.size(spans) - 1, F.lit(0)))),
+            lambda s, at: F.when(s["start"] < at, F.lit("")).otherwise(
+                F.concat(cut(at, s["start"]), F.lit("<"), s["kind"], F.lit(">"))
+            ),
+        )
+        return F.concat(F.array_join(marked, ""), F.substr(text, F.get(until, F.size(spans) - 1) + 1))
+
+    # blocks of code points, so that a piece is cut without a walk from the text's start
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    whole = _let(F.col(pii), lambda spans: _let(
+        _running(F.transform(spans, lambda s: s["end"]), F.greatest),
+        lambda until: _let(blocks, lambda b: masked(spans, until, b)),
+    ))
+    return found.withColumn(text_col, F.when(F.size(pii) > 0, whole).otherwise(text)).drop(pii)
 
 
 def span_string(spans: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -198,3 +199,42 @@ def test_quantile_covers_every_row(spark, tmp_path):
     for share in (0.0, 0.002, 0.37, 1.0):
         assert quality.quantile(df, "v", share) == pytest.approx(float(np.quantile(values, share)), abs=1e-12)
     assert quality.quantile(df.where("v > 100"), "v", 0.5) is None
+
+
+def test_pii_with_very_many_matches_in_one_text(spark):
+    """Near-linear work: the whole text's spans and marks equal a plain walk over it."""
+    import time
+
+    text = " ".join(f"u{i}@host{i % 7}.example.com" if i % 3 else f"write ü {i}.2.3.4" for i in range(32_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    (r,) = pii.scored_spans(df).collect()
+    (marked,) = pii.redacted(df).collect()
+    assert time.time() - began < 60
+    want = [(m.start(), m.end(), "email", m.group()) for m in re.finditer(r"u\d+@host\d\.example\.com", text)]
+    want += [(m.start(), m.end(), "ip", m.group()) for m in re.finditer(r"\d+\.2\.3\.4", text) if int(m.group().split(".")[0]) < 256]
+    got = [(s.start, s.end, s.kind, s.match) for s in r.pii]
+    assert got == sorted(want)
+    out, at = [], 0
+    for a, b, kind, _ in got:
+        out += [text[at:a], f"<{kind}>"]
+        at = b
+    assert marked.text == "".join(out) + text[at:]
+
+
+def test_pii_context_is_the_text_around_a_span(spark):
+    rng = random.Random(12)
+    parts = ["mail", "x" * 60, "a@b.cd", "1.2.3.4", "host", "é🙂", "12", "3 4", "tel", "+49 30 1234567", "no", "Contact:", "server"]
+    rows = [(i, " ".join(rng.choice(parts) for _ in range(rng.randint(1, 60)))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts, kinds = dict(rows), {k.name: k for k in pii.KINDS}
+    seen = set()
+    for r in pii.scored_spans(df).collect():
+        t = texts[r.doc_id]
+        for s in r.pii:
+            k = kinds[s.kind]
+            around = t[max(0, s.start - pii.CONTEXT):s.start] + " " + t[s.end:s.end + pii.CONTEXT]
+            near = re.search(f"(?i)(?<![a-z])(?:{k.words})", around) is not None
+            assert s.score == pytest.approx(min(1.0, k.score + 0.3 * near)) and t[s.start:s.end] == s.match
+            seen.add((s.kind, near))
+    assert len(seen) >= 6
