@@ -85,16 +85,22 @@ def materialize(df, name: str):
 
 def written(df, name: str) -> tuple[str, object]:
     """``materialize`` with the table's path, for ``drop_table``."""
-    import uuid
-
     spark = df.sparkSession
-    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    path = scratch_table(spark, name)
     schema = df.schema
     df.write.mode("overwrite").parquet(path)
+    return path, spark.read.schema(schema).parquet(path)
+
+
+def scratch_table(spark: SparkSession, name: str) -> str:
+    """A new path for an intermediate table; what is written there goes with the application or ``drop_scratch``."""
+    import uuid
+
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
     fs, p = _hadoop_path(spark, path)
     fs.deleteOnExit(p)
     _scratch(spark).append(path)
-    return path, spark.read.schema(schema).parquet(path)
+    return path
 
 
 def drop_table(spark: SparkSession, path: str) -> None:
