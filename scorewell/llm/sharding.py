@@ -23,14 +23,13 @@ the added column takes leading underscores).
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorewell.llm.common import private, table
-from scorewell.session import scratch_path
+from scorewell.session import scratch_table
 
 N_SHARDS = 16
 #: Text bytes a bucket holds on average; a task keeps one bucket in memory.
@@ -75,6 +74,13 @@ class Shards:
         return rows.join(starts, self.bucket).withColumn(slot, F.col("_start") + F.col(self.place)).drop("_start")
 
 
+def bucket_counts(df: DataFrame, n_shards: int, id_col: str, text_col: str, bucket_bytes: int, seed: int) -> list[int]:
+    """How many buckets of ``bucket_bytes`` each shard's own rows need, at least one."""
+    sums = df.groupBy(shard_of(id_col, n_shards, seed).alias("s")).agg(F.sum(size_of(text_col)).alias("b")).collect()
+    sizes = {r["s"]: r["b"] for r in sums}
+    return [max(1, -(-sizes.get(k, 0) // bucket_bytes)) for k in range(n_shards)]
+
+
 def write_shards(
     df: DataFrame,
     path: str,
@@ -86,12 +92,12 @@ def write_shards(
 ) -> Shards:
     """Shuffle ``df`` into ``path``/shard=N, a file per bucket; the rows as read back."""
     shard, bucket, place, rows = private(df, "shard", "bucket", "place", "rows")
-    total = df.agg(F.sum(size_of(text_col))).first()[0] or 0
-    per_shard = max(1, -(-total // (n_shards * bucket_bytes)))
-    inside = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(id_col), F.monotonically_increasing_id()), F.lit(per_shard))
-    scattered = df.withColumn(
-        bucket, (shard_of(id_col, n_shards, seed) * per_shard + inside).cast("int")
-    ).repartitionById(n_shards * per_shard, F.col(bucket))
+    needs = bucket_counts(df, n_shards, id_col, text_col, bucket_bytes, seed)
+    firsts = [sum(needs[:k]) for k in range(n_shards)]
+    home = F.get(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(f).alias("first"), F.lit(n).alias("n"))
+                           for k, (f, n) in enumerate(zip(firsts, needs))]), shard_of(id_col, n_shards, seed))
+    inside = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(id_col), F.monotonically_increasing_id()), home["n"])
+    scattered = df.withColumn(bucket, (home["first"] + inside).cast("int")).repartitionById(sum(needs), F.col(bucket))
     # sorted first, so that the order a bucket starts from doesn't depend on which map task answered first
     held = scattered.groupBy(bucket).agg(
         F.shuffle(F.sort_array(F.collect_list(F.struct(
@@ -100,7 +106,8 @@ def write_shards(
         ))), seed).alias(rows)
     )
     out = held.select(bucket, F.posexplode(rows).alias(place, rows)).select(
-        f"{rows}._row.*", bucket, place, F.expr(f"cast(`{bucket}` div {per_shard} as int)").alias(shard)
+        f"{rows}._row.*", bucket, place,
+        (F.size(F.filter(F.array(*[F.lit(f) for f in firsts]), lambda f: f <= F.col(bucket))) - 1).alias(shard),
     )
     out.write.partitionBy(shard).parquet(path)
     return Shards(df.sparkSession.read.schema(out.schema).parquet(path), shard, bucket, place)
@@ -108,7 +115,7 @@ def write_shards(
 
 def op1_sharding(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    done = write_shards(docs, scratch_path(spark, f"shards-{uuid.uuid4().hex}"))
+    done = write_shards(docs, scratch_table(spark, "shards"))
     slots = done.with_slots(
         "doc_id",
         size_of("text").alias("size"),

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from scorewell.llm import exact_dedup, pii, quality, sharding
 
+SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -50,6 +52,34 @@ def test_a_hot_id_spreads_over_buckets(spark, tmp_path):
     assert sorted(one) == list(range(len(one)))
 
 
+def test_buckets_of_a_hot_id_hold_the_bound(spark, tmp_path):
+    """One id has all rows: its shard gets the buckets, the others one each."""
+    path = str(tmp_path / "one")
+    spark.range(4000).select(F.lit(7).alias("doc_id"), F.lit("x" * 499).alias("text")).write.parquet(path)
+    done = sharding.write_shards(spark.read.parquet(path), str(tmp_path / "out"), 16, bucket_bytes=100_000)
+    rows = done.records.groupBy("shard", "bucket").count().collect()
+    assert len({r["shard"] for r in rows}) == 1 and len(rows) == 20
+    assert sum(r["count"] for r in rows) == 4000 and max(r["count"] for r in rows) * 500 < 1.35 * 100_000
+
+
+def test_sharding_query_equals_brute_force(spark):
+    want = set()
+    for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect():
+        raw = (r.text or "").encode()
+        want.add((r.doc_id, len(raw) + 1, zlib.crc32(raw)))
+    ids = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id")
+    tried = ids.select("doc_id", *[F.xxhash64(F.lit(sharding.SEED), "doc_id", F.lit(n)).alias(f"h{n}") for n in range(17)]).collect()
+    home = lambda r, n: max((k for k in range(n) if r[f"h{k}"] % (k + 1) == 0), default=0)
+    homes = {r.doc_id: (home(r, 16), home(r, 17)) for r in tried}
+    got = sharding.op1_sharding(spark, SF).collect()
+    assert {(r.doc_id, r["size"], r.text_crc32) for r in got} == want
+    assert len(got) == ids.count()
+    assert all((r.shard, r.grown_shard) == homes[r.doc_id] and r.law == "key" for r in got)
+    for s in range(16):
+        mine = sorted(r.slot for r in got if r.shard == s)
+        assert mine == list(range(len(mine)))
+
+
 def test_sharding_of_an_empty_table(empty, tmp_path):
     assert sharding.write_shards(empty, str(tmp_path / "e"), 3).with_slots().count() == 0
 
