@@ -11,11 +11,18 @@ link inside their own host.  Trust is a personalised PageRank from the hosts tha
 have allowed pages; distrust runs from the hosts that have blocked pages against
 the edges (who links to a bad host is suspect).  A seed host's mass is the share of
 its pages that the rules allow or block; the masses are scaled to a sum of 1.
-After ROUNDS rounds a host is blocked if its distrust exceeds its trust.
+A host is blocked if its distrust exceeds its trust by more than the share SLACK of it.
 
-Each round is one join of the edges with the ranks and one grouped sum, for both
-directions at once; edges are aggregated before they move, and every third round
-is written to the shared folder.  Nothing is collected.
+The ranks are the sums of what arrives after 0, 1, 2... steps.  Each step keeps at most
+DAMPING of the mass, so what all steps from the k-th on would still bring is at most
+DAMPING^k of it: propagation ends at the first k where that is below TOLERANCE, or
+before, when so little arrived (hosts without edges let mass out) that the rest is.
+
+Each step is one join of the edges with the ranks and one grouped sum, for both
+directions at once; edges are aggregated before they move, and every STORE_EVERY-th step
+is written to the shared folder.  A host of more than HUB_EDGES edges (a top-level
+domain) has them in blocks, and its mass is sent to each block, so no task meets
+all of them.  What comes to the driver is the sum of the ranks, one number.
 
 Defined results: a null url or one without ``://`` has an empty host and path, no
 rule, and is allowed (no mass reaches the empty host); null html has no links;
@@ -25,6 +32,8 @@ allowed; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +46,13 @@ RULES = [
     ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 ]
-DAMPING, ROUNDS, PARENT_WEIGHT, SLACK = 0.85, 9, 1, 1e-9
+DAMPING, PARENT_WEIGHT, SLACK = 0.85, 1, 1e-6
+#: Share of the mass that may be left out of the ranks, and the steps that suffice for it.
+TOLERANCE = 1e-4
+STEPS = math.ceil(math.log(TOLERANCE) / math.log(DAMPING))
+STORE_EVERY = 6
+#: Edges of one host that meet in a task.  Hosts with more are at most edges / HUB_EDGES.
+HUB_EDGES = 1 << 18
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"""(?i)href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -92,24 +107,38 @@ def propagate(pages: DataFrame, edges: DataFrame) -> DataFrame:
     )
     seeds = per_host.select("host", F.expr("stack(2, 't', good, 'd', bad) as (way, mass)")).where("mass > 0")
     total = seeds.groupBy("way").agg(F.sum("mass").alias("total"))
-    seeds = stored(
-        seeds.join(total, "way").select("way", "host", (F.col("mass") / F.col("total")).alias("p")), "host-seeds"
+    first = stored(
+        seeds.join(total, "way").select("way", "host", (F.col("mass") / F.col("total") * (1 - DAMPING)).alias("p")), "host-seeds"
     )
     ways = edges.select(F.lit("t").alias("way"), F.col("src").alias("host"), F.col("dst").alias("to"), "w").union(
         edges.select(F.lit("d"), "dst", "src", "w")
     )
-    out = ways.groupBy("way", "host").agg(F.sum("w").alias("all_w"))
+    nodes = stored(
+        ways.groupBy("way", "host").agg(
+            F.sum("w").alias("all_w"), F.ceil(F.count(F.lit(1)) / HUB_EDGES).cast("int").alias("blocks")
+        ), "host-nodes",
+    )
+    hubs = F.broadcast(nodes.where("blocks > 1").select("way", "host", "blocks"))
     ways = stored(
-        ways.join(out, ["way", "host"]).select("way", "host", "to", (F.col("w") / F.col("all_w")).alias("share")), "host-edges"
+        ways.join(hubs, ["way", "host"], "left").select(
+            "way", "host", "to", "w", F.pmod(F.xxhash64("to"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block")
+        ), "host-edges",
     )
-    ranks = seeds
-    for k in range(ROUNDS):
-        moved = ranks.join(ways, ["way", "host"]).select(
-            "way", F.col("to").alias("host"), (F.col("p") * F.col("share") * DAMPING).alias("p")
+    ranks, before = first, 0.0
+    for k in range(1, STEPS + 1):
+        sent = ranks.join(nodes, ["way", "host"]).select(
+            "way", "host", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+            (F.col("p") / F.col("all_w") * DAMPING).alias("p"),
         )
-        ranks = moved.union(seeds.select("way", "host", F.col("p") * (1 - DAMPING))).groupBy("way", "host").agg(F.sum("p").alias("p"))
-        if k % 3 == 2:
+        moved = sent.join(ways, ["way", "host", "block"]).select("way", F.col("to").alias("host"), (F.col("p") * F.col("w")).alias("p"))
+        ranks = moved.union(first).groupBy("way", "host").agg(F.sum("p").alias("p"))
+        if k % STORE_EVERY == 0:
             ranks = stored(ranks, f"host-ranks-{k}")
+            mass = ranks.agg(F.sum("p")).first()[0] or 0.0
+            # later steps bring at most DAMPING / (1 - DAMPING) times what the last one brought
+            if (mass - before) * DAMPING / (1 - DAMPING) < TOLERANCE:
+                break
+            before = mass
     part = lambda way: F.sum(F.when(F.col("way") == way, F.col("p")).otherwise(0.0))
     return ranks.groupBy("host").agg(part("t").alias("trust"), part("d").alias("distrust"))
 
@@ -123,7 +152,7 @@ def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     ruled = read.select("id", "host", "path", name.alias("rule"), verdict.alias("verdict"))
     ranks = propagate(ruled, host_edges(read, "host", "html"))
-    bad = F.coalesce(F.col("distrust") > F.col("trust") + SLACK, F.lit(False))
+    bad = F.coalesce(F.col("distrust") > F.col("trust") * (1 + SLACK), F.lit(False))
     return ruled.join(ranks, "host", "left").select(
         "id", "host", "path", "rule",
         F.coalesce("verdict", F.when(bad, "block").otherwise("allow")).alias("verdict"), "trust", "distrust",
@@ -140,12 +169,8 @@ def _sql() -> str:
         f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{take(v, h, p)}'"
         for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     ) + " END"
-    rounds = "".join(f"""
-r{k + 1} AS (SELECT way, host, sum(p) AS p FROM (
-  SELECT way, w.dst AS host, r.p * w.share * {DAMPING} AS p FROM r{k} r JOIN ways w USING (way, host)
-  UNION ALL SELECT way, host, p * {1 - DAMPING} FROM seeds) GROUP BY way, host),""" for k in range(ROUNDS))
     return rf"""
-WITH read AS (
+WITH RECURSIVE read AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '{URL}', 1), ''), '{UPPER}', '{LOWER}') AS host,
          coalesce(regexp_extract(url, '{URL}', 2), '') AS path, html FROM pages),
 ruled AS (SELECT page_id, host, path, {cases(lambda v, h, p: h + p)} AS rule, {cases(lambda v, h, p: v)} AS verdict FROM read),
@@ -165,11 +190,15 @@ mass AS (SELECT 't' AS way, host, good AS mass FROM per_host WHERE good > 0
 seeds AS (SELECT way, host, mass / sum(mass) OVER (PARTITION BY way) AS p FROM mass),
 both_ways AS (SELECT 't' AS way, src AS host, dst, w FROM edges UNION ALL SELECT 'd', dst, src, w FROM edges),
 ways AS (SELECT way, host, dst, w::DOUBLE / sum(w) OVER (PARTITION BY way, host) AS share FROM both_ways),
-r0 AS (SELECT * FROM seeds),{rounds}
+steps AS (
+  SELECT way, host, p * {1 - DAMPING} AS p, 0 AS k FROM seeds
+  UNION ALL
+  SELECT way, w.dst, sum(s.p * w.share * {DAMPING}), any_value(s.k) + 1
+  FROM steps s JOIN ways w USING (way, host) WHERE s.k < {STEPS} GROUP BY way, w.dst),
 ranks AS (SELECT host, sum(CASE WHEN way = 't' THEN p ELSE 0 END) AS trust,
-          sum(CASE WHEN way = 'd' THEN p ELSE 0 END) AS distrust FROM r{ROUNDS} GROUP BY host)
+          sum(CASE WHEN way = 'd' THEN p ELSE 0 END) AS distrust FROM steps GROUP BY host)
 SELECT page_id, ruled.host AS host, path, rule,
-       coalesce(verdict, CASE WHEN distrust > trust + {SLACK} THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(verdict, CASE WHEN distrust > trust * (1 + {SLACK}) THEN 'block' ELSE 'allow' END) AS verdict
 FROM ruled LEFT JOIN ranks USING (host)
 """
 

@@ -163,6 +163,31 @@ def test_url_filter_equals_sql(spark):
     assert by_id[18][3:] == (None, "block")  # links to a blocked host
 
 
+def test_distrust_follows_a_long_chain(spark):
+    """Each host links to the next, the last one to a blocked host: all are suspect, and SQL says so too."""
+    n = 24
+    rows = [(i, f"http://h{i:02d}/", f'<a href="http://{f"h{i + 1:02d}" if i < n - 1 else "bad.net"}/">') for i in range(n)]
+    rows += [(100, "http://bad.net/x", None), (101, "http://clean/", '<a href="http://h00/">'), (102, "http://alone/", None)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.id: r.verdict for r in urls.judged(df).collect()}
+    assert all(got[i] == "block" for i in range(n)) and got[101] == "block" and got[102] == "allow"
+    pages = df.toPandas()  # noqa: F841
+    want = dict(duckdb.connect().execute(f"SELECT page_id, verdict FROM ({urls.SQL})").fetchall())
+    assert got == want
+
+
+def test_hubs_in_blocks_give_the_same_ranks(spark, monkeypatch):
+    rng = random.Random(3)
+    hosts = [f"s{i}.{rng.choice(['com', 'net', 'org'])}" for i in range(60)]
+    rows = [(i, f"http://{h}/{rng.choice(['fr', 'x'])}/", " ".join(f'<a href="//{rng.choice(hosts)}/">' for _ in range(4)))
+            for i, h in enumerate(hosts)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    read = lambda: {r.id: (r.verdict, round(r.trust or 0, 12), round(r.distrust or 0, 12)) for r in urls.judged(df).collect()}
+    whole = read()
+    monkeypatch.setattr(urls, "HUB_EDGES", 3)
+    assert read() == whole and len({v[0] for v in whole.values()}) == 2
+
+
 def test_url_filter_of_an_empty_table(spark):
     df = spark.createDataFrame(PAGES, "page_id bigint, url string, html string").where("page_id < 0")
     assert urls.judged(df).count() == 0
