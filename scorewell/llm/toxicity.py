@@ -23,7 +23,7 @@ Ids whose crc32 (of their decimal text) is divisible by HELD_OUT are never
 learned from.  Labels, languages, sources and ids are no inputs of a score.
 
 Defined results: null and empty texts are one empty window; texts of any length
-are scored whole (SAMPLE_BYTES bytes of one are learned from); repeated rows are scored
+are scored whole (of one longer than SAMPLE_BYTES, blocks from all over it are learned from); repeated rows are scored
 each for itself, and one row of an id is learned from; several labels of one
 id count as toxic if one does; with fewer than three toxic or
 ordinary labelled rows every score is 0; an empty table gives an empty result; other columns are not
