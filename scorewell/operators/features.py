@@ -18,63 +18,108 @@ from scorewell.session import map_arrow, materialize
 TARGET_SUM = 1e4
 
 
-#: Rows of (id, kmer, n) a task hands over at once.
-COUNTS_AT_ONCE = 200_000
+#: Characters of text counted at once (a longer text is counted by itself).
+CHARS_AT_ONCE = 1 << 18
+
+
+def text_chunks(texts, most: int = CHARS_AT_ONCE):
+    """(start, rows) of runs of an Arrow string array with about ``most`` bytes of text each."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield at, to - at
+        at = to
 
 
-def kmers_of(text: str, lo: int, hi: int):
-    """(k-mers, counts) of a normalized text for each k: windows get a 64-bit hash, and equal ones are counted together."""
+def kmers_of(texts, lo: int, hi: int):
+    """(row of ``texts``, k-mer, count) as arrays for each k, of an Arrow array of normalized texts.
+
+    All windows of all texts are sorted together.  A window's code is built from its
+    characters' places in the alphabet found here, and made dense when it would pass 64
+    bits with the row before it, so equal codes are equal k-mers.
+    """
     import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = texts.fill_null("")
+    lengths = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = "".join(texts.to_pylist())
+    points = np.frombuffer(flat.encode("utf-32-le"), np.uint32)
+    if not len(points):
+        return
+    seen = np.zeros(int(points.max()) + 1, bool)
+    seen[points] = True
+    place = np.cumsum(seen).astype(np.uint32) - 1
+    letters = place[points].astype(np.uint64)
+    ascii_only = len(seen) <= 128
+    shown = points.astype(np.uint8) if ascii_only else points
+    letter_bits = np.uint64(int(seen.sum() - 1).bit_length())
+    row_bits = (len(texts) - 1).bit_length()
+    row = np.repeat(np.arange(len(texts), dtype=np.uint64), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(points))  # characters up to the text's end
+    code, bits = letters, int(letter_bits)
+    for k in range(1, min(hi, int(lengths.max())) + 1):
+        if k > 1:
+            if row_bits + bits + int(letter_bits) > 64:
+                some, code = np.unique(code, return_inverse=True)
+                code, bits = code.astype(np.uint64), (len(some) - 1).bit_length()
+            # windows across a text's end are dropped below
+            code = (code[:-1] << letter_bits) | letters[k - 1 :]
+            bits += int(letter_bits)
+        if k < lo:
+            continue
+        whole = np.flatnonzero(left[: len(code)] >= k)
+        key = (row[whole] << np.uint64(min(bits, 63))) | code[whole]
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        at = whole[order[first]]
+        chars = np.lib.stride_tricks.sliding_window_view(shown, k)[at]
+        if ascii_only:
+            data, ends = chars.tobytes(), np.arange(len(at) + 1) * k
+        else:
+            data = chars.astype("<u4").tobytes().decode("utf-32-le").encode()
+            width = 1 + (chars >= 0x80).astype(np.int64) + (chars >= 0x800) + (chars >= 0x10000)
+            ends = np.r_[0, np.cumsum(width.sum(axis=1))]
+        if len(data) < 1 << 31:
+            names = pa.StringArray.from_buffers(len(at), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data))
+        else:  # one enormous text
+            names = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data))
+        yield row[at].astype(np.int64), names, np.diff(np.r_[first, len(key)])
 
-    step, odd = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    points = (points + np.uint64(1)) * odd
-    points ^= points >> np.uint64(29)
-    h = np.zeros(len(points), np.uint64)
-    for k in range(1, min(hi, len(points)) + 1):
-        h = h[: len(points) - k + 1] * step + points[k - 1 :]
-        if k >= lo:
-            _, first, n = np.unique(h ^ (h >> np.uint64(32)), return_index=True, return_counts=True)
-            yield [text[i : i + k] for i in first.tolist()], n
+
+#: Rows of (id, kmer, n) a task hands over at once.
+COUNTS_AT_ONCE = 1 << 20
 
 
 def kmer_counts(df: DataFrame, id_col: str, seq_col: str, lo: int, hi: int) -> DataFrame:
     """(id, kmer, n) for every k-mer of length lo..hi of each whole text (ids unique per row).
 
-    A row's k-mers are counted where the row is: windows of the text get a
-    64-bit hash, equal ones are counted together, and a window's text is cut once.
+    A row's k-mers are counted where the row is, many rows at once.
     Nothing is shuffled here, and a later aggregate by k-mer combines map-side.
     """
     if lo < 1 or hi < lo:
         raise ValueError(f"bad k-mer range {lo}..{hi}")
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
-        def frame(ids, kmers, counts):
-            lengths = [len(c) for c in counts]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids).take(pa.array(np.repeat(np.arange(len(ids)), lengths))),
-                    pa.array(kmers, pa.string()),
-                    pa.array(np.concatenate(counts).astype(np.int64)),
-                ],
-                [id_col, "kmer", "n"],
-            )
-
         for batch in batches:
-            ids, kmers, counts = [], [], []
-            for row, text in zip(batch.column(0), batch.column(1)):
-                for names, n in kmers_of(text.as_py() or "", lo, hi):
-                    ids.append(row)
-                    kmers += names
-                    counts.append(n)
-                if len(kmers) >= COUNTS_AT_ONCE:
-                    yield frame(ids, kmers, counts)
-                    ids, kmers, counts = [], [], []
-            if kmers:
-                yield frame(ids, kmers, counts)
+            for at, size in text_chunks(batch.column(1)):
+                some = batch.slice(at, size)
+                for rows, kmers, n in kmers_of(some.column(1), lo, hi):
+                    for i in range(0, len(n), COUNTS_AT_ONCE):
+                        part = slice(i, i + COUNTS_AT_ONCE)
+                        names = kmers[part].cast(pa.string())
+                        yield pa.RecordBatch.from_arrays(
+                            [some.column(0).take(pa.array(rows[part])), names, pa.array(n[part])], [id_col, "kmer", "n"]
+                        )
 
     kind = df.schema[id_col].dataType.simpleString()
     return map_arrow(df.select(id_col, normalize_text(seq_col).alias("_t")), run, f"`{id_col}` {kind}, kmer string, n bigint")

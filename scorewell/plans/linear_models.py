@@ -16,6 +16,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Transformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param as MLParam
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorewell.functions.sequence import gc_content, normalize_text, seq_length
-from scorewell.operators.features import kmer_counts, kmers_of, spread_join
+from scorewell.operators.features import kmer_counts, kmers_of, spread_join, text_chunks
 from scorewell.operators.linear import GRAM_COLUMNS, Linear, Moments, fold_moments, fold_predictions, total
 from scorewell.operators.wide import Columns
 from scorewell.session import map_arrow, materialize
@@ -67,20 +68,17 @@ def dense_design(feature_cols: list[str], vector_col: str | None, width: int) ->
 
 
 def kmer_design(seq_col: str, vocabulary: list[str], lo: int, hi: int) -> Design:
-    """Counts of these k-mers, GC content and length.  A text that repeats in a batch is counted once."""
-    place = {k: i for i, k in enumerate(vocabulary)}
+    """Counts of these k-mers, GC content and length."""
+    known = pa.array(vocabulary, pa.string())
 
     def matrix(batch):
-        texts = pa.array(batch.column(2)).fill_null("").dictionary_encode()
-        counts = np.zeros((len(texts.dictionary), len(place) + 2))
-        for row, text in enumerate(texts.dictionary.to_pylist()):
-            for names, n in kmers_of(text, lo, hi):
-                at = [place.get(k, -1) for k in names]
-                known = np.array(at) >= 0
-                counts[row, np.array(at)[known]] = n[known]
-        out = counts[texts.indices.to_numpy()]
+        out = np.zeros((batch.num_rows, len(known) + 2))
+        for rows, kmers, n in kmers_of(batch.column(2), lo, hi):
+            at = pc.index_in(kmers, known)
+            have = at.is_valid().to_numpy(zero_copy_only=False)
+            out[rows[have], at.drop_null().to_numpy()] = n[have]
         for k in (3, 4):
-            out[:, len(place) + k - 3] = batch.column(k).fill_null(0.0).to_numpy(zero_copy_only=False)
+            out[:, len(known) + k - 3] = batch.column(k).fill_null(0.0).to_numpy(zero_copy_only=False)
         return out
 
     columns = [normalize_text(seq_col).alias("t"), gc_content(seq_col).alias("gc"), seq_length(seq_col).alias("len")]
@@ -93,9 +91,10 @@ def small_vocabulary(df: DataFrame, seq_col: str, lo: int, hi: int, most: int =
     def run(batches):
         seen: set[str] = set()
         for batch in batches:
-            for text in batch.column(0).unique().to_pylist():
-                for names, _ in kmers_of(text or "", lo, hi):
-                    seen.update(names)
+            texts = batch.column(0)
+            for at, size in text_chunks(texts):
+                for _, kmers, _ in kmers_of(texts.slice(at, size), lo, hi):
+                    seen.update(kmers.unique().to_pylist())
                 if len(seen) > most:  # enough to know
                     break
             if len(seen) > most:

@@ -10,7 +10,7 @@ from scorewell.operators import features as FT
 from scorewell.plans import views as V
 from scorewell.plans.catalog import register
 from scorewell.session import materialize
-from scorewell.sources.tables import fold_split, read_table
+from scorewell.sources.tables import dealt, fold_split, read_table
 
 SEQ = V.with_views("seq")
 
@@ -70,23 +70,18 @@ select kmer, cast(count(*) as bigint) as n_docs, cast(sum(n) as bigint) as total
 def kmer_counts_documents_query(spark, sf_dir):
     """C3 at volume: k = 3..6 over every whole document, summarised per k-mer."""
     # the given file is one row group, so its rows are dealt out before the work on each text
-    c = FT.kmer_counts(_dealt(_docs(spark, sf_dir)), "doc_id", "text", 3, 6)
+    c = FT.kmer_counts(dealt(_docs(spark, sf_dir)), "doc_id", "text", 3, 6)
     return c.groupBy("kmer").agg(
         F.count(F.lit(1)).cast("long").alias("n_docs"), F.sum("n").cast("long").alias("total")
     )
 
 
-def _dealt(df):
-    """Rows dealt out evenly, whatever their ids."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-
-
 DOC_SEQ = "select doc_id as row_id, text as sequence, cast(doc_id % 10 as integer) as fold_id from documents"
 
 
 def _doc_seq(spark, sf_dir):
     """Whole documents as the sequence table (row_id, sequence, fold_id)."""
-    return _dealt(_docs(spark, sf_dir)).select(
+    return dealt(_docs(spark, sf_dir)).select(
         F.col("doc_id").alias("row_id"), F.col("text").alias("sequence"), (F.col("doc_id") % 10).cast("int").alias("fold_id")
     )
 

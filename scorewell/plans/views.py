@@ -12,12 +12,12 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewell.sources.tables import read_table
+from scorewell.sources.tables import dealt, read_table
 
 
 def seq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequence-regression table: short text, float label, fold 0-9."""
-    return read_table(spark, sf_dir, "part").select(
+    return dealt(read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_retailprice"])).select(
         F.col("p_partkey").alias("row_id"),
         F.col("p_name").alias("sequence"),
         F.col("p_retailprice").alias("labels"),

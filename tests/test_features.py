@@ -135,3 +135,47 @@ def test_profile_record(spark):
     assert rec2["task_type"] == "classification" and rec2["class_distribution"] == {"a": 20, "b": 20}
     assert rec2["feature_columns"] == ["x"] and rec2["n_features"] == 1
     json.dumps(rec2)
+
+
+def _windows(texts, lo, hi):
+    from collections import Counter
+
+    return Counter((r, t[i : i + k]) for r, t in enumerate(texts) for k in range(lo, hi + 1) for i in range(len(t) - k + 1))
+
+
+@pytest.mark.parametrize("letters", ["ab", "acgt nu", "aé漢😀", "".join(map(chr, range(32, 5000)))])
+def test_kmers_of_many_texts_at_once(letters):
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 2, 7, 60]))) for _ in range(80)]
+    for lo, hi in ((1, 1), (3, 6), (2, 20)):  # long ones pass 64 bits and are made dense
+        got = {}
+        for rows, kmers, n in FT.kmers_of(pa.array(texts, pa.string()), lo, hi):
+            part = dict(zip(zip(rows.tolist(), kmers.to_pylist()), n.tolist()))
+            assert len(part) == len(n) and not part.keys() & got.keys()
+            got.update(part)
+        assert got == _windows(texts, lo, hi)
+
+
+def test_text_chunks_cover_every_row():
+    import pyarrow as pa
+
+    texts = pa.array(["abc", None, "", "x" * 50, "yz", "q" * 9])
+    for most in (1, 4, 12, 1000):
+        runs = list(FT.text_chunks(texts, most))
+        assert [i for at, n in runs for i in range(at, at + n)] == list(range(len(texts)))
+        assert all(n == 1 or sum(len(t or "") for t in texts.slice(at, n).to_pylist()) <= most for at, n in runs)
+
+
+def test_sequence_rows_are_dealt_to_all_tasks(spark, tmp_path):
+    """A part table in one file was one task's work, and grew with it."""
+    from scorewell.plans import views as V
+
+    rows = [(i, f"text {i}", float(i)) for i in range(200)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_retailprice double").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    seq = V.seq(spark, str(tmp_path))
+    assert seq.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted((r.row_id, r.sequence, r.labels, r.fold_id) for r in seq.collect()) == [(i, t, y, i % 10) for i, t, y in rows]
