@@ -98,11 +98,17 @@ def kmers_of(texts, lo: int, hi: int):
 COUNTS_AT_ONCE = 1 << 20
 
 
-def kmer_counts(df: DataFrame, id_col: str, seq_col: str, lo: int, hi: int) -> DataFrame:
+#: Rows of (id, kmer, n) added up at once where only sums per k-mer are wanted.
+SUMMED_AT_ONCE = 1 << 22
+
+
+def kmer_counts(df: DataFrame, id_col: str, seq_col: str, lo: int, hi: int, summed: bool = False) -> DataFrame:
     """(id, kmer, n) for every k-mer of length lo..hi of each whole text (ids unique per row).
 
     A row's k-mers are counted where the row is, many rows at once.
     Nothing is shuffled here, and a later aggregate by k-mer combines map-side.
+    With ``summed`` the counts of many rows are added up before they leave the task:
+    (kmer, rows, n), a k-mer as often as there were such sums.
     """
     if lo < 1 or hi < lo:
         raise ValueError(f"bad k-mer range {lo}..{hi}")
@@ -121,8 +127,30 @@ def kmer_counts(df: DataFrame, id_col: str, seq_col: str, lo: int, hi: int) -> D
                             [some.column(0).take(pa.array(rows[part])), names, pa.array(n[part])], [id_col, "kmer", "n"]
                         )
 
+    def run_summed(batches):
+        import pyarrow as pa
+
+        held, size = [], 0
+
+        def added():
+            sums = pa.Table.from_batches(held).group_by("kmer", use_threads=False).aggregate([("n", "count"), ("n", "sum")])
+            sums = sums.select(["kmer", "n_count", "n_sum"]).rename_columns(["kmer", "rows", "n"])
+            return sums.to_batches(max_chunksize=COUNTS_AT_ONCE)
+
+        for part in run(batches):
+            held.append(part.select(["kmer", "n"]))
+            size += part.num_rows
+            if size >= SUMMED_AT_ONCE:
+                yield from added()
+                held, size = [], 0
+        if held:
+            yield from added()
+
+    texts = df.select(id_col, normalize_text(seq_col).alias("_t"))
+    if summed:
+        return map_arrow(texts, run_summed, "kmer string, rows bigint, n bigint")
     kind = df.schema[id_col].dataType.simpleString()
-    return map_arrow(df.select(id_col, normalize_text(seq_col).alias("_t")), run, f"`{id_col}` {kind}, kmer string, n bigint")
+    return map_arrow(texts, run, f"`{id_col}` {kind}, kmer string, n bigint")
 
 
 def kmer_vocabulary(counts: DataFrame) -> DataFrame:

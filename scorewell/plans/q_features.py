@@ -70,10 +70,8 @@ select kmer, cast(count(*) as bigint) as n_docs, cast(sum(n) as bigint) as total
 def kmer_counts_documents_query(spark, sf_dir):
     """C3 at volume: k = 3..6 over every whole document, summarised per k-mer."""
     # the given file is one row group, so its rows are dealt out before the work on each text
-    c = FT.kmer_counts(dealt(_docs(spark, sf_dir)), "doc_id", "text", 3, 6)
-    return c.groupBy("kmer").agg(
-        F.count(F.lit(1)).cast("long").alias("n_docs"), F.sum("n").cast("long").alias("total")
-    )
+    c = FT.kmer_counts(dealt(_docs(spark, sf_dir)), "doc_id", "text", 3, 6, summed=True)
+    return c.groupBy("kmer").agg(F.sum("rows").cast("long").alias("n_docs"), F.sum("n").cast("long").alias("total"))
 
 
 DOC_SEQ = "select doc_id as row_id, text as sequence, cast(doc_id % 10 as integer) as fold_id from documents"
@@ -94,7 +92,7 @@ def _doc_seq(spark, sf_dir):
 def kmer_vocabulary_query(spark, sf_dir):
     """C4: sorted vocabulary of the training documents (k = 3..6, whole texts)."""
     train, _ = fold_split(_doc_seq(spark, sf_dir), 0)
-    return FT.kmer_vocabulary(FT.kmer_counts(train, "row_id", "sequence", 3, 6))
+    return FT.kmer_vocabulary(FT.kmer_counts(train, "row_id", "sequence", 3, 6, summed=True))
 
 
 @register(

@@ -179,3 +179,12 @@ def test_sequence_rows_are_dealt_to_all_tasks(spark, tmp_path):
     seq = V.seq(spark, str(tmp_path))
     assert seq.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert sorted((r.row_id, r.sequence, r.labels, r.fold_id) for r in seq.collect()) == [(i, t, y, i % 10) for i, t, y in rows]
+
+
+def test_counts_summed_in_the_task(spark):
+    texts = ["acgt acgt", "ACGT", None, "", "tt", "ünï acg"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, s string").coalesce(1)
+    per_row = FT.kmer_counts(df, "id", "s", 2, 4).groupBy("kmer").agg(F.count("n").alias("rows"), F.sum("n").alias("n"))
+    summed = FT.kmer_counts(df, "id", "s", 2, 4, summed=True)
+    assert summed.count() == per_row.count()  # one task, one batch: a k-mer leaves it once
+    assert {tuple(r) for r in summed.collect()} == {tuple(r) for r in per_row.collect()}
