@@ -103,3 +103,39 @@ def test_rows_without_a_fold_are_training_rows(spark):
     df = spark.createDataFrame([(1, 0), (2, 1), (3, None)], "id int, fold_id int")
     train, test = fold_split(df, 0)
     assert sorted(r.id for r in train.collect()) == [2, 3] and [r.id for r in test.collect()] == [1]
+
+
+def test_trial_spearman_is_the_metric_of_each_trial_and_split(spark):
+    import random
+
+    rng = random.Random(5)
+    label = {i: rng.choice([0.0, 1.5, 1.5, rng.random(), -2.0]) for i in range(300)}
+    rows = []
+    for trial in (0, 1, 2, 4):
+        for i, y in label.items():
+            p = {0: rng.random(), 1: 7.0, 2: rng.choice([0.0, -0.0, float("nan"), y]), 4: None if i == 4 else -y}[trial]
+            rows.append((trial, i % 3, y, p))
+    preds = spark.createDataFrame(rows, "trial int, split int, y double, p double").repartition(5)
+    got = {(r.trial, r.split): r.score for r in M.trial_spearman(preds, 3).collect()}
+    every = M.regression_metrics(preds, "p", "y", ["trial", "split"]).collect()
+    assert got == {(r.trial, r.split): r.spearman for r in every}  # to the last bit
+    assert len(got) == 12 and got[4, 1] is None and got[1, 0] == 0.0
+
+
+def test_rank_sums_over_many_parts(spark):
+    """One value in most rows, and pieces of one group in several tasks."""
+    from collections import Counter
+
+    from scorewell.operators.rank import rank_sums
+
+    values = [(g, float(v % 40 if v % 3 else 7)) for g in (1, 2) for v in range(500 * g)]
+    counts = Counter(values)
+    df = spark.createDataFrame([(g, v, n, n * int(v)) for (g, v), n in counts.items()], "g int, v double, n long, o long")
+    got = {r.g: (r.n, r.valued, int(r.xx), int(r.xy)) for r in rank_sums(df, "g", "v", "n", "o").collect()}
+    for g in (1, 2):
+        run, xx, xy = 0, 0, 0
+        for v in sorted(v for h, v in counts if h == g):
+            n = counts[g, v]
+            rank2 = 2 * run + n + 1
+            run, xx, xy = run + n, xx + n * rank2**2, xy + rank2 * n * int(v)
+        assert got[g] == (run, run, xx, xy)

@@ -323,3 +323,22 @@ def test_expression_model_roundtrip_and_batch_predict(spark, tmp_path):
     got = {r["cell_id"]: r["predictions"] for r in out.collect()}
     assert len(got) == 10
     assert sum(got[c] == str(c % 2) for c in got) >= 9
+
+
+def test_equal_trials_are_fitted_once_and_all_scored(spark, monkeypatch):
+    df = spark.createDataFrame([(i, float(i % 7), i % 3) for i in range(60)], "id long, y double, fold_id int")
+    roles = E.Roles("id", "y")
+    asked, made = [], CV.trial_predictions
+    monkeypatch.setattr(CV, "trial_predictions", lambda s, p, r, configs: asked.append(len(configs)) or made(s, p, r, configs))
+    rows = CV.trial_scores(E.get_spec("mean_predictor"), CV.make_splits(df, roles, "regression"), roles, "regression", 6).collect()
+    assert asked == [1]
+    assert sorted((r.trial, r.score) for r in rows) == [(t, 0.0) for t in range(6)]
+
+
+def test_perceptron_parts_are_no_more_than_cores(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(E._Classifier, "fit_model", lambda self, slim, c, labels, roles: seen.append(slim.rdd.getNumPartitions()))
+    cores = spark.sparkContext.defaultParallelism
+    E.get_spec("expr_mlp").fit_model(spark.range(1000).repartition(3 * cores), {}, [], None)
+    E.get_spec("expr_mlp").fit_model(spark.range(10).repartition(1), {}, [], None)
+    assert seen == [cores, 1]
