@@ -44,3 +44,17 @@ def test_boards_follow_the_files(spark, tmp_path):
     named = {r["path"].rsplit("/", 1)[-1] for r in ST._manifest(spark, out)}
     assert named <= set(os.listdir(f"{out}/runs")) and len(os.listdir(f"{out}/runs")) <= len(named) + 3
     assert json.dumps(runs)
+
+
+def test_a_folder_gets_as_many_files_as_its_records_need(spark, tmp_path, monkeypatch):
+    """Twelve tasks wrote twelve files a folder, and a stream that takes four at a time needed as many more batches."""
+    records = spark.createDataFrame(_records(random.Random(3), 400, 0), SCHEMA).repartition(12)
+    files = lambda at: {d: sum(f.endswith(".json") for f in os.listdir(f"{at}/dataset={d}/fold=0")) for d in ("d0", "d1")}
+    S.append_submissions(records, str(tmp_path / "one"))
+    assert files(tmp_path / "one") == {"d0": 1, "d1": 1}
+    monkeypatch.setattr(S, "RECORDS_PER_FILE", 80)
+    S.append_submissions(records, str(tmp_path / "more"))
+    assert all(2 <= n <= 4 for n in files(tmp_path / "more").values())
+    for at in ("one", "more"):
+        kept = {r["name"] for r in S.load_submissions(spark, str(tmp_path / at)).collect()}
+        assert kept == {f"n{i:05d}" for i in range(400)}
