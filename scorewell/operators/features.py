@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scorewell.functions.sequence import normalize_text
 from scorewell.operators.rank import ordered_positions
-from scorewell.session import map_arrow, materialize
+from scorewell.session import map_arrow, materialize, ship_package
 
 # Fixed value: total count each cell is scaled to before log1p.
 TARGET_SUM = 1e4
@@ -102,13 +102,14 @@ COUNTS_AT_ONCE = 1 << 20
 SUMMED_AT_ONCE = 1 << 22
 
 
-def kmer_counts(df: DataFrame, id_col: str, seq_col: str, lo: int, hi: int, summed: bool = False) -> DataFrame:
+def kmer_counts(df: DataFrame, id_col: str, seq_col: str, lo: int, hi: int, summed: bool = False, per_id: bool = False) -> DataFrame:
     """(id, kmer, n) for every k-mer of length lo..hi of each whole text (ids unique per row).
 
     A row's k-mers are counted where the row is, many rows at once.
     Nothing is shuffled here, and a later aggregate by k-mer combines map-side.
     With ``summed`` the counts of many rows are added up before they leave the task:
-    (kmer, rows, n), a k-mer as often as there were such sums.
+    (kmer, rows, n), a k-mer as often as there were such sums.  With ``per_id`` as well,
+    only rows with the same id are added up: (id, kmer, rows, n).
     """
     if lo < 1 or hi < lo:
         raise ValueError(f"bad k-mer range {lo}..{hi}")
@@ -133,12 +134,12 @@ def kmer_counts(df: DataFrame, id_col: str, seq_col: str, lo: int, hi: int, summ
         held, size = [], 0
 
         def added():
-            sums = pa.Table.from_batches(held).group_by("kmer", use_threads=False).aggregate([("n", "count"), ("n", "sum")])
-            sums = sums.select(["kmer", "n_count", "n_sum"]).rename_columns(["kmer", "rows", "n"])
+            sums = pa.Table.from_batches(held).group_by(keys, use_threads=False).aggregate([("n", "count"), ("n", "sum")])
+            sums = sums.select([*keys, "n_count", "n_sum"]).rename_columns([*keys, "rows", "n"])
             return sums.to_batches(max_chunksize=COUNTS_AT_ONCE)
 
         for part in run(batches):
-            held.append(part.select(["kmer", "n"]))
+            held.append(part.select([*keys, "n"]))
             size += part.num_rows
             if size >= SUMMED_AT_ONCE:
                 yield from added()
@@ -147,9 +148,11 @@ def kmer_counts(df: DataFrame, id_col: str, seq_col: str, lo: int, hi: int, summ
             yield from added()
 
     texts = df.select(id_col, normalize_text(seq_col).alias("_t"))
-    if summed:
-        return map_arrow(texts, run_summed, "kmer string, rows bigint, n bigint")
     kind = df.schema[id_col].dataType.simpleString()
+    keys = [id_col, "kmer"] if per_id else ["kmer"]
+    if summed:
+        own = f"`{id_col}` {kind}, " if per_id else ""
+        return map_arrow(texts, run_summed, f"{own}kmer string, rows bigint, n bigint")
     return map_arrow(texts, run, f"`{id_col}` {kind}, kmer string, n bigint")
 
 
@@ -179,12 +182,37 @@ def spread_join(facts: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return facts.join(F.broadcast(hot), key).unionByName(cold)
 
 
-def kmer_vectorize(counts: DataFrame, vocab: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+#: Bytes of text whose k-mers are looked up together, and counted at once while they are.
+CHUNK_BYTES, CHUNK_CHARS = 1 << 22, 1 << 20
+#: Vectors handed over at once.
+VECTORS_AT_ONCE = 256
+
+
+def text_chunk(df: DataFrame, id_col: str, seq_col: str) -> DataFrame:
+    """``df`` with the chunk of about CHUNK_BYTES of text that a row's id falls into (``_chunk``), dealt by it.
+
+    Rows with equal ids share a chunk; rows without an id, which have no vector, go by their text.
+    """
+    size = df.agg(F.sum(F.octet_length(seq_col))).first()[0] or 0
+    # smaller chunks where there would be fewer than cores
+    n = max(size // CHUNK_BYTES, min(2 * df.sparkSession.sparkContext.defaultParallelism, size // CHARS_AT_ONCE)) + 1
+    place = F.when(F.col(id_col).isNull(), F.xxhash64(seq_col)).otherwise(F.xxhash64(id_col))
+    return df.withColumn("_chunk", F.pmod(place, F.lit(n))).repartition("_chunk")
+
+
+def kmer_vectorize(counts: DataFrame, vocab: DataFrame, ids: DataFrame, id_col: str, text: tuple[str, int, int] | None = None) -> DataFrame:
     """Per row a sparse (indices, values) pair over the vocabulary.
 
     Unseen k-mers drop out in the inner join; rows with no known k-mer are
     kept (left join from ``ids``) with empty arrays.  ``counts`` must be stored.
+
+    With ``text`` (column, lo, hi), ``ids`` are the chunks of ``text_chunk`` and ``counts``
+    their k-mers (_chunk, kmer), some perhaps more than once.  The vocabulary is looked up
+    for a chunk's k-mers, and its rows are counted where their text is, so
+    entries (row, k-mer, n) are neither stored nor moved.
     """
+    if text is not None:
+        return _vectorize_chunks(counts, vocab, ids, id_col, *text)
     known = spread_join(counts, vocab, "kmer")
     rows = known.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("idx", "n"))).alias("_e"))
     out = ids.select(id_col).join(rows, id_col, "left")
@@ -196,6 +224,58 @@ def kmer_vectorize(counts: DataFrame, vocab: DataFrame, ids: DataFrame, id_col:
     )
 
 
+def _vectorize_chunks(kmers: DataFrame, vocab: DataFrame, chunks: DataFrame, id_col: str, seq_col: str, lo: int, hi: int) -> DataFrame:
+    def vectors(rows, places):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        rows = rows.combine_chunks()
+        row_ids, texts = (rows.column(i).combine_chunks() for i in (1, 2))
+        lengths = pc.utf8_length(places.column(1)).to_numpy()
+        known = {}
+        for k in range(lo, hi + 1):
+            some = places.take(pa.array(np.flatnonzero(lengths == k))).combine_chunks()
+            known[k] = some.column(1).combine_chunks(), some.column(2).to_numpy()
+        # rows with one id share their entries
+        group = row_ids.dictionary_encode().indices
+        own = group.is_valid().to_numpy(zero_copy_only=False)
+        group = group.fill_null(0).to_numpy()
+        at_group, at_idx, at_n = [], [], []
+        for at, size in text_chunks(texts, CHUNK_CHARS):
+            for r, names, n in kmers_of(texts.slice(at, size), lo, hi):
+                have_names, idx = known[len(names[0].as_py())]
+                found = pc.index_in(names, have_names.cast(names.type))
+                have = found.is_valid().to_numpy(zero_copy_only=False)
+                at_group.append(group[at + r[have]].astype(np.int32))
+                at_idx.append(idx[found.drop_null().to_numpy()].astype(np.int32))
+                at_n.append(n[have].astype(np.float64))
+        groups = int(group.max(initial=0)) + 1
+        g, i, v = (np.concatenate(a) if a else np.zeros(0, t) for a, t in ((at_group, np.int32), (at_idx, np.int32), (at_n, np.float64)))
+        order = np.lexsort((v, i, g))
+        i, v = i[order], v[order]
+        ends = np.searchsorted(g[order], np.arange(groups + 1))
+        batches = []
+        for a in range(0, len(row_ids), VECTORS_AT_ONCE):
+            some = group[a : a + VECTORS_AT_ONCE]
+            mine = own[a : a + VECTORS_AT_ONCE]
+            sizes = np.where(mine, ends[some + 1] - ends[some], 0)
+            offsets = np.concatenate([[0], np.cumsum(sizes)])
+            take = np.repeat(ends[some] - offsets[:-1], sizes) + np.arange(offsets[-1])
+            lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x[take])) for x in (i, v)]
+            batches.append(pa.RecordBatch.from_arrays([row_ids.slice(a, VECTORS_AT_ONCE), *lists], [id_col, "indices", "values"]))
+        kinds = pa.schema([(id_col, row_ids.type), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
+        return pa.Table.from_batches(batches, kinds)
+
+    ship_package(chunks.sparkSession)
+    places = kmers.select("_chunk", "kmer").join(vocab.select("kmer", "idx"), "kmer").select("_chunk", "kmer", "idx")
+    texts = chunks.select("_chunk", id_col, normalize_text(seq_col).alias("_t"))
+    kind = chunks.schema[id_col].dataType.simpleString()
+    return texts.groupBy("_chunk").cogroup(places.groupBy("_chunk")).applyInArrow(
+        vectors, f"`{id_col}` {kind}, indices array<int>, values array<double>"
+    )
+
+
 def normalize_total(coo: DataFrame, cell_col: str = "cell_id", value_col: str = "value", target: float = TARGET_SUM) -> DataFrame:
     """Value / sum(|value|) of its cell * target; an all-zero cell stays zero.
 

@@ -111,13 +111,16 @@ from seq left join known on seq.row_id = known.id
 def kmer_vectorize_query(spark, sf_dir):
     """Vocabulary fitted on train rows, every row vectorized (unseen k-mers ignored).
 
-    The k-mers of all rows are extracted and counted once; the vocabulary is a
-    filter of that table.
+    The k-mers of a few MB of texts, counted together, give the vocabulary and are looked
+    up in it; the rows are then counted again beside what was found.
     """
-    s = _doc_seq(spark, sf_dir)
-    counts = materialize(FT.kmer_counts(s, "row_id", "sequence", 3, 6), "kmer-counts")
-    train, _ = fold_split(counts.withColumn("fold_id", (F.col("row_id") % 10).cast("int")), 0)
-    vec = FT.kmer_vectorize(counts, FT.kmer_vocabulary(train), s, "row_id")
+    chunks = FT.text_chunk(_doc_seq(spark, sf_dir), "row_id", "sequence")
+    # a part of a chunk is the chunk's training rows, or its others
+    parts = chunks.withColumn("_part", F.col("_chunk") * 2 + F.when(F.col("fold_id").eqNullSafe(F.lit(0)), 0).otherwise(1))
+    counts = FT.kmer_counts(parts.sortWithinPartitions("_part"), "_part", "sequence", 3, 6, summed=True, per_id=True)
+    counts = materialize(counts.select(F.shiftright("_part", 1).alias("_chunk"), "kmer", (F.col("_part") % 2).cast("int").alias("fold_id")), "kmer-counts")
+    train, _ = fold_split(counts, 0)
+    vec = FT.kmer_vectorize(counts, FT.kmer_vocabulary(train), chunks, "row_id", ("sequence", 3, 6))
     return vec.select(
         "row_id",
         F.size("indices").cast("int").alias("nnz"),

@@ -1,5 +1,6 @@
 """C1-C14 and B* against the hand-computed fixtures."""
 
+import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -188,3 +189,24 @@ def test_counts_summed_in_the_task(spark):
     summed = FT.kmer_counts(df, "id", "s", 2, 4, summed=True)
     assert summed.count() == per_row.count()  # one task, one batch: a k-mer leaves it once
     assert {tuple(r) for r in summed.collect()} == {tuple(r) for r in per_row.collect()}
+
+
+def test_vectors_from_chunks_of_texts(spark, monkeypatch):
+    """Entries are counted where the text is: what is stored is a chunk's different k-mers, not a row's."""
+    monkeypatch.setattr(FT, "CHUNK_BYTES", 1000)
+    monkeypatch.setattr(FT, "CHUNK_CHARS", 100)
+    rng = np.random.default_rng(3)
+    rows = [(i, "".join(rng.choice(list("abcß 𝄞"), 30))) for i in range(60)]
+    rows += [(7, "abcabcabc"), (None, "never seen"), (90, None), (91, ""), (92, "zzzzzz")]  # one id twice, no id, no text
+    df = spark.createDataFrame(rows, "id long, s string").repartition(3)
+    chunks = FT.text_chunk(df, "id", "s")
+    assert chunks.select("_chunk").distinct().count() > 2
+    found = FT.kmer_counts(chunks.sortWithinPartitions("_chunk"), "_chunk", "s", 2, 4, summed=True, per_id=True)
+    counts = FT.kmer_counts(df, "id", "s", 2, 4)
+    assert found.count() < 0.7 * counts.count()
+    vocab = FT.kmer_vocabulary(counts.where("kmer not like 'z%'"))
+    want = FT.kmer_vectorize(counts, vocab, df, "id").collect()
+    got = FT.kmer_vectorize(found, vocab, chunks, "id", ("s", 2, 4)).collect()
+    show = lambda got: sorted((str(r["id"]), r["indices"], r["values"]) for r in got)
+    assert show(got) == show(want)
+    assert len(got) == len(rows)
