@@ -238,9 +238,9 @@ def _vectorize_chunks(kmers: DataFrame, vocab: DataFrame, chunks: DataFrame, id_
             some = places.take(pa.array(np.flatnonzero(lengths == k))).combine_chunks()
             known[k] = some.column(1).combine_chunks(), some.column(2).to_numpy()
         # rows with one id share their entries
-        group = row_ids.dictionary_encode().indices
-        own = group.is_valid().to_numpy(zero_copy_only=False)
-        group = group.fill_null(0).to_numpy()
+        coded = row_ids.dictionary_encode()
+        own = coded.indices.is_valid().to_numpy(zero_copy_only=False)
+        group = coded.indices.fill_null(len(coded.dictionary)).to_numpy()
         at_group, at_idx, at_n = [], [], []
         for at, size in text_chunks(texts, CHUNK_CHARS):
             for r, names, n in kmers_of(texts.slice(at, size), lo, hi):
