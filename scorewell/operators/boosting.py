@@ -45,8 +45,13 @@ COLUMNS = 4096
 #: Sums (rows, gradient, Hessian) of all bins and open nodes the driver may hold.
 NUMBERS = 1 << 25
 BLOCK_BYTES = 1 << 22
-#: Steps after which the rows' scores are written, so a pass applies few trees.
+#: Steps after which the rows' scores are written at the latest, so a pass applies few trees.
 REWRITE = 16
+#: What decides on an earlier writing (execution only): passes of a step, seconds a row and tree
+#: (a column its splits use), seconds a stored byte, seconds of a writing of few rows.
+PASSES, TREE_SECONDS, BYTE_SECONDS, JOB_SECONDS = 6, 1e-8, 4e-9, 0.5
+#: Most rows of a block, and leaves up to which a tree is applied by leaf masks.
+BLOCK_ROWS, MASK_LEAVES = 1 << 16, 64
 #: Tasks up to which their sums go to the driver without a second level.
 DIRECT = 64
 #: Values a task should have before its rows are dealt to idle cores.
@@ -200,6 +205,33 @@ class Flat:
             go = np.where(gone, self.missing_left[node], v <= edge[node])
             at[rows] = np.where(go, self.left[node], self.right[node])
 
+    def masks(self, root: int, missing: np.ndarray) -> "Masks | None":
+        """The tree below ``root`` for binned columns; None where it has too many leaves."""
+        order, spans = [], []  # leaves from left to right; (node, its first leaf, the right side's, the end)
+
+        def walk(node: int) -> None:
+            first = len(order)
+            if self.left[node] < 0:
+                order.append(node)
+                return
+            walk(self.left[node])
+            middle = len(order)
+            walk(self.right[node])
+            spans.append((node, first, middle, len(order)))
+
+        walk(root)
+        if len(order) > MASK_LEAVES:
+            return None
+        tables: dict[int, np.ndarray] = {}
+        bins = np.arange(256)
+        bits = lambda a, b: np.uint64(((1 << b) - 1) ^ ((1 << a) - 1))
+        for node, first, middle, end in spans:
+            c = int(self.column[node])
+            go = np.where(bins == missing[c], self.missing_left[node], bins <= self.bin[node])
+            out = np.where(go, bits(middle, end), bits(first, middle))  # leaves a row can't reach
+            tables[c] = tables.get(c, np.full(256, np.iinfo(np.uint64).max, np.uint64)) & ~out
+        return Masks(np.array(order, np.int32), sorted(tables.items()))
+
     def add(self, raw: np.ndarray, x: np.ndarray, edge: np.ndarray, missing, since: int = 0) -> np.ndarray:
         for step in self.roots[since:]:
             for k, root in enumerate(step):
@@ -207,6 +239,46 @@ class Flat:
         return raw
 
 
+@dataclass
+class Masks:
+    """A tree on binned columns: a row's leaf is the first that no column's bin rules out."""
+
+    leaves: np.ndarray  # the nodes, from left to right
+    tables: list[tuple[int, np.ndarray]]  # column, the leaves each bin leaves over as bits
+
+    def reach(self, x: np.ndarray) -> np.ndarray:
+        """The last node of every row of ``x``."""
+        if not self.tables:
+            return np.full(len(x), self.leaves[0], np.int32)
+        left = None
+        for c, table in self.tables:
+            mine = table[x[:, c]]
+            left = mine if left is None else np.bitwise_and(left, mine, out=left)
+        first = (left & (~left + np.uint64(1))).astype(np.float64)  # a power of two
+        return self.leaves[(first.view(np.int64) >> 52) - 1023]
+
+
+def binned_reach(flat: Flat, root: int, missing: np.ndarray):
+    """``reach`` of one tree for binned columns."""
+    masks = flat.masks(root, missing)
+    if masks is not None:
+        return masks.reach
+    return lambda x: flat.reach(x, root, flat.bin, lambda v, c: v == missing[c])
+
+
+def binned_add(flat: Flat, missing: np.ndarray, since: int):
+    """A function that adds the trees from step ``since`` on to the scores of binned rows."""
+    steps = [[(k, binned_reach(flat, root, missing)) for k, root in enumerate(step)] for step in flat.roots[since:]]
+
+    def add(raw: np.ndarray, x: np.ndarray) -> np.ndarray:
+        for step in steps:
+            for k, reach in step:
+                raw[:, k] += flat.value[reach(x)]
+        return raw
+
+    return add
+
+
 def gradients(loss: str, raw: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(gradient, Hessian) per row and tree, and every row's loss."""
     w1 = w[:, None]
@@ -235,20 +307,33 @@ def _blocks(batch, width: int, trees: int):
 
 
 def _block_table(rows: DataFrame, b: Binning, baseline: np.ndarray) -> DataFrame:
-    width, per = len(b.edges), max(1, BLOCK_BYTES // max(len(b.edges), 1))
+    width, per = len(b.edges), max(1, min(BLOCK_ROWS, BLOCK_BYTES // max(len(b.edges), 1)))
 
     def block(batches):
+        held, size = [], 0
+
+        def made():
+            parts = [[part.column(c) for part in held] for c in range(4)]
+            x = np.concatenate([b.bins(_matrix(v, len(v), width)) for v in parts[0]])
+            y, w, back = (np.concatenate([v.to_numpy(zero_copy_only=False) for v in parts[c]]) for c in (1, 2, 3))
+            arrays = [
+                x.tobytes(), y.astype("<f8").tobytes(), w.astype("<f8").tobytes(),
+                back.astype(bool).tobytes(), np.tile(baseline, (size, 1)).astype("<f8").tobytes(),
+            ]
+            return pa.RecordBatch.from_arrays([pa.array([size], pa.int32())] + [pa.array([v], pa.binary()) for v in arrays],
+                                              ["n", "x", "y", "w", "held", "raw"])
+
         for batch in batches:
-            for a in range(0, batch.num_rows, per):
-                part = batch.slice(a, per)
-                n = part.num_rows
-                y, w, held = (part.column(c).to_numpy(zero_copy_only=False) for c in (1, 2, 3))
-                arrays = [
-                    b.bins(_matrix(part.column(0), n, width)).tobytes(), y.astype("<f8").tobytes(), w.astype("<f8").tobytes(),
-                    held.astype(bool).tobytes(), np.tile(baseline, (n, 1)).astype("<f8").tobytes(),
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32())] + [pa.array([v], pa.binary()) for v in arrays],
-                                                 ["n", "x", "y", "w", "held", "raw"])
+            at = 0
+            while at < batch.num_rows:
+                held.append(batch.slice(at, per - size))
+                at += held[-1].num_rows
+                size += held[-1].num_rows
+                if size == per:
+                    yield made()
+                    held, size = [], 0
+        if size:
+            yield made()
 
     return map_arrow(rows.select("x", "y", "w", "held"), block, SCHEMA)
 
@@ -327,7 +412,9 @@ class Boosting:
         rows = _dealt(rows, width)
         self.path, self.blocks = written(_block_table(rows, self.binning, self.baseline), "boosting-blocks")
         self.written_steps = 0
-        self.tasks = self.blocks.select(F.spark_partition_id().alias("t")).distinct().count()
+        found = self.blocks.groupBy(F.spark_partition_id()).agg(F.sum("n").alias("n")).agg(F.count(F.lit(1)), F.sum("n")).first()
+        self.tasks, self.rows = found[0], found[1] or 0
+        self.cores = max(1, rows.sparkSession.sparkContext.defaultParallelism)
         self.edge = self.gone = None
 
     def _baseline(self, rows, classes):
@@ -349,7 +436,6 @@ class Boosting:
         k_, size, width, loss = self.trees_a_step, self.binning.size, self.width, self.loss
         start, missing = self.binning.start[:-1], self.binning.missing
         since, done = self.written_steps, self.model.arrays()
-        done_edge, is_gone = done.bin, (lambda v, c: v == missing[c])
         routes, slots, n_slots = [], [], 0
         for nodes, wanted in zip(growing, todo):
             routes.append(_route(nodes))
@@ -358,25 +444,44 @@ class Boosting:
                 slot[i] = n_slots
                 n_slots += 1
             slots.append(slot)
+        asked = [k for k in range(k_) if (slots[k] >= 0).any()]
 
         def partial(batch):
             sums, totals, held_out = np.zeros((3, n_slots * size)), np.zeros((3, n_slots)), np.zeros(2)
+            add = binned_add(done, missing, since)
+            ways = {k: binned_reach(routes[k], 0, missing) for k in asked}
             for x, y, w, held, raw in _blocks(batch, width, k_):
-                raw = done.add(raw.copy(), x, done_edge, is_gone, since)
-                g, h, lost = gradients(loss, raw, y, w)
+                at = {}
+                for k in asked:
+                    at[k] = slots[k][ways[k](x)]
+                    at[k][held] = -1
+                if not with_loss:  # only rows of some node asked for count
+                    some = np.flatnonzero(np.any([v >= 0 for v in at.values()], axis=0))
+                    x, y, w, raw = x[some], y[some], w[some], raw[some]
+                    at = {k: v[some] for k, v in at.items()}
+                g, h, lost = gradients(loss, add(raw.copy(), x), y, w)
                 if with_loss:
                     held_out += lost[held].sum(), w[held].sum()
-                row, column = np.nonzero(x)  # a column's first bin is what the others leave
-                cell = start[column] + x[row, column]
-                for k in range(k_):
-                    slot = slots[k][routes[k].reach(x, 0, routes[k].bin, is_gone)]
-                    slot[held] = -1
+                dense = np.count_nonzero(x) * 4 > x.size
+                if not dense:
+                    row, column = np.nonzero(x)  # a column's first bin is what the others leave
+                    cell = start[column] + x[row, column]
+                for k, slot in at.items():
                     rows_on = np.flatnonzero(slot >= 0)
-                    on = slot[row] >= 0
-                    at, place = row[on], slot[row[on]] * size + cell[on]
-                    for j, v in enumerate((np.ones(len(y)), g[:, k], h[:, k])):
+                    if dense:
+                        place = (x[rows_on] + (slot[rows_on, None] * size + start)).ravel()
+                        spread = lambda v: np.repeat(v[rows_on], width)  # noqa: B023, E731
+                    else:
+                        on = np.flatnonzero(slot[row] >= 0)
+                        of = row[on]
+                        place = slot[of] * size + cell[on]
+                        spread = lambda v: v[of]  # noqa: B023, E731
+                    sums[0] += np.bincount(place, minlength=n_slots * size)
+                    totals[0] += np.bincount(slot[rows_on], minlength=n_slots)
+                    for j, v in ((1, g[:, k]), (2, h[:, k])):
                         totals[j] += np.bincount(slot[rows_on], v[rows_on], n_slots)
-                        sums[j] += np.bincount(place, v[at], n_slots * size)
+                        sums[j] += np.bincount(place, spread(v), n_slots * size)
+            sums.reshape(3, n_slots, size)[:, :, start] = 0.0
             return np.concatenate([sums.ravel(), totals.ravel(), held_out])
 
         a, c = n_slots * size * 3, n_slots * 3
@@ -407,7 +512,7 @@ class Boosting:
                 self._know(nodes[large], nodes[parent].sums - nodes[small].sums)
             first = False
         self.model.roots.append([self._keep(nodes) for nodes in growing])
-        if len(self.model.roots) - self.written_steps >= REWRITE:
+        if self._rewriting_pays():
             self._rewrite()
         return held_loss
 
@@ -464,16 +569,23 @@ class Boosting:
         put(0)
         return base
 
+    def _rewriting_pays(self) -> bool:
+        """Whether the trees since the last writing cost a step's passes more than writing the scores."""
+        steps = len(self.model.roots) - self.written_steps
+        if steps >= REWRITE:
+            return True
+        apply = PASSES * steps * self.trees_a_step * min(self.width, self.s.leaves) * TREE_SECONDS * self.rows
+        write = (self.width + 17 + 8 * self.trees_a_step) * BYTE_SECONDS * self.rows + JOB_SECONDS * self.cores
+        return apply > write
+
     def _rewrite(self) -> None:
         width, k, since, model = self.width, self.trees_a_step, self.written_steps, self.model.arrays()
         missing = self.binning.missing
 
         def update(batches):
+            add = binned_add(model, missing, since)
             for batch in batches:
-                raws = [
-                    model.add(raw.copy(), x, model.bin, lambda v, c: v == missing[c], since).tobytes()
-                    for x, _, _, _, raw in _blocks(batch, width, k)
-                ]
+                raws = [add(raw.copy(), x).tobytes() for x, _, _, _, raw in _blocks(batch, width, k)]
                 yield pa.RecordBatch.from_arrays(batch.columns[:5] + [pa.array(raws, pa.binary())], ["n", "x", "y", "w", "held", "raw"])
 
         old = self.path

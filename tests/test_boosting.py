@@ -174,3 +174,51 @@ def test_saved_trees_predict_the_same(spark, tmp_path):
     again = PipelineModel.load(str(tmp_path / "m")).transform(df)
     a = {r["row_id"]: r["prediction"] for r in spec.predict(fitted, df).collect()}
     assert {r["row_id"]: r["prediction"] for r in again.collect()} == a and len(a) == 200
+
+
+@pytest.mark.parametrize("depth", [0, 1, 5])
+def test_leaf_masks_reach_the_same_leaves(depth):
+    """Trees are applied by masks of leaves; a tree with too many leaves is walked as before."""
+    rng = np.random.default_rng(depth)
+    missing = np.array([4, 250, 9])
+    t = B.Trees(np.zeros(1))
+
+    def put(d):
+        at, c = len(t.column), int(rng.integers(3))
+        inner = d < depth and (d < 2 or rng.random() < 0.8)
+        for a, v in ((t.column, c), (t.bin, int(rng.integers(missing[c]))), (t.threshold, 0.0), (t.missing_left, bool(rng.random() < 0.5)),
+                     (t.value, float(at)), (t.left, -1), (t.right, -1)):
+            a.append(v)
+        if inner:
+            t.left[at], t.right[at] = put(d + 1), put(d + 1)
+        return at
+
+    t.roots.append([put(0)])
+    flat = t.arrays()
+    x = np.stack([rng.integers(0, m + 1, 500) for m in missing], axis=1).astype(np.uint8)
+    want = flat.reach(x, 0, flat.bin, lambda v, c: v == missing[c])
+    assert (flat.masks(0, missing).reach(x) == want).all()
+    assert (B.binned_add(flat, missing, 0)(np.zeros((500, 1)), x)[:, 0] == want).all()
+
+
+def test_masks_are_for_small_trees():
+    t = B.Trees(np.zeros(1))
+    for i in range(2 * B.MASK_LEAVES + 1):  # a chain with MASK_LEAVES + 1 leaves
+        for a, v in ((t.column, 0), (t.bin, i // 2), (t.threshold, 0.0), (t.missing_left, False), (t.value, 0.0),
+                     (t.left, i + 1 if i % 2 == 0 and i < 2 * B.MASK_LEAVES else -1), (t.right, i + 2 if i % 2 == 0 and i < 2 * B.MASK_LEAVES else -1)):
+            a.append(v)
+    flat, x = t.arrays(), np.arange(256, dtype=np.uint8)[:, None]
+    assert flat.masks(0, np.array([255])) is None
+    want = flat.reach(x, 0, flat.bin, lambda v, c: v == 255)
+    assert (B.binned_reach(flat, 0, np.array([255]))(x) == want).all()
+
+
+def test_scores_are_written_earlier_where_rows_are_many(spark):
+    """Applying the trees of up to 16 steps in each of a step's passes took most of a large fit's time."""
+    x, y = _data(200, 8)
+    fit = B.Boosting(_rows(spark, x, y), 3, "squared", 1, B.Settings(steps=1, depth=1, min_leaf=10))
+    fit.step()
+    assert fit.rows == 200 and not fit._rewriting_pays()
+    fit.rows = 10**9
+    assert fit._rewriting_pays()
+    fit.close()
