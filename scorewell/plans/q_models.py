@@ -24,7 +24,7 @@ from scorewell.plans import estimators as E
 from scorewell.plans import experiment as X
 from scorewell.plans import views as V
 from scorewell.plans.catalog import register
-from scorewell.session import map_arrow, materialize, scratch_path
+from scorewell.session import materialize, scratch_path
 from scorewell.sources import submissions as S
 from scorewell.sources.expression import read_expression
 from scorewell.sources.tables import fold_split, read_table
@@ -186,26 +186,12 @@ def feature_union(spark, sf_dir):
     out = s
     for st in fitted:
         out = st.transform(out)
-    # read off the sparse vectors: an array of the vocabulary's width a row is mostly zeros
-    kind = s.schema["row_id"].dataType.simpleString()
-    found = map_arrow(out.select("row_id", "_raw"), _vector_sums, f"row_id {kind}, nnz int, total double")
-    return found.select("row_id", "nnz", F.round("total", 6).alias("total"))
-
-
-def _vector_sums(batches):
-    """(row_id, nnz, total) of (row_id, vector) batches: the number and sum of a vector's entries other than 0."""
-    import numpy as np
-    import pyarrow as pa
-
-    for batch in batches:
-        vectors = batch.column(1)
-        values = vectors.field("values") if isinstance(vectors, pa.StructArray) else vectors
-        sizes = np.diff(values.offsets.to_numpy())
-        v = values.flatten().to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        nnz = np.bincount(row[v != 0], minlength=len(sizes)).astype(np.int32)
-        total = np.bincount(row, v, len(sizes))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nnz), pa.array(total)], ["row_id", "nnz", "total"])
+    arr = vector_to_array("_raw")
+    return out.select(
+        "row_id",
+        F.size(F.filter(arr, lambda v: v != 0)).cast("int").alias("nnz"),
+        F.round(F.aggregate(arr, F.lit(0.0), lambda a, v: a + v), 6).alias("total"),
+    )
 
 
 def _scaled_tab(spark, sf_dir, center: bool):
