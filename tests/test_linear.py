@@ -162,3 +162,28 @@ def test_trials_that_run_side_by_side(spark):
     runs = [_table(CV.trial_predictions(E.get_spec("tabular_hgbr"), splits, roles, configs)) for _ in range(2)]
     assert runs[0].keys() == runs[1].keys() and len(runs[0]) == 180
     assert all(runs[0][(0, s, i)] == runs[0][(2, s, i)] for t, s, i in runs[0] if t == 0)
+
+
+def test_entries_are_packed_before_they_move(spark, monkeypatch):
+    """Blocks hold every entry once, whatever its value's size; the entries are neither stored nor shuffled as rows."""
+    rng = np.random.default_rng(4)
+    want = {(int(r), f"c{c}é"): float(v) for (r, c), v in zip({(int(a), int(b)) for a, b in rng.integers(0, 60, (900, 2))}, rng.choice([1, 2, 300, 70_000, 0.25, -3], 900))}
+    entries = spark.createDataFrame([(100 + r, n, v) for (r, n), v in want.items()], "r long, name string, v double").repartition(4)
+    monkeypatch.setattr(W, "BLOCK_ENTRIES", 150)
+    got, names = {}, []
+    for batch in W.packed(entries, np.arange(100, 160)).toArrow().to_batches():
+        for i in range(batch.num_rows):
+            b = W.Block(batch, i)
+            here = batch.column(0)[i].as_py()
+            names += here
+            got.update({(int(r), here[c]): v for r, c, v in zip(b.row, b.column, b.value)})
+            assert np.allclose(b.sums(b.value), np.bincount(b.column, b.value, b.width))
+    assert got == want and len(names) == len(set(names)) == len({n for _, n in want})
+
+    stored = []
+    keep = LM.materialize
+    monkeypatch.setattr(LM, "materialize", lambda df, name: stored.append(name) or keep(df, name))
+    texts, y = _texts(30, 5)
+    columns = LM.wide_columns(_frame(spark, texts, y), "sequence", "labels", F.lit(None), 0, 1, 2, True)
+    assert stored == ["wide-rows"]
+    assert all(f.dataType.typeName() in ("array", "binary") for f in columns.table.schema)
