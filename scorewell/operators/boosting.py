@@ -116,33 +116,33 @@ class Binning:
         return out
 
 
-def binning(rows: DataFrame, width: int) -> Binning:
-    """Edges of the columns of ``rows.x``: half way between values, or quantiles beyond BINS values."""
+def binning(rows: DataFrame, width: int, bins: int = BINS) -> Binning:
+    """Edges of the columns of ``rows.x``: half way between values, or quantiles beyond ``bins`` values."""
 
     def few(batches):
         seen = [np.empty(0)] * width
         for batch in batches:
             x = _matrix(batch.column(0), batch.num_rows, width)
             for c in range(width):
-                if len(seen[c]) <= BINS:
-                    seen[c] = np.union1d(seen[c], x[:, c][~np.isnan(x[:, c])])[: BINS + 1]
+                if len(seen[c]) <= bins:
+                    seen[c] = np.union1d(seen[c], x[:, c][~np.isnan(x[:, c])])[: bins + 1]
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.repeat(np.arange(width, dtype=np.int32), [len(s) for s in seen])), pa.array(np.concatenate(seen))],
             ["c", "v"],
         )
 
-    # a column with more than BINS values shows that many in some task or over all of them
+    # a column with more than ``bins`` values shows that many in some task or over all of them
     values = materialize(map_arrow(rows.select("x"), few, "c int, v double").distinct(), "bin-values")
-    small = values.groupBy("c").count().where(F.col("count") <= BINS).select("c")
+    small = values.groupBy("c").count().where(F.col("count") <= bins).select("c")
     found: dict[int, list[float]] = {}
-    for r in values.join(F.broadcast(small), "c").collect():  # at most BINS a column
+    for r in values.join(F.broadcast(small), "c").collect():  # at most ``bins`` a column
         found.setdefault(r["c"], []).append(r["v"])
     many = [r["c"] for r in values.select("c").distinct().join(F.broadcast(small), "c", "left_anti").collect()]
     edges = [np.empty(0)] * width
     for c, v in found.items():
         v = np.sort(np.array(v))
         edges[c] = v[:-1] + (v[1:] - v[:-1]) / 2
-    shares = [i / BINS for i in range(1, BINS)]
+    shares = [i / bins for i in range(1, bins)]
     for a in range(0, len(many), 64):
         some = many[a : a + 64]
         value = lambda c: F.when(~F.isnan(F.get("x", F.lit(c))), F.get("x", F.lit(c)))

@@ -61,7 +61,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorewell.functions.sequence import sequence_sql
-from scorewell.operators import boosting
+from scorewell.operators import boosting, forest
 from scorewell.operators.boosting import Settings
 from scorewell.operators.features import class_weights
 from scorewell.operators.linear import GRAM_COLUMNS, Linear, elastic_net, ridge
@@ -293,6 +293,9 @@ TREE_EXEC = {"maxMemoryInMB": 1024}
 BOOSTING = {"maxBins": 255, **TREE_EXEC}
 MIN_LEAF = 20
 FOREST_EXEC = {**TREE_EXEC, "cacheNodeIds": True}  # deep trees: node ids cached between levels
+# Up to so many rows times trees, or bytes of a level's sums, a forest is fitted by Spark's
+# learner, which holds the trees on the driver and a GB of sums in every task.
+FOREST_ROWS, FOREST_SUMS = 1 << 23, 1 << 28
 
 
 def _fit_slim(est, cur: DataFrame, label_col: str):
@@ -690,11 +693,22 @@ class TabularForest(_Classifier):
     defaults = {"n_estimators": 200, "max_depth": None}
     space = [Param("n_estimators", "int", 50, 500), Param("max_depth", "int", 3, 20)]
 
+    def depth(self, c):
+        return 30 if c.get("max_depth") is None else min(30, int(c["max_depth"]))
+
+    def fit_model(self, slim, c, labels, roles):
+        width, trees, k, n = vector_size(slim, FEATURES), int(c["n_estimators"]), len(labels), slim.count()
+        level = trees * min(2 ** (self.depth(c) - 1), n // 2) * forest.chosen(width) * forest.BINS * (k + 1) * 8
+        if trees * n <= FOREST_ROWS or level <= FOREST_SUMS or not forest.fits(width, k):
+            return super().fit_model(slim, c, labels, roles)
+        by = {int(r["_label_idx"]): float(r["w"]) for r in slim.groupBy("_label_idx").agg(F.first("_w").alias("w")).collect()}
+        rows = slim.select(vector_to_array(FEATURES).alias("x"), F.col("_label_idx").alias("y"))
+        return forest.fit(rows, width, [by.get(i, 0.0) for i in range(k)], forest.Settings(trees, self.depth(c)), FEATURES, "_pred_idx")
+
     def make(self, c, n_classes, n_features, sum_w):
-        depth = 30 if c.get("max_depth") is None else min(30, int(c["max_depth"]))
         return RandomForestClassifier(
             featuresCol=FEATURES, labelCol="_label_idx", weightCol="_w", predictionCol="_pred_idx",
-            numTrees=int(c["n_estimators"]), maxDepth=depth, seed=42, **FOREST_EXEC,
+            numTrees=int(c["n_estimators"]), maxDepth=self.depth(c), seed=42, **FOREST_EXEC,
         )
 
 
