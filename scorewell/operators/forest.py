@@ -39,8 +39,8 @@ BINS = 32
 CELLS = 1 << 16
 #: Cells (fewer where they are wide) and bytes of a stored block.
 BLOCK_CELLS, BLOCK_BYTES = 1 << 14, 1 << 22
-#: Sums (bins and classes of open nodes) of one pass, and of nodes split together in a task.
-NUMBERS, AT_ONCE = 1 << 21, 1 << 20
+#: Sums (bins and classes of open nodes) of one pass, of nodes split together in a task, and most of one node.
+NUMBERS, AT_ONCE, NODE = 1 << 21, 1 << 17, 1 << 20
 #: Trees whose cells are sent together by a task.
 TREES = 8
 #: Part of its impurity a split must take away.
@@ -60,7 +60,7 @@ class Settings:
 
 def fits(width: int, classes: int) -> bool:
     """Whether one node's sums can be held; else take another learner."""
-    return 1 <= width <= COLUMNS and chosen(width) * (BINS + 1) * classes <= AT_ONCE and classes < 1 << 15
+    return 1 <= width <= COLUMNS and chosen(width) * (BINS + 1) * classes <= NODE and classes < 1 << 15
 
 
 def chosen(width: int) -> int:
@@ -123,21 +123,31 @@ def bag(seed: int, tree: int, part: int, m: np.ndarray) -> np.ndarray:
     return np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, tree, part]))).poisson(m)
 
 
-def best_splits(hist: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gain, slot, bin) of the best split of every node with (nodes, slots, bins, classes) weights; gain 0: none."""
-    total = hist[:, 0].sum(axis=1)  # every row is in one bin of the first column
-    left = np.cumsum(hist, axis=2)[:, :, :-1]
-    right = total[:, None, None] - left
-    wl, wr = left.sum(axis=3), right.sum(axis=3)
-    weight = total.sum(axis=1)[:, None, None]
-    ok = (wl > GAIN * weight) & (wr > GAIN * weight)
-    score = np.einsum("nsbk,nsbk->nsb", left, left) / np.where(ok, wl, 1.0)
-    score += np.einsum("nsbk,nsbk->nsb", right, right) / np.where(ok, wr, 1.0)
-    gain = np.where(ok, score / weight - ((total / total.sum(axis=1, keepdims=True)) ** 2).sum(axis=1)[:, None, None], 0.0)
-    flat = gain.reshape(len(gain), -1)
+def best_splits(hist: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gain, slot, bin) of the best split of every node with (classes, nodes, slots, bins) rows; gain 0: none."""
+    total = hist[:, :, 0].sum(axis=2) * weights[:, None]  # every row is in one bin of the first column
+    wl, wr, l2, r2 = (np.zeros((*hist.shape[1:3], hist.shape[3] - 1)) for _ in range(4))
+    for k, w in enumerate(weights):
+        left = np.cumsum(hist[k, :, :, :-1], axis=2)
+        left *= w
+        right = total[k][:, None, None] - left
+        wl += left
+        wr += right
+        left *= left
+        l2 += left
+        right *= right
+        r2 += right
+    weight = total.sum(axis=0)
+    least = (GAIN * weight)[:, None, None]
+    ok = (wl > least) & (wr > least)
+    l2 /= np.where(ok, wl, 1.0)
+    r2 /= np.where(ok, wr, 1.0)
+    l2 += r2
+    l2[~ok] = -1.0
+    flat = l2.reshape(len(l2), -1)
     best = flat.argmax(axis=1)
-    top = flat[np.arange(len(flat)), best]
-    return np.where(top > GAIN, top, 0.0), best // gain.shape[2], best % gain.shape[2]
+    gain = flat[np.arange(len(flat)), best] / weight - ((total / weight) ** 2).sum(axis=0)
+    return np.where(gain > GAIN, gain, 0.0), best // l2.shape[2], best % l2.shape[2]
 
 
 def columns_of(rng: np.random.Generator, nodes: int, width: int) -> np.ndarray:
@@ -215,11 +225,12 @@ def grow(x: np.ndarray, y: np.ndarray, c: np.ndarray, root: np.ndarray, depths:
         for k, a in enumerate(range(0, len(ids), some)):
             mine = slice(ends[k], ends[k + 1])
             n = min(some, len(ids) - a)
-            mx, my, mat = x[mine], y[mine], at[mine] - a
+            mx, my, mat = x[mine], y[mine].astype(np.int64), at[mine] - a
             cols, every = columns_of(rng, n, width), np.arange(len(mat))
-            place = np.concatenate([((mat * s + j) * bins + mx[every, cols[mat, j]]) * classes + my for j in range(s)])
-            hist = np.bincount(place, np.tile(c[mine], s), n * s * bins * classes).reshape(n, s, bins, classes)
-            gain, slot, cut = best_splits(hist * weights)
+            start = (my * n + mat) * (s * bins)
+            place = np.concatenate([start + (j * bins + mx[every, cols[mat, j]]) for j in range(s)])
+            hist = np.bincount(place, np.tile(c[mine], s), classes * n * s * bins).reshape(classes, n, s, bins)
+            gain, slot, cut = best_splits(hist, weights)
             good = np.flatnonzero(gain > 0)
             column[ids[a + good]] = cols[good, slot[good]]
             bin_[ids[a + good]] = cut[good]
@@ -333,7 +344,7 @@ class Forest:
                 mine = todo[a : a + some]
                 cols = np.concatenate([columns_of(np.random.default_rng([self.s.seed, 1, t, i]), 1, self.width) for t, i in mine])
                 sums = self._counts(mine, cols)
-                gain, slot, cut = best_splits(sums[..., 1:] * self.weights)
+                gain, slot, cut = best_splits(np.moveaxis(sums[..., 1:], 3, 0), self.weights)
                 for k, (t, i) in enumerate(mine):
                     if gain[k] <= 0:
                         continue
