@@ -684,7 +684,7 @@ class TabularBoostingClassifier(_Classifier):
 
 
 class TabularForest(_Classifier):
-    """Balanced random forest (unlimited depth -> Spark's maximum, 30)."""
+    """Balanced random forest (unlimited depth -> Spark's maximum, 30); on many rows grown in tasks."""
 
     name = "tabular_rf"
     data_types = ("dataframe_tabular",)
