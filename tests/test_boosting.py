@@ -222,3 +222,37 @@ def test_scores_are_written_earlier_where_rows_are_many(spark):
     fit.rows = 10**9
     assert fit._rewriting_pays()
     fit.close()
+
+
+@pytest.mark.parametrize("patience", [10, 2])
+def test_fits_side_by_side_equal_fits_by_passes(spark, monkeypatch, patience):
+    """Each split and setting fitted in a task of its own predicts what a fit by passes over the rows does."""
+    from scorewell.plans import cv as CV
+    from scorewell.plans import estimators as E
+
+    x, y = _data(400, 9)
+    rows = [(1000 + i, *[None if np.isnan(v) else float(v) for v in a], float(b), i % 4) for i, (a, b) in enumerate(zip(x, y))]
+    rows += [(5000, 0.1, 1.0, 0.5, None, 1), (5001, 0.1, 1.0, 0.5, None, 3), (None, 0.2, 2.0, None, 1.5, 0), (1003, 0.3, 0.0, 0.5, 0.5, 2)]
+    df = spark.createDataFrame(rows, "row_id long, a double, b double, c double, target double, fold_id int").repartition(3)
+    monkeypatch.setattr(B, "HOLD_BACK_FROM", 100)  # so that steps end early
+    monkeypatch.setattr(B.Settings, "patience", patience)
+    roles = E.Roles("row_id", "target", feature_cols=["a", "b", "c"])
+    spec, splits = E.get_spec("tabular_hgbr"), CV.Splits(df, "fold_id", [0, 1, 2])
+    configs = [{"max_iter": 6, "max_depth": 3}, {"max_iter": 4, "max_depth": 8, "learning_rate": 0.3}]
+    made = CV.trial_predictions(spec, splits, roles, configs).collect()
+    assert len(made) == 2 * sum(r[-1] < 3 for r in rows)
+    want = {}
+    for t, c in enumerate(configs):
+        for s in (0, 1, 2):
+            fitted = spec.fit(df.where(F.col("fold_id") != s), c, roles)
+            for r in fitted.model.transform(df.where(F.col("fold_id") == s)).collect():
+                want[(t, s, r.row_id, r.target)] = r.prediction
+    got = {(r.trial, r.split, r.row_id, r.y): r.p for r in made}
+    assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()), atol=1e-9)
+
+
+def test_rows_beyond_a_task_are_fitted_by_passes(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i)], float(i), i % 3, False) for i in range(30)], "r long, x array<double>, y double, fold int, back boolean")
+    assert B.fit_side_by_side(rows, 1, 3, [B.Settings(steps=1)]).count() == 30
+    monkeypatch.setattr(B, "TASK_BYTES", 100)
+    assert B.fit_side_by_side(rows, 1, 3, [B.Settings(steps=1)]) is None

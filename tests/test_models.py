@@ -342,3 +342,22 @@ def test_perceptron_parts_are_no_more_than_cores(spark, monkeypatch):
     E.get_spec("expr_mlp").fit_model(spark.range(1000).repartition(3 * cores), {}, [], None)
     E.get_spec("expr_mlp").fit_model(spark.range(10).repartition(1), {}, [], None)
     assert seen == [cores, 1]
+
+
+def test_the_standard_run_offers_every_pipeline(spark, monkeypatch):
+    """No pipeline that learns numbers from a table is left out, and none gets fewer trials than the tier has."""
+    from scorewell.plans import q_models as Q
+
+    seen = {}
+
+    def planned(spark, name, fold, user, store, models, timestamp, budget, seed=42, trials=None, registry=None):
+        seen.update(budget=budget, trials=trials, steps=X.plan_steps(spark, "dataframe_tabular", "regression", budget, registry).collect())
+        raise StopIteration
+
+    monkeypatch.setattr(Q.X, "run_experiments", planned)
+    with pytest.raises(StopIteration):
+        Q.experiment_run_standard(spark, "/root/testdata/sf0.001")
+    assert seen["budget"] == "standard" and seen["trials"] is None
+    assert [(r.experiment, r.trials) for r in seen["steps"]] == [
+        ("baseline_tabular_ridge", 0), ("tuned_tabular_ridge", 30), ("tuned_tabular_hgbr", 30), ("tuned_mean_predictor", 30), ("ensemble", 0),
+    ]
