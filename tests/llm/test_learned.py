@@ -124,6 +124,31 @@ def test_op3_learns_from_every_text(spark, monkeypatch, tmp_path):
     assert QUERIES["op3_secrets"](spark, str(tmp_path)).where("n_assign = 1").count() == 302
 
 
+def test_secret_passes_are_as_many_for_many_cases(spark, monkeypatch):
+    """No pass is left out where cases are many, and each has all training cases with their numbers."""
+    docs = spark.createDataFrame([(i, f"some words stand here token={i % 40:030d}") for i in range(120)], "doc_id bigint, text string")
+    monkeypatch.setattr(secrets, "FEW_CASES", 10, raising=False)
+    monkeypatch.setattr(secrets, "GROUP_CASES", 500)
+    seen, keep = [], secrets._pass
+    monkeypatch.setattr(secrets, "_pass", lambda train, groups, *a: seen.append((train.count(), groups)) or keep(train, groups, *a))
+    secrets.learn(docs)
+    assert len(seen) == secrets.EPOCHS and len(set(seen)) == 1
+    assert seen[0][0] > 1500 and seen[0][1] == -(-seen[0][0] // 500)
+
+
+def test_a_case_counts_as_often_as_it_occurs():
+    rng = np.random.default_rng(7)
+    x = rng.integers(1, 97, (40, secrets.BEFORE + secrets.BODY + secrets.AFTER))
+    flag = (np.arange(x.shape[1]) // 20 == 2).astype(np.float32)[None].repeat(40, 0)
+    y, n = (rng.random(40) < 0.5).astype(np.float32), rng.integers(1, 6, 40)
+    one, every = (secrets.Training(secrets._fresh()) for _ in range(2))
+    for _ in range(2):
+        one.learn(x, flag, y, n)
+        every.learn(*(np.repeat(v, n, axis=0) for v in (x, flag, y)))
+    assert np.allclose(one.m["conv"], every.m["conv"], atol=1e-6) and np.allclose(one.m["embed"], every.m["embed"], atol=1e-6)
+    assert not np.allclose(one.m["conv"], 0, atol=1e-4)
+
+
 def test_secret_curve_and_threshold_are_those_of_all_rows(spark):
     rng = np.random.default_rng(4)
     y = (rng.random(400) < 0.6).astype(int)
