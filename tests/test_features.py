@@ -210,3 +210,21 @@ def test_vectors_from_chunks_of_texts(spark, monkeypatch):
     show = lambda got: sorted((str(r["id"]), r["indices"], r["values"]) for r in got)
     assert show(got) == show(want)
     assert len(got) == len(rows)
+
+
+def test_windows_are_sorted_once(monkeypatch):
+    """Shorter k-mers are read off the longest ones' order; texts cut windows at their end."""
+    import pyarrow as pa
+
+    texts = ["abcab", "", "ab", "zé abcabcabc", "b"]
+    calls, keep = [], np.sort
+    monkeypatch.setattr(np, "sort", lambda *a, **k: calls.append("sort") or keep(*a, **k))
+    monkeypatch.setattr(np, "argsort", lambda *a, **k: calls.append("argsort"))
+    got = {(int(r), w): int(c) for rows, names, n in FT.kmers_of(pa.array(texts), 2, 6) for r, w, c in zip(rows, names.to_pylist(), n)}
+    assert calls == ["sort"]
+    want = {}
+    for i, t in enumerate(texts):
+        for k in range(2, 7):
+            for j in range(len(t) - k + 1):
+                want[(i, t[j : j + k])] = want.get((i, t[j : j + k]), 0) + 1
+    assert got == want
