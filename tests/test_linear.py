@@ -187,3 +187,34 @@ def test_entries_are_packed_before_they_move(spark, monkeypatch):
     columns = LM.wide_columns(_frame(spark, texts, y), "sequence", "labels", F.lit(None), 0, 1, 2, True)
     assert stored == ["wide-rows"]
     assert all(f.dataType.typeName() in ("array", "binary") for f in columns.table.schema)
+
+
+def test_scales_of_columns_are_stored_with_their_block(spark, monkeypatch):
+    """A column's mean and deviation over each split's training rows are taken once, not in every pass."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 4, (40, 30)) * rng.integers(0, 2, (40, 30))
+    entries = spark.createDataFrame([(int(r), f"c{c}", float(x[r, c])) for r, c in zip(*np.nonzero(x))], "r long, name string, v double").repartition(3)
+    rows = spark.createDataFrame([(i, float(x[i] @ np.arange(30) + 0.1 * i), i % 4 if i % 3 else None) for i in range(40)], "r long, y double, fold int")
+    monkeypatch.setattr(W, "BLOCK_ENTRIES", 60)
+    columns = W.Columns(rows, entries, 2)
+    for batch in columns.table.toArrow().to_batches():
+        for i in range(batch.num_rows):
+            b, names = W.Block(batch, i), batch.column(0)[i].as_py()
+            mine = x[:, [int(n[1:]) for n in names]]
+            for s in (0, 1):
+                part = mine[columns.train[s]]
+                std = part.std(axis=0)
+                inv = np.divide(1.0, std, out=np.zeros(len(std)), where=std > 0)
+                assert np.allclose(b.scales[s], [part.mean(axis=0), inv])
+                z, v = (mine - part.mean(axis=0)) * inv, rng.normal(size=40)
+                v -= v.mean()
+                assert np.allclose(b.along(v, s), z.T @ v) and np.allclose(b.across(inv, s, 40), z @ inv)
+
+
+def test_documents_are_dealt_before_their_kmers_are_counted(spark):
+    """A table in one small file is not one task's work."""
+    from scorewell.plans import q_models as Q
+
+    docs = Q.doc_seq(spark, "/root/testdata/sf0.001")
+    assert docs.rdd.getNumPartitions() > 1 or spark.conf.get("spark.sql.shuffle.partitions") == "1"
+    assert docs.count() == docs.select("row_id").distinct().count() == 200
